@@ -52,12 +52,12 @@ def dedupe_merge_records(
             records = records.withColumn(field, F.lit(None).cast("string"))
     keyed = records.withColumn("dedupe_key", record_key()).withColumn("_ord", F.struct(*order))
     firsts = first_by_key(keyed, ["domain", "dedupe_key", "source"], "_ord")
-    # earliest wins among equally long values: order descending is not defined for
-    # structs, so ties are broken by a second min_by over the longest length
+    # longest first, earliest among equals; a null ordering keeps blanks out
     longest = []
     for field in LONGEST_FIELDS:
         value = F.nullif(F.trim(F.col(field)), F.lit(""))
-        longest.append(F.min_by(value, F.struct(-F.length(value), F.col("_ord"))).alias(field))
+        order = F.when(value.isNotNull(), F.struct(-F.length(value), F.col("_ord")))
+        longest.append(F.min_by(value, order).alias(field))
     merged = firsts.groupBy("domain", "dedupe_key").agg(
         *longest,
         F.max("published_year").alias("published_year"),

@@ -184,13 +184,12 @@ def sentence_facts(papers: DataFrame, registry: Registry) -> DataFrame:
         sentences(F.col("source_text")),
         lambda s: F.struct(s.alias("text"), F.lower(s).alias("low"), has_digit(s).alias("digit")),
     )
-    return papers.withColumn("_sentences", prepared).withColumn(
-        "facts",
-        registry.by_domain(
-            F.col("domain"),
-            lambda d: F.transform("_sentences", lambda s: _sentence_facts(d, registry, s)),
-        ),
+    facts = registry.by_domain(
+        F.col("domain"), lambda d: F.transform("_sentences", lambda s: _sentence_facts(d, registry, s))
     )
+    # a generator, so that no later filter is pushed below it as a second copy
+    # of every pattern
+    return papers.withColumn("_sentences", prepared).select("*", F.explode(F.array(facts)).alias("facts"))
 
 
 def _weigh(weight: float):

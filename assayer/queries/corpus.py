@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import default_registry
-from ..operators import extract
-from ..session import spread
-from .vocabulary import DOI_SOURCES, DOMAIN_OF_LANG, LINK_SOURCES, OPEN_SOURCES, PMCID_SOURCES, PMID_SOURCES, TERMS
+from ..operators import corpus as merge
+from ..operators import extract, match
+from ..session import cut, spread
+from .vocabulary import DIVERSITY_SOURCES, DOI_SOURCES, DOMAIN_OF_LANG, LINK_SOURCES, OPEN_SOURCES, PMCID_SOURCES, PMID_SOURCES, TERMS
 
 REGISTRY = default_registry()
 
@@ -84,7 +85,63 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@per_session
+def enrichment(spark: SparkSession, sf: str) -> DataFrame:
+    """Curated records: one per labelled document."""
+    labels = table(spark, sf, "labels").select(F.col("doc_id").alias("ord"), "quality", "toxic")
+    access = F.col("full_text_availability")
+    opened, linked = access == "open-access-full-text", access == "full-text-link"
+
+    def pick(when_open: str, when_linked: str, otherwise: str):
+        return F.when(opened, when_open).when(linked, when_linked).otherwise(otherwise)
+
+    excerpt = F.struct(
+        pick("Results section", "Discussion note", "Curator note").alias("label"),
+        F.col("title").alias("text"),
+        pick("results", "discussion", "manual-note").alias("source"),
+        F.lit(None).cast("double").alias("confidence"),
+        F.lit(True).alias("reviewed"),
+    )
+    return records(spark, sf).join(labels, "ord").select(
+        "domain", "paper_id", "ord", "title", "doi", "published_year", access.alias("access"),
+        F.lit(None).cast("string").alias("paper_url"),
+        F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "reviewed")
+        .when(F.col("quality") == 1, "in-progress").when(F.col("toxic") == 0, "pending").otherwise("rejected")
+        .alias("status"),
+        F.when(opened, "extractor-gap").when(linked, "ambiguous-evidence")
+        .when(F.col("pmid").isNotNull(), "evidence-thin").otherwise("step-phase-manual").alias("priority"),
+        F.when(access == "abstract-only", "taken from a secondary review").alias("reviewer_notes"),
+        F.array(excerpt).alias("excerpts"),
+        "quality", "toxic",
+    )
+
+
+@per_session
+def papers(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as papers with their curated record attached."""
+    return extract.attach_reviewed_enrichment(records(spark, sf), enrichment(spark, sf))
+
+
+@per_session
+def extraction(spark: SparkSession, sf: str) -> DataFrame:
+    """Plan of the full extraction of every document."""
+    return extract.assemble_extraction(papers(spark, sf), REGISTRY)
+
+
 @per_session
 def evidence(spark: SparkSession, sf: str) -> DataFrame:
-    """Extraction of every document as a paper, without the evidence arrays."""
-    return extract.assemble_extraction(records(spark, sf), REGISTRY, evidence=False)
+    """The extraction as a stored stage, which later jobs read column by column."""
+    return cut(extraction(spark, sf).drop("source_text"), "extraction")
+
+
+@per_session
+def gated(spark: SparkSession, sf: str) -> DataFrame:
+    """Provider records that pass the gate, as a stored stage."""
+    return cut(match.candidate_gate(records(spark, sf), REGISTRY), "gated")
+
+
+@per_session
+def candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Merged candidates, as a stored stage."""
+    merged = merge.dedupe_merge_records(gated(spark, sf), baseline=DIVERSITY_SOURCES)
+    return cut(merged.withColumn("ord", F.col("first_seen.ord")).drop("first_seen"), "candidates")
