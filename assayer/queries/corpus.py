@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import default_registry
 from ..operators import corpus as merge
-from ..operators import extract, match
+from ..operators import extract, match, normalize
 from ..session import cut, spread
 from .vocabulary import DIVERSITY_SOURCES, DOI_SOURCES, DOMAIN_OF_LANG, LINK_SOURCES, OPEN_SOURCES, PMCID_SOURCES, PMID_SOURCES, TERMS
 
@@ -145,3 +145,9 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Merged candidates, as a stored stage."""
     merged = merge.dedupe_merge_records(gated(spark, sf), baseline=DIVERSITY_SOURCES)
     return cut(merged.withColumn("ord", F.col("first_seen.ord")).drop("first_seen"), "candidates")
+
+
+@per_session
+def normalized(spark: SparkSession, sf: str) -> DataFrame:
+    """Normalised protocols, as a stored stage."""
+    return cut(normalize.normalize_extraction(evidence(spark, sf)), "normalized")
