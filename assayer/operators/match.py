@@ -240,18 +240,19 @@ AMBIGUOUS_RESULT_PATTERNS = (
 def missing_evidence_status(present: Column, outcome_count: Column, title: Column, abstract: Column) -> Column:
     """Why a reviewed row has no outcome label; the first rule that applies wins."""
     text = F.concat(title, F.lit(". "), F.coalesce(abstract, F.lit("")))
+    low = F.lower(text)
+
+    def verdict(status: str, reason: str) -> Column:
+        return F.struct(F.lit(status).alias("status"), F.lit(reason).alias("reason"))
+
     return (
-        F.when(~present, F.struct(F.lit("evidence-thin").alias("status"), F.lit("no-extraction").alias("reason")))
-        .when(outcome_count > 0, F.struct(F.lit("extractor-gap"), F.lit("outcome-extracted-but-unlabeled")))
-        .when(
-            matches_any(text, EXPLICIT_OUTCOME_PATTERNS),
-            F.struct(F.lit("extractor-gap"), F.lit("explicit-outcome-language")),
-        )
+        F.when(~present, verdict("evidence-thin", "no-extraction"))
+        .when(outcome_count > 0, verdict("extractor-gap", "outcome-extracted-but-unlabeled"))
         .when(
-            matches_any(text, AMBIGUOUS_RESULT_PATTERNS),
-            F.struct(F.lit("ambiguous-evidence"), F.lit("result-hinted")),
+            matches_any(text, EXPLICIT_OUTCOME_PATTERNS, low), verdict("extractor-gap", "explicit-outcome-language")
         )
-        .otherwise(F.struct(F.lit("evidence-thin"), F.lit("procedural-text")))
+        .when(matches_any(text, AMBIGUOUS_RESULT_PATTERNS, low), verdict("ambiguous-evidence", "result-hinted"))
+        .otherwise(verdict("evidence-thin", "procedural-text"))
     )
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import default_registry
 from ..operators import corpus as merge
-from ..operators import extract, match, normalize
+from ..operators import extract, match, normalize, review
 from ..session import cut, spread
 from .vocabulary import DIVERSITY_SOURCES, DOI_SOURCES, DOMAIN_OF_LANG, LINK_SOURCES, OPEN_SOURCES, PMCID_SOURCES, PMID_SOURCES, TERMS
 
@@ -151,3 +151,55 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
 def normalized(spark: SparkSession, sf: str) -> DataFrame:
     """Normalised protocols, as a stored stage."""
     return cut(normalize.normalize_extraction(evidence(spark, sf)), "normalized")
+
+
+def _labelled(spark: SparkSession, sf: str, columns: list[str]) -> DataFrame:
+    labels = table(spark, sf, "labels").select(F.col("doc_id").alias("ord"), "quality", "toxic")
+    return evidence(spark, sf).select("domain", "paper_id", "ord", *columns).join(labels, "ord")
+
+
+@per_session
+def gold(spark: SparkSession, sf: str) -> DataFrame:
+    """Gold rows of the labelled documents; expectations are partial on purpose."""
+    access, year = F.col("full_text_availability"), F.col("published_year")
+    opened, linked = access == "open-access-full-text", access == "full-text-link"
+    rows = _labelled(spark, sf, ["title", "full_text_availability", "published_year", "paper_type", "family", "species",
+                                 "specimens", "outcomes", "phases"])
+    return rows.select(
+        "domain", "paper_id", "ord", "title",
+        F.when(F.col("toxic") == 0, "reviewed").otherwise("seeded").alias("review_status"),
+        (F.col("quality") == 1).alias("expected_in"),
+        F.when(opened, F.col("paper_type")).when(linked, "experimental").alias("expected_paper_type"),
+        F.when(year >= 2010, F.col("family")).when(year >= 2000, "vitrification").alias("expected_family"),
+        F.when(opened, F.col("species")).when(linked, F.slice("species", 1, 1)).alias("expected_species"),
+        F.when(opened | linked, F.col("specimens")).otherwise(F.slice("specimens", 1, 1)).alias("expected_specimens"),
+        F.when(opened, F.col("outcomes")).when(linked, F.lit(None)).otherwise(F.slice("outcomes", 1, 1))
+        .alias("expected_outcomes"),
+        F.when(opened, F.array_sort(F.array_distinct("phases"))).when(linked, F.array().cast("array<string>")).alias("expected_phases"),
+        F.when(linked, "second-hand label").alias("notes"),
+    )
+
+
+@per_session
+def overrides(spark: SparkSession, sf: str) -> DataFrame:
+    """Sparse patches for the labelled documents in doubt."""
+    access, year = F.col("full_text_availability"), F.col("published_year")
+    rows = _labelled(spark, sf, ["full_text_availability", "published_year"]).where("quality = 0 or toxic = 1")
+    none = F.lit(None).cast("array<string>")
+    return rows.select(
+        "domain", "paper_id", "ord",
+        F.when((F.col("quality") == 0) & (F.col("toxic") == 1), True).alias("excluded"),
+        F.when(access == "full-text-link", "experimental").alias("paper_type"),
+        F.when(year >= 2010, "slow-freezing").alias("family"),
+        F.when(year < 2000, F.array().cast("array<string>")).alias("species"),
+        none.alias("specimens"),
+        F.when(access == "open-access-full-text", F.array(F.lit("viability"))).alias("outcomes"),
+        none.alias("phases"),
+        F.when(access == "abstract-only", 0.9).alias("confidence"),
+    )
+
+
+@per_session
+def resolved(spark: SparkSession, sf: str) -> DataFrame:
+    """The extraction with overrides applied, as a stored stage."""
+    return cut(review.apply_overrides(evidence(spark, sf), overrides(spark, sf)), "resolved")

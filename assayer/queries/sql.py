@@ -352,3 +352,104 @@ ex as materialized (
       as named from ex0))"""
 
 EXTRACT = (REC, ENRICH, SRC, SENT, FACT, KIND, SPEC, AGG, STEP, EX)
+
+_OPENED, _LINKED = "full_text_availability = 'open-access-full-text'", "full_text_availability = 'full-text-link'"
+GOLD = f"""gold as materialized (
+  select x.domain, x.paper_id, x.ord, x.title, case when toxic = 0 then 'reviewed' else 'seeded' end as review_status,
+    quality = 1 as expected_in, case when {_OPENED} then paper_type when {_LINKED} then 'experimental' end
+      as expected_paper_type,
+    case when published_year >= 2010 then family when published_year >= 2000 then 'vitrification' end as expected_family,
+    case when {_OPENED} then species when {_LINKED} then species[1:1] end as expected_species,
+    case when {_OPENED} or {_LINKED} then specimens else specimens[1:1] end as expected_specimens,
+    case when {_OPENED} then outcomes when {_LINKED} then null else outcomes[1:1] end as expected_outcomes,
+    case when {_OPENED} then list_sort(list_distinct(phases)) when {_LINKED} then []::VARCHAR[] end as expected_phases,
+    case when {_LINKED} then 'second-hand label' end as notes
+  from ex x join labels l on l.doc_id = x.ord)"""
+OVR = f"""ovr as materialized (
+  select x.domain, x.paper_id, x.ord, case when quality = 0 and toxic = 1 then true end as excluded,
+    case when {_LINKED} then 'experimental' end as paper_type, case when published_year >= 2010 then 'slow-freezing' end
+      as family,
+    case when published_year < 2000 then []::VARCHAR[] end as species, null::VARCHAR[] as specimens,
+    case when {_OPENED} then ['viability'] end as outcomes, null::VARCHAR[] as phases,
+    case when full_text_availability = 'abstract-only' then 0.9e0 end as confidence
+  from ex x join labels l on l.doc_id = x.ord where quality = 0 or toxic = 1)"""
+RES = """res as materialized (
+  select x.* replace (coalesce(o.paper_type, x.paper_type) as paper_type, coalesce(o.family, x.family) as family,
+    coalesce(o.species, x.species) as species, coalesce(o.outcomes, x.outcomes) as outcomes,
+    coalesce(o.confidence, x.confidence) as confidence)
+  from ex x left join ovr o on o.ord = x.ord where not coalesce(o.excluded, false))"""
+EXACT_FIELDS = ("paper_type", "family")
+SET_FIELDS = ("species", "specimens", "outcomes", "phases")
+
+
+def norm_set(col: str) -> str:
+    return f"list_sort(list_distinct(list_filter(list_transform({col}, lambda v: trim(v)), lambda v: v <> '')))"
+
+
+def pairs_sql(corpus: str, name: str = "pairs", gold: str = "gold", keys: tuple[str, ...] = ("domain",)) -> str:
+    on = " and ".join(f"a.{k} = g.{k}" for k in (*keys, "paper_id"))
+    actual = ", ".join(f"a.{f} as actual_{f}" for f in (*EXACT_FIELDS, *SET_FIELDS))
+    scored = []
+    for f in SET_FIELDS:
+        w, h = norm_set(f"expected_{f}"), norm_set(f"coalesce(actual_{f}, []::VARCHAR[])")
+        scored.append(f"""case when expected_in and expected_{f} is not null then {{'w': {w}, 'h': {h}}} end as s_{f}""")
+    ratios, finals = [], []
+    for f in SET_FIELDS:
+        hit = f"len(list_filter(s_{f}.h, lambda v: list_contains(s_{f}.w, v)))::DOUBLE"
+        ratios.append(f"case when len(s_{f}.h) = 0 then 0e0 else {hit} / len(s_{f}.h) end as p_{f}")
+        ratios.append(f"case when len(s_{f}.w) = 0 then 1e0 else {hit} / len(s_{f}.w) end as r_{f}")
+        finals.append(f"case when p_{f} + r_{f} = 0 then 0e0 else 2 * p_{f} * r_{f} / (p_{f} + r_{f}) end as f_{f}")
+    return f"""{name} as materialized (
+  select *, {', '.join(finals)} from (select *, {', '.join(ratios)} from (select *, {', '.join(scored)} from (
+    select g.*, a.paper_id is not null as present, {actual}, a.confidence as actual_confidence
+    from {gold} g left join {corpus} a on {on}))))"""
+
+
+def metrics_sql(pairs: str = "pairs", name: str = "met", keys: tuple[str, ...] = ("domain",)) -> str:
+    k = ", ".join(keys)
+    cols = [
+        "count(*) as entries", "count(*) filter (where expected_in and present) as tp",
+        "count(*) filter (where not expected_in and not present) as tn",
+        "count(*) filter (where not expected_in and present) as fp",
+        "count(*) filter (where expected_in and not present) as fn", "count(*) filter (where expected_in) as in_scope",
+        "avg(cast(actual_confidence as decimal(12,6))) filter (where expected_in and present) as c1",
+        "avg(cast(actual_confidence as decimal(12,6))) filter (where not expected_in and present) as c0",
+    ]
+    outer = [
+        f"{fx('c1::DOUBLE', 3)} as confidence_expected", f"{fx('c1::DOUBLE', 3)} as confidence_correct",
+        f"{fx('c0::DOUBLE', 3)} as confidence_incorrect",
+        f"{ratio('tp + tn', 'tp + tn + fp + fn')} as inclusion_accuracy",
+    ]
+    p, r = "(case when tp + fp = 0 then 0e0 else tp / (tp + fp)::DOUBLE end)", "(case when tp + fn = 0 then 0e0 else tp / (tp + fn)::DOUBLE end)"
+    outer += [f"{fx(p, 3)} as inclusion_precision", f"{fx(r, 3)} as inclusion_recall",
+              f"{fx(f'case when {p} + {r} = 0 then 0e0 else 2 * {p} * {r} / ({p} + {r}) end', 3)} as inclusion_f1"]
+    for f in EXACT_FIELDS:
+        cols += [f"count(*) filter (where expected_in and expected_{f} is not null) as {f}_labeled",
+                 f"count(*) filter (where expected_in and expected_{f} = actual_{f}) as {f}_matched"]
+        outer += [f"{ratio(f'{f}_matched', f'{f}_labeled')} as {f}_accuracy",
+                  f"{ratio(f'{f}_labeled', 'in_scope')} as {f}_coverage"]
+    for f in SET_FIELDS:
+        cols += [f"count(s_{f}) as {f}_labeled", f"count(*) filter (where s_{f}.w = s_{f}.h) as {f}_exact",
+                 *[f"coalesce(sum(floor({m}_{f} * 1000 + 0.5e0)), 0) as {f}_{m}s" for m in "prf"],
+                 f"count(*) filter (where expected_in and len(coalesce(expected_{f}, []::VARCHAR[])) > 0) as {f}_covered"]
+        outer += [f"{ratio(f'{f}_{m}s', f'{f}_labeled * 1000')} as {f}_{n}" for m, n in
+                  (("p", "precision"), ("r", "recall"), ("f", "f1"))]
+        outer += [f"{ratio(f'{f}_covered', 'in_scope')} as {f}_coverage"]
+    return f"""{name} as materialized (select *, {', '.join(outer)} from (
+  select {k}, coalesce(review_status, 'all') as subset, {', '.join(cols)} from {pairs}
+  group by grouping sets (({k}), ({k}, review_status))))"""
+
+
+def unpivot(name: str, fields: Iterable[str], parts: dict[str, str], extra: str = "domain, subset") -> str:
+    return " union all ".join(
+        f"select {extra}, {q(f)} as field, " + ", ".join(f"{f}_{src} as {out}" for out, src in parts.items()) + f" from {name}"
+        for f in fields
+    )
+
+
+GATES_SQL = (("reviewed inclusion F1", "inclusion_f1", "0.9e0"), ("reviewed inclusion precision", "inclusion_precision", "0.9e0"),
+             ("reviewed protocol family accuracy", "family_accuracy", "0.85e0"),
+             ("reviewed paper type accuracy", "paper_type_accuracy", "0.85e0"),
+             ("reviewed specimen macro F1", "specimens_f1", "0.75e0"), ("reviewed species macro F1", "species_f1", "0.75e0"))
+PASSED = " + ".join(f"({m} >= {t})::INT" for _, m, t in GATES_SQL)
+CURATED = (*EXTRACT, GOLD, OVR, RES)
