@@ -213,7 +213,8 @@ def gap_impact(
     depth = missing.select("domain", "paper_id", "no_outcomes", "no_phases")
     # the first packet naming a title, the first contradiction naming it
     in_packet = (
-        packet_titles.join(F.broadcast(packets.select("domain", "claim_id", "rank", "priority_score")), ["domain", "claim_id"])
+        packet_titles.select("domain", "claim_id", "title")
+        .join(F.broadcast(packets.select("domain", "claim_id", "rank", "priority_score")), ["domain", "claim_id"])
         .groupBy(*keys)
         .agg(F.min_by("priority_score", "rank").alias("_packet"))
     )

@@ -836,7 +836,7 @@ def best_row_per_group(rows: DataFrame, limit: int = 8) -> DataFrame:
 
 
 def authority_breakdown(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("domain").pivot("authority_profile", list(AUTHORITY_WEIGHT)).agg(F.count("*")).fillna(0)
+    return rows.groupBy("domain").pivot("authority_profile", list(AUTHORITY_WEIGHT)).agg(F.count(F.lit(1))).fillna(0)
 
 
 def endpoint_frequency(rows: DataFrame) -> DataFrame:

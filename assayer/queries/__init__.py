@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules that register queries when imported.
-MODULES = ("matching", "extraction", "normalization", "sequences", "scoring", "curation", "policies", "state")
+MODULES = ("matching", "extraction", "normalization", "sequences", "scoring", "curation", "policies", "state", "findings", "decisions", "landings")
 
 
 def load():

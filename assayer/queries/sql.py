@@ -339,10 +339,14 @@ EX = f"""ex0 as materialized (
       lambda x: split_part(x, '#', 1)), n)) as chemicals,
     list_filter({_RULES.replace('case domain', 'case r.domain')}, lambda o: list_contains(a.outcomes_all, o.rule)) as outcome_rules,
     coalesce(s.phases, []) as phases, coalesce(s.n_steps, 0) as n_steps, coalesce(s.explicit_steps, 0) as explicit_steps,
-    coalesce(s.conf_sum, 0) as conf_sum, a.temps_all, a.durs_all
+    coalesce(s.conf_sum, 0) as conf_sum, a.temps_all, a.durs_all,
+    (select e.ex_source from enr e where e.ord = r.ord and e.status = 'reviewed' and trim(e.ex_text) <> '') as curated
   from rec r join kind k using (ord) join agg a using (ord) left join spec using (ord) left join steps s using (ord)),
 ex as materialized (
   select * exclude (outcome_rules), outcome_rules,
+    (family <> 'unknown' or len(specimens) > 0 or len(species) > 0 or len(chemicals) > 0 or len(outcome_rules) > 0
+      or len(temps_all) > 0 or len(durs_all) > 0 or coalesce(curated in ('results', 'discussion'), false)) as prim,
+    coalesce(curated = 'manual-note', false) as sec,
     list_transform(outcome_rules, lambda o: o.outcome_class) as outcomes,
     least(95, 42 + 7 * ((family <> 'unknown')::INT + (len(specimens) > 0)::INT + (len(species) > 0)::INT
       + (len(chemicals) > 0)::INT + (len(outcome_rules) > 0)::INT + (n_steps > 0)::INT)

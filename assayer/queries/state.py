@@ -149,8 +149,7 @@ def packet_join(spark, sf):
     with_(*DECIDED, PACKET, """listed as (select domain, dedupe_key, recommendation from queue_rows
         where decision <> 'reject'),
       item_count as (select domain, count(*) as n from listed group by 1),
-      promoted as (select domain, count(*) as n from queue_rows where recommendation = 'promote' group by 1)
-      select domain, severity, "check", detail from (
+      promoted as (select domain, count(*) as n from queue_rows where recommendation = 'promote' group by 1)""", """select domain, severity, "check", detail from (
         select domain, 'failure' as severity, 'packet-item-count' as "check", '' as detail
           from item_count i left join promoted p using (domain) where i.n <> coalesce(p.n, 0)
         union all select domain, 'warning', 'snapshot-degraded', 'live-provider-truncation:' || source from (
