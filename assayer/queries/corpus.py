@@ -87,7 +87,7 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
 
 @per_session
 def enrichment(spark: SparkSession, sf: str) -> DataFrame:
-    """Curated records: one per labelled document."""
+    """Curated records: one per labelled document, as a stored stage."""
     labels = table(spark, sf, "labels").select(F.col("doc_id").alias("ord"), "quality", "toxic")
     access = F.col("full_text_availability")
     opened, linked = access == "open-access-full-text", access == "full-text-link"
@@ -102,7 +102,7 @@ def enrichment(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(None).cast("double").alias("confidence"),
         F.lit(True).alias("reviewed"),
     )
-    return records(spark, sf).join(labels, "ord").select(
+    rows = records(spark, sf).join(labels, "ord").select(
         "domain", "paper_id", "ord", "title", "doi", "published_year", access.alias("access"),
         F.lit(None).cast("string").alias("paper_url"),
         F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "reviewed")
@@ -114,6 +114,7 @@ def enrichment(spark: SparkSession, sf: str) -> DataFrame:
         F.array(excerpt).alias("excerpts"),
         "quality", "toxic",
     )
+    return cut(rows, "enrichment")
 
 
 @per_session
