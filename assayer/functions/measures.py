@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .numbers import number_text
-from .text import compile_pattern
+from .text import compile_pattern, has_digit
 
 # Accepted measurement forms. A bare "%" needs a following word
 # character to match, as in "10%v".
@@ -59,44 +59,59 @@ def _group(text: Column, patterns: tuple[str, ...], index: int) -> Column:
     return reduce(lambda a, b: F.coalesce(a, b), found)
 
 
-def measurement(raw: Column, kind: Column | str, value: Column, unit: Column) -> Column:
-    """The measurement struct, null when nothing was parsed."""
-    kind = F.lit(kind) if isinstance(kind, str) else kind
-    return F.when(
-        value.isNotNull(),
-        F.struct(
-            raw.alias("raw"),
-            kind.alias("kind"),
-            value.alias("value"),
-            unit.alias("unit"),
-            F.concat(number_text(value), F.lit(" "), unit).alias("text"),
-            F.lit(PARSED_CONFIDENCE).alias("confidence"),
+def _measurement(raw: Column, kind, value: Column, unit: Column) -> Column:
+    """The measurement struct, null when nothing was parsed.
+
+    ``kind`` maps the value to its kind. Number and unit are bound once, so each
+    pattern runs once per text.
+    """
+    parsed = F.array(F.struct(value.try_cast("double").alias("value"), unit.alias("unit")))
+    built = F.transform(
+        parsed,
+        lambda p: F.when(
+            p["value"].isNotNull(),
+            F.struct(
+                raw.alias("raw"),
+                kind(p["value"]).alias("kind"),
+                p["value"].alias("value"),
+                p.unit.alias("unit"),
+                F.concat(number_text(p["value"]), F.lit(" "), p.unit).alias("text"),
+                F.lit(PARSED_CONFIDENCE).alias("confidence"),
+            ),
         ),
     )
+    # texts without a digit cannot hold a measurement
+    return F.when(has_digit(raw), F.get(built, 0))
+
+
+def _always(kind: str):
+    return lambda _: F.lit(kind)
 
 
 def parse_concentration(raw: Column, strict: bool = True) -> Column:
     patterns = (CONCENTRATION if strict else CONCENTRATION_LOOSE,)
-    value = _group(raw, patterns, 1).try_cast("double")
-    return measurement(raw, "concentration", value, unit_of(_group(raw, patterns, 2), CONCENTRATION_UNITS))
+    unit = unit_of(_group(raw, patterns, 2), CONCENTRATION_UNITS)
+    return _measurement(raw, _always("concentration"), _group(raw, patterns, 1), unit)
 
 
 def parse_temperature(raw: Column) -> Column:
-    value = _group(raw, TEMPERATURES, 1).try_cast("double")
-    return measurement(raw, "temperature", value, F.upper(_group(raw, TEMPERATURES, 2)))
+    unit = F.upper(_group(raw, TEMPERATURES, 2))
+    return _measurement(raw, _always("temperature"), _group(raw, TEMPERATURES, 1), unit)
 
 
 def parse_duration(raw: Column) -> Column:
-    value = _group(raw, (DURATION,), 1).try_cast("double")
-    return measurement(raw, "duration", value, unit_of(_group(raw, (DURATION,), 2), DURATION_UNITS))
+    unit = unit_of(_group(raw, (DURATION,), 2), DURATION_UNITS)
+    return _measurement(raw, _always("duration"), _group(raw, (DURATION,), 1), unit)
 
 
 def parse_rate(raw: Column, phase: Column) -> Column:
     """Temperature per time. A positive rate counts as warming in every phase."""
-    value = _group(raw, RATES, 1).try_cast("double")
     unit = F.concat_ws("/", F.upper(_group(raw, RATES, 2)), unit_of(_group(raw, RATES, 3), DURATION_UNITS))
-    kind = F.when((phase == "warming") | (value > 0), "warming-rate").otherwise("cooling-rate")
-    return measurement(raw, kind, value, unit)
+
+    def kind(value: Column) -> Column:
+        return F.when((phase == "warming") | (value > 0), "warming-rate").otherwise("cooling-rate")
+
+    return _measurement(raw, kind, _group(raw, RATES, 1), unit)
 
 
 PARSERS = {

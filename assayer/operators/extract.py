@@ -88,11 +88,6 @@ def protocol_family(title: Column, abstract: Column, registry: Registry) -> Colu
     hay = F.concat(title, F.lit(". "), F.coalesce(abstract, F.lit("")))
     lowered = F.lower(hay)
     vitrified, slow = matches(hay, shared.vitrification, lowered), matches(hay, shared.slow_freezing, lowered)
-    parts = sentences(hay)
-
-    def first(pattern: str) -> Column:
-        return F.slice(F.filter(parts, lambda s: matches(s, pattern)), 1, 1)
-
     none = F.array().cast("array<string>")
     family = (
         F.when(vitrified & slow, "comparative")
@@ -100,10 +95,18 @@ def protocol_family(title: Column, abstract: Column, registry: Registry) -> Colu
         .when(slow, "slow-freezing")
         .otherwise("unknown")
     )
-    evidence = F.concat(
-        F.when(vitrified, first(shared.vitrification)).otherwise(none),
-        F.when(slow, first(shared.slow_freezing)).otherwise(none),
+
+    def first(parts: Column, flag: Column, pattern: str) -> Column:
+        return F.when(flag, F.slice(F.filter(parts, lambda s: matches(s, pattern, F.lower(s))), 1, 1)).otherwise(none)
+
+    # split once, and only where a flag is set
+    quotes = F.transform(
+        F.array(sentences(hay)),
+        lambda parts: F.concat(
+            first(parts, vitrified, shared.vitrification), first(parts, slow, shared.slow_freezing)
+        ),
     )
+    evidence = F.when(vitrified | slow, F.get(quotes, 0)).otherwise(none)
     return F.struct(family.alias("family"), evidence.alias("evidence"))
 
 
@@ -314,13 +317,25 @@ def extract_steps(facts: Column) -> Column:
     )
 
 
-def _snippets(kind: str, texts: Column, confidence: float) -> Column:
+def _snippets(kind: str, *found: tuple[Column, float]) -> Column:
+    """Distinct snippets of one kind, from (texts, confidence) in detector order.
+
+    Repeats are dropped on plain strings (text behind a confidence digit), which
+    Spark hashes; arrays of structs would be compared pair by pair.
+    """
+    levels = sorted({c for _, c in found})
+    keys = F.array_distinct(
+        F.concat(
+            *[F.transform(texts, _marked(str(levels.index(c)))) for texts, c in found]
+        )
+    )
+    confidence = F.array(*[F.lit(c) for c in levels])
     return F.transform(
-        texts,
-        lambda t: F.struct(
+        keys,
+        lambda k: F.struct(
             F.lit(kind).alias("kind"),
-            F.trim(t).alias("text"),
-            F.lit(confidence).alias("confidence"),
+            F.substring(k, 2, 2147483646).alias("text"),
+            F.get(confidence, F.substring(k, 1, 1).cast("int")).alias("confidence"),
             F.lit("title-or-abstract").alias("source_type"),
             F.lit("primary-indirect").alias("tier"),
             F.lit("direct").alias("explicitness"),
@@ -329,6 +344,10 @@ def _snippets(kind: str, texts: Column, confidence: float) -> Column:
     )
 
 
+def _marked(digit: str):
+    return lambda t: F.concat(F.lit(digit), F.trim(t))
+
+
 def enrichment_evidence(excerpts: Column, reviewer_notes: Column) -> Column:
     """Reviewed excerpts as evidence snippets."""
     secondary = matches(F.coalesce(reviewer_notes, F.lit("")), SECONDARY_NOTES)
@@ -361,33 +380,33 @@ def collect_evidence(d: DomainProfile, registry: Registry) -> Column:
     lowered = F.lower(title)
     none = F.array().cast("array<string>")
     only_title = F.array(title)
-    parts = [_snippets("protocol-family", F.col("_family.evidence"), FAMILY_CONFIDENCE)]
+    specimen: list[tuple[Column, float]] = []
     for s in d.specimens:
         in_title = F.when(matches(lowered, s.pattern, lowered), only_title).otherwise(none)
         in_text = F.transform(F.filter(facts, _holds("specimens", s.label)), lambda f: f.text)
-        parts += [
-            _snippets("specimen", in_title, TITLE_CONFIDENCE),
-            _snippets("specimen", in_text, SENTENCE_CONFIDENCE),
-        ]
+        specimen += [(in_title, TITLE_CONFIDENCE), (in_text, SENTENCE_CONFIDENCE)]
     for label, pattern in registry.shared.species:
         first = F.slice(F.transform(F.filter(facts, _holds("species", label)), lambda f: f.text), 1, 1)
         from_title = matches(title, pattern, lowered)
-        parts += [
-            _snippets("specimen", F.when(from_title, only_title).otherwise(none), TITLE_CONFIDENCE),
-            _snippets("specimen", F.when(from_title, none).otherwise(first), SENTENCE_CONFIDENCE),
+        specimen += [
+            (F.when(from_title, only_title).otherwise(none), TITLE_CONFIDENCE),
+            (F.when(from_title, none).otherwise(first), SENTENCE_CONFIDENCE),
         ]
 
     def texts_with(field: str) -> Column:
         return F.transform(F.filter(facts, lambda f: F.size(f[field]) > 0), lambda f: f.text)
 
-    parts += [
-        _snippets("chemical", F.flatten(F.transform("chemical_mentions", lambda c: c.sentences)), CHEMICAL_CONFIDENCE),
-        _snippets("temperature", texts_with("temperatures"), MENTION_CONFIDENCE),
-        _snippets("duration", texts_with("durations"), MENTION_CONFIDENCE),
-        _snippets("outcome", F.flatten(F.transform("outcome_mentions", lambda o: o.sentences)), OUTCOME_CONFIDENCE),
-        enrichment_evidence(F.col("_excerpts"), F.col("reviewer_notes")),
-    ]
-    return F.array_distinct(F.concat(*parts))
+    chemical = F.flatten(F.transform("chemical_mentions", lambda c: c.sentences))
+    outcome = F.flatten(F.transform("outcome_mentions", lambda o: o.sentences))
+    return F.concat(
+        _snippets("protocol-family", (F.col("_family.evidence"), FAMILY_CONFIDENCE)),
+        _snippets("specimen", *specimen),
+        _snippets("chemical", (chemical, CHEMICAL_CONFIDENCE)),
+        _snippets("temperature", (texts_with("temperatures"), MENTION_CONFIDENCE)),
+        _snippets("duration", (texts_with("durations"), MENTION_CONFIDENCE)),
+        _snippets("outcome", (outcome, OUTCOME_CONFIDENCE)),
+        F.array_distinct(enrichment_evidence(F.col("_excerpts"), F.col("reviewer_notes"))),
+    )
 
 
 def authority_summary(evidence: Column) -> Column:

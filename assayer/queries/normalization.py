@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..config.defaults import BACKBONE_PHASES, CONDITION_PHASES, PHASE_RANK
 from ..functions import measures
 from ..operators import normalize, research
+from ..session import spread
 from . import corpus, sql
 from .extraction import _CHEM
 from .matching import pipe
@@ -52,7 +53,7 @@ _PARSE = f"""parsed as (
 
 
 def mentions(spark, sf):
-    lines = corpus.table(spark, sf, "lineitem").select(
+    lines = spread(corpus.table(spark, sf, "lineitem")).select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag"
     )
     parts = corpus.table(spark, sf, "part").select("p_partkey", "p_name", "p_brand")
@@ -104,7 +105,7 @@ def parse_rates(spark, sf):
     amount = F.col("l_quantity").cast("string")
     unit = F.element_at(F.array(*[F.lit(v) for v in _RATE_UNITS]), F.col("l_linenumber"))
     tail = F.when(F.col("l_linenumber") == 6, F.lit(" per min")).otherwise(F.concat(F.lit("/"), unit))
-    lines = corpus.table(spark, sf, "lineitem").select(
+    lines = spread(corpus.table(spark, sf, "lineitem")).select(
         F.when(F.col("l_linestatus") == "O", "warming").otherwise("cooling").alias("phase"),
         F.concat(F.when(F.col("l_returnflag") == "R", "-").otherwise(""), amount, F.lit(" C"), tail).alias("raw"),
     )
