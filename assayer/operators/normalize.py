@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config.defaults import BACKBONE_PHASES, CONDITION_PHASES, PHASE_RANK
-from ..functions.arrays import string_array
 from ..functions.measures import PARSERS, parse_concentration, parse_duration, parse_rate, parse_temperature
 from ..functions.numbers import fixed
 from ..functions.text import matches
@@ -310,8 +309,3 @@ def transition_labels(normalized: DataFrame) -> DataFrame:
     )
     return normalized.select("domain", "family", "paper_id", F.explode(labels).alias("label"))
 
-
-def backbone_chemicals() -> Column:
-    from ..config.defaults import BASE_CHEMICALS
-
-    return string_array(BASE_CHEMICALS)

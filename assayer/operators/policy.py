@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,6 +13,7 @@ from ..config.policy import FEATURES, MIN_PROMOTE_PRECISION, MIN_PROMOTE_RECALL,
 from ..functions.arrays import labels_where
 from ..functions.numbers import clamp, fixed, ratio, unit_share, year_scale
 from ..functions.text import contains_count
+from ..session import cut
 from .sequence import running_total
 
 # Feature levels worth a reason.
@@ -175,8 +176,9 @@ def policy_metrics(scored: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """
     keys = list(keys)
     n = F.col("n") if "n" in scored.columns else F.lit(1)
-    # counts per distinct outcome first: the fan-out below is over few rows
-    small = scored.groupBy(*keys, "domain", "label", "recommendation", "score").agg(F.sum(n).alias("n"))
+    # counts per distinct outcome, stored: everything below re-reads these few rows
+    # instead of scoring the corpus again
+    small = cut(scored.groupBy(*keys, "domain", "label", "recommendation", "score").agg(F.sum(n).alias("n")), "scores")
     both = small.withColumn("domain", F.explode(F.array(F.col("domain"), F.lit("all"))))
 
     def count(cond: Column) -> Column:
@@ -230,7 +232,7 @@ def policy_sweep(
     then scored on those few rows, so a sweep costs one scan whatever its width.
     """
     policies = [base, *(base.variants() if variants is None else variants)]
-    vectors = labelled.groupBy("domain", "label", "features").agg(F.count("*").alias("n"))
+    vectors = cut(labelled.groupBy("domain", "label", "features").agg(F.count("*").alias("n")), "vectors")
     table = F.array(
         *[
             F.struct(
@@ -294,9 +296,13 @@ def policy_error_lists(scored: DataFrame, limit: int = 10) -> DataFrame:
     return errors.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
-def weight_importance(spark, policies: Sequence[Policy], limit: int = 8) -> DataFrame:
-    """The largest absolute weights of each policy."""
+def policy_weights(spark: SparkSession, policies: Sequence[Policy]) -> DataFrame:
+    """Policies as rows: policy_id, feature, weight."""
     rows = [(p.policy_id, name, float(w)) for p in policies for name, w in p.weights.items()]
-    frame = spark.createDataFrame(rows, "policy_id string, feature string, weight double")
+    return spark.createDataFrame(rows, "policy_id string, feature string, weight double")
+
+
+def weight_importance(weights: DataFrame, limit: int = 8) -> DataFrame:
+    """The largest absolute weights of each policy."""
     order = W.partitionBy("policy_id").orderBy(F.abs("weight").desc(), "feature")
-    return frame.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    return weights.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)

@@ -64,12 +64,11 @@ def hotspots(evidence: DataFrame, limit: int = HOTSPOT_LIMIT) -> DataFrame:
     """(family, chemical, specimen) groups with several papers and mixed outcomes."""
     specimens = F.when(F.size("specimens") > 0, F.col("specimens")).otherwise(F.array(F.lit("unspecified")))
     grouped = (
-        evidence.select("domain", "family", "outcomes", "title", "specimens", F.explode("chemicals").alias("chemical"))
-        .select("domain", "family", "chemical", "outcomes", "title", F.explode(specimens).alias("specimen"))
+        evidence.select("domain", "family", "outcomes", "specimens", F.explode("chemicals").alias("chemical"))
+        .select("domain", "family", "chemical", "outcomes", F.explode(specimens).alias("specimen"))
         .groupBy("domain", "family", "chemical", "specimen")
         .agg(
             F.count("*").alias("papers"),
-            F.approx_count_distinct("title").alias("approx_titles"),
             # outcome classes are a fixed enum: a set of sets stays small
             F.array_sort(F.array_distinct(F.flatten(F.collect_set("outcomes")))).alias("outcomes"),
         )

@@ -241,3 +241,22 @@ def policy_sweep(spark, sf):
 )
 def policy_error_lists(spark, sf):
     return policy.policy_error_lists(scored(spark, sf)).select("kind", "domain", "paper_id", "score", "rank")
+
+
+_WEIGHTS = " union all ".join(
+    f"select {sql.q(v.policy_id)} as policy_id, {sql.q(k)} as feature, {float(w)}::DOUBLE as weight"
+    for v in _VARIANTS for k, w in v.weights.items())
+
+
+@query(
+    "weight_importance",
+    with_(*LAB, _SWEPT, metrics_sql("swept", "policy_id"), f"weights as ({_WEIGHTS})", """select policy_id, feature, weight,
+      row_number() over (partition by policy_id order by abs(weight) desc, feature) as rank from weights
+      where policy_id in (select policy_id from pmo where domain = 'all' and objective >= (
+        select objective from pmo where policy_id = 'base' and domain = 'all'))
+      qualify row_number() over (partition by policy_id order by abs(weight) desc, feature) <= 8"""),
+)
+def weight_importance(spark, sf):
+    """Leading weights of the policies that do at least as well as the current one."""
+    good = policy.policy_sweep(labelled(spark, sf), P).where("score_delta >= 0").select("policy_id")
+    return policy.weight_importance(policy.policy_weights(spark, _VARIANTS).join(good, "policy_id", "left_semi"))

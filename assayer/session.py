@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Settings every job wants; none of them fixes a cluster size.
 DEFAULT_CONF = {
@@ -70,3 +71,10 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast a configuration-sized table, after checking that it is one."""
+    if df.limit(rows + 1).count() > rows:
+        raise ValueError(f"expected at most {rows} rows of configuration")
+    return F.broadcast(df)

@@ -7,8 +7,8 @@ import random
 from pyspark.sql import functions as F
 
 from assayer.config import default_registry
-from assayer.operators import policy, research, sequence, skew
 from assayer.config.policy import DEFAULT_POLICY, FEATURES
+from assayer.operators import policy, research, sequence, skew
 
 REGISTRY = default_registry()
 
@@ -104,7 +104,7 @@ def test_sweep_scores_like_single_policies(spark):
 
 
 def test_weight_importance(spark):
-    rows = policy.weight_importance(spark, [DEFAULT_POLICY], 3).orderBy("rank").collect()
+    rows = policy.weight_importance(policy.policy_weights(spark, [DEFAULT_POLICY]), 3).orderBy("rank").collect()
     assert [r.feature for r in rows] == ["retrieval_score", "discovery_ranking_score", "authority_score"]
 
 
