@@ -693,8 +693,56 @@ def scenarios(spark, sf):
     ).withColumns(gains)
 
 
-@query("regression_scenarios")
+_SKEYS = ("domain", "scenario_id")
+_S_FIELDS = sql.labels(
+    (f, f"r.expected_{f} is not null and "
+     + (f"(not r.present or r.expected_{f} is distinct from r.actual_{f})" if f in FIELDS[:2] else
+        f"(not r.present or {sql.norm_set(f'r.expected_{f}')} <> {sql.norm_set(f'coalesce(r.actual_{f}, []::VARCHAR[])')})"))
+    for f in FIELDS)
+_S_PATCHED = ", ".join(f"coalesce(o.{f}, x.{f}) as {f}" for f in FIELDS)
+_S_ON = "o.domain = x.domain and o.scenario_id = s.scenario_id and o.paper_id = x.paper_id"
+SCENARIOS = f"""scen as materialized (select domain, kind as scenario_id, paper_id as target, kind from (
+    select o.domain, arg_min(o.paper_id, o.ord) as paper_id from ovr o join gold g on g.domain = o.domain and g.paper_id = o.paper_id
+    where g.review_status = 'reviewed' group by 1), (values ('remove-override'), ('replace-override')) as k(kind)),
+sovr as (select o.domain, s.scenario_id, o.paper_id, o.excluded,
+    case when kind = 'replace-override' and o.paper_id = target then 'review' else o.paper_type end as paper_type,
+    case when kind = 'replace-override' and o.paper_id = target then 'unknown' else o.family end as family,
+    o.species, o.specimens, o.outcomes, o.phases
+  from ovr o join scen s on s.domain = o.domain where not (kind = 'remove-override' and o.paper_id = target)),
+scur as materialized (select x.* replace ({_S_PATCHED}), s.scenario_id from ex x join scen s on s.domain = x.domain
+  left join sovr o on {_S_ON} where not coalesce(o.excluded, false)),
+sg as (select g.*, s.scenario_id from gold g join scen s on s.domain = g.domain)"""
+S_REPAIR = f"""srep as materialized (select * from (select r.domain, r.scenario_id, r.paper_id, r.expected_in,
+    case when not r.expected_in and r.present then ['excluded'] when r.expected_in then {_S_FIELDS} else []::VARCHAR[] end as fields,
+    {', '.join(f'r.expected_{f}' for f in FIELDS)} from spr0 r where r.review_status = 'reviewed') where len(fields) > 0),
+smrg as (select coalesce(p.domain, o.domain) as domain, coalesce(p.scenario_id, o.scenario_id) as scenario_id,
+    coalesce(p.paper_id, o.paper_id) as paper_id, coalesce(case when not p.expected_in then true end, o.excluded) as excluded,
+    {', '.join(f"coalesce(case when p.expected_in and list_contains(p.fields, '{f}') then p.expected_{f} end, o.{f}) as {f}" for f in FIELDS)}
+  from srep p full join sovr o on o.domain = p.domain and o.scenario_id = p.scenario_id and o.paper_id = p.paper_id),
+scan2 as materialized (select x.* replace ({_S_PATCHED}), s.scenario_id from ex x join scen s on s.domain = x.domain
+  left join smrg o on {_S_ON} where not coalesce(o.excluded, false)),
+sstaged as (select *, 'current' as stage from scur union all by name select *, 'candidate' as stage from scan2),
+sg2 as (select *, unnest(['current', 'candidate']) as stage from sg)"""
+_GAINS = ("inclusion_f1", "family_accuracy", "paper_type_accuracy", "outcomes_f1", "phases_f1")
+_GAIN_SQL = ", ".join(fx(f"c.{m} - b.{m}", 3) + f" as gain_{m}" for m in _GAINS)
+
+
+@query(
+    "regression_scenarios",
+    with_(*CURATED, SCENARIOS, pairs_sql("scur", "spr0", "sg", _SKEYS), S_REPAIR,
+          pairs_sql("sstaged", "spr1", "sg2", (*_SKEYS, "stage")), metrics_sql("spr1", "smet", (*_SKEYS, "stage")),
+          f"""sres as (select s.domain, s.scenario_id, coalesce(n.n, 0) as proposals, p.paper_id is not null as proposal_found,
+        list_contains(coalesce(p.fields, []::VARCHAR[]), 'excluded') as hit, {_GAIN_SQL}, {PASSED.replace('(', '(c.')} = 6 as gates, n.n as any_n
+      from scen s join smet b on b.domain = s.domain and b.scenario_id = s.scenario_id and b.stage = 'current' and b.subset = 'reviewed'
+        join smet c on c.domain = s.domain and c.scenario_id = s.scenario_id and c.stage = 'candidate' and c.subset = 'reviewed'
+        left join srep p on p.domain = s.domain and p.scenario_id = s.scenario_id and p.paper_id = s.target
+        left join (select domain, scenario_id, count(*) as n from srep group by 1, 2) n on n.domain = s.domain and n.scenario_id = s.scenario_id),
+      sfin as (select *, coalesce(gates and any_n > 0 and gain_inclusion_f1 >= 0 and gain_family_accuracy >= 0
+        and gain_paper_type_accuracy >= 0, false) as auto_apply_safe from sres)""",
+          f"""select domain, scenario_id, proposals, proposal_found, case when hit then 'excluded' else '' end as matched_fields,
+        {', '.join(f'gain_{m}' for m in _GAINS)}, auto_apply_safe, proposal_found and hit and auto_apply_safe as passed from sfin"""),
+)
 def regression_scenarios(spark, sf):
-    return review.regression_scenarios(
+    out = review.regression_scenarios(
         scenarios(spark, sf), corpus.overrides(spark, sf).drop("ord", "confidence"), corpus.evidence(spark, sf), corpus.gold(spark, sf))
-
+    return out.withColumn("matched_fields", F.array_join("matched_fields", "|"))
