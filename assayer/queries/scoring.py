@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import quality, review
 from . import corpus, sql
 from .matching import pipe
