@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import cut
 
@@ -47,3 +48,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 def tasks_for(df: DataFrame) -> int:
     """The session's shuffle partitions: what the cluster's owner sized for the input."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bisect(value: Column, edges: list) -> Column:
+    """How many of the sorted ``edges`` are at or below ``value``, found by halving."""
+    if not edges:
+        return F.lit(0)
+    held = F.lit(edges)
+
+    def step(n: Column, power: Column) -> Column:
+        more = n + power
+        return F.when(F.coalesce(F.get(held, more - 1) <= value, F.lit(False)), more).otherwise(n)
+
+    return F.aggregate(F.lit([1 << b for b in range(len(edges).bit_length(), -1, -1)]), F.lit(0), step)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, counts, pack, secrets
+from . import bpe, counts, fingerprint, jaccard, leaks, pack, quality, repeats, secrets, toxicity
 from .common import documents
 from .registry import query
 
@@ -52,3 +52,51 @@ SHARDS = 40
 @query("op7_vector_packing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(documents(spark, sf_dir), SHARDS)
+
+
+@query("op2_benchmark_leaks")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query("op8_importance_resampling")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.resample(docs, quality.target_of(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+@query("op9_weak_toxicity")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+@query("op6_order_minhash")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fingerprint.edited_with_next(documents(spark, sf_dir))
+    return done.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprint.as_text(F.col("fingerprint")).alias("fingerprint"),
+        fingerprint.as_text(F.col("edited_fingerprint")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
+@query("op10_repeat_index")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = repeats.remove_repeats(documents(spark, sf_dir))
+    return done.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+@query("op3_jaccard_join")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(documents(spark, sf_dir))
