@@ -84,19 +84,41 @@ class Codec:
         for content, i in self.special.items():
             self.pieces[i] = content.encode()
         self.known: dict[bytes, bytes] = {}
+        self.missed = 0
+        held = [i for i, p in enumerate(self.pieces) if b"\0" in p]
+        self.nul = held[0] if len(held) == 1 and self.pieces[held[0]] == b"\0" else None
 
     def _learn(self, fragments: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of fragments that are not known yet; short ones are remembered."""
+        """Ids of fragments that are not known yet; short ones are remembered.
+
+        They go to the library as one text with a NUL after each: no token joins a
+        NUL to anything, so it, too, is a forced boundary. Fragments in which
+        the pattern would see the NUL (white space at the end, an apostrophe at the
+        start) go one by one.
+        """
         new = list({f for f in fragments if f not in self.known})
-        if len(self.known) + len(new) > CACHE:
+        self.missed += len(new)
+        if self.missed > 8 * CACHE:
             self.known.clear()
+            self.missed = 0
             new = list(set(fragments))
+        plain = [f for f in new if self.nul is not None and f[:1] != b"'" and not f[-1:].isspace() and f[-1] < 128 and b"\0" not in f]
+        odd = list(set(new).difference(plain))
         got = {}
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
+        if plain:
+            text = (b"\0".join(plain) + b"\0").decode()
+            ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(ids == self.nul).tolist()
+            raw, at = ids.tobytes(), 0
+            for f, end in zip(plain, ends):
+                got[f] = raw[4 * at : 4 * end]
+                at = end + 1
+        for at in range(0, len(odd), 4096):
+            part = odd[at : at + 4096]
             found = self.library.encode_batch_fast([f.decode() for f in part], add_special_tokens=False)
             got.update((f, np.array(e.ids, dtype="<u4").tobytes()) for f, e in zip(part, found))
-        self.known.update((f, ids) for f, ids in got.items() if len(f) <= LONGEST)
+        if len(self.known) < CACHE:
+            self.known.update((f, ids) for f, ids in got.items() if len(f) <= LONGEST)
         return got
 
     def _plain(self, data: bytes) -> list[bytes]:
