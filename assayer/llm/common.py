@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import fresh_path
 
 #: Rows and bytes of one Arrow batch. A worker holds one batch and what it makes
 #: of it, so this bounds its memory for any table; one text is never split.
@@ -41,8 +41,20 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write a stage to the shared folder and read it back."""
-    return cut(df, f"llm-{label}")
+    """Write a stage to the shared folder and read it back: a lost executor costs a re-read."""
+    path = fresh_path(df.sparkSession, f"llm-{label}")
+    df.write.parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._stored_at = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored stages that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def tasks_for(df: DataFrame) -> int:

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, tasks_for
+from .common import discard, small_batches, stored, tasks_for
 
 WORDS = 5
 #: Similarity of a link, in hundredths.
@@ -280,8 +280,10 @@ def components(edges: DataFrame) -> DataFrame:
     Labels spread over edges and then skip to their own label's label, so the number
     of rounds grows with the logarithm of the longest path. Each round is stored.
     """
+    earlier: list[DataFrame] = []
     both = stored(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    earlier.append(labels)
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
         spread = labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
@@ -289,18 +291,22 @@ def components(edges: DataFrame) -> DataFrame:
         now = stored(
             spread.join(ahead, "label").select("node", "old", F.least("label", "far").alias("label")), "labels"
         )
+        discard(*earlier)
+        earlier = [now]
         labels = now.select("node", "label")
         if now.where("old <> label").isEmpty():
+            discard(both)
             return labels
 
 
 def similar(df: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row per row of ``df``.
+    """(doc_id, n_shingles, component_id, component, text_hash), one row per row of ``df``.
 
     Words are lower-cased (A-Z) runs without ASCII white space; a document's set holds its
     distinct shingles of ``words`` words, or its whole word sequence if it has
     fewer. Documents link when 100 * |intersection| >= percent * |union|; a
-    component's id is its smallest document id. Null and empty texts and texts of
+    component's id is its smallest document id; ``component`` names it by its sets, for
+    tables in which ids repeat. Null and empty texts and texts of
     white space have no shingles, link with nothing and keep their own id. Repeated rows are
     documents of their own and share a component; a null id does not count for the
     smallest, and stays null where a component has no other. An empty table gives an
@@ -325,11 +331,18 @@ def similar(df: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: s
     labels = known.limit(0).select("node", F.lit(0).cast("long").alias("label"))
     if not pairs.isEmpty():
         labels = _linked(docs, nodes, known, buckets, pairs, words, percent)
-    grouped = known.select("node", "low").join(labels, "node").groupBy("label").agg(F.min("low").alias("component_id"))
-    linked = labels.join(grouped, "label").select("node", F.col("component_id").alias("_group"))
-    own = known.select("node", "low").join(linked, "node", "left").select("node", F.coalesce("_group", "low").alias("component_id"))
+    discard(buckets, pairs)
+    grouped = known.select("node", "low").join(labels, "node").groupBy("label").agg(F.min("low").alias("_lowest"))
+    linked = labels.join(grouped, "label").select("node", "label", "_lowest")
+    own = known.select("node", "low").join(linked, "node", "left").select(
+        "node", F.when(F.col("label").isNull(), F.col("low")).otherwise(F.col("_lowest")).alias("component_id"), F.coalesce("label", "node").alias("component")
+    )
     return member.join(own, "node", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+        "doc_id",
+        "n_shingles",
+        F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        "component",
+        "text_hash",
     )
 
 
@@ -380,4 +393,5 @@ def _linked(docs: DataFrame, nodes: DataFrame, known: DataFrame, buckets: DataFr
         if count >= largest:
             break
         count *= 8
+    discard(texts, open_, *results)
     return labels

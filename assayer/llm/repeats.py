@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, tasks_for
+from .common import discard, small_batches, stored, tasks_for
 
 LENGTH = 200
 #: Bytes of an anchor.
@@ -396,6 +396,7 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     lists = repeated.groupBy("key").agg(F.collect_set(F.struct("anchor", "first", "last")).alias("parts"))
     contents = _cut_out(rows.join(lists, "key"), length)
     marked = stored(_marked(contents.repartition(parts, "deal"), length), "spans")
+    discard(repeated)
     spans = marked.groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
