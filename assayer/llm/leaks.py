@@ -25,6 +25,7 @@ import math
 import re
 from dataclasses import dataclass
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -105,6 +106,9 @@ class Index:
         owner = np.repeat(np.arange(n), np.diff(self.starts))
         np.maximum.at(self.top, owner, self.impacts)
         np.maximum.at(self.block_top, (owner, self.items // BLOCK), self.impacts.astype(np.float32) * np.float32(1 + 1e-6))
+        # where the postings of a term in a block begin
+        held = np.bincount(owner * blocks + self.items // BLOCK, minlength=n * blocks)
+        self.block_starts = np.concatenate([[0], np.cumsum(held)]).astype(np.int32)
         self.parts = [tuple(grams(p) for p in question_answer(t)) for t in self.texts]
         self.words = [words_of(t) for t in self.texts]
 
@@ -113,13 +117,11 @@ class Index:
 
     def scores(self, terms: np.ndarray, block: int) -> np.ndarray:
         """Exact scores of the items of a block for the distinct terms of a passage."""
-        out = np.zeros(BLOCK)
-        low, high = block * BLOCK, (block + 1) * BLOCK
-        for t in terms[self.block_top[terms, block] > 0].tolist():
-            a, b = self.starts[t], self.starts[t + 1]
-            i, j = np.searchsorted(self.items[a:b], (low, high)) + a
-            np.add.at(out, self.items[i:j] - low, self.impacts[i:j])
-        return out
+        cell = terms * self.block_top.shape[1] + block
+        first, many = self.block_starts[cell], self.block_starts[cell + 1]
+        many = many - first
+        at = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        return np.bincount(self.items[at] - block * BLOCK, self.impacts[at], BLOCK)
 
     def search(self, ids: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
         """(passage, item, score) at or above the threshold.
@@ -163,8 +165,7 @@ class Index:
         words = words_of(text)
         if not words or not self.ids:
             return []
-        get = self.terms.get
-        ids = np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
+        ids = np.fromiter(map(self.terms.get, words, repeat(-1)), dtype=np.int64, count=len(words))
         best: dict[int, tuple] = {}
         for p, item, score in self.search(ids, threshold):
             passage = words[p * STRIDE : p * STRIDE + STRIDE + self.longest]
