@@ -28,7 +28,9 @@ STRENGTHS = ("weak", "moderate", "strong")
 DECISIONS = ("pending", "promote", "defer", "reject")
 RECOMMENDATIONS = ("promote", "review", "defer")
 ENRICHMENT_PRIORITIES = ("extractor-gap", "ambiguous-evidence", "evidence-thin", "step-phase-manual")
-ENRICHMENT_STATUSES = ("in-progress", "pending", "llm-triaged", "reviewed", "rejected")
+ENRICHMENT_STATUSES = ("pending", "in-progress", "reviewed", "llm-triaged", "rejected")
+#: The order in which a queue lists them.
+ENRICHMENT_STATUS_RANK = ("in-progress", "pending", "llm-triaged", "reviewed", "rejected")
 AUTHORITY_TIERS = ("primary-direct", "primary-indirect", "manual-curation", "secondary", "derived")
 BASE_CHEMICALS = ("Dimethyl Sulfoxide", "Ethylene Glycol", "Glycerol", "Propylene Glycol", "Sucrose")
 SPARSE_IGNORED_PHASES = ("unknown", "assessment", "culture")
@@ -149,15 +151,15 @@ SHARED = SharedRules(
     slow_freezing=r"(?i)\bslow freezing\b|\bslow cooling\b",
 )
 
+# Wording and titles that several domains share.
 _STRUCTURE_OUTCOMES = (
     r"(?i)\bmorpholog(?:y|ical)\b", r"(?i)\bhistolog(?:y|ical)\b", r"(?i)\bultrastruct(?:ure|ural)\b",
 )
 _REVIEW_TITLES = Concept("review style", ("systematic review", "meta-analysis", "meta analysis"))
 _SUMMARY_TITLES = Concept("broad summary", ("overview", "state of the art"))
-_ANIMALS = r"\bmouse\b|\brat\b|\bporcine\b|\bpig\b|\bcanine\b|\bhuman\b"
-_FROZEN = r"(?i)\bcryogenic\b|\bfreez(?:ing)?\b|\bfrozen-thawed\b|\bthaw(?:ing)?\b"
 
 
+# The hypotheses, their categories and groups.
 def _family_templates(
     subject: str, specimens: tuple[str, ...], slow: int, vitrified: int, adjunct: str, adjuncts: int,
     adjunct_title: str, resolution: str, bulk: str, bulk_title: str, confidences: tuple[float, ...],
@@ -276,10 +278,14 @@ ISLETS = DomainProfile(
         (
             r"(?i)\bcryopreserv",
             r"(?i)\bislet",
-            r"(?i)\bcomparison\b|\btechnique\b|\bsurvival\b|\brecovery\b|\bfunction\b|\byield\b|\bstorage\b"
-            r"|\btransplant|" + _ANIMALS,
+            r"(?i)\bcomparison\b|\btechnique\b|\bsurvival\b|\brecovery\b|\bfunction\b|\byield\b|\bstorage\b|\btransplant"
+            r"|\bmouse\b|\brat\b|\bporcine\b|\bpig\b|\bcanine\b|\bhuman\b",
+        ),
+        (
+            r"(?i)\bcryogenic\b|\bfreez(?:ing)?\b|\bfrozen-thawed\b|\bthaw(?:ing)?\b",
+            r"(?i)\bislet",
+            r"(?i)\bporcine\b|\bpig\b|\brat\b|\bmouse\b|\bcanine\b|\bhuman\b|\bchick\b",
         ),
-        (_FROZEN, r"(?i)\bislet", r"(?i)" + _ANIMALS + r"|\bchick\b"),
     ),
     templates=_family_templates(
         "islet", ("islets", "pancreatic islets"), 8, 2,
@@ -581,10 +587,14 @@ HEPATOCYTES = DomainProfile(
         (
             r"(?i)\bcryopreserv",
             r"(?i)\bhepatocyte|\bliver cell",
-            r"(?i)\bcomparison\b|\btechnique\b|\bsurvival\b|\brecovery\b|\bfunction\b|\byield\b|\bstorage\b"
-            r"|\battachment\b|\btransplant|" + _ANIMALS,
+            r"(?i)\bcomparison\b|\btechnique\b|\bsurvival\b|\brecovery\b|\bfunction\b|\byield\b|\bstorage\b|\battachment\b|\btransplant"
+            r"|\bmouse\b|\brat\b|\bporcine\b|\bpig\b|\bcanine\b|\bhuman\b",
+        ),
+        (
+            r"(?i)\bcryogenic\b|\bfreez(?:ing)?\b|\bfrozen-thawed\b|\bthaw(?:ing)?\b",
+            r"(?i)\bhepatocyte|\bliver cell",
+            r"(?i)\bporcine\b|\bpig\b|\brat\b|\bmouse\b|\bcanine\b|\bhuman\b",
         ),
-        (_FROZEN, r"(?i)\bhepatocyte|\bliver cell", r"(?i)" + _ANIMALS),
     ),
     templates=_family_templates(
         "hepatocyte", ("hepatocytes", "primary hepatocytes"), 5, 1,

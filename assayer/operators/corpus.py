@@ -14,7 +14,7 @@ from ..functions.keys import dedupe_key, fingerprint, identity_hints
 from ..functions.numbers import fixed
 from ..functions.text import title_key
 from .match import candidate_gate
-from .skew import first_by_key, last_by_key, salted_lookup
+from .skew import first_by_key, last_by_key
 
 #: Text fields where the longest value across providers is kept.
 LONGEST_FIELDS = ("title", "abstract", "doi", "pmid", "pmcid", "journal", "authors_flat")
@@ -234,9 +234,7 @@ def _hint_flags(candidates: DataFrame, papers: DataFrame) -> DataFrame:
     """(domain, dedupe_key, hint, tracked) for every identity of every candidate."""
     own = candidates.select("domain", "dedupe_key", F.explode(record_hints()).alias("hint"))
     known = tracked_hints(papers).withColumn("tracked", F.lit(True))
-    return salted_lookup(own, known, ["domain", "hint"], F.col("dedupe_key")).withColumn(
-        "tracked", F.coalesce("tracked", F.lit(False))
-    )
+    return own.join(known, ["domain", "hint"], "left").withColumn("tracked", F.coalesce("tracked", F.lit(False)))
 
 
 def novelty_split(candidates: DataFrame, papers: DataFrame) -> DataFrame:
@@ -309,7 +307,7 @@ def carry_forward_decisions(candidates: DataFrame, prior: DataFrame) -> DataFram
     )
     own = candidates.select("domain", "dedupe_key", F.explode(record_hints()).alias("hint"))
     found = (
-        salted_lookup(own, by_hint, ["domain", "hint"], F.col("dedupe_key"), how="inner")
+        own.join(by_hint, ["domain", "hint"])
         .groupBy("domain", "dedupe_key")
         .agg(F.min_by("p", "prior_ord").alias("p"))
     )
@@ -357,7 +355,7 @@ def packet_join(decisions: DataFrame, candidates: DataFrame) -> DataFrame:
         "domain", "dedupe_key", F.explode(record_hints(F.col("dedupe_key"), F.col("title_key"))).alias("hint")
     )
     found = (
-        salted_lookup(own, by_hint, ["domain", "hint"], F.col("dedupe_key"), how="inner")
+        own.join(by_hint, ["domain", "hint"])
         .groupBy("domain", "dedupe_key")
         .agg(F.min("c").alias("c"))
         .select("domain", "dedupe_key", F.col("c.candidate_key").alias("candidate_key"))

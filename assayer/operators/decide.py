@@ -14,7 +14,6 @@ from ..functions.text import matches, title_words, words_found
 from .match import meaningful_phases
 from .research import ADDITIVE_TITLE, ranked, top_per
 from .sequence import previous_value
-from .skew import salted_lookup
 
 REPORT_LIMIT, PACKET_LIMIT, HISTORY_LIMIT = 8, 3, 50
 MATCHED_TITLE = r"(?i)matched-species"
@@ -49,7 +48,7 @@ def contradiction_confounds(pairs: DataFrame, evidence: DataFrame, wedges: DataF
     # only the few reported titles are looked up, so this side is tiny
     wanted = top.select("domain", F.explode(F.array("title_a", "title_b")).alias("title")).distinct()
     facts = (
-        evidence.join(F.broadcast(wanted), ["domain", "title"], "left_semi")
+        evidence.join(wanted, ["domain", "title"], "left_semi")
         .groupBy("domain", "title")
         .agg(F.max_by(F.struct("species", F.size("outcomes").alias("o"), F.size("phases").alias("n")), "ord").alias("f"))
     )
@@ -104,6 +103,29 @@ def top_packets(hypotheses: DataFrame, wedges: DataFrame) -> DataFrame:
 # Arms, readouts and fixed variables by kind of experiment.
 NON_ARMS = ("Dimethyl Sulfoxide", "Ethylene Glycol", "Sucrose", "Glycerol", "Polyethylene Glycol")
 BASE_VARIABLES = ("assessment window", "specimen handling", "post-thaw evaluation rubric")
+ADDITIVE_VARIABLES = ("base CPA backbone",)
+BENCHMARK_VARIABLES = ("species", "specimen format")
+BASE_ARM = "base cryomix only"
+ADDITIVE_ARM = "base cryomix + "
+FAMILY_ARM = " arm"
+ARMS = {
+    "matched": ("slow-freezing arm", "vitrification arm"),
+    "endpoint-upgrade": ("current standard protocol", "top reported protocol with transplantation endpoint"),
+    "scale-up": ("current handling workflow", "workflow with staged loading/unloading controls"),
+    "other": ("benchmark arm A", "benchmark arm B"),
+}
+PRIMARY_READOUTS = {
+    "endpoint-upgrade": ("transplantation", "function"),
+    "scale-up": ("post-thaw recovery", "workflow reproducibility"),
+    "other": ("function", "viability"),
+}
+SECONDARY_READOUTS = {
+    "additive": ("yield", "transplantation"),
+    "matched": ("transplantation", "yield", "morphology"),
+    "scale-up": ("viability", "yield", "handling loss"),
+    "other": ("viability", "yield", "morphology"),
+}
+# Fixed values end.
 
 
 def packet_fields(packets: DataFrame) -> DataFrame:
@@ -114,39 +136,30 @@ def packet_fields(packets: DataFrame) -> DataFrame:
     extra = F.slice(F.filter(pool, lambda c: ~c.isin(*NON_ARMS)), 1, 4)
     families = F.filter("families", lambda f: f != "unknown")
     arms = (
-        F.when(
-            additive,
-            F.concat(F.array(F.lit("base cryomix only")), F.transform(extra, lambda c: F.concat(F.lit("base cryomix + "), c))),
-        )
-        .when(matched, string_array(["slow-freezing arm", "vitrification arm"]))
-        .when(
-            category == "endpoint-upgrade",
-            string_array(["current standard protocol", "top reported protocol with transplantation endpoint"]),
-        )
-        .when(
-            category == "scale-up",
-            string_array(["current handling workflow", "workflow with staged loading/unloading controls"]),
-        )
-        .when(F.size(families) > 0, F.transform(families, lambda f: F.concat(f, F.lit(" arm"))))
-        .otherwise(string_array(["benchmark arm A", "benchmark arm B"]))
+        F.when(additive, F.concat(F.array(F.lit(BASE_ARM)), F.transform(extra, lambda c: F.concat(F.lit(ADDITIVE_ARM), c))))
+        .when(matched, string_array(ARMS["matched"]))
+        .when(category == "endpoint-upgrade", string_array(ARMS["endpoint-upgrade"]))
+        .when(category == "scale-up", string_array(ARMS["scale-up"]))
+        .when(F.size(families) > 0, F.transform(families, lambda f: F.concat(f, F.lit(FAMILY_ARM))))
+        .otherwise(string_array(ARMS["other"]))
     )
     primary = (
-        F.when(additive | matched, string_array(["function", "viability"]))
-        .when(category == "endpoint-upgrade", string_array(["transplantation", "function"]))
-        .when(category == "scale-up", string_array(["post-thaw recovery", "workflow reproducibility"]))
-        .when(F.col("transplantation") > 0, string_array(["transplantation", "function"]))
-        .otherwise(string_array(["function", "viability"]))
+        F.when(additive | matched, string_array(PRIMARY_READOUTS["other"]))
+        .when(category == "endpoint-upgrade", string_array(PRIMARY_READOUTS["endpoint-upgrade"]))
+        .when(category == "scale-up", string_array(PRIMARY_READOUTS["scale-up"]))
+        .when(F.col("transplantation") > 0, string_array(PRIMARY_READOUTS["endpoint-upgrade"]))
+        .otherwise(string_array(PRIMARY_READOUTS["other"]))
     )
     secondary = (
-        F.when(additive, string_array(["yield", "transplantation"]))
-        .when(matched, string_array(["transplantation", "yield", "morphology"]))
-        .when(category == "scale-up", string_array(["viability", "yield", "handling loss"]))
-        .otherwise(string_array(["viability", "yield", "morphology"]))
+        F.when(additive, string_array(SECONDARY_READOUTS["additive"]))
+        .when(matched, string_array(SECONDARY_READOUTS["matched"]))
+        .when(category == "scale-up", string_array(SECONDARY_READOUTS["scale-up"]))
+        .otherwise(string_array(SECONDARY_READOUTS["other"]))
     )
     none = F.array().cast("array<string>")
     fixed_vars = F.concat(
-        F.when(additive, string_array(["base CPA backbone"])).otherwise(none),
-        F.when(category == "benchmark", string_array(["species", "specimen format"])).otherwise(none),
+        F.when(additive, string_array(ADDITIVE_VARIABLES)).otherwise(none),
+        F.when(category == "benchmark", string_array(BENCHMARK_VARIABLES)).otherwise(none),
         string_array(BASE_VARIABLES),
     )
     return packets.withColumns(
@@ -172,7 +185,7 @@ def packet_board(packets: DataFrame, decisions: DataFrame) -> DataFrame:
     lead = ranked(decisions, [F.lit(1)], F.desc("recommendation_score"), "domain").where("rank = 1").select(
         F.col("domain").alias("_lead")
     )
-    rows = packets.join(F.broadcast(lead), F.col("domain") == F.col("_lead"), "left")
+    rows = packets.join(lead, F.col("domain") == F.col("_lead"), "left")
     return rows.withColumn(
         "board_order",
         F.when(F.col("_lead").isNotNull() & (F.col("rank") == 1), 0).when(F.col("_lead").isNotNull(), 1).otherwise(2),
@@ -186,11 +199,11 @@ def lookup_with_fallback(enrichment: DataFrame, extraction: DataFrame, columns:
     """Curated records with their paper: by id, else by title (the last of a title)."""
     facts = F.struct(*columns)
     by_id = extraction.select("domain", "paper_id", facts.alias("_id"))
-    by_title = extraction.groupBy("domain", "title").agg(F.max_by(facts, "ord").alias("_title"))
-    joined = enrichment.join(by_id, ["domain", "paper_id"], "left")
-    return salted_lookup(joined, by_title, ["domain", "title"], F.col("paper_id")).withColumn(
-        "paper", F.coalesce("_id", "_title")
-    ).drop("_id", "_title")
+    # the curated set is small beside the corpus: only its titles are grouped
+    wanted = extraction.join(enrichment.select("domain", "title").distinct(), ["domain", "title"], "left_semi")
+    by_title = wanted.groupBy("domain", "title").agg(F.max_by(facts, "ord").alias("_title"))
+    joined = enrichment.join(by_id, ["domain", "paper_id"], "left").join(by_title, ["domain", "title"], "left")
+    return joined.withColumn("paper", F.coalesce("_id", "_title")).drop("_id", "_title")
 
 
 def gap_impact(
@@ -205,16 +218,14 @@ def gap_impact(
     columns = ["chemicals", "specimens", "family", "phases", "authority_profile", "translational_signal"]
     keys = ["domain", "title"]
     named = wedge_titles.select(*keys).distinct().withColumn("_named", F.lit(True))
-    rows = salted_lookup(enrichment, named, keys, F.col("paper_id")).withColumn(
-        "_named", F.coalesce("_named", F.lit(False))
-    )
+    rows = enrichment.join(named, keys, "left").withColumn("_named", F.coalesce("_named", F.lit(False)))
     rows = rows.where(F.col("status").isin("pending", "in-progress") | F.col("_named"))
     rows = lookup_with_fallback(rows, profiled, columns)
     depth = missing.select("domain", "paper_id", "no_outcomes", "no_phases")
     # the first packet naming a title, the first contradiction naming it
     in_packet = (
         packet_titles.select("domain", "claim_id", "title")
-        .join(F.broadcast(packets.select("domain", "claim_id", "rank", "priority_score")), ["domain", "claim_id"])
+        .join(packets.select("domain", "claim_id", "rank", "priority_score"), ["domain", "claim_id"])
         .groupBy(*keys)
         .agg(F.min_by("priority_score", "rank").alias("_packet"))
     )
@@ -232,7 +243,7 @@ def gap_impact(
     )
     rows = (
         rows.join(depth, ["domain", "paper_id"], "left").join(in_packet, keys, "left").join(in_report, keys, "left")
-        .join(F.broadcast(w), "domain")  # one wedge row per domain
+        .join(w, "domain")
     )
 
     def plus(cond: Column, value: float) -> Column:
@@ -353,7 +364,7 @@ def links_by_title(titles: DataFrame, linked: DataFrame) -> DataFrame:
         F.min_by(F.struct("paper_id", "href"), "ord").alias("p")
     )
     keyed = titles.withColumn("key", title_words(F.col("title")))
-    return salted_lookup(keyed, by_key, ["domain", "key"], F.col("title")).select(
+    return keyed.join(by_key, ["domain", "key"], "left").select(
         *titles.columns, F.col("p.paper_id").alias("paper_id"), F.col("p.href").alias("href")
     )
 
@@ -694,9 +705,9 @@ def stop_reason(cycles: DataFrame, max_cycles: int, allow_pending: bool = False)
     return cycles.withColumn("stop_reason", label)
 
 
-def capped_history(deltas: DataFrame, limit: int = HISTORY_LIMIT) -> DataFrame:
-    """The latest rows per domain."""
-    return top_per(deltas, ["domain"], limit, F.desc("run_ts")).drop("rank")
+def capped_history(deltas: DataFrame, *ties: str, limit: int = HISTORY_LIMIT) -> DataFrame:
+    """The latest rows per domain; rows of one moment are ordered by ``ties``."""
+    return top_per(deltas, ["domain"], limit, F.desc("run_ts"), *ties).drop("rank")
 
 
 def run_history(health: DataFrame, cycles: DataFrame) -> DataFrame:

@@ -21,7 +21,6 @@ from ..functions.arrays import labels_where, or_empty, string_array
 from ..functions.numbers import clamp, fixed
 from ..functions.text import matches, slug
 from .match import in_group, meaningful_phases
-from .skew import salted_lookup
 
 FACET_LIMIT, HOTSPOT_LIMIT, PAIR_LIMIT, TEMPLATE_LIMIT = 12, 12, 20, 5
 
@@ -85,7 +84,7 @@ def hotspot_titles(evidence: DataFrame, spots: DataFrame) -> DataFrame:
     ).select("domain", "family", "chemical", F.explode("specimens").alias("specimen"), "title")
     chosen = spots.select("domain", "family", "chemical", "specimen", "rank")
     # at most HOTSPOT_LIMIT rows per registered domain
-    return long.join(F.broadcast(chosen), ["domain", "family", "chemical", "specimen"]).select(
+    return long.join(chosen, ["domain", "family", "chemical", "specimen"]).select(
         "domain", "rank", "title"
     ).distinct()
 
@@ -324,7 +323,7 @@ def hypothesis_templates(evidence: DataFrame, registry: Registry) -> DataFrame:
     def spec(d: DomainProfile) -> Column:
         def pick(p: Pick) -> Column:
             return F.struct(
-                F.lit(p.limit or 1_000_000).alias("limit"), string_array(p.fixed).alias("fixed"),
+                F.lit(p.limit).cast("int").alias("limit"), string_array(p.fixed).alias("fixed"),
                 string_array(p.drop).alias("drop"),
             )
 
@@ -354,9 +353,8 @@ def hypothesis_templates(evidence: DataFrame, registry: Registry) -> DataFrame:
             F.coalesce(F.col(kind), F.array().cast("array<struct<rank:int,value:string>>")), lambda v: v.value
         )
         kept = F.array_except(found, F.col(f"t.{kind}.drop"))
-        return F.when(F.size(f"t.{kind}.fixed") > 0, F.col(f"t.{kind}.fixed")).otherwise(
-            F.slice(kept, F.lit(1), F.col(f"t.{kind}.limit"))
-        )
+        limit = F.coalesce(F.col(f"t.{kind}.limit"), F.size(kept))  # without a limit all are kept
+        return F.when(F.size(f"t.{kind}.fixed") > 0, F.col(f"t.{kind}.fixed")).otherwise(F.slice(kept, F.lit(1), limit))
 
     return out.select(
         "domain", "template", F.col("t.title").alias("title"), F.col("t.category").alias("category"),
@@ -369,7 +367,7 @@ def template_titles(evidence: DataFrame, registry: Registry) -> DataFrame:
     members = _memberships(evidence, registry)
     held = _supported(members, registry).select("domain", "template")
     titles = _template_values(members).where("kind = 'titles'").join(
-        F.broadcast(held), ["domain", "template"]
+        held, ["domain", "template"]
     )  # at most TEMPLATE_LIMIT rows per registered domain
 
     def limit(d: DomainProfile) -> Column:
@@ -398,9 +396,7 @@ def support_with_fallback(evidence: DataFrame, claims: DataFrame, titles: DataFr
     per_domain = claims.groupBy("domain").agg(
         F.collect_list(F.struct("claim_id", "chemicals", "specimens", "families")).alias("_claims")
     )
-    rows = salted_lookup(evidence, named, ["domain", "title"], F.col("paper_id")).join(
-        F.broadcast(per_domain), "domain"  # one row per registered domain
-    )
+    rows = evidence.join(named, ["domain", "title"], "left").join(per_domain, "domain")
     tested = F.transform(
         "_claims",
         lambda c: F.struct(
@@ -415,14 +411,9 @@ def support_with_fallback(evidence: DataFrame, claims: DataFrame, titles: DataFr
     hits = rows.withColumn("_t", F.explode(F.filter(tested, lambda t: t.exact | t.overlap))).select(
         *evidence.columns, F.col("_t.claim_id").alias("claim_id"), F.col("_t.exact").alias("exact")
     )
-    stated = (
-        titles.join(evidence.select("domain", "title").distinct(), ["domain", "title"], "left_semi")
-        .select("domain", "claim_id")
-        .distinct()
-        .withColumn("_any", F.lit(True))
-    )
+    stated = hits.where("exact").groupBy("domain", "claim_id").agg(F.lit(True).alias("_any"))
     return (
-        hits.join(F.broadcast(stated), ["domain", "claim_id"], "left")  # at most one row per claim
+        hits.join(stated, ["domain", "claim_id"], "left")
         .where(F.col("exact") | F.col("_any").isNull())
         .drop("_any")
     )
@@ -478,7 +469,7 @@ def hypothesis_evidence(
     )
     touched = (
         support.select(*keys, "title")
-        .join(F.broadcast(contradiction_titles(contradictions)), ["domain", "title"])
+        .join(contradiction_titles(contradictions), ["domain", "title"])
         .groupBy(*keys)
         .agg(F.count_distinct("pair").alias("contradictions"))
     )
@@ -559,10 +550,8 @@ def authority_profile(evidence: DataFrame, reviewed_titles: DataFrame) -> DataFr
     ``reviewed_titles``: distinct (domain, title) of reviewed curated records.
     ``evidence`` carries the ``authority`` counts.
     """
-    marked = salted_lookup(
-        evidence, reviewed_titles.select("domain", "title").distinct().withColumn("_reviewed", F.lit(True)),
-        ["domain", "title"], F.col("paper_id"),
-    )
+    known = reviewed_titles.select("domain", "title").distinct().withColumn("_reviewed", F.lit(True))
+    marked = evidence.join(known, ["domain", "title"], "left")
     reviewed = F.coalesce("_reviewed", F.lit(False))
     primary = (F.col("authority.primary_direct") > 0) | (F.col("authority.primary_indirect") > 0)
     profile = (
@@ -745,7 +734,7 @@ def matrix_rows(profiled: DataFrame, wedges: DataFrame) -> DataFrame:
         "domain", F.col("category").alias("_cat"), F.col("families").alias("_fam"),
         F.col("dominant_chemicals").alias("_chem"), F.col("specimens").alias("_spec"),
     )
-    rows = profiled.join(F.broadcast(w), "domain")  # one wedge row per domain
+    rows = profiled.join(w, "domain")
     flags = confound_flags(F.col("_cat"), F.col("_fam"))
     base = F.array_intersect(F.array_distinct("chemicals"), string_array(BASE_CHEMICALS))
     rows = rows.withColumns(

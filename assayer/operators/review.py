@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..config.defaults import ENRICHMENT_PRIORITIES, ENRICHMENT_STATUSES, PROCEDURE_PHASES
+from ..config.defaults import ENRICHMENT_PRIORITIES, ENRICHMENT_STATUS_RANK, PROCEDURE_PHASES
 from ..functions.arrays import distinct_sorted, labels_where, or_empty, same_set, string_array
 from ..functions.numbers import clamp, fixed
 from ..functions.text import evidence_text, matches
@@ -182,7 +182,7 @@ def position(values: Sequence[str], col: Column) -> Column:
 
 def enrichment_order(queue: DataFrame) -> DataFrame:
     return queue.orderBy(
-        position(ENRICHMENT_PRIORITIES, F.col("priority")), position(ENRICHMENT_STATUSES, F.col("status")), "title",
+        position(ENRICHMENT_PRIORITIES, F.col("priority")), position(ENRICHMENT_STATUS_RANK, F.col("status")), "title",
         "paper_id",
     )
 

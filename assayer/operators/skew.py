@@ -1,4 +1,7 @@
-"""Joins that stay balanced when one key holds a large part of the rows."""
+"""Whole rows by key, reduced before the shuffle.
+
+Joins on hot keys are left to adaptive execution, which splits skewed partitions.
+"""
 
 from __future__ import annotations
 
@@ -7,52 +10,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A key is hot when it holds this share of the rows, so at most 1/HOT_SHARE keys are.
-HOT_SHARE = 0.001
-#: Below this many rows a key is never worth splitting.
-HOT_ROWS = 10_000
-SALTS = 64
-
-
-def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE, rows: int = HOT_ROWS) -> DataFrame:
-    """Keys holding at least ``share`` of all rows: never more than 1/share keys.
-
-    One map-side-combined count over the keys alone; the size bound is what makes
-    broadcasting the result safe at any scale.
-    """
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    floor = df.agg(F.greatest(F.lit(rows).cast("double"), F.count("*") * F.lit(share)).alias("_floor"))
-    return counts.where(F.col("_n") >= floor.scalar()).select(*keys).limit(int(1 / share))
-
-
-def salted_lookup(
-    left: DataFrame,
-    right: DataFrame,
-    keys: Sequence[str],
-    spread_by: Column,
-    how: str = "left",
-    share: float = HOT_SHARE,
-    rows: int = HOT_ROWS,
-    salts: int = SALTS,
-) -> DataFrame:
-    """Join ``left`` to ``right`` (unique per key), splitting left's hot keys.
-
-    Rows of a hot key are spread over ``salts`` partitions by ``spread_by``, and
-    only the matching right rows are repeated that often. All other keys join as
-    usual. The result equals the plain join.
-    """
-    keys = list(keys)
-    hot = F.broadcast(hot_keys(left, keys, share, rows).withColumn("_hot", F.lit(True)))
-    salted_left = left.join(hot, keys, "left").withColumn(
-        "_salt",
-        F.when(F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")).otherwise(F.lit(0)),
-    )
-    salted_right = right.join(hot, keys, "left").withColumn(
-        "_salt",
-        F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))),
-    )
-    return salted_left.drop("_hot").join(salted_right.drop("_hot"), [*keys, "_salt"], how).drop("_salt")
-
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Column, last: bool = False) -> DataFrame:
     """One whole row per key: the first (or last) by ``order``.

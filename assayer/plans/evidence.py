@@ -54,4 +54,4 @@ def find(evidence: DataFrame, registry: Registry) -> Findings:
 def wedge_support(findings: Findings) -> DataFrame:
     """Papers supporting each domain's wedge."""
     chosen = findings.wedges.select("domain", "claim_id")
-    return findings.support.join(F.broadcast(chosen), ["domain", "claim_id"])  # one row per domain
+    return findings.support.join(chosen, ["domain", "claim_id"])

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..config import default_registry
 from ..operators import corpus as merge
 from ..operators import extract, match, normalize, review
-from ..session import cut, spread
+from ..session import cut
 from .vocabulary import DIVERSITY_SOURCES, DOI_SOURCES, DOMAIN_OF_LANG, LINK_SOURCES, OPEN_SOURCES, PMCID_SOURCES, PMID_SOURCES, TERMS
 
 REGISTRY = default_registry()
@@ -61,7 +61,7 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
     source = F.col("source")
     shifted = subject_text("text")
     return (
-        spread(table(spark, sf, "documents"))
+        table(spark, sf, "documents")
         .withColumn("_t", shifted)
         .select(
             by_lang({k: F.lit(v) for k, v in DOMAIN_OF_LANG.items()}).alias("domain"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config.defaults import ENRICHMENT_PRIORITIES, ENRICHMENT_STATUSES
+from ..config.defaults import ENRICHMENT_PRIORITIES, ENRICHMENT_STATUSES, ENRICHMENT_STATUS_RANK
 from ..operators import match, research, review
 from . import corpus, sql
 from .corpus import REGISTRY
@@ -186,7 +186,7 @@ def enrichment_queue_merge(spark, sf):
 
 
 _PRIO_RANK = f"list_position({sql.strings(ENRICHMENT_PRIORITIES)}, priority)"
-_STATUS_RANK = f"list_position({sql.strings(ENRICHMENT_STATUSES)}, status)"
+_STATUS_RANK = f"list_position({sql.strings(ENRICHMENT_STATUS_RANK)}, status)"
 
 
 @query(

@@ -73,23 +73,30 @@ def top_packets(spark, sf):
 
 
 _ADD, _MATCHED = sql.rx("title", research.ADDITIVE_TITLE), sql.rx("title", decide.MATCHED_TITLE)
+
+
+def _listed(values):
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
 _EXTRA = f"list_filter(case when selected then pool else chemicals end, lambda c: c not in {in_list(decide.NON_ARMS)})[1:4]"
 
 
 @query(
     "packet_fields",
-    with_(*WALL, PACKETS, f"""select domain, claim_id, {joined(f'''case when {_ADD} then list_concat(['base cryomix only'],
-        list_transform({_EXTRA}, lambda c: 'base cryomix + ' || c))
-      when {_MATCHED} then ['slow-freezing arm', 'vitrification arm']
-      when category = 'endpoint-upgrade' then ['current standard protocol', 'top reported protocol with transplantation endpoint']
-      when category = 'scale-up' then ['current handling workflow', 'workflow with staged loading/unloading controls']
-      when len(list_filter(families, lambda f: f <> 'unknown')) > 0 then list_transform(list_filter(families, lambda f: f <> 'unknown'), lambda f: f || ' arm')
-      else ['benchmark arm A', 'benchmark arm B'] end''')} as arms,
-      case when {_ADD} or {_MATCHED} then 'function|viability' when category = 'endpoint-upgrade' then 'transplantation|function'
-        when category = 'scale-up' then 'post-thaw recovery|workflow reproducibility'
-        when transplantation > 0 then 'transplantation|function' else 'function|viability' end as primary_readouts,
-      case when {_ADD} then 'base CPA backbone|' else '' end || case when category = 'benchmark' then 'species|specimen format|' else '' end
-        || 'assessment window|specimen handling|post-thaw evaluation rubric' as fixed_variables from pk"""),
+    with_(*WALL, PACKETS, f"""select domain, claim_id, {joined(f'''case when {_ADD} then list_concat(['{decide.BASE_ARM}'],
+        list_transform({_EXTRA}, lambda c: '{decide.ADDITIVE_ARM}' || c))
+      when {_MATCHED} then {_listed(decide.ARMS["matched"])}
+      when category = 'endpoint-upgrade' then {_listed(decide.ARMS["endpoint-upgrade"])}
+      when category = 'scale-up' then {_listed(decide.ARMS["scale-up"])}
+      when len(list_filter(families, lambda f: f <> 'unknown')) > 0 then list_transform(list_filter(families, lambda f: f <> 'unknown'), lambda f: f || '{decide.FAMILY_ARM}')
+      else {_listed(decide.ARMS["other"])} end''')} as arms,
+      {joined(f'''case when {_ADD} or {_MATCHED} then {_listed(decide.PRIMARY_READOUTS["other"])}
+        when category = 'endpoint-upgrade' then {_listed(decide.PRIMARY_READOUTS["endpoint-upgrade"])}
+        when category = 'scale-up' then {_listed(decide.PRIMARY_READOUTS["scale-up"])}
+        when transplantation > 0 then {_listed(decide.PRIMARY_READOUTS["endpoint-upgrade"])} else {_listed(decide.PRIMARY_READOUTS["other"])} end''')} as primary_readouts,
+      {joined(f'''list_concat(list_concat(case when {_ADD} then {_listed(decide.ADDITIVE_VARIABLES)} else [] end,
+        case when category = 'benchmark' then {_listed(decide.BENCHMARK_VARIABLES)} else [] end), {_listed(decide.BASE_VARIABLES)})''')} as fixed_variables from pk"""),
 )
 def packet_fields(spark, sf):
     out = decide.packet_fields(packets(spark, sf))

@@ -509,7 +509,7 @@ def matrix_rows(spark, sf):
 @query("confound_flags", with_(*MALL, "select domain, flag, count(*) as papers from (select domain, unnest(confounds) as flag from mx) group by all"))
 def confound_flags(spark, sf):
     w = wedges(spark, sf).select("domain", "category", F.col("families").alias("wf"))
-    rows = wedge_papers(spark, sf).join(F.broadcast(w), "domain")  # one wedge row per domain
+    rows = wedge_papers(spark, sf).join(w, "domain")
     flags = research.confound_flags(F.col("category"), F.col("wf"))
     return rows.select("domain", F.explode(flags).alias("flag")).groupBy("domain", "flag").agg(F.count("*").alias("papers"))
 

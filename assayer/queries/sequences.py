@@ -104,8 +104,8 @@ def cycle_state_change(spark, sf):
 @query(
     "capped_history",
     """select user_id as domain, event_id, value from events
-    qualify row_number() over (partition by user_id order by ts desc) <= 50""",
+    qualify row_number() over (partition by user_id order by ts desc, event_id) <= 50""",
 )
 def capped_history(spark, sf):
     rows = events(spark, sf).select(F.col("user_id").alias("domain"), F.col("ts").alias("run_ts"), "event_id", "value")
-    return decide.capped_history(rows).select("domain", "event_id", "value")
+    return decide.capped_history(rows, "event_id").select("domain", "event_id", "value")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -29,27 +29,40 @@ def build_session(app: str = "assayer", master: str | None = None, **extra: str)
     return builder.getOrCreate()
 
 
+#: Folders of the applications this process has run.
+_opened: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can see.
 
-    The cluster names it in ``spark.checkpoint.dir``; only a local master may
-    fall back to a folder on this machine.
+    The cluster names it in ``spark.checkpoint.dir``. Only a master that runs everything in
+    this one process (``local``, as in tests) may do without; it gets a folder of its own.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    root = os.path.join(tempfile.gettempdir(), "assayer-shared")
-    os.makedirs(root, exist_ok=True)
+    root = tempfile.mkdtemp(prefix="assayer-shared-")
     spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A path under the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path under the shared folder that no other run uses.
+
+    It lives as long as the application: the file system deletes the application's folder
+    when the driver ends.
+    """
+    root = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    if root not in _opened:
+        _opened.add(root)
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(place)
+        fs.deleteOnExit(place)
+    return f"{root}/{label}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, label: str = "stage") -> DataFrame:
@@ -64,15 +77,6 @@ def cut(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for heavy per-row work when the scan has too few splits.
-
-    A large table already has more splits than cores and is returned as is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def small(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast a configuration-sized table, after checking that it is one."""
     if df.limit(rows + 1).count() > rows:

@@ -23,11 +23,13 @@ def content_fingerprint(df: DataFrame, ignore: Sequence[str] = ()) -> DataFrame:
 class VersionedTable:
     """A table kept as numbered Parquet versions in one folder.
 
-    A reader takes the newest complete version (its ``_SUCCESS`` file is written
-    last), so a writer that dies half-way changes nothing and a job may read the
+    A reader takes the newest complete version (a marker file is written last, whatever the
+    committer writes), so a writer that dies half-way changes nothing and a job may read the
     table it is about to replace.
     """
 
+    MARKER = "_COMPLETE"
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
@@ -41,7 +43,7 @@ class VersionedTable:
             return []
         names = [s.getPath().getName() for s in self._fs.listStatus(root)]
         numbers = sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit())
-        return [n for n in numbers if self._fs.exists(self._new_path(f"{self.path}/v{n}/_SUCCESS"))]
+        return [n for n in numbers if self._fs.exists(self._new_path(f"{self.path}/v{n}/{self.MARKER}"))]
 
     def read(self, schema: str | None = None) -> DataFrame | None:
         """The newest version; with a schema, an empty table when there is none."""
@@ -50,7 +52,8 @@ class VersionedTable:
             return self.spark.read.parquet(f"{self.path}/v{found[-1]}")
         return self.spark.createDataFrame([], schema) if schema else None
 
-    def write(self, df: DataFrame, partition_by: Sequence[str] = ()) -> int:
+    def stage(self, df: DataFrame, partition_by: Sequence[str] = ()) -> int:
+        """Write the next version without publishing it."""
         found = self.versions()
         version = found[-1] + 1 if found else 0
         writer = df.write.mode("overwrite")
@@ -59,15 +62,36 @@ class VersionedTable:
         writer.parquet(f"{self.path}/v{version}")
         return version
 
+    def staged(self, version: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/v{version}")
+
+    def publish(self, version: int) -> None:
+        self._fs.create(self._new_path(f"{self.path}/v{version}/{self.MARKER}")).close()
+
+    def drop(self, version: int) -> None:
+        self._fs.delete(self._new_path(f"{self.path}/v{version}"), True)
+
+    def write(self, df: DataFrame, partition_by: Sequence[str] = ()) -> int:
+        version = self.stage(df, partition_by)
+        self.publish(version)
+        return version
+
 
 def write_if_changed(df: DataFrame, target: str, ignore: Sequence[str] = ("generated_at",)) -> bool:
-    """Write a new version only if the content differs, apart from run timestamps."""
+    """Write a new version only if the content differs, apart from run timestamps.
+
+    ``df`` is computed once: the new version is written, compared as written, and then published
+    or dropped. A column whose type changed is a difference.
+    """
     table = VersionedTable(df.sparkSession, target)
     current = table.read()
-    if current is not None and sorted(current.columns) == sorted(df.columns):
-        if content_fingerprint(current, ignore).collect() == content_fingerprint(df, ignore).collect():
+    version = table.stage(df)
+    new = table.staged(version)
+    if current is not None and sorted(current.dtypes) == sorted(new.dtypes):
+        if content_fingerprint(current, ignore).collect() == content_fingerprint(new, ignore).collect():
+            table.drop(version)
             return False
-    table.write(df)
+    table.publish(version)
     return True
 
 

@@ -13,23 +13,6 @@ from assayer.operators import policy, research, sequence, skew
 REGISTRY = default_registry()
 
 
-def test_salted_lookup_equals_plain_join(spark):
-    left = spark.range(3000).select(
-        F.col("id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 50).cast("string"))).alias("k")
-    )
-    right = spark.createDataFrame([("hot", 1), *[(f"k{i}", i) for i in range(40)]], "k string, v int")
-    for how in ("left", "inner"):
-        plain = left.join(right, "k", how).select("id", "v")
-        salted = skew.salted_lookup(left, right, ["k"], F.col("id"), how=how, rows=100, salts=7).select("id", "v")
-        assert sorted(map(tuple, salted.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
-
-
-def test_hot_keys_are_bounded(spark):
-    df = spark.range(1000).select((F.col("id") % 10).alias("k"))
-    assert skew.hot_keys(df, ["k"], share=0.05, rows=1).count() == 10
-    assert skew.hot_keys(df, ["k"], share=0.2, rows=1).count() == 0
-
-
 def test_first_and_last_by_key(spark):
     df = spark.createDataFrame([("a", 2, "x"), ("a", 1, None), ("b", 5, "z"), ("a", 3, "y")], "k string, o int, v string")
     assert sorted(map(tuple, skew.first_by_key(df, ["k"], "o").collect())) == [("a", 1, None), ("b", 5, "z")]

@@ -176,6 +176,73 @@ def test_incremental_import_reads_each_file_once(spark):
     assert [(r.dedupe_key, r.record_count) for r in run()] == [("doi:10.1/z", 3)]
 
 
+def decided(spark, state):
+    """Current candidates with a fixed recommendation, and the decisions carried onto them."""
+    rows = incremental.current_candidates(spark, state).withColumn(
+        "recommendation", F.when(F.col("record_count") > 1, "promote").otherwise("review")
+    )
+    return incremental.refresh_decisions(rows, state)
+
+
+def test_decisions_are_carried_over_two_runs(spark):
+    path, state, checkpoint = folder(spark, "in"), folder(spark, "state"), folder(spark, "cp")
+
+    def run():
+        incremental.incremental_import(spark, path, state, checkpoint, REGISTRY).awaitTermination()
+        return {r.dedupe_key: r for r in decided(spark, state).collect()}
+
+    other = {**KEPT, "doi": None, "pmid": "77", "title": "Slow freezing and thawing of islets in cryobags"}
+    write_import(spark, path, "islets", [{**KEPT, "doi": None, "pmid": "5"}, other])
+    first = run()
+    assert {r.decision for r in first.values()} == {"pending"} and not any(r.stale_evidence for r in first.values())
+    # a reviewer decides both
+    table = sinks.VersionedTable(spark, f"{state}/decisions")
+    table.write(table.read().withColumns({"decision": F.lit("promote"), "reviewer_notes": F.concat(F.lit("note "), "pmid")}))
+    # the first is delivered again under a DOI, by another provider: a new key and other evidence
+    write_import(spark, path, "islets", [{**KEPT, "pmid": "5", "source": "crossref", "source_id": "9"}])
+    again = run()
+    kept, changed = again["pmid:77"], again["doi:10.1/z"]
+    assert (kept.decision, kept.stale_evidence, kept.reviewer_notes) == ("promote", False, "note 77")
+    assert (changed.decision, changed.stale_evidence, changed.reviewer_notes) == ("pending", True, "note 5")
+    # a third run without news changes nothing
+    assert {(r.dedupe_key, r.decision, r.reviewer_notes) for r in run().values()} == {
+        (r.dedupe_key, r.decision, r.reviewer_notes) for r in again.values()
+    }
+
+
+def test_a_new_checkpoint_keeps_what_is_stored(spark):
+    state = folder(spark, "state")
+    paths = [folder(spark, "in") for _ in range(2)]
+    write_import(spark, paths[0], "islets", [KEPT])
+    write_import(spark, paths[1], "islets", [{**KEPT, "doi": "10.1/other", "title": "Cryopreservation of islets on a chip"}])
+    for path in paths:  # batch ids start at 0 in both
+        incremental.incremental_import(spark, path, state, folder(spark, "cp"), REGISTRY).awaitTermination()
+    assert {r.dedupe_key for r in incremental.current_candidates(spark, state).collect()} == {"doi:10.1/z", "doi:10.1/other"}
+
+
+def test_compaction_changes_no_candidate(spark):
+    path, state, checkpoint = folder(spark, "in"), folder(spark, "state"), folder(spark, "cp")
+
+    def run(records):
+        write_import(spark, path, "islets", records)
+        incremental.incremental_import(spark, path, state, checkpoint, REGISTRY).awaitTermination()
+
+    def now():
+        return sorted((r.dedupe_key, r.record_count, r.title) for r in incremental.current_candidates(spark, state).collect())
+
+    run([KEPT, {**KEPT, "title": "Cryopreservation of islets, again", "source_id": "4"}])
+    run([{**KEPT, "source": "crossref", "source_id": "2"}, {**KEPT, "title": "Later cryopreservation of islets", "source_id": "5"}])
+    before = now()
+    incremental.compact(spark, state)
+    assert now() == before
+    base = sinks.VersionedTable(spark, f"{state}/base").read()
+    assert base.count() == 2  # one row for each provider of the one paper
+    run([{**KEPT, "source": "openalex", "source_id": "3"}])
+    assert [n for _, n, _ in now()] == [3]
+    incremental.compact(spark, state)
+    assert [n for _, n, _ in now()] == [3]
+
+
 def test_rules_split_valid_and_rejected(spark):
     df = spark.createDataFrame(
         [("pubmed", "1", "T", 3, None, 1.0), ("web", "2", None, -1, "open", -2.0)],
