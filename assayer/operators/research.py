@@ -20,9 +20,12 @@ from ..config.model import Pick
 from ..functions.arrays import labels_where, or_empty, string_array
 from ..functions.numbers import clamp, fixed
 from ..functions.text import matches, slug
+from ..session import cut
 from .match import in_group, meaningful_phases
 
 FACET_LIMIT, HOTSPOT_LIMIT, PAIR_LIMIT, TEMPLATE_LIMIT = 12, 12, 20, 5
+#: Signatures that meet all others at first, in the search for contradictions.
+FIRST_SIGNATURES = 64
 
 
 def ranked(df: DataFrame, keys: Sequence[str], *order: Column | str, out: str = "rank") -> DataFrame:
@@ -134,7 +137,7 @@ def override_impact(baseline: DataFrame, resolved: DataFrame, overrides: DataFra
 # -- contradictions -----------------------------------------------------------
 
 
-def contradiction_pairs(evidence: DataFrame, registry: Registry, limit: int = PAIR_LIMIT) -> DataFrame:
+def contradiction_pairs(evidence: DataFrame, registry: Registry, limit: int = PAIR_LIMIT, first: int = FIRST_SIGNATURES) -> DataFrame:
     """The ``limit`` strongest contradicting pairs per domain, exactly.
 
     Two experimental papers contradict when they share a chemical, a specimen and
@@ -142,11 +145,12 @@ def contradiction_pairs(evidence: DataFrame, registry: Registry, limit: int = PA
     report different known preservation families. Order: shared chemicals
     descending, then corpus order of the pair.
 
-    Papers with equal labels behave alike, so they collapse into one signature
-    that keeps only its first ``limit`` papers (no later one can enter the
-    result). Signatures meet on a shared (chemical, specimen, outcome); each
-    signature pair competes with its best paper pair, and only the winners are
-    expanded to papers. Nothing quadratic in papers is ever built.
+    Papers with equal labels behave alike, so they collapse into one signature with the order of its
+    first paper. Pairs are looked for by number of shared chemicals, largest first, until every
+    domain has enough. On each level the signatures that come first in corpus order
+    (``first`` of them, then eight times as many) meet all others: a pair of two later
+    ones stands behind every pair found, so once there are enough the rest need not be looked
+    at. Only the winning signatures are joined with their papers.
     """
 
     def generic(d: DomainProfile) -> Column:
@@ -170,20 +174,47 @@ def contradiction_pairs(evidence: DataFrame, registry: Registry, limit: int = PA
         F.array_sort(F.array_distinct("outcomes")).alias("outcomes"),
     )
     signed = papers.withColumn("sig", F.sha2(F.to_json(F.struct(*signature)), 256))
-    members = (
-        top_per(signed, ["sig"], limit, "ord")
-        .groupBy("sig")
-        .agg(
-            *[F.first(c).alias(c) for c in signature],
-            F.array_sort(F.collect_list(F.struct("ord", "title"))).alias("members"),
-        )
-    )
-    blocked = (
-        members.withColumn("k_chem", F.explode("chem"))
-        .withColumn("k_spec", F.explode("spec"))
-        .withColumn("k_out", F.explode("outcomes"))
+    signatures = cut(
+        signed.groupBy("sig").agg(*[F.first(c).alias(c) for c in signature], F.min("ord").alias("first")), "signatures"
+    )
+    sizes = signatures.groupBy("domain", F.size("chem").alias("n")).count().collect()  # a row per domain and dictionary size
+    found: dict[str, int] = {r["domain"]: 0 for r in sizes}
+    winners: DataFrame | None = None
+    for level in range(max((r["n"] for r in sizes), default=0), 0, -1):
+        held = {d: sum(r["count"] for r in sizes if r["domain"] == d and r["n"] >= level) for d in found}
+        want = [d for d in found if found[d] < limit and held[d] > 1]
+        met, heads = None, first
+        while want:
+            met = cut(_meets(signatures.where(F.col("domain").isin(want) & (F.size("chem") >= level)), level, heads, limit), "meets")
+            counts = {r["domain"]: r["count"] for r in met.groupBy("domain").count().collect()}
+            if heads >= max(held[d] for d in want) or all(found[d] + counts.get(d, 0) >= limit for d in want):
+                for d in want:
+                    found[d] += counts.get(d, 0)
+                break
+            heads *= 8
+        if met is not None:
+            winners = met if winners is None else winners.unionByName(met)
+    if winners is None:
+        winners = _meets(signatures.limit(0), 1, first, limit)
+    # no later paper of a signature than its first ``limit`` can enter the result
+    chosen = winners.select(F.explode(F.array("sig_a", "sig_b")).alias("sig")).distinct()
+    members = top_per(signed.join(chosen, "sig", "left_semi"), ["sig"], limit, "ord").select("sig", "ord", "title", "family", "outcomes")
+    sides = ("ord", "title", "family", "outcomes")
+    pairs = winners
+    for s in "xy":
+        own = members.select(F.col("sig").alias(f"sig_{'a' if s == 'x' else 'b'}"), F.struct(*sides).alias(s))
+        pairs = pairs.join(own, f"sig_{'a' if s == 'x' else 'b'}")
+    ordered = pairs.withColumn("_pair", F.array_sort(F.array("x", "y"))).select(
+        "domain", "shared_chemicals", "shared_specimens",
+        F.when((F.col("shared_species") > 0) & (F.size("shared_chemicals") >= 2), 0.85).otherwise(0.72).alias("confidence"),
+        *[F.col("_pair")[i][c].alias(f"{c}_{s}") for i, s in enumerate("ab") for c in sides],
     )
-    a, b = blocked.alias("a"), blocked.alias("b")
+    return top_per(ordered, ["domain"], limit, F.desc(F.size("shared_chemicals")), "ord_a", "ord_b")
+
+
+def _meets(signatures: DataFrame, level: int, heads: int, limit: int) -> DataFrame:
+    """The first contradicting signature pairs with ``level`` shared chemicals, one side among the first ``heads`` of its domain."""
+    a, b = top_per(signatures, ["domain"], heads, "first", "sig").drop("rank").alias("a"), signatures.alias("b")
 
     def shared(label: str) -> Column:
         return F.array_intersect(f"a.{label}", f"b.{label}")
@@ -192,50 +223,22 @@ def contradiction_pairs(evidence: DataFrame, registry: Registry, limit: int = PA
         either_empty = (F.size(f"a.{label}") == 0) | (F.size(f"b.{label}") == 0)
         return either_empty | F.arrays_overlap(f"a.{label}", f"b.{label}")
 
-    same_block = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("domain", "k_chem", "k_spec", "k_out")]
     specific = (
         (F.size("a.specific") == 0) & (F.size("b.specific") == 0)
     ) | F.arrays_overlap("a.specific", "b.specific")
-    # a signature pair meets once per shared key; it counts at the first of them
-    first_key = (
-        (F.col("a.k_chem") == F.array_min(shared("chem")))
-        & (F.col("a.k_spec") == F.array_min(shared("spec")))
-        & (F.col("a.k_out") == F.array_min(shared("outcomes")))
-    )
-    condition = F.col("a.family") < F.col("b.family")
-    for test in (*same_block, compatible("species"), compatible("phases"), specific, first_key):
-        condition = condition & test
-    meets = a.join(b, condition).select(
-        F.col("a.domain").alias("domain"),
-        shared("chem").alias("shared_chemicals"),
-        shared("spec").alias("shared_specimens"),
-        F.size(shared("species")).alias("_species"),
-        *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in ("members", "family", "outcomes")],
-    )
-    best = top_per(
-        meets.withColumn("_a", F.col("a_members")[0].ord).withColumn("_b", F.col("b_members")[0].ord),
-        ["domain"],
-        limit,
-        F.desc(F.size("shared_chemicals")),
-        F.least("_a", "_b"),
-        F.greatest("_a", "_b"),
-    ).drop("rank")
-
-    def side(s: str, m: Column) -> Column:
-        return F.struct(
-            m.ord.alias("ord"), m.title.alias("title"), F.col(f"{s}_family").alias("family"),
-            F.col(f"{s}_outcomes").alias("outcomes"),
-        )
-
-    expanded = F.flatten(
-        F.transform("a_members", lambda x: F.transform("b_members", lambda y: F.array_sort(F.array(side("a", x), side("b", y)))))
-    )
-    pairs = best.withColumn("_pair", F.explode(expanded)).select(
-        "domain", "shared_chemicals", "shared_specimens",
-        F.when((F.col("_species") > 0) & (F.size("shared_chemicals") >= 2), 0.85).otherwise(0.72).alias("confidence"),
-        *[F.col("_pair")[i][c].alias(f"{c}_{s}") for i, s in enumerate("ab") for c in ("ord", "title", "family", "outcomes")],
-    )
-    return top_per(pairs, ["domain"], limit, F.desc(F.size("shared_chemicals")), "ord_a", "ord_b")
+    condition = (F.col("a.domain") == F.col("b.domain")) & (F.col("a.family") != F.col("b.family"))
+    # the side among the heads is the earlier one
+    condition &= F.struct("a.first", "a.sig") < F.struct("b.first", "b.sig")
+    condition &= F.arrays_overlap("a.spec", "b.spec") & F.arrays_overlap("a.outcomes", "b.outcomes")
+    for test in (compatible("species"), compatible("phases"), specific, F.size(shared("chem")) == level):
+        condition &= test
+    pairs = a.join(b, condition).select(
+        F.col("a.domain").alias("domain"), F.col("a.sig").alias("sig_a"), F.col("b.sig").alias("sig_b"),
+        F.col("a.first").alias("first_a"), F.col("b.first").alias("first_b"),
+        shared("chem").alias("shared_chemicals"), shared("spec").alias("shared_specimens"),
+        F.size(shared("species")).alias("shared_species"),
+    )
+    return top_per(pairs, ["domain"], limit, "first_a", "first_b").drop("rank", "first_a", "first_b")
 
 
 # -- hypotheses ---------------------------------------------------------------
