@@ -2,16 +2,20 @@
 
 A text is a sequence of words; scripts written without spaces count by
 character. Its k-mers (k words in a row) are numbered by occurrence, so the
-second time a k-mer appears it is another element. For each of ``sketches`` hash
+second time a k-mer appears it is another element. Under each of ``sketches`` hash
 functions the two elements with the smallest hashes are selected, put back in
 the order in which they stand in the text, and hashed as a pair. Two texts agree on
 a sketch if they share both elements and their order, so the share of equal
 sketches falls with edits and with moved passages alike.
 
+The hash functions are rotations of one 64-bit hash: function j subtracts its own
+constant, around the circle of hashes. The smallest elements under a rotation are those that
+follow the constant in hash order, so one sorted array serves all sketches, and a
+sketch costs a bisection instead of a pass over the text.
+
 Everything about one text happens inside its row: nothing is exploded and no
 row leaves its partition for a fingerprint. An element is one long, the upper
-bits its hash and the lower ones its position; so sorting, minima and removal
-work on arrays of longs.
+bits its hash and the lower ones its position.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from .common import bisect
 
 #: Words of a k-mer, and sketches of a fingerprint.
 KMER = 3
-SKETCHES = 12
+SKETCHES = 32
 #: Lower bits of an element: its position, up to 268 million words in one text.
 POSITION_BITS = 28
 _MASK = (1 << POSITION_BITS) - 1
@@ -64,17 +68,27 @@ def _occurrence(elements: Column, at: Column, key: Column) -> Column:
     return F.when(first, F.lit(0)).otherwise(run)
 
 
-def _sketch(elements: Column, seed: int) -> Column:
-    hashed = F.transform(elements, lambda e: _packed(F.xxhash64(e, F.lit(seed)), e.bitwiseAND(F.lit(_MASK))))
+def _rotations(n: int) -> list[int]:
+    """The constants of the rotations, evenly spread over the circle."""
+    spread = [(j + 1) * 0x9E3779B97F4A7C15 % (1 << 64) for j in range(n)]
+    return [x - (1 << 64) if x >> 63 else x for x in spread]
+
+
+def _sketch(elements: Column, n: Column, start: Column) -> Column:
+    """Hash of the two elements that follow ``start``, in the order of the text."""
+
+    def step(count: Column, power: Column) -> Column:
+        more = count + power
+        return F.when(F.coalesce(F.get(elements, more - 1) <= start, F.lit(False)), more).otherwise(count)
 
-    def pair(h: Column) -> Column:
-        return _let(F.array_min(h), lambda a: _let(F.array_min(F.array_remove(h, a)), lambda b: ordered(a, b)))
+    def pair(at: Column) -> Column:
+        return _let(F.get(elements, at % n), lambda a: _let(F.get(elements, (at + 1) % n), lambda b: ordered(a, b)))
 
     def ordered(a: Column, b: Column) -> Column:
-        before = b.isNull() | (a.bitwiseAND(F.lit(_MASK)) < b.bitwiseAND(F.lit(_MASK)))
+        before = a.bitwiseAND(F.lit(_MASK)) <= b.bitwiseAND(F.lit(_MASK))
         return F.when(before, F.xxhash64(_upper(a), _upper(b))).otherwise(F.xxhash64(_upper(b), _upper(a)))
 
-    return _let(hashed, pair)
+    return _let(F.aggregate(F.lit([1 << b for b in range(POSITION_BITS - 1, -1, -1)]), F.lit(0), step), pair)
 
 
 def fingerprint(text: Column, sketches: int = SKETCHES, k: int = KMER) -> Column:
@@ -87,14 +101,14 @@ def fingerprint(text: Column, sketches: int = SKETCHES, k: int = KMER) -> Column
 
     def numbered(s: Column) -> Column:
         # hashed again with the number, because the key alone repeats
-        return F.transform(
-            s, lambda v, i: _packed(F.xxhash64(_upper(v), _occurrence(s, i, _upper(v))), v.bitwiseAND(F.lit(_MASK)))
+        return F.sort_array(
+            F.transform(s, lambda v, i: _packed(F.xxhash64(_upper(v), _occurrence(s, i, _upper(v))), v.bitwiseAND(F.lit(_MASK))))
         )
 
-    def all_sketches(e: Column) -> Column:
-        return F.array(*[_sketch(e, j) for j in range(sketches)])
+    def sketched(e: Column) -> Column:
+        return _let(F.size(e), lambda n: F.transform(F.lit(_rotations(sketches)), lambda start: _sketch(e, n, start)))
 
-    return _let(words, lambda w: _let(kmers(w), lambda s: _let(numbered(s), all_sketches)))
+    return _let(words, lambda w: _let(kmers(w), lambda s: _let(numbered(s), sketched)))
 
 
 def likeness(a: Column, b: Column) -> Column:
