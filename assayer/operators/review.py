@@ -16,7 +16,6 @@ from ..config.defaults import ENRICHMENT_PRIORITIES, ENRICHMENT_STATUS_RANK, PRO
 from ..functions.arrays import distinct_sorted, labels_where, or_empty, same_set, string_array
 from ..functions.numbers import clamp, fixed
 from ..functions.text import evidence_text, matches
-from ..session import small
 from .match import missing_evidence_status
 from .quality import gate_summary, gold_join, subset_metrics
 
@@ -24,8 +23,7 @@ PATCH_FIELDS = ("paper_type", "family", "species", "specimens", "outcomes", "pha
 PROPOSAL_FIELDS = ("paper_type", "family", "species", "specimens", "outcomes", "phases")
 # Thresholds and adjustments of proposal review.
 MIN_DEPTH_CONFIDENCE, ACCEPT_CONFIDENCE = 0.78, 0.9
-#: Scenarios are configuration; each one evaluates the whole corpus again.
-MAX_SCENARIOS = 200
+# Title wording that states an outcome.
 TITLE_OUTCOMES = (
     r"(?i)(?:viability|survival|recovery|yield|function(?:al|ality)?|insulin secretion|insulin release"
     r"|transplant(?:ation|ed)?|graft function|morpholog(?:y|ical)|histolog(?:y|ical)|ultrastruct(?:ure|ural))"
@@ -585,18 +583,21 @@ def regression_scenarios(
     ``scenarios`` (a handful per domain): domain, scenario_id, paper_id, kind
     (remove-override | replace-override), patch columns ``patch_*``, the
     expected fields and the least metric gains ``min_*``. The scenario is one more
-    key, so all of them run in a single pass.
+    key, so all of them run in a single pass. Metrics and repairs look at labelled papers
+    only, so those alone are repeated for each scenario, not the corpus.
     """
-    few = small(scenarios, MAX_SCENARIOS)
     key = ("domain", "scenario_id")
+    labelled = gold.select("domain", "paper_id").distinct()
+    extraction = extraction.join(labelled, ["domain", "paper_id"], "left_semi")
+    overrides = overrides.join(labelled, ["domain", "paper_id"], "left_semi")
     target = F.col("paper_id") == F.col("_target")
-    every = overrides.join(few.withColumnRenamed("paper_id", "_target"), "domain")
+    every = overrides.join(scenarios.withColumnRenamed("paper_id", "_target"), "domain")
     replaced = (F.col("kind") == "replace-override") & target
     corrupted = every.where(~((F.col("kind") == "remove-override") & target)).select(
         *key, "paper_id", "excluded",
         *[F.when(replaced, F.coalesce(f"patch_{f}", f)).otherwise(F.col(f)).alias(f) for f in PROPOSAL_FIELDS],
     )
-    ids = few.select(*key)
+    ids = scenarios.select(*key)
     cols = ("domain", "paper_id", *PROPOSAL_FIELDS, "confidence")
     papers = extraction.select(*cols).join(ids, "domain")
     labels = gold.join(ids, "domain")

@@ -12,6 +12,7 @@ from ..config.defaults import DIVERSITY_SOURCES
 from ..functions.text import title_key
 from ..operators import corpus, match, policy as scoring
 from ..session import cut
+from ..sources.landing import corpus_as_source, retain_prior_on_empty
 
 
 def rank_candidates(
@@ -34,10 +35,55 @@ def review_queue(
     return corpus.carry_forward_decisions(scored, prior)
 
 
-def refresh(records: DataFrame, papers: DataFrame, prior: DataFrame, registry: Registry) -> dict[str, DataFrame]:
-    """All tables of one refresh; every stage is cut to the shared folder."""
-    candidates = cut(rank_candidates(records, registry), "candidates")
-    queue = cut(review_queue(candidates, papers, prior), "queue")
+def refresh(
+    live: DataFrame,
+    imports: DataFrame,
+    papers: DataFrame,
+    prior: DataFrame,
+    registry: Registry,
+    run_at: str,
+    prior_imports: DataFrame | None = None,
+    fetch_log: DataFrame | None = None,
+    own_corpus: bool = True,
+    baseline: Sequence[str] = DIVERSITY_SOURCES,
+    scoring_policy: Policy = DEFAULT_POLICY,
+) -> dict[str, DataFrame]:
+    """All tables of one refresh; every stage is stored in the shared folder.
+
+    ``live`` are the providers' records, ``imports`` the delivered ones: of an identity that was delivered twice
+    the last counts, and if nothing was delivered the prior set stays, with the reason on record. The
+    tracked papers are one more source unless ``own_corpus`` is off. ``run_at`` stamps the tables, so
+    that ``checks`` can tell whether they belong together.
+    """
+    merged = corpus.import_dedupe(imports).drop("identity")
+    kept = cut(merged.withColumn("reason", F.lit(None).cast("string")) if prior_imports is None else retain_prior_on_empty(merged, prior_imports), "imports")
+    parts = [live.withColumn("kind", F.lit("live-provider")), kept.drop("reason").withColumn("kind", F.lit("import"))]
+    if own_corpus:
+        parts.append(corpus_as_source(papers, registry).withColumn("kind", F.lit("corpus")))
+    records = cut(match.coverage_relevance(corpus.source_union(*parts), registry).drop("m"), "records")
+    providers = corpus.provider_stats(records, fetch_log)
+    reasons = kept.where("reason is not null").select("domain", "reason").distinct()
+    import_state = reasons.groupBy("domain").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
+    degradation = cut(corpus.degradation_state(providers, import_state), "degradation")
+
+    gated = records.where("keep").drop("keep", "kind")
+    candidates = cut(corpus.dedupe_merge_records(gated, baseline=baseline), "candidates")
+    queue = cut(review_queue(candidates, papers, prior, scoring_policy), "queue")
     ordered = candidates.withColumn("ord", F.col("first_seen.ord"))
-    packet = corpus.packet_join(queue.withColumn("title_key", title_key(F.col("title"))), ordered)
-    return {"candidates": candidates, "queue": queue, "packet": packet}
+    packet = cut(corpus.packet_join(queue.withColumn("title_key", title_key(F.col("title"))), ordered), "packet")
+
+    stamp = F.lit(run_at).cast("timestamp")
+    items = packet.groupBy("domain").agg(F.count("*").alias("item_count"))
+    domains = queue.select("domain").distinct().join(items, "domain", "left").join(degradation.select("domain", "reasons"), "domain", "left")
+    none = F.array().cast("array<string>")
+    artifacts = domains.select(
+        "domain",
+        F.explode(F.array(*[F.lit(a) for a in ("imports", "snapshot", "queue", "packet")])).alias("artifact"),
+        stamp.alias("generated_at"), stamp.alias("snapshot_at"), stamp.alias("queue_at"),
+        F.coalesce("item_count", F.lit(0)).alias("item_count"), "reasons",
+    ).withColumn("reasons", F.when(F.col("artifact") == "snapshot", F.coalesce("reasons", none)).otherwise(none))
+    checks = corpus.cross_artifact_checks(artifacts, queue, packet)
+    return {
+        "imports": kept, "providers": providers, "degradation": degradation, "candidates": candidates, "queue": queue,
+        "packet": packet, "checks": checks,
+    }

@@ -333,6 +333,21 @@ def hypothesis_evidence(spark, sf):
     return out.select("domain", "claim_id", "hypothesis_id", *_H, pipe("blockers"))
 
 
+@per_session
+def batch(spark, sf) -> plan.Batch:
+    """The whole evidence batch, from papers to findings, gates included."""
+    return plan.run_batch(
+        corpus.records(spark, sf), corpus.enrichment(spark, sf), corpus.overrides(spark, sf), corpus.gold(spark, sf), REGISTRY)
+
+
+@query(
+    "evidence_batch",
+    with_(*HYPS, f"select domain, claim_id, hypothesis_id, {', '.join(_H)}, {joined('blockers')} as blockers from hyp"),
+)
+def evidence_batch(spark, sf):
+    return batch(spark, sf).findings.hypotheses.select("domain", "claim_id", "hypothesis_id", *_H, pipe("blockers"))
+
+
 @query("top_hypotheses", with_(*HYPS, "select domain, hypothesis_id, priority_score from hyp order by priority_score desc, domain, claim_id"))
 def top_hypotheses(spark, sf):
     """The agenda over all domains."""

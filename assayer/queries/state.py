@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from ..functions.text import title_key
 from ..operators import corpus as merge
 from ..operators import decide, match, policy
+from ..plans import refresh as plan
 from ..session import cut
 from ..sources import landing
 from . import corpus
 from .corpus import REGISTRY, per_session
-from .matching import HINTS, pipe, tracked
+from .corpus import DIVERSITY_SOURCES
+from .matching import HINTS, NOVEL, TRACKED, pipe, tracked
 from .policies import FEAT, P, RECO
 from .registry import query
 from .sql import GATE, REC, fx, joined, with_
@@ -298,3 +300,35 @@ def source_union(spark, sf):
     return merge.source_union(*parts, manual.withColumn("doi", F.lit(None).cast("string"))).groupBy("domain", "kind").agg(
         F.count("*").alias("records"), F.count("doi").alias("with_doi"))
 
+
+
+# -- the refresh as one job ---------------------------------------------------
+
+
+@per_session
+def refreshed(spark, sf):
+    """A refresh to which no import file was delivered: the prior import set stays."""
+    rows = corpus.records(spark, sf).withColumn("kind", _kind())
+    live = rows.where(F.col("kind") != "import").drop("kind", "paper_id")
+    prior_imports = rows.where(F.col("kind") == "import").drop("kind", "paper_id")
+    return plan.refresh(
+        live, prior_imports.where("false"), tracked(spark, sf), prior(spark, sf), REGISTRY, "2024-01-01 00:00:00",
+        prior_imports=prior_imports, own_corpus=False, baseline=DIVERSITY_SOURCES, scoring_policy=P)
+
+
+@query(
+    "refresh_queue",
+    with_(*DECIDED, TRACKED, NOVEL, """select c.domain, c.dedupe_key, c.decision, c.recommendation, c.stale_evidence from carried c
+      join (select domain, dedupe_key, bool_or(tracked) as t from flagged group by 1, 2) f using (domain, dedupe_key) where not f.t"""),
+)
+def refresh_queue(spark, sf):
+    return refreshed(spark, sf)["queue"].select("domain", "dedupe_key", "decision", "recommendation", "stale_evidence")
+
+
+@query(
+    "refresh_degradation",
+    with_(REC, f"""select domain, 'imports:{landing.KEPT_PRIOR}' as reasons, true as is_degraded from rec
+      where {_KIND} = 'import' group by domain"""),
+)
+def refresh_degradation(spark, sf):
+    return refreshed(spark, sf)["degradation"].select("domain", pipe("reasons"), "is_degraded")

@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Settings every job wants; none of them fixes a cluster size.
 DEFAULT_CONF = {
@@ -75,10 +74,3 @@ def cut(df: DataFrame, label: str = "stage") -> DataFrame:
     path = fresh_path(spark, label)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a configuration-sized table, after checking that it is one."""
-    if df.limit(rows + 1).count() > rows:
-        raise ValueError(f"expected at most {rows} rows of configuration")
-    return F.broadcast(df)
