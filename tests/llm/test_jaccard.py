@@ -77,8 +77,12 @@ def test_pairs_at_the_threshold_share_a_signature():
         found += 1
         import numpy as np
 
-        sa, sb = (jaccard.signatures(np.sort(jaccard._mixed(np.array(sorted(s), dtype=np.uint64), 5))) for s in (a, b))
-        assert len(np.intersect1d(sa, sb)), (len(a), len(b), len(a & b))
+        ea, eb = (np.sort(jaccard._mixed(np.array(sorted(s), dtype=np.uint64), 5)) for s in (a, b))
+        sa, sb = dict(jaccard.signatures(ea)), dict(jaccard.signatures(eb))
+        met = [x for x in sa if x in sb and len(np.intersect1d(sa[x], sb[x]))]
+        assert met, (len(a), len(b), len(a & b))
+        x, y = (np.frombuffer(jaccard.sketch(e, met[0]), np.uint64) for e in (ea, eb))
+        assert np.bitwise_count(x ^ y).sum() <= len(a ^ b)
     assert found > 1000
 
 
@@ -102,9 +106,11 @@ def test_awkward_rows(spark):
     assert jaccard.similar(table(spark, [])).count() == 0
 
 
-def test_open_buckets_are_closed(spark, monkeypatch):
-    """Many texts that share signatures with a first one that they do not link with."""
-    monkeypatch.setattr(jaccard, "REPRESENTATIVES", 1)
+@pytest.mark.parametrize("tile", [4096, 7])
+def test_buckets_are_opened_again(spark, monkeypatch, tile):
+    """With sketches that rule nothing out every forest edge has to be compared, and most fail."""
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    monkeypatch.setattr(jaccard, "sketch", lambda elements, space, percent: b"\0" * 8)
     rnd = random.Random(8)
     base = [f"w{i}" for i in range(60)]
     rows = []

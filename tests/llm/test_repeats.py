@@ -86,12 +86,20 @@ def test_near_copies_and_a_hot_passage(spark, monkeypatch):
     checked(repeats.remove_repeats(table(spark, rows), 200), rows, 200)
 
 
-def test_long_text_is_cut_with_overlap(spark, monkeypatch):
+def test_long_text_is_cut_with_overlap(monkeypatch):
+    """Every window of a long text is in exactly one segment, whatever the chunk size."""
     monkeypatch.setattr(repeats, "CHUNK", 1000)
     rnd = random.Random(9)
-    text = "".join(rnd.choice("abcd") for _ in range(5000))
-    rows = [(1, text), (2, "x" * 10 + text[700:1700] + "y"), (3, text[995:1205])]
-    checked(repeats.remove_repeats(table(spark, rows), 200), rows, 200)
+    texts = ["".join(rnd.choice("abcd") for _ in range(n)).encode() for n in (5000, 150, 900, 200, 1199, 1200, 1201)]
+    seen = Counter()
+    for data, starts, ends, keys, offsets in repeats._pieces(list(range(len(texts))), texts, 200):
+        doc, first, last, _ = repeats.segments(data, starts, ends, 200)
+        for d, a, b in zip(doc.tolist(), first.tolist(), last.tolist()):
+            for i in range(a, b + 1):
+                at = i - starts[d] + offsets[d]
+                assert data[i : i + 200] == texts[keys[d]][at : at + 200]
+                seen[keys[d], at] += 1
+    assert seen == Counter((k, i) for k, t in enumerate(texts) for i in range(len(t) - 199))
 
 
 def test_op10_whole_table(spark):
