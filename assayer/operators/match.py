@@ -135,9 +135,34 @@ def coverage_relevance(records: DataFrame, registry: Registry) -> DataFrame:
     return records.select("*", F.inline(registry.by_domain(F.col("domain"), judge)))
 
 
+def title_gate(title: Column, registry: Registry) -> Column:
+    """What the gate asks of a title alone.
+
+    The lower-cased title is bound once, in an array of one; else it would be computed again for each pattern.
+    """
+
+    def hits(lowered: Column, concepts: Iterable[Concept]) -> Column:
+        return F.size(concept_labels(lowered, concepts))
+
+    def passes(d: DomainProfile) -> Column:
+        return F.exists(
+            F.array(F.lower(title)),
+            lambda t: (hits(t, d.anchors) >= MIN_TITLE_ANCHORS)
+            & (hits(t, registry.required(d)) >= d.min_title_required)
+            & (hits(t, d.title_methods) >= d.min_title_methods)
+            & (hits(t, d.blocked) == 0),
+        )
+
+    return F.coalesce(registry.by_domain(F.col("domain"), passes), F.lit(False))
+
+
 def candidate_gate(records: DataFrame, registry: Registry) -> DataFrame:
-    """Records worth keeping, with their keywords and relevance."""
-    return coverage_relevance(records, registry).where("keep").drop("m", "keep")
+    """Records worth keeping, with their keywords and relevance.
+
+    Most records fail by their title; only the others' bodies are searched.
+    """
+    titled = records.where(title_gate(F.col("title"), registry))
+    return coverage_relevance(titled, registry).where("keep").drop("m", "keep")
 
 
 def meaningful_phases(phases: Column) -> Column:
