@@ -36,7 +36,7 @@ GRAM = 32
 #: Bytes of text handled at a time in a task, of text per partition, and of an index.
 CHUNK = 1 << 20
 PARTITION = 8 << 20
-BLOCK = 2 << 20
+BLOCK = 1 << 18
 
 _U = np.uint64
 _MIX = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -244,11 +244,17 @@ def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     raise RuntimeError("no seed tells all rows apart")
 
 
+_SEGMENTS = pa.schema(
+    [("deal", pa.int64()), ("anchor", pa.int64()), ("key", pa.int64()), ("first", pa.int32()), ("more", pa.int16()), ("known", pa.bool_()), ("leads", pa.bool_())]
+)
+
+
 def _anchored(rows: DataFrame, length: int) -> DataFrame:
-    """(deal, anchor, key, first, last, known) of all segments; ``known``: seen to repeat in its own batch.
+    """(deal, anchor, key, first, more, known, leads) of all segments; ``known``: seen to repeat in its own batch.
 
-    Of a batch's segments with one anchor one is dealt by the anchor, the others
-    by their own key.
+    Of a batch's segments with one anchor one leads and is dealt by the anchor, the others
+    by their own place. What can be told from the rest is left 0, for the shuffle to compress:
+    the anchor of a leading segment; ``more`` is the number of windows after the first.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,32 +269,36 @@ def _anchored(rows: DataFrame, length: int) -> DataFrame:
                 leads[lead] = True
                 known = times[back] > 1
                 own = key ^ ((first + shift) * np.int64(0x5851F42D))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (np.where(leads, anchor, own), anchor, key, (first + shift).astype(np.int32), (last + shift).astype(np.int32), known, leads)],
-                    names=["deal", "anchor", "key", "first", "last", "known", "leads"],
+                columns = (
+                    np.where(leads, anchor, own),
+                    np.where(leads, 0, anchor),
+                    key,
+                    (first + shift).astype(np.int32),
+                    (last - first).astype(np.int16),
+                    known,
+                    leads,
                 )
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=_SEGMENTS)
 
-    return rows.select("key", "text").mapInArrow(run, "deal long, anchor long, key long, first int, last int, known boolean, leads boolean")
+    return rows.select("key", "text").mapInArrow(run, "deal long, anchor long, key long, first int, more short, known boolean, leads boolean")
 
 
 def _repeated(dealt: DataFrame) -> DataFrame:
     """(key, anchor, first, last) of the segments whose anchor occurs twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(batches, schema) if (batches := list(batches)) else None
-        if table is None or not table.num_rows:
+        table = pa.Table.from_batches(list(batches), _SEGMENTS)
+        if not table.num_rows:
             return
-        deal, anchor, key, first, last, known, leads = (c.to_numpy() for c in table.columns)
+        deal, anchor, key, first, more, known, leads = (c.to_numpy() for c in table.columns)
+        anchor = np.where(leads, deal, anchor)
         _, back, times = np.unique(anchor[leads], return_inverse=True, return_counts=True)
         keep = known.copy()
         keep[np.flatnonzero(leads)[times[back] > 1]] = True
-        out = pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, anchor, first, last)], names=["key", "anchor", "first", "last"])
+        out = pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, anchor, first, first + more)], names=["key", "anchor", "first", "last"])
         for at in range(0, out.num_rows, 1 << 16):
             yield out.slice(at, 1 << 16)
 
-    schema = pa.schema(
-        [("deal", pa.int64()), ("anchor", pa.int64()), ("key", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("known", pa.bool_()), ("leads", pa.bool_())]
-    )
     return dealt.mapInArrow(run, "key long, anchor long, first int, last int")
 
 
@@ -393,10 +403,11 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     parts = max(tasks_for(df), -(-total // PARTITION))
     repeated = stored(_repeated(_anchored(rows, length).repartition(parts, "deal")), "segments")
+    discard(df.sparkSession)
     lists = repeated.groupBy("key").agg(F.collect_set(F.struct("anchor", "first", "last")).alias("parts"))
     contents = _cut_out(rows.join(lists, "key"), length)
     marked = stored(_marked(contents.repartition(parts, "deal"), length), "spans")
-    discard(repeated)
+    discard(df.sparkSession, repeated)
     spans = marked.groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
