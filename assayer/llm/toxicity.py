@@ -10,7 +10,7 @@
 3. A linear classifier learns the model's posterior labels from single terms and
    patterns. It scores every whole text in one pass.
 
-Labels choose the terms and nothing else; language, source and id are never
+Labels choose the terms and start the label model; language, source and id are never
 read. Rows held out (crc32 of the id, modulo 5, is 0) take no part in learning.
 """
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -36,10 +37,16 @@ SAMPLE = 20_000
 TERMS = 256
 LEXICONS = 12
 STEMS = (4, 5, 6)
-#: Least evidence (log-likelihood ratio), share of toxic rows over clean ones, and toxic rows of a term.
-LEAST_G = 15.0
+#: Candidate terms, and for each the least share of toxic rows over clean ones and the least toxic rows.
+CANDIDATES = 2048
 LEAST_LIFT = 4.0
 LEAST_ROWS = 4
+#: Least toxic share of the rows that hold a chosen term.
+LEAST_PURITY = 0.6
+#: Toxic rows that a clean row with the term costs it.
+CLEAN_COST = 3.0
+#: What a chosen term must add: this share of the toxic rows, rows counting half for each term that already covers them.
+LEAST_GAIN = 0.004
 #: Voters that are more correlated than this inside a class are joined, up to GROUP of them.
 CORRELATED = 0.25
 GROUP = 3
@@ -119,63 +126,86 @@ def _sample(labels: DataFrame, rows: int) -> DataFrame:
     return usable.orderBy(F.xxhash64("doc_id", F.lit("toxicity")), "doc_id").limit(rows)
 
 
-def _choose(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> list[str]:
-    """The strongest terms; one that begins another, or is begun by it, gives way to the stronger."""
-    scored = []
-    for term, a, b in counts:
-        if a < LEAST_ROWS or a / toxic < LEAST_LIFT * (b + 0.5) / clean:
-            continue
-        table = ((a, toxic), (b, clean), (toxic - a, toxic), (clean - b, clean))
-        share = (a + b) / (toxic + clean)
-        expected = (toxic * share, clean * share, toxic * (1 - share), clean * (1 - share))
-        g = 2 * sum(o * math.log(o / e) for (o, _), e in zip(table, expected) if o > 0)
-        if g >= LEAST_G:
-            scored.append((-round(g, 6), -len(term), term))
-    chosen: list[str] = []
-    bare: list[str] = []
-    for _, _, term in sorted(scored):
-        word = term.rstrip("*")
-        if not any(word.startswith(x) or x.startswith(word) for x in bare):
-            chosen.append(term)
-            bare.append(word)
-            if len(chosen) == TERMS:
-                break
+def copy_key(text: str) -> int:
+    """The smallest hash of a text's longer words: copies and near copies mostly share it, others rarely."""
+    words = {w for w in _WORD.findall(text.lower()) if len(w) > 6}
+    return min((zlib.crc32(w.encode()) for w in words), default=zlib.crc32(text.encode()))
+
+
+def _choose(names: list[str], hits: list[list[int]], toxic: np.ndarray, weight: np.ndarray) -> list[int]:
+    """Forward selection of terms.
+
+    Each time the term is taken that covers most toxic weight, where a row counts half for
+    every chosen term it already has and clean rows count against it; a term that begins a chosen one, or is begun by it, adds
+    nothing new and is skipped.
+    """
+    rows = [[] for _ in names]
+    for r, own in enumerate(hits):
+        for t in own:
+            rows[t].append(r)
+    rows = [np.array(r, dtype=np.int64) for r in rows]
+    on, off = max(weight[toxic].sum(), 1e-9), max(weight[~toxic].sum(), 1e-9)
+    left = np.where(toxic, weight, 0.0)
+    least = max(2.0, LEAST_GAIN * on)
+    possible = []
+    clean = np.zeros(len(names))
+    for t, r in enumerate(rows):
+        a, b = weight[r][toxic[r]].sum(), weight[r][~toxic[r]].sum()
+        if a >= LEAST_ROWS / 2 and a >= LEAST_PURITY * (a + b) and a / on >= LEAST_LIFT * (b + 0.5) / off:
+            possible.append(t)
+            clean[t] = b
+    chosen: list[int] = []
+    while possible and len(chosen) < TERMS:
+        gain, t = max(((round(float(left[rows[t]].sum() - CLEAN_COST * clean[t]), 9), -len(names[t]), names[t]), t) for t in possible)
+        if gain[0] < least:
+            break
+        chosen.append(t)
+        left[rows[t]] /= 2
+        word = names[t].rstrip("*")
+        possible = [x for x in possible if not (word.startswith(y := names[x].rstrip("*")) or y.startswith(word))]
     return chosen
 
 
-def label_model(masks: np.ndarray, counts: np.ndarray, rounds: int = 60) -> np.ndarray:
+def label_model(masks: np.ndarray, counts: np.ndarray, on: np.ndarray, off: np.ndarray, rounds: int = 60) -> np.ndarray:
     """Posterior of the hidden toxic class for each vote pattern.
 
-    Expectation maximisation of a two-class mixture over the patterns. A first
-    run takes voters as independent inside a class; those whose correlation,
-    given the class, stays high are then joined and fitted once more as one
-    variable with a joint table.
+    A voter that does not vote abstains, which says nothing. One that votes has an accuracy: the
+    share of toxic documents among those it votes on. A pattern's posterior follows from the accuracies
+    of its votes, and an accuracy from the posteriors of all documents voted on, in turns.
+    ``counts`` documents have a pattern; of them ``on`` are labelled toxic and ``off`` clean, which starts
+    the turns off and says which class is which. A first run takes voters as independent inside a class; those
+    whose correlation, given the class, stays high are then joined and fitted once more
+    as one voter with an accuracy for each way it can vote.
     """
     voters = LEXICONS + len(_PATTERNS)
     bits = ((masks[:, None] >> np.arange(voters)) & 1).astype(float)
     weight = counts.astype(float)
-    total = weight.sum()
-    lexical = bits[:, :LEXICONS].sum(axis=1)
-    start = np.where(lexical >= 2, 0.95, np.where(lexical == 1, 0.7, 0.02))
+    # documents without a label weigh as much as the labelled ones, all together
+    free = np.maximum(weight - on - off, 0)
+    free *= min(1.0, (on.sum() + off.sum()) / max(free.sum(), 1))
+    base = (on.sum() + 1) / (on.sum() + off.sum() + 2)
 
-    def fit(groups: list[list[int]], post: np.ndarray) -> np.ndarray:
+    def logit(p: np.ndarray) -> np.ndarray:
+        return np.log(p) - np.log(1 - p)
+
+    def fit(groups: list[list[int]]) -> np.ndarray:
         codes = [(bits[:, g] @ (1 << np.arange(len(g)))).astype(int) for g in groups]
+        post = None
         for _ in range(rounds):
-            logit = np.log(max(weight @ post, 1e-3) / max(weight @ (1 - post), 1e-3)) * np.ones(len(masks))
+            yes, no = (on, off) if post is None else (on + free * post, off + free * (1 - post))
+            total = np.full(len(masks), logit(base))
             for g, code in zip(groups, codes):
-                size = 1 << len(g)
-                on = np.bincount(code, weight * post, size) + 0.1
-                off = np.bincount(code, weight * (1 - post), size) + 0.1
-                logit += np.log(on / on.sum())[code] - np.log(off / off.sum())[code]
-            new = 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
-            if np.abs(new - post).max() < 1e-6:
+                a, b = np.bincount(code, yes, 1 << len(g)), np.bincount(code, no, 1 << len(g))
+                said = logit((a + base) / (a + b + 1)) - logit(base)
+                said[0] = 0  # abstains
+                total += said[code]
+            new = 1 / (1 + np.exp(-np.clip(total, -40, 40)))
+            if post is not None and np.abs(new - post).max() < 1e-6:
                 return new
             post = new
         return post
 
-    if not total:
-        return start
-    post = fit([[j] for j in range(voters)], start)
+    post = fit([[j] for j in range(voters)])
     groups: list[list[int]] = [[j] for j in range(voters)]
     pairs = []
     for share in (post, 1 - post):
@@ -193,7 +223,7 @@ def label_model(masks: np.ndarray, counts: np.ndarray, rounds: int = 60) -> np.n
         if a is not b and len(a) + len(b) <= GROUP:
             groups.remove(b)
             a += b
-    return fit(groups, post) if len(groups) < voters else post
+    return fit(groups) if len(groups) < voters else post
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 30) -> np.ndarray:
@@ -224,9 +254,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from documents and labels.
 
     ``sample`` bounds the labelled rows used; votes are counted over all training
-    documents, labelled or not. Sent to the driver: term counts (the 8 x TERMS best), one
-    row for each vote pattern (2 to the number of voters at most), and a
-    bit set for each sampled row. Without labels, or without a toxic row, nothing
+    documents, labelled or not. Sent to the driver: the CANDIDATES best terms, one
+    row for each vote pattern (2 to the number of voters at most), and the
+    candidates of each sampled row. Without labels, or without a toxic row, nothing
     can be learnt and the model scores everything 0.
     """
     spark = docs.sparkSession
@@ -237,8 +267,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if not toxic or not clean:
         return Model()
     # bounded: at most ``sample`` ids
-    chosen = F.broadcast(spark.createDataFrame(picked, "doc_id long, toxic int"))
-    labelled = texts.join(chosen, "doc_id").select("text", "toxic")
+    picked_rows = F.broadcast(spark.createDataFrame(picked, "doc_id long, toxic int"))
+    labelled = texts.join(picked_rows, "doc_id").select("text", "toxic")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,10 +288,30 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         .agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
         .where((F.col("a") >= LEAST_ROWS) & (lift >= LEAST_LIFT))
         .orderBy((F.col("a") * F.log(lift)).desc(), "term")
-        .limit(8 * TERMS)
+        .limit(CANDIDATES)
     )
-    terms = _choose([tuple(r) for r in best.collect()], toxic, clean)
-    model = Model(terms, [i % LEXICONS if i < 8 * LEXICONS else -1 for i in range(len(terms))])
+    candidates = tuple(sorted(r["term"] for r in best.collect()))
+
+    def row(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column(0).to_pylist()
+        found = [features(t, candidates) for t in texts]
+        return pa.RecordBatch.from_arrays(
+            [
+                batch.column(1),
+                pa.array([sorted(h) for h, _ in found], pa.list_(pa.int32())),
+                pa.array([p for _, p in found], pa.list_(pa.bool_())),
+                pa.array([copy_key(t) for t in texts], pa.int64()),
+            ],
+            names=["toxic", "hits", "patterns", "copies"],
+        )
+
+    rows = map_batches(labelled, row, "toxic int, hits array<int>, patterns array<boolean>, copies long")
+    rows = rows.orderBy("copies", "toxic", "hits", "patterns").collect()  # at most ``sample`` rows, unless ids repeat
+    size = Counter(r["copies"] for r in rows)
+    weight = np.array([1 / size[r["copies"]] for r in rows])
+    chosen_terms = _choose(list(candidates), [r["hits"] for r in rows], np.array([r["toxic"] == 1 for r in rows]), weight)
+    terms = [candidates[t] for t in chosen_terms]
+    model = Model(terms, [i % LEXICONS for i in range(len(terms))])
     names, lexicon = model.key()
 
     def vote(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -269,24 +319,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], names=["mask", "n"])
 
     patterns = map_batches(texts.select("text"), vote, "mask long, n long").groupBy("mask").agg(F.sum("n").alias("n")).orderBy("mask").collect()
+    place = {t: i for i, t in enumerate(chosen_terms)}
+    held = [({place[t] for t in r["hits"] if t in place}, r["patterns"]) for r in rows]
+    own = [votes(h, p, lexicon) for h, p in held]
+    told = [Counter(m for m, r in zip(own, rows) if (r["toxic"] == 1) == y) for y in (True, False)]
     masks = np.array([r["mask"] for r in patterns], dtype=np.int64)
-    posterior = dict(zip(masks.tolist(), label_model(masks, np.array([r["n"] for r in patterns])).tolist()))
-
-    def row(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [features(t, names) for t in batch.column(0).to_pylist()]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([sorted(h) for h, _ in found], pa.list_(pa.int32())), pa.array([p for _, p in found], pa.list_(pa.bool_()))],
-            names=["hits", "patterns"],
-        )
+    on, off = (np.array([float(c[m]) for m in masks.tolist()]) for c in told)
+    posterior = dict(zip(masks.tolist(), label_model(masks, np.array([r["n"] for r in patterns]), on, off).tolist()))
 
-    rows = map_batches(labelled.select("text"), row, "hits array<int>, patterns array<boolean>")
-    grouped = rows.groupBy("hits", "patterns").agg(F.count("*").alias("n")).collect()  # at most ``sample`` rows
-    x = np.stack([_row(set(r["hits"]), r["patterns"], len(names)) for r in grouped]) if grouped else np.zeros((0, len(names) + len(_PATTERNS) + 1))
-    y = np.array([posterior.get(votes(set(r["hits"]), r["patterns"], lexicon), 0.0) for r in grouped])
-    n = np.sqrt(np.array([float(r["n"]) for r in grouped]))
-    # equal rows weigh as often as they occur
-    times = np.repeat(np.arange(len(grouped)), [r["n"] for r in grouped]) if len(n) else np.zeros(0, dtype=int)
-    model.weights = _logistic(x[times], y[times]).tolist() if len(times) else []
+    x = np.stack([_row(h, p, len(names)) for h, p in held])
+    y = np.array([posterior.get(m, 0.0) for m in own])
+    model.weights = _logistic(x, y).tolist()
     return model
 
 
