@@ -111,11 +111,11 @@ def _json(df, spark, label: str) -> str:
     return path
 
 
-def _inverted(text):
-    tokens = F.split(text, " ")
-    return F.map_from_entries(F.transform(
-        F.array_distinct(tokens),
-        lambda w: F.struct(w, F.filter(F.transform(tokens, lambda t, i: F.when(t == w, i)), lambda p: p.isNotNull()))))
+def _inverted(df, keys, text):
+    """(keys, index): word -> its positions, for every row with a word."""
+    words_at = df.select(*keys, F.posexplode(F.split(text, " ")).alias("pos", "word")).where("word <> ''")
+    places = words_at.groupBy(*keys, "word").agg(F.array_sort(F.collect_list("pos")).alias("places"))
+    return places.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("word", "places"))).alias("index"))
 
 
 _FLAT = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
@@ -124,8 +124,8 @@ _FLAT = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
 @query("invert_abstract_index", f"select conv_id, turn, md5({_FLAT}) as text_md5 from conversations where {_FLAT} <> ''")
 def invert_abstract_index(spark, sf):
     flat = words.collapse(F.col("text"))
-    turns = corpus.table(spark, sf, "conversations").withColumn("flat", flat).where("flat <> ''")
-    rebuilt = providers.invert_abstract_index(_inverted(F.col("flat")))
+    turns = _inverted(corpus.table(spark, sf, "conversations"), ["conv_id", "turn"], flat)
+    rebuilt = providers.invert_abstract_index(F.col("index"))
     return turns.select("conv_id", "turn", F.md5(rebuilt.cast("binary")).alias("text_md5"))
 
 
@@ -133,13 +133,14 @@ _OPEN = "full_text_availability = 'open-access-full-text'"
 
 
 @query("scan_openalex_works", with_(REC, f"""select 'openalex' as source, 'https://works.example/' || paper_id as source_id, nullif(trim(title), '') as title,
-  md5(coalesce(nullif(trim(regexp_replace(title, '\\s+', ' ', 'g')), ''), '')) as abstract_md5, doi, pmid, pmcid, journal, published_year, citation_count,
+  md5(trim(regexp_replace(coalesce(abstract, ''), '\\s+', ' ', 'g'))) as abstract_md5, doi, pmid, pmcid, journal, published_year, citation_count,
   source || '; ' || lang as authors_flat, case when {_OPEN} then 'open-access-full-text' else 'abstract-only' end as full_text_availability from rec"""))
 def scan_openalex_works(spark, sf):
     r = corpus.records(spark, sf).join(corpus.table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), "lang"), "ord")
-    works = r.select(
+    abstracts = _inverted(r, ["ord"], words.collapse(F.coalesce("abstract", F.lit(""))))
+    works = r.join(abstracts, "ord", "left").select(
         F.concat(F.lit("https://works.example/"), "paper_id").alias("id"), F.concat(F.lit(providers.DOI_URL), "doi").alias("doi"), "title",
-        _inverted(words.collapse(F.col("title"))).alias("abstract_inverted_index"),
+        F.col("index").alias("abstract_inverted_index"),
         F.struct(F.lit(None).cast("string").alias("landing_page_url"), F.struct(F.col("journal").alias("display_name")).alias("source")).alias("primary_location"),
         F.col("published_year").alias("publication_year"), F.col("citation_count").alias("cited_by_count"),
         F.array(*[F.struct(F.struct(n.alias("display_name")).alias("author")) for n in (F.col("source"), F.lit(" "), F.col("lang"))]).alias("authorships"),
@@ -169,7 +170,8 @@ def scan_crossref_works(spark, sf):
     return out.select("source", "source_id", "title", md5("abstract"), "doi", "published_year", "authors_flat", "full_text_availability")
 
 
-@query("scan_europe_pmc", with_(REC, """select 'europe-pmc' as source, paper_id as source_id, nullif(trim(title), '') as title, doi, pmid, pmcid, published_year, citation_count,
+@query("scan_europe_pmc", with_(REC, """select 'europe-pmc' as source, paper_id as source_id, nullif(trim(title), '') as title, md5(trim(coalesce(abstract, ''))) as abstract_md5,
+  journal, source as authors_flat, doi, pmid, pmcid, published_year, citation_count,
   case when pmcid is not null then 'open-access-full-text' when doi is not null then 'full-text-link' else 'abstract-only' end as full_text_availability from rec"""))
 def scan_europe_pmc(spark, sf):
     r = corpus.records(spark, sf)
@@ -179,13 +181,15 @@ def scan_europe_pmc(spark, sf):
                      F.col("source").alias("authorString"), F.col("citation_count").alias("citedByCount"),
                      F.struct(urls.alias("fullTextUrl")).alias("fullTextUrlList"))
     out = providers.scan_europe_pmc(spark, _json(works, spark, "epmc"))
-    return out.select("source", "source_id", "title", "doi", "pmid", "pmcid", "published_year", "citation_count", "full_text_availability")
+    return out.select("source", "source_id", "title", md5("abstract"), "journal", "authors_flat", "doi", "pmid", "pmcid", "published_year",
+                      "citation_count", "full_text_availability")
 
 
 _CLEAN = "trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
 
 
 @query("scan_pubmed_xml", with_(REC, f"""select 'pubmed:' || ord as source_id, nullif(trim(regexp_replace({_CLEAN.format(c='title')}, '\\.$', '')), '') as title,
+  md5(trim({_CLEAN.format(c="regexp_replace(coalesce(abstract, ''), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', ' ', 'g')")} || ' part two')) as abstract_md5,
   doi, cast(ord as varchar) as pmid, pmcid, journal, published_year, source || ' X; ' || lang as authors_flat,
   case when pmcid is not null then 'open-access-full-text' else 'abstract-only' end as full_text_availability from rec where {_CLEAN.format(c='title')} <> ''"""))
 def scan_pubmed_xml(spark, sf):
@@ -196,6 +200,11 @@ def scan_pubmed_xml(spark, sf):
     def ident(kind: str, col: str):
         return F.when(F.col(col).isNotNull(), F.struct(F.lit(kind).alias("_IdType"), F.col(col).alias("_VALUE")))
 
+    body = words.collapse(F.regexp_replace(F.coalesce("abstract", F.lit("")), "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]", " "))
+
+    def part(label: str, value):
+        return F.struct(F.lit(label).alias("_Label"), value.alias("_VALUE"))
+
     def author(last, initials):
         return F.struct(last.alias("LastName"), initials.alias("Initials"))
 
@@ -204,7 +213,7 @@ def scan_pubmed_xml(spark, sf):
         F.struct(F.struct(F.col("published_year").cast("string").alias("Year")).alias("PubDate")).alias("JournalIssue"))
     article = F.struct(
         journal.alias("Journal"), clean.alias("ArticleTitle"),
-        F.struct(F.array(F.struct(F.lit("A").alias("_Label"), F.lit("part one").alias("_VALUE"))).alias("AbstractText")).alias("Abstract"),
+        F.struct(F.array(part("A", F.nullif(body, F.lit(""))), part("B", F.lit("part two"))).alias("AbstractText")).alias("Abstract"),
         F.struct(F.array(author(F.col("source"), F.lit("X")), author(F.col("lang"), F.lit(None).cast("string"))).alias("Author"))
         .alias("AuthorList"))
     path = fresh_path(spark, "pubmed")
@@ -215,16 +224,21 @@ def scan_pubmed_xml(spark, sf):
         .alias("PubmedData"),
     ).write.format("xml").option("rootTag", "PubmedArticleSet").option("rowTag", "PubmedArticle").save(path)
     out = providers.scan_pubmed_xml(spark, path)
-    return out.select("source_id", "title", "doi", "pmid", "pmcid", "journal", "published_year", "authors_flat", "full_text_availability")
+    return out.select("source_id", "title", md5("abstract"), "doi", "pmid", "pmcid", "journal", "published_year", "authors_flat",
+                      "full_text_availability")
 
 
 # -- fallbacks ----------------------------------------------------------------
 
 
-@query("primary_else_fallback", with_(REC, "select ord, true as used_fallback from rec where lang <> 'en'"))
+@query("primary_else_fallback", with_(REC, """select 'without' as state, ord, true as used_fallback from rec
+  union all select 'with', ord, false from rec where lang = 'en'"""))
 def primary_else_fallback(spark, sf):
+    """Both states: without a primary row every fallback row counts, with one none does."""
     r = corpus.records(spark, sf).select("ord", "domain")
-    return landing.primary_else_fallback(r.where("domain = 'none'"), r.where("domain <> 'islets'")).select("ord", "used_fallback")
+    without = landing.primary_else_fallback(r.where("domain = 'none'"), r).withColumn("state", F.lit("without"))
+    primary = landing.primary_else_fallback(r.where("domain = 'islets'"), r).withColumn("state", F.lit("with"))
+    return without.unionByName(primary).select("state", "ord", "used_fallback")
 
 
 @query("retain_prior_on_empty", with_(REC, f"""select domain, count(*) as n, {q(landing.KEPT_PRIOR)} as reason from rec group by 1
