@@ -70,18 +70,17 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return back
 
 
-def discard(*tables: DataFrame) -> None:
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete stored stages that nothing reads any more, and have Spark drop the shuffle files of finished jobs.
 
     Spark drops those when the driver collects its garbage, which may be long after they have filled a disk.
     """
-    gc.collect()
+    jvm = spark.sparkContext._jvm
     for df in tables:
-        jvm = df.sparkSession.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(df._stored_at)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    if tables:
-        jvm.System.gc()
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 def tasks_for(df: DataFrame) -> int:

@@ -17,12 +17,14 @@ and a signature made of such cells is shared by both (PartEnum). In detail:
   differs from any partner in at most h elements leaves out (c - 1 - h) / 2, and two such
   sets still share a signature.
 
-Equal sets are one node, found by their hash before any signature is made. All
-nodes with one signature form a bucket; each is compared with the bucket's
-first. Where such a comparison fails, the others of that bucket are
-compared too, in rounds, until every pair of the bucket is compared or known to be in
-one component. So no link between components is lost, and pairs are not
-enumerated inside a group of near copies that hangs together anyway.
+Equal sets are one node, found by their hash before any signature is made. Nodes
+with one signature form a bucket. Inside a bucket pairs are told apart by short
+parity sketches: one bit for each of many cells, the parity of the elements
+there. A differing element turns one bit, so sets whose sketches differ in more bits
+than they may in elements are no link, for certain. Of the pairs that remain a bucket
+sends a spanning forest, not all. All links lie inside the components of those
+forests, so each component is gathered once, with whole texts, and its pairs are
+compared exactly; large components are cut into tiles, in which any two nodes meet.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, small_batches, stored, tasks_for
@@ -50,14 +52,20 @@ SPARE = 0.05
 AGAIN = 3
 #: Text bytes for each partition of signatures.
 PARTITION = 16 << 20
-#: Nodes of an open bucket that all others are compared with in the first round; eight times as many in each later one.
-REPRESENTATIVES = 8
-#: Words remembered by a worker.
-CACHE = 400_000
+#: Bits of a parity sketch for each element of the band's largest set.
+BITS = 1
+#: Nodes that one task compares with each other; larger buckets and components are cut into tiles.
+TILE = 4096
+#: Numbers of a product of set matrices held at a time.
+CELLS = 4_000_000
+#: Bytes from which a word is hashed on its own.
+LONG_WORD = 256
 
 _U = np.uint64
 _ODD = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-_known: dict[bytes, int] = {}
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[list(b"\t\n\v\f\r ")] = True
+_LOWEST = np.array([(1 << (8 * i)) - 1 for i in range(9)], dtype=np.uint64)
 
 
 def _mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -67,33 +75,60 @@ def _mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of the runs of ``words`` words; fewer words make one run; empty without words."""
-    tokens = text.encode().lower().split() if text else []  # bytes: A-Z only, and ASCII white space
-    if not tokens:
-        return np.zeros(0, dtype=np.uint64)
-    if len(tokens) < words:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(tokens), seed=len(tokens))], dtype=np.uint64)
-    try:
-        values = list(map(_known.__getitem__, tokens))
-    except KeyError:
-        if len(_known) > CACHE:
-            _known.clear()
-        for t in set(tokens):
-            if t not in _known:
-                _known[t] = xxhash.xxh64_intdigest(t)
-        values = [_known[t] for t in tokens]
-    w = np.array(values, dtype=np.uint64)
-    n = len(w) - words + 1
-    run = w[:n] * _ODD[0]
-    for j in range(1, words):
-        run += _mixed(w[j : j + n], j) * _ODD[j % 5]
-    return np.unique(_mixed(run))
-
-
-def identity(elements: np.ndarray) -> tuple[int, int]:
-    """Two independent hashes of a set."""
-    return tuple(int(_mixed(elements, s).sum(dtype=np.uint64).astype(np.int64)) for s in (11, 12))
+def _word_hashes(data: bytes, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words of ``data``, eight bytes of each at a time; eight bytes follow the last."""
+    eight = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
+    out = length.astype(np.uint64) * _ODD[1]
+    at, left, open_ = start, length, np.flatnonzero(length < LONG_WORD)
+    at, left = at[open_], left[open_]
+    while len(open_):
+        held = eight[at] & _LOWEST[np.minimum(left, 8)]
+        mixed = (out[open_] ^ held) * _ODD[0]
+        out[open_] = (mixed ^ (mixed >> _U(29))) * _ODD[4]
+        more = left > 8
+        open_, at, left = open_[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(length >= LONG_WORD).tolist():
+        out[i] = xxhash.xxh64_intdigest(data[start[i] : start[i] + length[i]])
+    return out ^ (out >> _U(32))
+
+
+def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of its runs of ``words`` words; fewer words make one run; empty without words."""
+    rows = [t.encode().lower() if t else b"" for t in texts]  # bytes: A-Z only
+    data = b"\n".join([*rows, b"\0" * 8])
+    begin = np.cumsum([0, *(len(r) + 1 for r in rows)])
+    blank = _SPACE[np.frombuffer(data, dtype=np.uint8)[: begin[-1]]]
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8)))
+    start, end = edge[::2], edge[1::2]
+    w = _word_hashes(data, start, end - start)
+    run = np.zeros(max(0, len(w) - words + 1), dtype=np.uint64)
+    for j in range(words):
+        run += w[j : j + len(run)] * _ODD[j % 5] * _U(2 * (j // 5) + 1)
+    run = _mixed(run)
+    first = np.searchsorted(start, begin).tolist()
+    out = []
+    for a, b in zip(first, first[1:]):
+        if b - a >= words:
+            out.append(np.unique(run[a : b - words + 1]))
+        elif b > a:
+            whole = sum(int(x) * (2 * j + 3) * 0x9E3779B97F4A7C15 for j, x in enumerate(w[a:b].tolist())) + b - a
+            out.append(_mixed(np.array([whole & 0xFFFFFFFFFFFFFFFF], dtype=np.uint64), 9))
+        else:
+            out.append(np.zeros(0, dtype=np.uint64))
+    return out
+
+
+def identities(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of each set; 0 for an empty one."""
+    sizes = np.array([len(e) for e in sets])
+    out = np.zeros((2, len(sets)), dtype=np.int64)
+    full = np.flatnonzero(sizes)
+    if len(full):
+        all_ = np.concatenate(sets)
+        at = (np.cumsum(sizes) - sizes)[full]
+        for k in (0, 1):
+            out[k, full] = np.add.reduceat(_mixed(all_, 11 + k), at).view(np.int64)
+    return out[0], out[1]
 
 
 @lru_cache(maxsize=8)
@@ -128,10 +163,11 @@ def plan(size: int, percent: int = PERCENT) -> list[tuple[int, int, int, bool]]:
     return out
 
 
-def signatures(elements: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """PartEnum signatures of a set."""
-    out = []
+def signatures(elements: np.ndarray, percent: int = PERCENT) -> list[tuple[int, np.ndarray]]:
+    """PartEnum signatures of a set, by space."""
+    spaces = []
     for space, cells, leave, small in plan(len(elements), percent):
+        out: list[np.ndarray] = []
         for seed in range(AGAIN + 1 if small else 1):
             hashed = _mixed(elements, 1000 + 8 * space + seed)
             cell = ((hashed >> _U(32)) * _U(cells) >> _U(32)).astype(np.int64)
@@ -157,7 +193,15 @@ def signatures(elements: np.ndarray, percent: int = PERCENT) -> np.ndarray:
                 out.append(_mixed(s[use, a] * _ODD[1] + s[use, b] * _ODD[3] + tag + (parts[use] * _U(3) + _U(subset)) * _ODD[2]))
             if not empty:
                 break
-    return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
+        spaces.append((space, np.concatenate(out)))
+    return spaces
+
+
+def sketch(elements: np.ndarray, space: int, percent: int = PERCENT) -> bytes:
+    """Parity of the elements in each cell, a bit for each; all sets of a space have the same cells."""
+    words = -(-BITS * int(_bands(percent)[space]) // 64)
+    cell = ((_mixed(elements, 500 + space) >> _U(32)) * _U(64 * words) >> _U(32)).astype(np.int64)
+    return np.packbits((np.bincount(cell, minlength=64 * words) & 1).astype(np.uint8)).tobytes()
 
 
 def members(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
@@ -167,12 +211,11 @@ def members(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text in batch.column(2).to_pylist():
-                e = shingles(text, words)
-                rows.append((len(e), *identity(e)) if len(e) else (0, None, None))
+            sets = shingle_sets(batch.column(2).to_pylist(), words)
+            sizes = np.array([len(e) for e in sets], dtype=np.int64)
+            node, proof = identities(sets)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], *[pa.array(c, pa.int64()) for c in zip(*rows)]] if rows else [*batch.columns[:2], *[pa.array([], pa.int64())] * 3],
+                [*batch.columns[:2], pa.array(sizes), pa.array(node, mask=sizes == 0), pa.array(proof, mask=sizes == 0)],
                 names=["doc_id", "text_hash", "n_shingles", "node", "proof"],
             )
 
@@ -181,97 +224,212 @@ def members(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
 
 
 def _signed(df: DataFrame, text_col: str, parts: int, words: int, percent: int) -> DataFrame:
-    """(part, held): signatures with their nodes, packed by partition; a node signs once in a batch."""
+    """(part, held): signatures with their nodes, packed by partition; a node signs once in a batch.
+
+    ``held``: the number of runs; for each run its node, its space and its number of signatures; the signatures.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            signs, nodes, seen = [], [], set()
-            for text in batch.column(0).to_pylist():
-                e = shingles(text, words)
-                if len(e) and (node := identity(e)[0]) not in seen:
-                    seen.add(node)
-                    s = signatures(e, percent)
+            sets = shingle_sets(batch.column(0).to_pylist(), words)
+            signs, nodes, spaces = [np.zeros(0, dtype=np.uint64)], [], []
+            for node, e in {n: e for n, e in zip(identities(sets)[0].tolist(), sets) if len(e)}.items():
+                for space, s in signatures(e, percent):
                     signs.append(s)
-                    nodes.append(np.full(len(s), node, dtype=np.int64))
-            if not sum(map(len, signs)):
+                    nodes.append(node)
+                    spaces.append(space)
+            many = [len(s) for s in signs[1:]]
+            sign, run_of = np.concatenate(signs), np.repeat(np.arange(len(many)), many)
+            if not len(sign):
                 continue
-            sign, node = np.concatenate(signs), np.concatenate(nodes)
+            node, space = np.array(nodes, dtype="<i8"), np.array(spaces, dtype="<u4")
             part = (sign % _U(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
-            part, sign, node = part[order], (sign[order] >> _U(32)).astype("<u4"), node[order]
+            part, sign, run_of = part[order], (sign[order] >> _U(32)).astype("<u4"), run_of[order]
             head = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             blobs = []
             for a, b in zip(head.tolist(), [*head[1:].tolist(), len(part)]):
-                first = np.flatnonzero(np.concatenate([[True], node[a + 1 : b] != node[a : b - 1]]))
-                many = np.diff(np.concatenate([first, [b - a]])).astype("<u4")
-                blobs.append(np.array([len(first)], "<u4").tobytes() + node[a:b][first].astype("<i8").tobytes() + many.tobytes() + sign[a:b].tobytes())
+                runs, count = np.unique(run_of[a:b], return_counts=True)
+                blobs.append(
+                    b"".join(x.tobytes() for x in (np.array([len(runs)], "<u4"), node[runs], space[runs], count.astype("<u4"), sign[a:b]))
+                )
             yield pa.RecordBatch.from_arrays([pa.array(part[head]), pa.array(blobs, pa.binary())], names=["part", "held"])
 
     return df.select(text_col).mapInArrow(run, "part long, held binary")
 
 
 def _buckets(signed: DataFrame) -> DataFrame:
-    """(bucket, node, first): nodes that share a signature, with the first of them.
-
-    Of a pair only the second is listed, without a bucket. Buckets with the same nodes
-    are listed once for a partition.
-    """
+    """(bucket, space, node): nodes that share a signature; buckets with the same nodes once for a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         for batch in batches:
             for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 n = int(np.frombuffer(blob, "<u4", 1)[0])
                 nodes = np.frombuffer(blob, "<i8", n, 4)
-                many = np.frombuffer(blob, "<u4", n, 4 + 8 * n)
-                held.setdefault(part, []).append((np.frombuffer(blob, "<u4", -1, 4 + 12 * n), np.repeat(nodes, many)))
+                spaces, many = np.frombuffer(blob, "<u4", n, 4 + 8 * n), np.frombuffer(blob, "<u4", n, 4 + 12 * n)
+                held.setdefault(part, []).append((np.frombuffer(blob, "<u4", -1, 4 + 16 * n), np.repeat(nodes, many), np.repeat(spaces, many)))
         for chunks in held.values():
-            sign = np.concatenate([c[0] for c in chunks])
-            node = np.concatenate([c[1] for c in chunks])
-            order = np.lexsort((node, sign))
-            sign, node = sign[order], node[order]
-            new = np.concatenate([[True], (sign[1:] != sign[:-1]) | (node[1:] != node[:-1])])  # a node may come from many batches
-            sign, node = sign[new], node[new]
-            head = np.flatnonzero(np.concatenate([[True], sign[1:] != sign[:-1]]))
-            size = np.diff(np.concatenate([head, [len(sign)]]))
-            shared = size > 1
-            if not shared.any():
+            sign, node, space = (np.concatenate([c[i] for c in chunks]) for i in range(3))
+            chunks.clear()
+            order = np.argsort((sign.astype(np.uint64) << _U(16)) | space.astype(np.uint64))
+            sign, node, space = sign[order], node[order], space[order]
+            new = np.concatenate([[True], (sign[1:] != sign[:-1]) | (space[1:] != space[:-1])])
+            group = np.cumsum(new) - 1
+            shared = np.bincount(group)[group] > 1  # most signatures are alone and go
+            group, node, space = group[shared], node[shared], space[shared]
+            order = np.lexsort((node, group))
+            group, node, space = group[order], node[order], space[order]
+            new = np.concatenate([[True], (group[1:] != group[:-1]) | (node[1:] != node[:-1])]) if len(group) else np.zeros(0, dtype=bool)
+            group, node, space = group[new], node[new], space[new]  # a node may come from many batches
+            if not len(group):
                 continue
-            names = np.add.reduceat(_mixed(node.view(np.uint64), 77), head)
-            _, once = np.unique(names[shared], return_index=True)
-            head, size, names = head[shared][once], size[shared][once], names[shared][once]
-            at = np.repeat(head - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-            first = np.repeat(node[head], size)
-            bucket = np.repeat(names.view(np.int64), size)
-            pair = np.repeat(size == 2, size)
-            keep = ~pair | (node[at] != first)
+            head = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            size = np.diff(np.concatenate([head, [len(group)]]))
+            names = _mixed(np.add.reduceat(_mixed(node.view(np.uint64), 77), head) + space[head].astype(np.uint64) * _ODD[2])
+            many = np.flatnonzero(size > 1)
+            _, once = np.unique(names[many], return_index=True)
+            many = many[once]
+            head, size, names = head[many], size[many], names[many]
+            at = np.repeat(head - (np.cumsum(size) - size), size) + np.arange(size.sum())
             out = pa.RecordBatch.from_arrays(
-                [pa.array(bucket[keep], mask=pair[keep]), pa.array(node[at][keep]), pa.array(first[keep])], names=["bucket", "node", "first"]
+                [pa.array(np.repeat(names.view(np.int64), size)), pa.array(space[at].astype(np.int32)), pa.array(node[at])],
+                names=["bucket", "space", "node"],
             )
             for k in range(0, out.num_rows, 1 << 16):
                 yield out.slice(k, 1 << 16)
 
-    return signed.mapInArrow(run, "bucket long, node long, first long")
+    return signed.mapInArrow(run, "bucket long, space int, node long")
 
 
-def _compared(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b, linked) of pairs of nodes, by their whole sets."""
+def _sketched(df: DataFrame, text_col: str, words: int, percent: int) -> DataFrame:
+    """(node, space, size, bits): the sketch of each node in each space where it signs; once in a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int | None, np.ndarray] = (None, np.zeros(0, dtype=np.uint64))
         for batch in batches:
-            linked = []
-            for a, text_a, text_b in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
-                if a != last[0]:
-                    last = (a, shingles(text_a, words))
-                other = shingles(text_b, words)
-                both = len(np.intersect1d(last[1], other, assume_unique=True))
-                linked.append(100 * both >= percent * (len(last[1]) + len(other) - both))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+            sets = shingle_sets(batch.column(0).to_pylist(), words)
+            rows = []
+            for node, e in {n: e for n, e in zip(identities(sets)[0].tolist(), sets) if len(e)}.items():
+                rows += [(node, space, len(e), sketch(e, space, percent)) for space, *_ in plan(len(e), percent)]
+            if rows:
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["node", "space", "size", "bits"])
+
+    return df.select(text_col).mapInArrow(run, "node long, space int, size int, bits binary").dropDuplicates(["node", "space"])
+
+
+def _tiled(rows: DataFrame, group: str) -> DataFrame:
+    """``rows`` with (tile, half): nodes of a group of over TILE are dealt to blocks, and any two blocks meet in a tile.
+
+    Half 0 and 1 tell the two blocks of a tile apart; in a tile of one block all are 0.
+    """
+    large = rows.groupBy(group).count().where(F.col("count") > TILE).select(group, F.ceil(F.col("count") / TILE).cast("int").alias("_blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_blocks"), F.lit(1)) - 1))
+    met = rows.join(large, group, "left").withColumn("_own", F.coalesce(own, F.lit(0))).withColumn("_other", other)
+    tile = F.least("_own", "_other") * (1 << 15) + F.greatest("_own", "_other")
+    return met.withColumns({"tile": tile, "half": (F.col("_own") > F.col("_other")).cast("int")}).drop("_own", "_other", "_blocks")
+
 
-    b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, linked boolean")
+class _Forest:
+    """Components of nodes given by place."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def join(self, i: int, near: np.ndarray) -> list[int]:
+        """Join ``i`` with the places ``near``; one place of each component that was not yet joined with it."""
+        roots, first = np.unique(self.root[near], return_index=True)
+        new = roots != self.root[i]
+        if new.any():
+            self.root[np.isin(self.root, roots[new])] = self.root[i]
+        return near[first[new]].tolist()
+
+
+def _likely(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): for each bucket a spanning forest of the pairs that sketches do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets: dict[tuple[int, int], list[tuple]] = {}
+        for batch in batches:
+            for bucket, tile, half, node, size, bits in zip(*(c.to_pylist() for c in batch.columns)):
+                buckets.setdefault((bucket, tile), []).append((half, node, size, bits))
+        found: set[tuple[int, int]] = set()
+        for members_ in buckets.values():
+            members_.sort(key=lambda m: (m[0], m[1]))
+            bits = np.frombuffer(b"".join(m[3] for m in members_), dtype=np.uint64).reshape(len(members_), -1)
+            size = np.array([m[2] for m in members_], dtype=np.int64)
+            half = sum(m[0] == 0 for m in members_) if members_[-1][0] else 0
+            forest = _Forest(len(members_))
+            for i in range(half or len(members_) - 1):
+                from_ = half or i + 1
+                differ = np.bitwise_count(bits[from_:] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                most = (size[from_:] + size[i]) * (100 - percent) // (100 + percent)
+                near = np.minimum(size[from_:], size[i]) * 100 >= percent * np.maximum(size[from_:], size[i])
+                for j in forest.join(i, np.flatnonzero((differ <= most) & near) + from_):
+                    found.add((members_[i][1], members_[j][1]))
+        pairs = sorted(found)
+        for at in range(0, len(pairs), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs[at : at + (1 << 16)])], names=["a", "b"])
+
+    return rows.select("bucket", "tile", "half", "node", "size", "bits").mapInArrow(run, "a long, b long")
+
+
+def _links(sets: list[np.ndarray], half: int, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among sets (between the first ``half`` and the others, if given), by place.
+
+    Intersections are products of the sets as rows of a matrix, with a column for each element that two sets hold.
+    """
+    n = len(sets)
+    size = np.array([len(e) for e in sets])
+    all_ = np.concatenate(sets)
+    values, number, times = np.unique(all_, return_inverse=True, return_counts=True)
+    shared = times > 1
+    column = np.cumsum(shared) - 1
+    row = np.repeat(np.arange(n), size)[shared[number]]
+    column = column[number[shared[number]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    width = max(64, CELLS // n)
+    cuts = np.searchsorted(column, np.arange(0, int(shared.sum()) + width, width))
+    firsts = half or n
+    step = max(1, CELLS // n)
+    kind = np.float32 if size.max() < 1 << 24 else np.float64  # counts stay exact
+    forest, found = _Forest(n), []
+    for lo in range(0, firsts, step):
+        hi = min(firsts, lo + step)
+        both = np.zeros((hi - lo, n), dtype=kind)
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            held = np.zeros((n, width), dtype=kind)
+            held[row[a:b], column[a:b] - k * width] = 1
+            both += held[lo:hi] @ held.T
+        for i in range(lo, hi):
+            from_ = half or i + 1
+            inside = both[i - lo, from_:].astype(np.int64)
+            linked = 100 * inside >= percent * (size[from_:] + size[i] - inside)
+            found += [(i, j) for j in forest.join(i, np.flatnonzero(linked) + from_)]
+    return found
+
+
+def _exact(rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): spanning forests of the links in each component, or tile of one, by whole sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict[tuple[int, int], list[tuple]] = {}
+        for batch in batches:
+            label, tile, half, node = (batch.column(i).to_pylist() for i in range(4))
+            for k, e in enumerate(shingle_sets(batch.column(4).to_pylist(), words)):
+                groups.setdefault((label[k], tile[k]), []).append((half[k], node[k], e))
+        found: list[tuple[int, int]] = []
+        while groups:
+            _, members_ = groups.popitem()
+            members_.sort(key=lambda m: (m[0], m[1]))
+            half = sum(m[0] == 0 for m in members_) if members_[-1][0] else 0
+            found += [(members_[i][1], members_[j][1]) for i, j in _links([m[2] for m in members_], half, percent)]
+        for at in range(0, len(found), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found[at : at + (1 << 16)])], names=["a", "b"])
+
+    return rows.select("label", "tile", "half", "node", "text").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -291,11 +449,11 @@ def components(edges: DataFrame) -> DataFrame:
         now = stored(
             spread.join(ahead, "label").select("node", "old", F.least("label", "far").alias("label")), "labels"
         )
-        discard(*earlier)
+        discard(edges.sparkSession, *earlier)
         earlier = [now]
         labels = now.select("node", "label")
         if now.where("old <> label").isEmpty():
-            discard(both)
+            discard(edges.sparkSession, both)
             return labels
 
 
@@ -325,13 +483,13 @@ def similar(df: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: s
         raise RuntimeError("two sets share a 64-bit hash")
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     parts = max(tasks_for(df), -(-total // PARTITION))
-    buckets = stored(_buckets(_signed(docs, "text", parts, words, percent).repartition(parts, "part")), "buckets")
-    pairs = buckets.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = stored(pairs, "pairs")
+    buckets = _buckets(_signed(docs, "text", parts, words, percent).repartition(parts, "part"))
+    buckets = stored(buckets.dropDuplicates(["bucket", "node"]), "buckets")
+    discard(df.sparkSession)
     labels = known.limit(0).select("node", F.lit(0).cast("long").alias("label"))
-    if not pairs.isEmpty():
-        labels = _linked(docs, nodes, known, buckets, pairs, words, percent)
-    discard(buckets, pairs)
+    if not buckets.isEmpty():
+        labels = _linked(docs, nodes, buckets, words, percent, parts)
+    discard(df.sparkSession, buckets)
     grouped = known.select("node", "low").join(labels, "node").groupBy("label").agg(F.min("low").alias("_lowest"))
     linked = labels.join(grouped, "label").select("node", "label", "_lowest")
     own = known.select("node", "low").join(linked, "node", "left").select(
@@ -346,52 +504,45 @@ def similar(df: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: s
     )
 
 
-def _linked(docs: DataFrame, nodes: DataFrame, known: DataFrame, buckets: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) of the wanted nodes, each from the one row that stands for it.
+
+    Few texts are wanted, so Spark is told to build a Bloom filter of their hashes and to drop other
+    rows before the shuffle. The filter has a fixed largest size; beyond it only more rows travel.
+    """
+    spark = docs.sparkSession
+    settings = {
+        "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+        "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+        "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        rows = docs.withColumn("text_hash", F.xxhash64("text")).join(wanted.where("rows > 0"), "text_hash")
+        rows = rows.where(F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text")
+        return stored(rows.dropDuplicates(["node"]), "texts")
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _linked(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, words: int, percent: int, parts: int) -> DataFrame:
     """(node, label): components of the nodes that link with another."""
-    wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
-    wanted = wanted.join(known, "node").select("node", "text_hash")
-    texts = (
-        docs.withColumn("text_hash", F.xxhash64("text"))
-        .join(wanted.join(nodes.groupBy("node", "text_hash").agg(F.min("doc_id").alias("_id")), ["node", "text_hash"]), "text_hash")
-        .where(F.col("doc_id").eqNullSafe(F.col("_id")))
-        .select("node", "text")
-    )
-    texts = stored(texts.dropDuplicates(["node"]), "texts")
-    results = [stored(_compared(pairs, texts, words, percent), "compared")]
-    labels = components(results[0].where("linked"))
-    failed = results[0].where("not linked")
-    # buckets in which a comparison failed: their other pairs may still be links
-    opened = (
-        buckets.where(F.col("bucket").isNotNull())
-        .join(failed.select(F.col("a").alias("first"), F.col("b").alias("node")), ["first", "node"], "left_semi")
-        .select("bucket")
-        .distinct()
+    spark = docs.sparkSession
+    rows = _tiled(buckets.join(_sketched(docs, "text", words, percent), ["node", "space"]), "bucket")
+    forest = stored(_likely(rows.repartition(parts, "bucket", "tile"), percent).distinct(), "forest")
+    discard(spark)
+    likely = components(forest)
+    wanted = nodes.join(likely.select("node"), "node", "left_semi")
+    wanted = wanted.groupBy("node").agg(
+        F.min(F.struct("text_hash", F.col("doc_id").isNull().alias("none"), "doc_id")).alias("one"), F.count("*").alias("rows")
     )
-    open_ = stored(buckets.join(opened, "bucket", "left_semi").select("bucket", "node").distinct(), "open")
-    largest = open_.groupBy("bucket").count().agg(F.max("count")).first()[0] or 0
-    count = REPRESENTATIVES
-    while largest:
-        own = open_.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("node", F.lit(count)), "node"))
-        heads = own.withColumn("_place", place).where(F.col("_place") <= count).select("bucket", F.col("node").alias("x"), F.col("label").alias("lx"))
-        more = (
-            own.join(heads, "bucket")
-            .where("label <> lx")
-            .select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"))
-            .distinct()
-        )
-        for done in results:
-            more = more.join(done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-        more = stored(more, "pairs")
-        if not more.isEmpty():
-            results.append(stored(_compared(more, texts, words, percent), "compared"))
-            if not results[-1].where("linked").isEmpty():
-                edges = results[0]
-                for r in results[1:]:
-                    edges = edges.unionAll(r)
-                labels = components(edges.where("linked"))
-        if count >= largest:
-            break
-        count *= 8
-    discard(texts, open_, *results)
+    wanted = stored(wanted.select("node", F.col("one.text_hash").alias("text_hash"), F.col("one.doc_id").alias("_id"), "rows"), "wanted")
+    texts = _texts(docs, wanted)
+    rows = _tiled(likely, "label").join(texts, "node")
+    links = stored(_exact(rows.repartition(parts, "label", "tile"), words, percent), "links")
+    labels = components(links)
+    discard(spark, wanted, texts, forest, links)
     return labels
