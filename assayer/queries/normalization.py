@@ -73,16 +73,14 @@ def mentions(spark, sf):
 
 @query(
     "parse_measurements",
-    with_(_RAW, _PARSE, f"""select kind, u as unit, count(*) as n, sum(cast(v as double)) as total, min({sql.number_text(
-        'cast(v as double)')} || ' ' || u) as first_text, count(*) filter (where v is null) as unparsed
-        from parsed group by 1, 2"""),
+    with_(_RAW, _PARSE, f"""select l_orderkey, l_linenumber, kind, u as unit, cast(v as double) as value,
+        {sql.number_text('cast(v as double)')} || ' ' || u as text from parsed"""),
 )
 def parse_measurements(spark, sf):
     out = normalize.parse_measurements(mentions(spark, sf))
     m = F.col("measurement")
-    return out.groupBy("kind", m.unit.alias("unit")).agg(
-        F.count("*").alias("n"), F.sum(m["value"]).alias("total"), F.min(m.text).alias("first_text"),
-        F.count_if(m.isNull()).alias("unparsed"),
+    return out.select(
+        "l_orderkey", "l_linenumber", "kind", m.unit.alias("unit"), m["value"].alias("value"), m.text.alias("text")
     )
 
 
@@ -91,27 +89,25 @@ _RATE_UNITS = ("min", "hour", "s", "sec", "h", "per min", "zz")
 
 @query(
     "parse_rates",
-    with_(f"""rate_raw as (select case l_linestatus when 'O' then 'warming' else 'cooling' end as phase,
+    with_(f"""rate_raw as (select l_orderkey, l_linenumber, case l_linestatus when 'O' then 'warming' else 'cooling' end as phase,
         case l_returnflag when 'R' then '-' else '' end || cast(l_quantity as varchar) || ' C' ||
         case when l_linenumber = 6 then ' per min' else '/' || {_pick(_RATE_UNITS)} end as raw from lineitem)""",
           f"""rated as (select *, coalesce({', '.join(_extract('raw', p, 1) for p in measures.RATES)}) as v,
         coalesce({', '.join(_extract('raw', p, 3) for p in measures.RATES)}) as per from rate_raw)""",
-          f"""select phase, case when phase = 'warming' or cast(v as double) > 0 then 'warming-rate' else 'cooling-rate' end
-        as kind, 'C/' || {_unit_case('per', measures.DURATION_UNITS)} as unit, count(*) as n, sum(cast(v as double)) as total
-        from rated where v is not null group by all"""),
+          f"""select l_orderkey, l_linenumber, phase, case when phase = 'warming' or cast(v as double) > 0 then 'warming-rate' else 'cooling-rate' end
+        as kind, 'C/' || {_unit_case('per', measures.DURATION_UNITS)} as unit, cast(v as double) as value from rated where v is not null"""),
 )
 def parse_rates(spark, sf):
     amount = F.col("l_quantity").cast("string")
     unit = F.element_at(F.array(*[F.lit(v) for v in _RATE_UNITS]), F.col("l_linenumber"))
     tail = F.when(F.col("l_linenumber") == 6, F.lit(" per min")).otherwise(F.concat(F.lit("/"), unit))
     lines = corpus.table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber",
         F.when(F.col("l_linestatus") == "O", "warming").otherwise("cooling").alias("phase"),
         F.concat(F.when(F.col("l_returnflag") == "R", "-").otherwise(""), amount, F.lit(" C"), tail).alias("raw"),
     )
-    out = normalize.parse_rates(lines, F.array("raw")).select("phase", F.explode("rates").alias("m"))
-    return out.groupBy("phase", F.col("m.kind").alias("kind"), F.col("m.unit").alias("unit")).agg(
-        F.count("*").alias("n"), F.sum("m.value").alias("total")
-    )
+    out = normalize.parse_rates(lines, F.array("raw")).withColumn("m", F.explode("rates"))
+    return out.select("l_orderkey", "l_linenumber", "phase", "m.kind", "m.unit", "m.value")
 
 
 @query(
