@@ -10,8 +10,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 from functools import lru_cache
-from re import _constants as ops
-from re import _parser as parser
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -53,41 +51,55 @@ def _best(options: list[frozenset[str]]) -> frozenset[str] | None:
     return max(usable, key=lambda o: (min(map(len, o)), -len(o)), default=None)
 
 
-def _literals(sequence) -> frozenset[str] | None:
-    options: list[frozenset[str]] = []
-    run = ""
+#: One piece of a pattern: a look-around or group opener, a class, an escape, a repeat, or a character.
+_PIECE = re.compile(r"\(\?(?:[:=!]|<[=!])|\(|\)|\||\[\^?\]?(?:\\.|[^\]])*\]|\\.|[*+?]\??|\{\d+(?:,\d*)?\}|.", re.S)
+_ESCAPED_CLASS = set("bBdDsSwW")
+
+
+def _alternatives(pieces: list[str]) -> frozenset[str] | None:
+    """Literals of an alternation, up to its closing bracket: one set for all branches, or none."""
+    branches = [_branch(pieces)]
+    while pieces and pieces[0] == "|":
+        pieces.pop(0)
+        branches.append(_branch(pieces))
+    return frozenset().union(*branches) if all(branches) else None
 
-    def flush() -> None:
-        nonlocal run
-        if run:
-            options.append(frozenset([run.lower()]))
-        run = ""
 
-    for op, arg in sequence:
-        if op is ops.LITERAL:
-            run += chr(arg)
-        elif op is ops.AT:
+def _branch(pieces: list[str]) -> frozenset[str] | None:
+    """The best literals that every match of one branch contains."""
+    options: list[frozenset[str]] = []
+    run = ""
+    while pieces and pieces[0] not in "|)":
+        piece = pieces.pop(0)
+        inner, literal = None, ""
+        if piece.startswith("("):
+            inner = _alternatives(pieces)
+            pieces.pop(0)  # its bracket
+            if piece not in ("(", "(?:"):
+                inner = None  # look-arounds match nothing themselves
+        elif piece in (r"\b", r"\B", "^", "$"):
             continue
-        else:
-            flush()
-            inner = None
-            if op is ops.SUBPATTERN:
-                inner = _literals(arg[3])
-            elif op is ops.MAX_REPEAT and arg[0] >= 1:
-                inner = _literals(arg[2])
-            elif op is ops.BRANCH:
-                branches = [_literals(b) for b in arg[1]]
-                inner = frozenset().union(*branches) if all(branches) else None
-            if inner:
+        elif piece.startswith("\\"):
+            literal = "" if piece[1] in _ESCAPED_CLASS else piece[1]
+        elif piece[0] != "[" and piece != ".":
+            literal = piece
+        repeat = pieces.pop(0) if pieces and re.fullmatch(r"[*+?]\??|\{.*\}", pieces[0]) else ""
+        needed = not repeat.startswith(("*", "?", "{0"))
+        if literal and needed:
+            run += literal
+        if not literal or repeat:  # what follows need not stand next to it
+            options.append(frozenset([run.lower()] if run else []))
+            run = ""
+            if inner and needed:
                 options.append(inner)
-    flush()
+    options.append(frozenset([run.lower()] if run else []))
     return _best(options)
 
 
 @lru_cache(maxsize=4096)
 def required_literals(pattern: str) -> tuple[str, ...]:
     """Lower-case strings one of which every match contains; empty if none is known."""
-    found = _literals(parser.parse(pattern.removeprefix("(?i)")))
+    found = _alternatives(_PIECE.findall(pattern.removeprefix("(?i)")))
     return tuple(sorted(found)) if found else ()
 
 
