@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -39,3 +39,17 @@ def string_array(values: Sequence[str]) -> Column:
 
 def or_empty(values: Column, element: str = "string") -> Column:
     return F.coalesce(values, F.array().cast(f"array<{element}>"))
+
+
+def first_per(values: Column, key: Callable[[Column], Column]) -> Column:
+    """The first element of each key, in order: one sort, where comparing with all earlier elements would be quadratic."""
+
+    def heads(placed: Column) -> Column:
+        return F.filter(placed, lambda x, j: (j == 0) | ~F.get(placed, j - 1)["k"].eqNullSafe(x["k"]))
+
+    def chosen(vs: Column) -> Column:
+        placed = F.array_sort(F.transform(vs, lambda v, i: F.struct(key(v).alias("k"), i.alias("i"))))
+        first = F.get(F.transform(F.array(placed), heads), 0)
+        return F.transform(F.array_sort(F.transform(first, lambda x: x["i"])), lambda i: F.get(vs, i))
+
+    return F.get(F.transform(F.array(values), chosen), 0)

@@ -22,8 +22,10 @@ MATCHED_TITLE = r"(?i)matched-species"
 # -- contradictions and the wedge ---------------------------------------------
 
 
-def contradiction_confounds(pairs: DataFrame, evidence: DataFrame, wedges: DataFrame, titles: DataFrame) -> DataFrame:
-    """Wedge-relevant contradictions with their likely confounds, at most 8 per domain.
+def contradiction_confounds(
+    pairs: DataFrame, evidence: DataFrame, wedges: DataFrame, titles: DataFrame, limit: int = REPORT_LIMIT
+) -> DataFrame:
+    """Wedge-relevant contradictions with their likely confounds, at most ``limit`` per domain.
 
     ``pairs`` is the bounded contradiction list. Where titles repeat, the last
     paper of a title counts.
@@ -44,7 +46,7 @@ def contradiction_confounds(pairs: DataFrame, evidence: DataFrame, wedges: DataF
     )
     any_direct = rows.groupBy("domain").agg(F.bool_or("_direct").alias("_any"))
     chosen = rows.join(any_direct, "domain").where(F.col("_direct") | (~F.col("_any") & F.col("_context")))
-    top = top_per(chosen, ["domain"], REPORT_LIMIT, "pair")
+    top = top_per(chosen, ["domain"], limit, "pair")
     # only the few reported titles are looked up, so this side is tiny
     wanted = top.select("domain", F.explode(F.array("title_a", "title_b")).alias("title")).distinct()
     facts = (
@@ -89,14 +91,14 @@ def contradiction_confounds(pairs: DataFrame, evidence: DataFrame, wedges: DataF
 # -- packets ------------------------------------------------------------------
 
 
-def top_packets(hypotheses: DataFrame, wedges: DataFrame) -> DataFrame:
-    """Up to three experiments per domain: the selected hypothesis, then by priority."""
+def top_packets(hypotheses: DataFrame, wedges: DataFrame, limit: int = PACKET_LIMIT) -> DataFrame:
+    """Up to ``limit`` experiments per domain: the selected hypothesis, then by priority."""
     chosen = wedges.select("domain", F.col("claim_id").alias("_selected"), F.col("dominant_chemicals").alias("_chem"))
     rows = hypotheses.where("category <> 'workflow-gap'").join(chosen, "domain", "left").withColumn(
         "selected", F.col("claim_id") == F.col("_selected")
     )
     return top_per(
-        rows.drop("rank"), ["domain"], PACKET_LIMIT, F.desc("selected"), F.desc("priority_score"), "claim_id"
+        rows.drop("rank"), ["domain"], limit, F.desc("selected"), F.desc("priority_score"), "claim_id"
     ).drop("_selected")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config.defaults import BACKBONE_PHASES, CONDITION_PHASES, PHASE_RANK
+from ..functions.arrays import first_per
 from ..functions.measures import PARSERS, parse_concentration, parse_duration, parse_rate, parse_temperature
 from ..functions.numbers import fixed
 from ..functions.text import matches
@@ -141,14 +142,7 @@ def _condition(phase: Column, chemical: Column, m: Column, source: str, confiden
 
 def distinct_conditions(conditions: Column) -> Column:
     """First condition per (phase, label, source)."""
-
-    def is_first(c: Column, i: Column) -> Column:
-        earlier = F.slice(conditions, F.lit(1), i)
-        return ~F.exists(
-            earlier, lambda e: (e.phase == c.phase) & (e.label == c.label) & (e.source == c.source)
-        )
-
-    return F.filter(conditions, is_first)
+    return first_per(conditions, lambda c: F.struct(c.phase, c.label, c.source))
 
 
 def step_conditions(steps: Column, mentions: Column) -> Column:

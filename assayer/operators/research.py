@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..config import DomainProfile, Registry
 from ..config.defaults import BASE_CHEMICALS
 from ..config.model import Pick
-from ..functions.arrays import labels_where, or_empty, string_array
+from ..functions.arrays import first_per, labels_where, or_empty, string_array
 from ..functions.numbers import clamp, fixed
 from ..functions.text import matches, slug
 from ..session import cut
@@ -290,8 +290,8 @@ def _template_values(members: DataFrame) -> DataFrame:
     )
 
 
-def _supported(members: DataFrame, registry: Registry) -> DataFrame:
-    """(domain, template) whose count rule holds; at most five per domain, in order."""
+def _supported(members: DataFrame, registry: Registry, limit: int) -> DataFrame:
+    """(domain, template) whose count rule holds; at most ``limit`` per domain, in order."""
     counts = (
         members.select("domain", F.inline("_uses"))
         .where("kind = 'count'")
@@ -311,16 +311,16 @@ def _supported(members: DataFrame, registry: Registry) -> DataFrame:
         return out
 
     held = counts.where(registry.by_domain(F.col("domain"), rule))
-    return top_per(held, ["domain"], TEMPLATE_LIMIT, "template").select("domain", "template", "counts")
+    return top_per(held, ["domain"], limit, "template").select("domain", "template", "counts")
 
 
-def hypothesis_templates(evidence: DataFrame, registry: Registry) -> DataFrame:
+def hypothesis_templates(evidence: DataFrame, registry: Registry, limit: int = TEMPLATE_LIMIT) -> DataFrame:
     """Supported templates with their chemicals, specimens and families.
 
     Titles can be unlimited, so they stay rows: see ``template_titles``.
     """
     members = _memberships(evidence, registry)
-    held = _supported(members, registry)
+    held = _supported(members, registry, limit)
     small = ranked(_template_values(members).where("kind <> 'titles'"), ["domain", "template", "kind"], "seen")
 
     def spec(d: DomainProfile) -> Column:
@@ -365,21 +365,19 @@ def hypothesis_templates(evidence: DataFrame, registry: Registry) -> DataFrame:
     )
 
 
-def template_titles(evidence: DataFrame, registry: Registry) -> DataFrame:
+def template_titles(evidence: DataFrame, registry: Registry, limit: int = TEMPLATE_LIMIT) -> DataFrame:
     """(domain, template, title, place) of the papers a supported template names."""
     members = _memberships(evidence, registry)
-    held = _supported(members, registry).select("domain", "template")
-    titles = _template_values(members).where("kind = 'titles'").join(
-        held, ["domain", "template"]
-    )  # at most TEMPLATE_LIMIT rows per registered domain
+    held = _supported(members, registry, limit).select("domain", "template")
+    titles = _template_values(members).where("kind = 'titles'").join(held, ["domain", "template"])
 
-    def limit(d: DomainProfile) -> Column:
+    def own_limit(d: DomainProfile) -> Column:
         out = F.lit(None).cast("int")
         for i, t in enumerate(d.templates):
             out = F.when(F.col("template") == i, F.lit(t.titles.limit).cast("int")).otherwise(out)
         return out
 
-    marked = titles.withColumn("_limit", registry.by_domain(F.col("domain"), limit))
+    marked = titles.withColumn("_limit", registry.by_domain(F.col("domain"), own_limit))
     most = max((t.titles.limit or 0 for d in registry.domains for t in d.templates), default=0)
     limited = top_per(marked.where("_limit is not null"), ["domain", "template"], max(most, 1), "seen").where(
         F.col("rank") <= F.col("_limit")
@@ -899,12 +897,9 @@ def condition_frequency(normalized: DataFrame, limit: int = 3, preferred: Column
         F.col("c.phase").isin("cooling", "warming", "unloading"), 2
     ).otherwise(1)
 
-    def first_of_label(values: Column) -> Column:
-        return F.filter(values, lambda c, i: ~F.exists(F.slice(values, F.lit(1), i), lambda e: e.label == c.label))
-
     chosen = normalized.withColumn("_chosen", F.when(F.size(stated) > 0, stated).otherwise(conditions))
     counts = (
-        chosen.select("domain", "family", F.explode(first_of_label(F.col("_chosen"))).alias("c"))
+        chosen.select("domain", "family", F.explode(first_per(F.col("_chosen"), lambda c: c.label)).alias("c"))
         .groupBy("domain", "family", F.col("c.label").alias("label"))
         .agg(
             F.count("*").alias("papers"),
