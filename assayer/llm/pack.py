@@ -29,25 +29,28 @@ GRAIN = 64
 #: Groups above this part of a shard are split, into pieces of SPLIT of a shard.
 WHOLE = 0.5
 SPLIT = 0.25
+#: What a shard may hold of the other totals beyond its even share, so that they don't keep bytes from coming out even.
+SLACK = 0.01
 #: Bytes a row costs besides its text.
 ROW_BYTES = 16
 
 
 def place(demands: np.ndarray, shards: int) -> np.ndarray:
-    """Shard of each item; ``demands`` holds an item's share of each total, one row per item.
+    """Shard of each item; ``demands`` holds an item's share of each total, one row per item, bytes first.
 
     Items go in order of their largest share. Each goes to the shard where the
     dot product of demand and residual capacity is highest among those where it
-    fits; if it fits nowhere, to the shard that it fills least.
+    fits; if it fits nowhere, to the shard with most bytes left, as bytes are the law.
     """
     out = np.zeros(len(demands), dtype=np.int64)
-    left = np.full((shards, demands.shape[1]), 1.0 / shards)
+    capacity = np.array([1.0, *[1 + SLACK] * (demands.shape[1] - 1)]) / shards
+    left = np.tile(capacity, (shards, 1))
     for i in np.lexsort((np.arange(len(demands)), -demands.sum(1), -demands.max(1))):
         room = (left >= demands[i] - 1e-12).all(axis=1)
         if room.any():
             out[i] = np.argmax(np.where(room, left @ demands[i], -np.inf))
         else:
-            out[i] = np.argmax((left - demands[i]).min(axis=1))
+            out[i] = np.argmax(left[:, 0])
         left[out[i]] -= demands[i]
     return out
 
