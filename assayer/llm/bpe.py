@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import map_batches
 
 #: Fragments remembered by a worker, and the longest one worth remembering.
-CACHE = 300_000
+CACHE = 200_000
 LONGEST = 48
 #: Fragments handled at a time, so that a very long text needs little memory.
 CHUNK = 1 << 16
@@ -203,5 +203,20 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     )
 
 
+def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``decode(encode(df))`` in one pass, so that a task needs one worker with one vocabulary, not two."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = codec(path)
+        ids = [own.encode(t) if t else b"" for t in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([own.decode(x) for x in ids], pa.string())],
+            names=[id_col, "n_tokens", "ids", "decoded"],
+        )
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return map_batches(df.select(id_col, text_col), run, f"`{id_col}` {kind}, n_tokens long, ids binary, decoded string")
+
+
 def digest(column: str) -> Column:
     return F.sha2(F.col(column), 256)

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, small_batches, stored, tasks_for
+from .common import discard, map_partitions, small_batches, stored, tasks_for
 
 WORDS = 5
 #: Similarity of a link, in hundredths.
@@ -220,7 +220,7 @@ def members(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
             )
 
     rows = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, n_shingles long, node long, proof long")
+    return map_partitions(rows, run, f"doc_id {kind}, text_hash long, n_shingles long, node long, proof long")
 
 
 def _signed(df: DataFrame, text_col: str, parts: int, words: int, percent: int) -> DataFrame:
@@ -255,7 +255,7 @@ def _signed(df: DataFrame, text_col: str, parts: int, words: int, percent: int)
                 )
             yield pa.RecordBatch.from_arrays([pa.array(part[head]), pa.array(blobs, pa.binary())], names=["part", "held"])
 
-    return df.select(text_col).mapInArrow(run, "part long, held binary")
+    return map_partitions(df.select(text_col), run, "part long, held binary")
 
 
 def _buckets(signed: DataFrame) -> DataFrame:
@@ -299,7 +299,7 @@ def _buckets(signed: DataFrame) -> DataFrame:
             for k in range(0, out.num_rows, 1 << 16):
                 yield out.slice(k, 1 << 16)
 
-    return signed.mapInArrow(run, "bucket long, space int, node long")
+    return map_partitions(signed, run, "bucket long, space int, node long")
 
 
 def _sketched(df: DataFrame, text_col: str, words: int, percent: int) -> DataFrame:
@@ -315,7 +315,7 @@ def _sketched(df: DataFrame, text_col: str, words: int, percent: int) -> DataFra
                 kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["node", "space", "size", "bits"])
 
-    return df.select(text_col).mapInArrow(run, "node long, space int, size int, bits binary").dropDuplicates(["node", "space"])
+    return map_partitions(df.select(text_col), run, "node long, space int, size int, bits binary").dropDuplicates(["node", "space"])
 
 
 def _tiled(rows: DataFrame, group: str) -> DataFrame:
@@ -372,7 +372,7 @@ def _likely(rows: DataFrame, percent: int) -> DataFrame:
         for at in range(0, len(pairs), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs[at : at + (1 << 16)])], names=["a", "b"])
 
-    return rows.select("bucket", "tile", "half", "node", "size", "bits").mapInArrow(run, "a long, b long")
+    return map_partitions(rows.select("bucket", "tile", "half", "node", "size", "bits"), run, "a long, b long")
 
 
 def _links(sets: list[np.ndarray], half: int, percent: int) -> list[tuple[int, int]]:
@@ -429,7 +429,7 @@ def _exact(rows: DataFrame, words: int, percent: int) -> DataFrame:
         for at in range(0, len(found), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found[at : at + (1 << 16)])], names=["a", "b"])
 
-    return rows.select("label", "tile", "half", "node", "text").mapInArrow(run, "a long, b long")
+    return map_partitions(rows.select("label", "tile", "half", "node", "text"), run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

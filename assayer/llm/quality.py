@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bisect, map_batches, small_batches, stored
+from .common import bisect, map_batches, map_partitions, small_batches, stored
 
 #: Buckets that n-grams are hashed into, and the pseudo-count of each.
 BUCKETS = 10_000
@@ -70,7 +70,7 @@ def counted(df: DataFrame, size: int = BUCKETS) -> DataFrame:
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], names=["bucket", "n"])
 
-    return df.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    return map_partitions(df.select("text"), run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 def log_ratios(target: DataFrame, raw: DataFrame, size: int = BUCKETS, smoothing: float = SMOOTHING) -> np.ndarray:

@@ -37,7 +37,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_bpe_codec")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    coded = bpe.decode(bpe.encode(documents(spark, sf_dir), path), path)
+    coded = bpe.round_trip(documents(spark, sf_dir), path)
     return coded.select("doc_id", "n_tokens", bpe.digest("ids").alias("ids_sha256"), bpe.digest("decoded").alias("decoded_sha256"))
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, small_batches, stored, tasks_for
+from .common import discard, map_partitions, small_batches, stored, tasks_for
 
 LENGTH = 200
 #: Bytes of an anchor.
@@ -280,7 +280,7 @@ def _anchored(rows: DataFrame, length: int) -> DataFrame:
                 )
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=_SEGMENTS)
 
-    return rows.select("key", "text").mapInArrow(run, "deal long, anchor long, key long, first int, more short, known boolean, leads boolean")
+    return map_partitions(rows.select("key", "text"), run, "deal long, anchor long, key long, first int, more short, known boolean, leads boolean")
 
 
 def _repeated(dealt: DataFrame) -> DataFrame:
@@ -299,7 +299,7 @@ def _repeated(dealt: DataFrame) -> DataFrame:
         for at in range(0, out.num_rows, 1 << 16):
             yield out.slice(at, 1 << 16)
 
-    return dealt.mapInArrow(run, "key long, anchor long, first int, last int")
+    return map_partitions(dealt, run, "key long, anchor long, first int, last int")
 
 
 _OUT = "deal long, key long, start int, stop int, anchor long, content binary, many boolean"
@@ -329,7 +329,7 @@ def _cut_out(joined: DataFrame, length: int) -> DataFrame:
                 names = [x.split()[0] for x in _OUT.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    return joined.select("key", "text", "parts").mapInArrow(run, _OUT)
+    return map_partitions(joined.select("key", "text", "parts"), run, _OUT)
 
 
 def _marked(dealt: DataFrame, length: int) -> DataFrame:
@@ -379,7 +379,7 @@ def _marked(dealt: DataFrame, length: int) -> DataFrame:
             part = zip(*found[at : at + (1 << 16)])
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(part, (pa.int64(), pa.int32(), pa.int32()))], names=["key", "start", "stop"])
 
-    return dealt.mapInArrow(run, "key long, start int, stop int")
+    return map_partitions(dealt, run, "key long, start int, stop int")
 
 
 def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -433,4 +433,4 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
 
     whole = rows.join(spans, "key", "left").select("doc_id", "text", "found")
     kind = df.schema[id_col].dataType.simpleString()
-    return whole.mapInArrow(run, f"doc_id {kind}, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    return map_partitions(whole, run, f"doc_id {kind}, n_bytes long, spans array<struct<start:bigint,end:bigint>>, kept binary")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, small_batches
+from .common import map_batches, map_partitions, small_batches
 
 #: Labelled rows that terms are chosen from and the classifier is fitted on, at most.
 SAMPLE = 20_000
@@ -271,7 +271,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     labelled = texts.join(picked_rows, "doc_id").select("text", "toxic")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 64) for b in batches for at in range(0, b.num_rows, 64)):
             on, off = Counter(), Counter()
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 (on if y == 1 else off).update(candidate_terms(text))
@@ -283,7 +283,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     lift = (F.col("a") / toxic) / ((F.col("b") + 0.5) / clean)
     best = (
-        labelled.mapInArrow(count, "term string, a long, b long")
+        map_partitions(labelled, count, "term string, a long, b long")
         .groupBy("term")
         .agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
         .where((F.col("a") >= LEAST_ROWS) & (lift >= LEAST_LIFT))

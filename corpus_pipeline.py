@@ -50,7 +50,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as token ids (little-endian unsigned 32-bit integers), with a check that they decode to the text."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    coded = bpe.decode(bpe.encode(docs, path), path)
+    coded = bpe.round_trip(docs, path)
     return coded.select("doc_id", "n_tokens", "ids", bpe.digest("ids").alias("ids_sha256"), bpe.digest("decoded").alias("decoded_sha256"))
 
 

@@ -73,6 +73,8 @@ def test_codec_on_awkward_rows(spark, library):
         ids = library.encode(t or "", add_special_tokens=False).ids
         want.append((i or -1, len(ids), np.array(ids, "<u4").tobytes(), library.decode(ids, skip_special_tokens=False)))
     assert got == sorted(want)
+    once = bpe.round_trip(table(spark, rows), BYTE)
+    assert sorted((r.doc_id or -1, r.n_tokens, bytes(r.ids), r.decoded) for r in once.collect()) == got
     assert bpe.encode(table(spark, []), BYTE).count() == 0
 
 
