@@ -5,8 +5,10 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import time
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -87,17 +89,39 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return back
 
 
-def discard(spark: SparkSession, *tables: DataFrame) -> None:
+def discard(spark: SparkSession, *tables: DataFrame, wait: float = 0.3) -> None:
     """Delete stored stages that nothing reads any more, and have Spark drop the shuffle files of finished jobs.
 
     Spark drops those when the driver collects its garbage, which may be long after they have filled a disk.
+    It takes two collections with some time between them to let go of the last job, and files are deleted in
+    the background; ``wait`` is the seconds after each.
     """
     jvm = spark.sparkContext._jvm
     for df in tables:
         path = jvm.org.apache.hadoop.fs.Path(df._stored_at)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        jvm.System.gc()
+        time.sleep(wait)
+
+
+@contextmanager
+def bloom_joins(spark: SparkSession) -> Iterator[None]:
+    """Inner joins planned inside may drop rows before their shuffle by a Bloom filter of the other side's keys.
+
+    Spark does so by itself for large scans. The filter has a fixed largest size; beyond it only more rows travel.
+    """
+    prefix = "spark.sql.optimizer.runtime.bloomFilter."
+    settings = {"enabled": "true", "applicationSideScanSizeThreshold": "0", "creationSideThreshold": "1g"}
+    before = {k: spark.conf.get(prefix + k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(prefix + k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(prefix + k) if v is None else spark.conf.set(prefix + k, v)
 
 
 def tasks_for(df: DataFrame) -> int:

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, map_partitions, small_batches, stored, tasks_for
+from .common import bloom_joins, discard, map_partitions, small_batches, stored, tasks_for
 
 WORDS = 5
 #: Similarity of a link, in hundredths.
@@ -507,25 +507,12 @@ def similar(df: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: s
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, text) of the wanted nodes, each from the one row that stands for it.
 
-    Few texts are wanted, so Spark is told to build a Bloom filter of their hashes and to drop other
-    rows before the shuffle. The filter has a fixed largest size; beyond it only more rows travel.
+    Few texts are wanted, so rows are dropped by a Bloom filter before the shuffle.
     """
-    spark = docs.sparkSession
-    settings = {
-        "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
-        "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
-        "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g",
-    }
-    before = {k: spark.conf.get(k, None) for k in settings}
-    for k, v in settings.items():
-        spark.conf.set(k, v)
-    try:
+    with bloom_joins(docs.sparkSession):
         rows = docs.withColumn("text_hash", F.xxhash64("text")).join(wanted.where("rows > 0"), "text_hash")
         rows = rows.where(F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text")
         return stored(rows.dropDuplicates(["node"]), "texts")
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def _linked(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, words: int, percent: int, parts: int) -> DataFrame:

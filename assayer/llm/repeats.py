@@ -37,6 +37,8 @@ GRAM = 32
 CHUNK = 1 << 20
 PARTITION = 8 << 20
 BLOCK = 1 << 18
+#: Seconds that Spark gets to delete the shuffle files of a stage before the next one writes its own.
+CLEAN_UP = 1.0
 
 _U = np.uint64
 _MIX = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -305,8 +307,19 @@ def _repeated(dealt: DataFrame) -> DataFrame:
 _OUT = "deal long, key long, start int, stop int, anchor long, content binary, many boolean"
 
 
+def _merged(intervals: list[list[int]]) -> list[list[int]]:
+    """Intervals in order, those that overlap or touch as one."""
+    out: list[list[int]] = []
+    for start, stop in sorted(intervals):
+        if out and start <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], stop)
+        else:
+            out.append([start, stop])
+    return out
+
+
 def _cut_out(joined: DataFrame, length: int) -> DataFrame:
-    """Bytes of the repeated segments, dealt by anchor; of equal ones in a batch only one travels."""
+    """Bytes of the repeated segments, dealt by anchor; of equal ones in a batch only one travels, the others as merged intervals."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -314,16 +327,18 @@ def _cut_out(joined: DataFrame, length: int) -> DataFrame:
             rows: list[list] = []
             for key, text, parts in zip(*(c.to_pylist() for c in batch.columns)):
                 data = text.encode()
+                known: list[list[int]] = []
                 for part in parts:
                     first, anchor = part["first"], part["anchor"]
                     content = data[first : part["last"] + length]
                     stop = first + len(content)
                     if content in seen:
                         rows[seen[content]][6] = True
-                        rows.append([key ^ first, key, first, stop, anchor, None, True])
+                        known.append([first, stop])
                     else:
                         seen[content] = len(rows)
                         rows.append([anchor, key, first, stop, anchor, content, False])
+                rows += [[key ^ first, key, first, stop, 0, None, True] for first, stop in _merged(known)]
             if rows:
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.bool_())
                 names = [x.split()[0] for x in _OUT.split(", ")]
@@ -403,11 +418,11 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     parts = max(tasks_for(df), -(-total // PARTITION))
     repeated = stored(_repeated(_anchored(rows, length).repartition(parts, "deal")), "segments")
-    discard(df.sparkSession)
+    discard(df.sparkSession, wait=CLEAN_UP)
     lists = repeated.groupBy("key").agg(F.collect_set(F.struct("anchor", "first", "last")).alias("parts"))
-    contents = _cut_out(rows.join(lists, "key"), length)
-    marked = stored(_marked(contents.repartition(parts, "deal"), length), "spans")
-    discard(df.sparkSession, repeated)
+    marked = stored(_marked(_cut_out(rows.join(lists, "key"), length).repartition(parts, "deal"), length), "spans")
+    del lists
+    discard(df.sparkSession, repeated, wait=CLEAN_UP)
     spans = marked.groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -415,12 +430,7 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
             sizes, merged, kept = [], [], []
             for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 data = text.encode()
-                runs: list[list[int]] = []
-                for s in sorted((s["start"], s["stop"]) for s in found or ()):
-                    if runs and s[0] <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], s[1])
-                    else:
-                        runs.append(list(s))
+                runs = _merged([[s["start"], s["stop"]] for s in found or ()])
                 cuts = [0, *[x for r in runs for x in r], len(data)]
                 kept.append(b"".join(data[a:b] for a, b in zip(cuts[::2], cuts[1::2])))
                 merged.append([{"start": a, "end": b} for a, b in runs])
