@@ -24,7 +24,9 @@ there. A differing element turns one bit, so sets whose sketches differ in more
 than they may in elements are no link, for certain. Of the pairs that remain a bucket
 sends a spanning forest, not all. All links lie inside the components of those
 forests, so each component is gathered once, with whole texts, and its pairs are
-compared exactly; large components are cut into tiles, in which any two nodes meet.
+compared exactly; large components are cut into tiles, in which any two nodes meet
+once. A spanning forest of the links goes on to the components; the links themselves
+are counted there, for each node by the rows of the nodes it links with.
 """
 
 from __future__ import annotations
@@ -375,8 +377,9 @@ def _likely(rows: DataFrame, percent: int) -> DataFrame:
     return map_partitions(rows.select("bucket", "tile", "half", "node", "size", "bits"), run, "a long, b long")
 
 
-def _links(sets: list[np.ndarray], half: int, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sets (between the first ``half`` and the others, if given), by place.
+def _links(sets: list[np.ndarray], half: int, percent: int, copies: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """A spanning forest of the links among sets (between the first ``half`` and the others, if given), by place;
+    and for each set the ``copies`` of all sets it links with.
 
     Intersections are products of the sets as rows of a matrix, with a column for each element that two sets hold.
     """
@@ -396,6 +399,7 @@ def _links(sets: list[np.ndarray], half: int, percent: int) -> list[tuple[int, i
     step = max(1, CELLS // n)
     kind = np.float32 if size.max() < 1 << 24 else np.float64  # counts stay exact
     forest, found = _Forest(n), []
+    met = np.zeros(n, dtype=np.int64)
     for lo in range(0, firsts, step):
         hi = min(firsts, lo + step)
         both = np.zeros((hi - lo, n), dtype=kind)
@@ -407,29 +411,41 @@ def _links(sets: list[np.ndarray], half: int, percent: int) -> list[tuple[int, i
             from_ = half or i + 1
             inside = both[i - lo, from_:].astype(np.int64)
             linked = 100 * inside >= percent * (size[from_:] + size[i] - inside)
-            found += [(i, j) for j in forest.join(i, np.flatnonzero(linked) + from_)]
-    return found
+            near = np.flatnonzero(linked) + from_
+            met[i] += copies[near].sum()
+            met[near] += copies[i]
+            found += [(i, j) for j in forest.join(i, near)]
+    return found, met
 
 
 def _exact(rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b): spanning forests of the links in each component, or tile of one, by whole sets."""
+    """(a, b, met): spanning forests of the links in each component, or tile of one, by whole sets.
+
+    Rows without b have in ``met`` the rows of all nodes that a links with in its component or tile.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups: dict[tuple[int, int], list[tuple]] = {}
         for batch in batches:
-            label, tile, half, node = (batch.column(i).to_pylist() for i in range(4))
+            label, tile, half, node, _, copies = (c.to_pylist() for c in batch.columns)
             for k, e in enumerate(shingle_sets(batch.column(4).to_pylist(), words)):
-                groups.setdefault((label[k], tile[k]), []).append((half[k], node[k], e))
-        found: list[tuple[int, int]] = []
+                groups.setdefault((label[k], tile[k]), []).append((half[k], node[k], e, copies[k]))
+        found: list[tuple[int, int | None, int | None]] = []
         while groups:
-            _, members_ = groups.popitem()
+            (_, tile), members_ = groups.popitem()
             members_.sort(key=lambda m: (m[0], m[1]))
-            half = sum(m[0] == 0 for m in members_) if members_[-1][0] else 0
-            found += [(members_[i][1], members_[j][1]) for i, j in _links([m[2] for m in members_], half, percent)]
+            half = 0
+            if tile >> 15 != tile & 0x7FFF:  # two blocks; the pairs inside each have their own tile
+                half = sum(m[0] == 0 for m in members_)
+                if half in (0, len(members_)):
+                    continue
+            links, met = _links([m[2] for m in members_], half, percent, np.array([m[3] for m in members_], dtype=np.int64))
+            found += [(members_[i][1], members_[j][1], None) for i, j in links]
+            found += [(m[1], None, n) for m, n in zip(members_, met.tolist()) if n]
         for at in range(0, len(found), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found[at : at + (1 << 16)])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found[at : at + (1 << 16)])], names=["a", "b", "met"])
 
-    return map_partitions(rows.select("label", "tile", "half", "node", "text"), run, "a long, b long")
+    return map_partitions(rows.select("label", "tile", "half", "node", "text", "rows"), run, "a long, b long, met long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -458,13 +474,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def similar(df: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, component, text_hash), one row per row of ``df``.
+    """(doc_id, n_shingles, component_id, component, text_hash, n_links), one row per row of ``df``.
 
     Words are lower-cased (A-Z) runs without ASCII white space; a document's set holds its
     distinct shingles of ``words`` words, or its whole word sequence if it has
     fewer. Documents link when 100 * |intersection| >= percent * |union|; a
     component's id is its smallest document id; ``component`` names it by its sets, for
-    tables in which ids repeat. Null and empty texts and texts of
+    tables in which ids repeat; ``n_links`` is the number of other rows that a row links with, its copies included. Null and empty texts and texts of
     white space have no shingles, link with nothing and keep their own id. Repeated rows are
     documents of their own and share a component; a null id does not count for the
     smallest, and stays null where a component has no other. An empty table gives an
@@ -476,7 +492,8 @@ def similar(df: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: s
     member = stored(members(docs, "doc_id", "text", words), "members")
     nodes = member.where(F.col("node").isNotNull())
     known = nodes.groupBy("node").agg(
-        F.min("proof").alias("p"), F.max("proof").alias("q"), F.min("text_hash").alias("text_hash"), F.min("doc_id").alias("low")
+        F.min("proof").alias("p"), F.max("proof").alias("q"), F.min("text_hash").alias("text_hash"), F.min("doc_id").alias("low"),
+        F.count("*").alias("copies"),
     )
     known = stored(known, "nodes")
     if not known.where("p <> q").isEmpty():
@@ -486,14 +503,17 @@ def similar(df: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: s
     buckets = _buckets(_signed(docs, "text", parts, words, percent).repartition(parts, "part"))
     buckets = stored(buckets.dropDuplicates(["bucket", "node"]), "buckets")
     discard(df.sparkSession)
-    labels = known.limit(0).select("node", F.lit(0).cast("long").alias("label"))
+    labels = known.limit(0).select("node", F.lit(0).cast("long").alias("label"), F.lit(0).cast("long").alias("met"))
     if not buckets.isEmpty():
         labels = _linked(docs, nodes, buckets, words, percent, parts)
     discard(df.sparkSession, buckets)
     grouped = known.select("node", "low").join(labels, "node").groupBy("label").agg(F.min("low").alias("_lowest"))
-    linked = labels.join(grouped, "label").select("node", "label", "_lowest")
-    own = known.select("node", "low").join(linked, "node", "left").select(
-        "node", F.when(F.col("label").isNull(), F.col("low")).otherwise(F.col("_lowest")).alias("component_id"), F.coalesce("label", "node").alias("component")
+    linked = labels.join(grouped, "label").select("node", "label", "_lowest", "met")
+    own = known.select("node", "low", "copies").join(linked, "node", "left").select(
+        "node",
+        F.when(F.col("label").isNull(), F.col("low")).otherwise(F.col("_lowest")).alias("component_id"),
+        F.coalesce("label", "node").alias("component"),
+        (F.coalesce("met", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     )
     return member.join(own, "node", "left").select(
         "doc_id",
@@ -501,22 +521,23 @@ def similar(df: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: s
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         "component",
         "text_hash",
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, text) of the wanted nodes, each from the one row that stands for it.
+    """(node, text, rows) of the wanted nodes, each from the one row that stands for it.
 
     Few texts are wanted, so rows are dropped by a Bloom filter before the shuffle.
     """
     with bloom_joins(docs.sparkSession):
         rows = docs.withColumn("text_hash", F.xxhash64("text")).join(wanted.where("rows > 0"), "text_hash")
-        rows = rows.where(F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text")
+        rows = rows.where(F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text", "rows")
         return stored(rows.dropDuplicates(["node"]), "texts")
 
 
 def _linked(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, words: int, percent: int, parts: int) -> DataFrame:
-    """(node, label): components of the nodes that link with another."""
+    """(node, label, met): components of the nodes that link with another, and the rows of all nodes each links with."""
     spark = docs.sparkSession
     rows = _tiled(buckets.join(_sketched(docs, "text", words, percent), ["node", "space"]), "bucket")
     forest = stored(_likely(rows.repartition(parts, "bucket", "tile"), percent).distinct(), "forest")
@@ -530,6 +551,8 @@ def _linked(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, words: int, p
     texts = _texts(docs, wanted)
     rows = _tiled(likely, "label").join(texts, "node")
     links = stored(_exact(rows.repartition(parts, "label", "tile"), words, percent), "links")
-    labels = components(links)
+    labels = components(links.where(F.col("b").isNotNull()))
+    met = links.where(F.col("met").isNotNull()).groupBy(F.col("a").alias("node")).agg(F.sum("met").alias("met"))
+    met = stored(met, "met")
     discard(spark, wanted, texts, forest, links)
-    return labels
+    return labels.join(met, "node")

@@ -99,4 +99,4 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_jaccard_join")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.similar(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+    return jaccard.similar(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "n_links")

@@ -146,3 +146,33 @@ def test_hot_copies_and_near_copies(spark):
 def test_op3_whole_table(spark):
     docs = smallest()
     checked(queries.op3(spark, SF), list(zip(docs.doc_id.tolist(), docs.text)))
+
+
+def links(rows, percent=80):
+    """Number of other rows each row links with, by comparing all pairs; in the order of ids."""
+    own = sorted((d, sets(t)) for d, t in rows)
+    n = dict.fromkeys((d for d, _ in own), 0)
+    for k, (i, a) in enumerate(own):
+        for j, b in own[k + 1 :]:
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                n[i] += 1
+                n[j] += 1
+    return sorted(n.items())
+
+
+@pytest.mark.parametrize("tile", [4096, 7])
+def test_links_are_counted(spark, monkeypatch, tile):
+    """Chains, copies and a dense family: links that no spanning forest holds count too."""
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    rnd = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    chain, rows = [f"c{i}" for i in range(100)], []
+    for i in range(20):
+        chain = chain[2:] + [f"n{i}_{j}" for j in range(2)]
+        rows.append((i, " ".join(chain)))
+    rows += [(100 + i, " ".join(noisy(rnd, base, rnd.randrange(4)))) for i in range(60)]
+    rows += [(200 + i, " ".join(base)) for i in range(5)]
+    rows += [(300, "a b"), (301, "a  b"), (302, " "), (303, None), (304, "alone")]
+    got = sorted((r.doc_id, r.n_links) for r in jaccard.similar(table(spark, rows)).collect())
+    assert got == links(rows)
+    assert sum(n for _, n in got) // 2 > len(rows)
