@@ -6,17 +6,21 @@ base64) makes a new layer, until nothing new appears. Every layer knows, for eac
 characters, which characters of the original text it came from, so a secret
 found five layers deep still has a span in the text. A layer already seen for
 the same part of the text is not unwrapped again, which ends cycles.
+
+Base64 may touch other text of its alphabet, so a run is decoded at each of its four
+alignments, and what surrounds a secret need not be text. Bytes are read as Latin-1:
+all patterns are ASCII, so none is lost or spans a byte that is no text.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
 import re
 import zlib
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,8 +51,10 @@ _UNICODE = re.compile(
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|%u([0-9A-Fa-f]{4})|&#([0-9]+);|&#[xX]([0-9A-Fa-f]+);")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _WRAPPED = re.compile(r"(?:[A-Za-z0-9+/]{60,76}\r?\n)+[A-Za-z0-9+/]+={0,2}")
-_CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
+#: The shortest secret has 14 characters, in any encoding.
+_PLAIN = re.compile(rb"[\t\n\r\x20-\x7e]{14}")
 _MAGIC = (b"\x1f\x8b", b"x\x01", b"x\x5e", b"x\x9c", b"x\xda", b"BZh", b"\xfd7zXZ\x00", b"\x28\xb5\x2f\xfd")
+_PACKED = re.compile(b"(?=" + b"|".join(map(re.escape, _MAGIC)) + b")")
 
 
 @dataclass
@@ -164,66 +170,73 @@ def _unpack(data: bytes) -> bytes | None:
     return out
 
 
-def _decoded(run: str) -> bytes | None:
+def _decoded(run: str) -> bytes:
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
-    try:
-        return base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return None
+    body = body[: len(body) - (len(body) % 4 == 1)]
+    return base64.b64decode(body + "=" * (-len(body) % 4))
+
+
+def _inside(data: bytes, via: str, seen: set[bytes]) -> Iterator[tuple[str | None, np.ndarray, np.ndarray, str]]:
+    """(text, first and last byte of each character, via) of what bytes hold; no text: packed data beyond LAYER_BYTES.
+
+    ``seen``: digests of the packed data already opened; data that unfolds to itself is opened once.
+    """
+    if _PLAIN.search(data):
+        at = np.arange(len(data))
+        yield data.decode("latin-1"), at, at, via
+    for m in _PACKED.finditer(data):
+        start, end = m.start(), len(data)
+        try:
+            if len(via) > 800:
+                raise OverflowError
+            more = _unpack(data[start:])
+        except OverflowError:
+            yield None, np.array([start]), np.array([end - 1]), via + "/compressed"
+            continue
+        if more is None:
+            continue
+        digest = hashlib.blake2b(more, digest_size=16).digest()
+        if digest in seen:
+            continue
+        seen.add(digest)
+        for text, first, _, inner in _inside(more, via + "/compressed", seen):
+            yield text, np.full(len(first), start), np.full(len(first), end - 1), inner
+
+
+def _layers(layer: Layer, data: bytes, first: np.ndarray, last: np.ndarray, via: str, found: list) -> Iterator[Layer]:
+    """The layers inside bytes; ``first`` and ``last``: the characters of the layer that each byte came from."""
+    starts, ends = layer.spans()
+    for text, low, high, inner in _inside(data, via, set()):
+        lows, highs = starts[first[low]], ends[last[high]]
+        if text is None:
+            found.append((OVERSIZE, int(lows.min()), int(highs.max()), f"{layer.via}/{inner}"))
+        else:
+            yield Layer(text, lows, highs, layer.depth + 1, f"{layer.via}/{inner}")
 
 
-def _base64(layer: Layer, found: list[tuple[str, int, int]]) -> Iterator[Layer]:
-    """One layer for each run that decodes to text, or to something compressed."""
-    starts, ends = layer.spans() if layer.starts is not None else (None, None)
+def _base64(layer: Layer, found: list) -> Iterator[Layer]:
+    """The layers inside each run, at each alignment: something of the same alphabet may stand beside the data."""
     runs = [m.span() for m in _BASE64.finditer(layer.text)] + [m.span() for m in _WRAPPED.finditer(layer.text)]
     for start, end in runs:
-        for skip in range(4):  # something of the same alphabet may stand before it
-            raw = layer.text[start + skip : end]
-            kept = np.flatnonzero(~np.isin(np.frombuffer(raw.encode(), dtype=np.uint8), (10, 13))) if "\n" in raw else None
-            run = raw if kept is None else raw.replace("\r", "").replace("\n", "")
-            if len(run) < 16 or (data := _decoded(run)) is None:
-                continue
-            via = "base64"
-            packed = False
-            try:
-                while (more := _unpack(data)) is not None:
-                    data, packed, via = more, True, via + "/compressed"
-                    if len(via) > 800:
-                        raise OverflowError  # unfolds to itself without end
-            except OverflowError:
-                found.append((OVERSIZE, *layer.span(start, end)))
-                break
-            try:
-                text = data.decode()
-            except UnicodeDecodeError:
-                if not packed:
-                    continue
-                text = data.decode("utf-8", "replace")
-            if not text or (not packed and _CONTROL.search(text)):
-                continue
-            if packed:
-                low, high = layer.span(start + skip, end)
-                lows, highs = np.full(len(text), low), np.full(len(text), high)
-            else:
-                at = _utf8_offsets(text)
-                first, last = at[:-1] * 8 // 6, np.minimum((at[1:] * 8 + 5) // 6, len(run)) - 1
-                if kept is not None:
-                    first, last = kept[first], kept[last]
-                first, last = first + start + skip, last + start + skip
-                lows, highs = (first, last + 1) if starts is None else (starts[first], ends[last])
-            yield Layer(text, lows, highs, layer.depth + 1, f"{layer.via}/{via}")
-            break
+        raw = layer.text[start:end]
+        place = np.arange(start, end)
+        if "\n" in raw:
+            place = place[~np.isin(np.frombuffer(raw.encode(), dtype=np.uint8), (10, 13))]
+            raw = raw.replace("\r", "").replace("\n", "")
+        for skip in range(4):
+            data = _decoded(raw[skip:])
+            if _PLAIN.search(data) or _PACKED.search(data):
+                at = np.arange(len(data))
+                yield from _layers(layer, data, place[skip + at * 8 // 6], place[skip + (at * 8 + 13) // 6 - 1], "base64", found)
 
 
 def scan(text: str) -> list[tuple[str, int, int, int, str]]:
     """(kind, start, end, depth, via) of every secret, by start and kind; depth 0 is the text itself."""
     found: dict[tuple[str, int, int], tuple[int, str]] = {}
     seen: set[tuple[bytes, int, int]] = set()
-    work = [Layer(text, None, None, 0, "")]
+    work = deque([Layer(text, None, None, 0, "")])
     while work:
-        layer = work.pop(0)
+        layer = work.popleft()
         if not layer.text:
             continue
         key = (hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), *layer.span(0, len(layer.text)))
@@ -232,11 +245,11 @@ def scan(text: str) -> list[tuple[str, int, int, int, str]]:
         seen.add(key)
         for kind, start, end in matches(layer.text):
             found.setdefault((kind, *layer.span(start, end)), (layer.depth, layer.via))
-        oversize: list[tuple[str, int, int]] = []
+        oversize: list[tuple[str, int, int, str]] = []
         work += [x for x in (_percent(layer) if "%" in layer.text else None, _unicode(layer)) if x]
         work += _base64(layer, oversize)
-        for key3 in oversize:
-            found.setdefault(key3, (layer.depth + 1, f"{layer.via}/base64/compressed"))
+        for *key3, via in oversize:
+            found.setdefault(tuple(key3), (layer.depth + 1, via))
     order = {k: i for i, k in enumerate((*KINDS, OVERSIZE))}
     return sorted(((*k, *v) for k, v in found.items()), key=lambda x: (x[1], order[x[0]], x[2]))
 

@@ -90,6 +90,31 @@ def test_packed_beyond_the_limit_is_reported(monkeypatch):
     assert [x[0] for x in secrets.scan("data " + coded)] == ["oversize"]
 
 
+HIDDEN = b64("token=supersecret12345")
+
+
+@pytest.mark.parametrize("text", [f"example/cfg/{HIDDEN}", f"key-{HIDDEN}", f"{HIDDEN.rstrip('=')}/edit", f"a_b/{HIDDEN.rstrip('=')}-c_d/e"])
+def test_base64_beside_its_own_alphabet(text):
+    at = text.index(HIDDEN.rstrip("="))
+    spans = [x for x in secrets.scan(text) if x[0] == "assign"]
+    assert spans and min(x[1] for x in spans) == at
+    assert HIDDEN[:20] not in secrets.redacted(text)
+
+
+@pytest.mark.parametrize("before", ["/", "a/", "ab/", "abc/", "https/host/path/"])
+def test_packed_data_behind_its_own_alphabet(before):
+    coded = b64(gzip.compress(b"token=supersecret12345", mtime=0))
+    spans = [x for x in secrets.scan(f"{before}{coded}") if x[0] == "assign"]
+    assert spans and len(before) - 1 <= spans[0][1] <= len(before)
+
+
+@pytest.mark.parametrize("data", [b"caf\xe9 token=supersecret12345", b"A=b\0token=supersecret12345\0C=d", b"\x01\x02token=supersecret12345"])
+def test_layers_that_are_not_all_text(data):
+    text = "= " + b64(data)
+    first = data.index(b"token")
+    assert [x[1] for x in secrets.scan(text) if x[0] == "assign"] == [2 + first * 8 // 6]
+
+
 def test_redaction():
     text = f"a password=abcdefghij b {KEY} c"
     assert secrets.redacted(text) == "a [secret] b [secret] c"
