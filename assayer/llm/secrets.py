@@ -9,7 +9,9 @@ the same part of the text is not unwrapped again, which ends cycles.
 
 Base64 may touch other text of its alphabet, so a run is decoded at each of its four
 alignments, and what surrounds a secret need not be text. Bytes are read as Latin-1:
-all patterns are ASCII, so none is lost or spans a byte that is no text.
+all patterns are ASCII, so none is lost or spans a byte that is no text. Characters of
+two or four bytes (UTF-16, UTF-32) are known by the zeros between them. Bytes written as
+percent or backslash escapes are opened in the same way.
 """
 
 from __future__ import annotations
@@ -54,7 +56,15 @@ _WRAPPED = re.compile(r"(?:[A-Za-z0-9+/]{60,76}\r?\n)+[A-Za-z0-9+/]+={0,2}")
 #: The shortest secret has 14 characters, in any encoding.
 _PLAIN = re.compile(rb"[\t\n\r\x20-\x7e]{14}")
 _MAGIC = (b"\x1f\x8b", b"x\x01", b"x\x5e", b"x\x9c", b"x\xda", b"BZh", b"\xfd7zXZ\x00", b"\x28\xb5\x2f\xfd")
-_PACKED = re.compile(b"(?=" + b"|".join(map(re.escape, _MAGIC)) + b")")
+_PACKED = re.compile(rb"\x1f\x8b|x[\x01\x5e\x9c\xda]|BZh|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+_WIDE = re.compile(rb"(?:[\t\n\r\x20-\x7e]\x00){13,}[\t\n\r\x20-\x7e]|(?:[\t\n\r\x20-\x7e]\x00{3}){13,}[\t\n\r\x20-\x7e]")
+#: Escaped bytes: their mark, the runs they stand in with what is not escaped, and the escapes.
+_ESCAPED = (
+    ("%", re.compile(r"[!-~]{14,}"), re.compile(r"%([0-9A-Fa-f]{2})")),
+    ("\\x", re.compile(r"[ -~]{14,}"), re.compile(r"\\x([0-9A-Fa-f]{2})|\\[0abtnvfr'\"\\]")),
+    ("\\u00", re.compile(r"[ -~]{14,}"), re.compile(r"\\u00([0-9A-Fa-f]{2})|\\[btnfr\"\\/]")),
+)
+_SIMPLE = dict(zip("0abtnvfr", b"\0\a\b\t\n\v\f\r"))
 
 
 @dataclass
@@ -147,27 +157,53 @@ def _unicode(layer: Layer) -> Layer | None:
     return _replaced(layer, parts, "unicode") if parts else None
 
 
-def _unpack(data: bytes) -> bytes | None:
-    """Decompressed data; None if it is not compressed. Raises OverflowError beyond LAYER_BYTES."""
-    if not data.startswith(_MAGIC):
-        return None
+def _member(data: memoryview, limit: int) -> tuple[bytes, int, bool]:
+    """What one compressed stream holds, up to ``limit`` bytes; its length, and whether it has an end.
+
+    Data is fed in pieces, so what follows a stream is not copied.
+    """
+    head, piece = bytes(data[:6]), 1 << 14
+    if head.startswith(b"BZh"):
+        reader = bz2.BZ2Decompressor()
+    elif head[:1] == b"\xfd":
+        reader = lzma.LZMADecompressor()
+    elif head[:1] == b"\x28":
+        import zstandard
+
+        reader, piece = zstandard.ZstdDecompressor().decompressobj(), 64  # a block of 4 bytes may hold 128 KB
+    else:
+        reader = zlib.decompressobj(47)
+    out, size, at = [], 0, 0
     try:
-        if data[:3] == b"BZh":
-            out = bz2.BZ2Decompressor().decompress(data, LAYER_BYTES + 1)
-        elif data[:1] == b"\xfd":
-            out = lzma.LZMADecompressor().decompress(data, LAYER_BYTES + 1)
-        elif data[:1] == b"\x28":
-            import zstandard
-
-            reader = zstandard.ZstdDecompressor().stream_reader(data)
-            out = reader.read(LAYER_BYTES + 1)
-        else:
-            out = zlib.decompressobj(47).decompress(data, LAYER_BYTES + 1)
+        while at < len(data) and not reader.eof and size < limit:
+            part = bytes(data[at : at + piece])
+            more = reader.decompress(part) if piece == 64 else reader.decompress(part, limit - size)
+            out.append(more)
+            size, at = size + len(more), at + len(part)
     except Exception:  # every library has its own error for data that only looks compressed
-        return None
-    if len(out) > LAYER_BYTES:
-        raise OverflowError
-    return out
+        return b"".join(out), len(data), False
+    return b"".join(out), at - len(reader.unused_data) if reader.eof else len(data), reader.eof
+
+
+def _unpack(data: memoryview) -> tuple[bytes, int, int] | None:
+    """Decompressed data of the streams that follow each other, the length of those with an end, and of all.
+
+    None if nothing is compressed. Raises OverflowError beyond LAYER_BYTES.
+    """
+    out, size, at, end = [], 0, 0, 0
+    while bytes(data[at : at + 8]).startswith(_MAGIC):
+        more, used, ended = _member(data[at:], LAYER_BYTES + 1 - size)
+        out.append(more)
+        size += len(more)
+        if size > LAYER_BYTES:
+            raise OverflowError
+        if not ended:
+            end = len(data)
+            break  # cut off, or only looks like a stream: what it covers is opened from its own place too
+        at = end = at + used
+        while at < len(data) and data[at] == 0:  # padding
+            at += 1
+    return (b"".join(out), at, end) if size else None
 
 
 def _decoded(run: str) -> bytes:
@@ -176,25 +212,33 @@ def _decoded(run: str) -> bytes:
     return base64.b64decode(body + "=" * (-len(body) % 4))
 
 
-def _inside(data: bytes, via: str, seen: set[bytes]) -> Iterator[tuple[str | None, np.ndarray, np.ndarray, str]]:
+def _inside(data: bytes, via: str, seen: set[bytes], plain: bool = True) -> Iterator[tuple[str | None, np.ndarray, np.ndarray, str]]:
     """(text, first and last byte of each character, via) of what bytes hold; no text: packed data beyond LAYER_BYTES.
 
-    ``seen``: digests of the packed data already opened; data that unfolds to itself is opened once.
+    ``plain``: also the bytes themselves. ``seen``: digests of the packed data already opened; data that unfolds to itself is opened once.
     """
-    if _PLAIN.search(data):
+    if plain and _PLAIN.search(data):
         at = np.arange(len(data))
         yield data.decode("latin-1"), at, at, via
+    for m in _WIDE.finditer(data):
+        step = 4 if m.group()[2] == 0 else 2
+        at = np.arange(m.start(), m.end(), step)
+        yield m.group()[::step].decode("latin-1"), at, np.minimum(at + step, m.end()) - 1, via + "/wide"
+    view, done = memoryview(data), 0
     for m in _PACKED.finditer(data):
         start, end = m.start(), len(data)
+        if start < done:
+            continue  # inside a stream that was read to its end
         try:
             if len(via) > 800:
                 raise OverflowError
-            more = _unpack(data[start:])
+            got = _unpack(view[start:])
         except OverflowError:
             yield None, np.array([start]), np.array([end - 1]), via + "/compressed"
             continue
-        if more is None:
+        if got is None:
             continue
+        more, done, end = got[0], start + got[1], start + got[2]
         digest = hashlib.blake2b(more, digest_size=16).digest()
         if digest in seen:
             continue
@@ -203,10 +247,10 @@ def _inside(data: bytes, via: str, seen: set[bytes]) -> Iterator[tuple[str | Non
             yield text, np.full(len(first), start), np.full(len(first), end - 1), inner
 
 
-def _layers(layer: Layer, data: bytes, first: np.ndarray, last: np.ndarray, via: str, found: list) -> Iterator[Layer]:
+def _layers(layer: Layer, data: bytes, first: np.ndarray, last: np.ndarray, via: str, found: list, plain: bool = True) -> Iterator[Layer]:
     """The layers inside bytes; ``first`` and ``last``: the characters of the layer that each byte came from."""
     starts, ends = layer.spans()
-    for text, low, high, inner in _inside(data, via, set()):
+    for text, low, high, inner in _inside(data, via, set(), plain):
         lows, highs = starts[first[low]], ends[last[high]]
         if text is None:
             found.append((OVERSIZE, int(lows.min()), int(highs.max()), f"{layer.via}/{inner}"))
@@ -225,11 +269,36 @@ def _base64(layer: Layer, found: list) -> Iterator[Layer]:
             raw = raw.replace("\r", "").replace("\n", "")
         for skip in range(4):
             data = _decoded(raw[skip:])
-            if _PLAIN.search(data) or _PACKED.search(data):
+            if _PLAIN.search(data) or _WIDE.search(data) or _PACKED.search(data):
                 at = np.arange(len(data))
                 yield from _layers(layer, data, place[skip + at * 8 // 6], place[skip + (at * 8 + 13) // 6 - 1], "base64", found)
 
 
+def _escaped(layer: Layer, found: list) -> Iterator[Layer]:
+    """The layers inside bytes written as escapes; their plain text is found by ``_percent`` and ``_unicode``."""
+    for mark, run, token in _ESCAPED:
+        if mark not in layer.text:
+            continue
+        for m in run.finditer(layer.text):
+            parts, first, last, at = [], [], [], m.start()
+            for t in token.finditer(layer.text, m.start(), m.end()):
+                parts += [layer.text[at : t.start()].encode(), bytes([int(t[1], 16) if t[1] else _SIMPLE.get(t[0][1], ord(t[0][1]))])]
+                first += [np.arange(at, t.start()), [t.start()]]
+                last += [first[-2], [t.end() - 1]]
+                at = t.end()
+            if not parts:
+                continue
+            rest = np.arange(at, m.end())
+            data = b"".join([*parts, layer.text[at : m.end()].encode()])
+            first, last = np.concatenate([*first, rest]).astype(np.int64), np.concatenate([*last, rest]).astype(np.int64)
+            ways = [data]
+            if mark == "%" and "+" in m.group():  # forms write a space so
+                ways.append(b"".join(x.replace(b"+", b" ") if k % 2 == 0 else x for k, x in enumerate([*parts, layer.text[at : m.end()].encode()])))
+            for way in ways:
+                if _WIDE.search(way) or _PACKED.search(way):
+                    yield from _layers(layer, way, first, last, "bytes", found, plain=False)
+
+
 def scan(text: str) -> list[tuple[str, int, int, int, str]]:
     """(kind, start, end, depth, via) of every secret, by start and kind; depth 0 is the text itself."""
     found: dict[tuple[str, int, int], tuple[int, str]] = {}
@@ -248,6 +317,7 @@ def scan(text: str) -> list[tuple[str, int, int, int, str]]:
         oversize: list[tuple[str, int, int, str]] = []
         work += [x for x in (_percent(layer) if "%" in layer.text else None, _unicode(layer)) if x]
         work += _base64(layer, oversize)
+        work += _escaped(layer, oversize)
         for *key3, via in oversize:
             found.setdefault(tuple(key3), (layer.depth + 1, via))
     order = {k: i for i, k in enumerate((*KINDS, OVERSIZE))}

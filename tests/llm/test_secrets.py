@@ -115,6 +115,52 @@ def test_layers_that_are_not_all_text(data):
     assert [x[1] for x in secrets.scan(text) if x[0] == "assign"] == [2 + first * 8 // 6]
 
 
+SECRET = b"x token=supersecret12345 y"
+
+
+@pytest.mark.parametrize("coding", ["utf-16-le", "utf-16-be", "utf-16", "utf-32-le"])
+def test_wide_characters(coding):
+    coded = b64(("é" + SECRET.decode()).encode(coding))
+    spans = [x for x in secrets.scan(f"-EncodedCommand {coded}") if x[0] == "assign"]
+    assert len(spans) == 1 and spans[0][1] > 16
+    assert coded not in secrets.redacted(f"-EncodedCommand {coded}")
+
+
+def test_every_member_of_packed_data():
+    import bz2
+    import lzma
+
+    for pack in (lambda x: gzip.compress(x, mtime=0), bz2.compress, lzma.compress):
+        for then in (b"", b"\0" * 4, b"other"):
+            coded = b64(pack(b"nothing here") + then + pack(SECRET) + pack(b"nor here"))
+            assert any(x[0] == "assign" for x in secrets.scan(coded)), then
+    halves = b64(gzip.compress(SECRET[:12], mtime=0) + gzip.compress(SECRET[12:], mtime=0))
+    assert any(x[0] == "assign" for x in secrets.scan(halves))
+
+
+def test_packed_members_count_towards_the_limit(monkeypatch):
+    monkeypatch.setattr(secrets, "LAYER_BYTES", 1000)
+    assert "oversize" in [x[0] for x in secrets.scan(b64(gzip.compress(b"a" * 900) * 2))]
+
+
+@pytest.mark.parametrize("name", ["percent", "quoted", "form", "hex", "repr", "json"])
+def test_packed_data_as_escapes(name):
+    import json
+
+    data = gzip.compress(SECRET * 2 + bytes(range(32, 127)), mtime=0)
+    coded = {
+        "percent": "".join(f"%{b:02x}" for b in data),
+        "quoted": urllib.parse.quote(data),
+        "form": urllib.parse.quote_plus(data),
+        "hex": "".join(f"\\x{b:02x}" for b in data),
+        "repr": repr(data),
+        "json": json.dumps(data.decode("latin-1")),
+    }[name]
+    text = f"é data={coded} end"
+    at = text.index(coded)
+    assert any(x[0] == "assign" and at <= x[1] and x[2] <= at + len(coded) for x in secrets.scan(text))
+
+
 def test_redaction():
     text = f"a password=abcdefghij b {KEY} c"
     assert secrets.redacted(text) == "a [secret] b [secret] c"
