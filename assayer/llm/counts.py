@@ -1,8 +1,10 @@
 """Token counts: batches balanced by bytes, only lengths come back.
 
-Long texts are cut at white space, which the tokenizer drops and which nothing
-in it looks across (composition, lower case, splitting and merges all stop
-there), so the lengths of the pieces add up to the length of the text.
+Where the tokenizer drops white space and nothing in it looks across (composition,
+lower case, splitting and merges all stop there), the length of a text is the sum of
+the lengths of its runs without white space. Each worker remembers the lengths of the
+runs it has met, so most of a text costs a lookup; only new runs are encoded. For
+other files whole texts are encoded.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -23,6 +25,8 @@ from .common import map_batches
 #: Characters of a piece of a long text, and bytes of one encoding batch.
 PIECE = 1 << 15
 BATCH = 1 << 18
+#: Runs a worker remembers, and the bytes of the longest of them. When the memory is full it is kept: early runs are frequent ones.
+HELD_RUNS, HELD_BYTES = 1 << 18, 64
 
 _SPACE = re.compile(r"[\t-\r ]")
 
@@ -48,6 +52,11 @@ def _encoder(path: str):
     return drops, lambda texts: [len(x) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+@lru_cache(maxsize=2)
+def _memory(path: str) -> dict[bytes, int]:
+    return {}
+
+
 def pieces(text: str, size: int = PIECE) -> Iterator[str]:
     """``text`` cut at the first white space after each ``size`` characters; without any it stays whole."""
     start = 0
@@ -57,30 +66,41 @@ def pieces(text: str, size: int = PIECE) -> Iterator[str]:
     yield text[start:]
 
 
+def batches(texts: Iterable[bytes], size: int) -> Iterator[list[bytes]]:
+    """``texts`` in groups of at most ``size`` bytes; a longer text is a group of its own."""
+    group: list[bytes] = []
+    held = 0
+    for text in texts:
+        if group and held + len(text) > size:
+            yield group
+            group, held = [], 0
+        group.append(text)
+        held += len(text)
+    if group:
+        yield group
+
+
 def lengths(texts: list[str], path: str, batch: int = BATCH) -> np.ndarray:
     """Number of tokens of each text."""
     splits, count = _encoder(path)
-    totals = np.zeros(len(texts), dtype=np.int64)
-    owners: list[int] = []
-    group: list[str] = []
-    held = 0
 
-    def flush() -> None:
-        nonlocal held
-        if group:
-            np.add.at(totals, owners, count(group))
-            group.clear()
-            owners.clear()
-            held = 0
-
-    for i, text in enumerate(texts):
-        for piece in pieces(text) if splits else (text,):
-            if held + len(piece) > batch:
-                flush()
-            group.append(piece)
-            owners.append(i)
-            held += len(piece)
-    flush()
+    def encoded(parts: list[bytes]) -> list[int]:
+        return [n for group in batches(parts, batch) for n in count([x.decode() for x in group])]
+
+    if not splits:
+        return np.array(encoded([t.encode() for t in texts]), dtype=np.int64)
+    held = _memory(path)
+    totals = np.zeros(len(texts), dtype=np.int64)
+    owners = iter([i for i, text in enumerate(texts) for _ in pieces(text)])
+    for group in batches((piece.encode() for text in texts for piece in pieces(text)), batch):
+        runs = [piece.split() for piece in group]  # bytes split at [\t-\r ]
+        if len(held) < HELD_RUNS:
+            new = [x for x in set().union(*runs).difference(held) if len(x) <= HELD_BYTES][: HELD_RUNS - len(held)]
+            held.update(zip(new, encoded(new)))
+        # what is not remembered is encoded together, one text for each piece
+        rest = [b" ".join([x for x in own if x not in held]) for own in runs]
+        for own, n in zip(runs, encoded(rest)):
+            totals[next(owners)] += n + sum([held[x] for x in own if x in held])
     return totals
 
 
@@ -93,10 +113,10 @@ def count_tokens(df: DataFrame, path: str, limit: int = 2048, id_col: str = "doc
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n = lengths([t or "" for t in batch.column(2).to_pylist()], path)
+        n = lengths(batch.column(2).to_pylist(), path)
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n)], names=[id_col, "n_bytes", "n_tokens"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(id_col, F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), text_col)
+    rows = df.select(id_col, F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.coalesce(text_col, F.lit("")))
     out = map_batches(rows, run, f"`{id_col}` {kind}, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
