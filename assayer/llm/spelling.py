@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, map_partitions, stored
+from .common import map_batches, map_partitions, stored, tasks_for
 
 #: Letters of a word, lower-cased only from A to Z, in code-point order.
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0xC0, 0x100)))
@@ -39,7 +39,7 @@ HELD_WORDS = 1 << 17
 #: Bytes of one array of filters: what a broadcast may weigh.
 FILTER_BYTES = 32 << 20
 #: 64-bit words of a filter block (one cache line), and blocks of a segment.
-LANES, SEGMENT = 8, 4096
+LANES, SEGMENT = 8, 512
 #: Edits hashed at once.
 CHUNK = 1 << 20
 
@@ -250,7 +250,9 @@ def neighbours(words: DataFrame, limit: int = FILTER_BYTES) -> DataFrame:
             rows = pa.array(at, pa.int64())
             return pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array(n[at], pa.int64()), pa.array(found, pa.string())], names=["word", "n", "near"])
 
-        return map_batches(words.select("word", "n"), run, "word string, n long, near string")
+        # few bytes, many edits: the words are dealt to all tasks
+        dealt = words.select("word", "n").repartition(tasks_for(words), "word")
+        return map_batches(dealt, run, "word string, n long, near string")
 
     positives = None
     for part, held in enumerate(arrays):
