@@ -124,6 +124,85 @@ def matches(text: Column, pattern: str, lowered: Column | None = None) -> Column
     return found if first is None else first & found
 
 
+def trie_pattern(literals: Iterable[str]) -> str:
+    """One pattern whose first group is, at every place where a literal starts, the longest literal that starts there.
+
+    The literals become a tree of shared prefixes, so a place costs a few character tests however many there are.
+    """
+    root: dict = {}
+    for literal in literals:
+        node = root
+        for char in literal:
+            node = node.setdefault(char, {})
+        node[""] = {}
+
+    def branches(items: list[tuple[str, dict]]) -> str:
+        if len(items) <= 3:
+            return "|".join(escape(char) + tail(node) for char, node in items)
+        half = len(items) // 2
+        first = "".join(re.sub(r"([\\\]\[^&-])", r"\\\1", char) for char, _ in items[:half])
+        return f"(?=[{first}])(?:{branches(items[:half])})|{branches(items[half:])}"
+
+    def tail(node: dict) -> str:
+        items = sorted((c, n) for c, n in node.items() if c)
+        if not items:
+            return ""
+        inner = branches(items)
+        if "" in node:
+            return f"(?:{inner})?"
+        return inner if len(items) == 1 else f"(?:{inner})"
+
+    return f"(?=({tail(root)}))"
+
+
+class PatternSet:
+    """Many patterns looked for together.
+
+    ``hits`` finds, in one pass over a text, which literals of any pattern occur; ``masks`` turns
+    them into bits, one for each pattern that may match; ``matches`` runs a pattern only where its bit is set.
+    """
+
+    WORD = 62
+
+    def __init__(self, patterns: Iterable[str]) -> None:
+        self.patterns = list(dict.fromkeys(patterns))
+        self.index = {p: i for i, p in enumerate(self.patterns)}
+        self.literals = sorted({x for p in self.patterns for x in required_literals(p)})
+
+    def hits(self, lowered: Column) -> Column:
+        if not self.literals:
+            return F.array().cast("array<string>")
+        return F.regexp_extract_all(lowered, F.lit(trie_pattern(self.literals)), F.lit(1))
+
+    def masks(self, hits: Column, used: Iterable[str]) -> dict[int, Column]:
+        """Bits of the ``used`` patterns, by word; a hit stands for every literal it begins with."""
+        used = set(used)
+        bits: dict[int, dict[str, int]] = {}
+        for p in self.patterns:
+            own = required_literals(p) if p in used else ()
+            word, bit = divmod(self.index[p], self.WORD)
+            for hit in self.literals:
+                if own and hit.startswith(own):
+                    held = bits.setdefault(word, {})
+                    held[hit] = held.get(hit, 0) | 1 << bit
+        out = {}
+        for word, held in bits.items():
+            known = F.create_map(*[F.lit(x) for hit, mask in held.items() for x in (hit, mask)]).cast("map<string,bigint>")
+            out[word] = F.aggregate(hits, F.lit(0).cast("long"), _adding(known))
+        return out
+
+    def matches(self, text: Column, mask: dict[int, Column], pattern: str) -> Column:
+        found = text.rlike(compile_pattern(pattern))
+        if not required_literals(pattern):
+            return found
+        word, bit = divmod(self.index[pattern], self.WORD)
+        return (mask[word].bitwiseAND(F.lit(1 << bit)) != 0) & found
+
+
+def _adding(known: Column):
+    return lambda acc, hit: acc.bitwiseOR(F.coalesce(F.try_element_at(known, hit), F.lit(0).cast("long")))
+
+
 def any_of(patterns: Iterable[str]) -> str:
     """One alternation; each part keeps its own inline flags."""
     return "|".join(f"(?:{p})" for p in patterns)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..config import DomainProfile, Registry
 from ..config.defaults import AUTHORITY_TIERS, SPARSE_IGNORED_PHASES
 from ..functions.arrays import distinct_ordered, labels_where, or_empty, string_array
-from ..functions.text import alias_pattern, find_all, has_digit, matches, matches_any, sentences
+from ..functions.text import PatternSet, alias_pattern, find_all, has_digit, matches, matches_any, required_literals, sentences
 
 EXCERPT = "struct<label:string,text:string,source:string,confidence:double,reviewed:boolean>"
 
@@ -137,62 +137,107 @@ def paper_type(title: Column, abstract: Column, registry: Registry, domain: Colu
     return registry.by_domain(domain, classify)
 
 
-def _sentence_facts(d: DomainProfile, registry: Registry, sentence: Column) -> Column:
+def _sentence_patterns(d: DomainProfile, registry: Registry) -> list[str]:
+    """Every dictionary pattern that is looked for in a sentence."""
+    shared = registry.shared
+    return [
+        shared.process_context, shared.stepwise,
+        *[s.pattern for s in d.specimens],
+        *[pattern for _, pattern in shared.species],
+        *[alias_pattern(alias) for chemical in registry.chemicals(d) for alias in chemical.aliases],
+        *[p for rule in d.outcomes for p in rule.patterns],
+        *[p for p in (shared.study_terms, d.outcome_terms, shared.preserving_terms) if p],
+        *[p for rule in registry.phases(d) for p in rule.patterns],
+    ]
+
+
+def _sentence_facts(d: DomainProfile, registry: Registry, sentence: Column, patterns: PatternSet, words: list[int]) -> Column:
     """Everything the detectors need to know about one sentence.
 
-    ``sentence`` carries text, its lower-cased form and whether it has a digit.
+    ``sentence`` carries text, whether it has a digit, and which patterns may match (``words`` of bits).
     """
     shared = registry.shared
-    text, low = sentence.text, sentence.low
+    text, mask = sentence.text, {w: sentence[f"m{w}"] for w in words}
+
+    def found(pattern: str) -> Column:
+        return patterns.matches(text, mask, pattern)
+
+    def any_found(some) -> Column:
+        out = F.lit(False)
+        for pattern in some:
+            out = out | found(pattern)
+        return out
+
     found_aliases = F.array_compact(
         F.array(
             *[
-                F.when(
-                    matches(text, alias_pattern(alias), low),
-                    F.struct(F.lit(chemical.name).alias("name"), F.lit(alias).alias("alias")),
-                )
+                F.when(found(alias_pattern(alias)), F.struct(F.lit(chemical.name).alias("name"), F.lit(alias).alias("alias")))
                 for chemical in registry.chemicals(d)
                 for alias in chemical.aliases
             ]
         )
     )
     study_terms = [p for p in (shared.study_terms, d.outcome_terms, shared.preserving_terms) if p]
-    outcomes = labels_where([(str(i), matches_any(text, rule.patterns, low)) for i, rule in enumerate(d.outcomes)])
+    outcomes = labels_where([(str(i), any_found(rule.patterns)) for i, rule in enumerate(d.outcomes)])
     none = F.array().cast("array<string>")
+    touched = F.lit(False)
+    for w in words:
+        touched = touched | (mask[w] != 0)
+    untouched = not any(not required_literals(p) for p in _sentence_patterns(d, registry))
 
     def measured(pattern: str) -> Column:
         return F.when(sentence.digit, find_all(text, pattern)).otherwise(none)
 
-    return F.struct(
-        text.alias("text"),
-        matches(text, shared.process_context, low).alias("process"),
-        matches(text, shared.stepwise, low).alias("stepwise"),
-        labels_where([(s.label, matches(text, s.pattern, low)) for s in d.specimens]).alias("specimens"),
-        labels_where([(label, matches(text, pattern, low)) for label, pattern in shared.species]).alias("species"),
-        found_aliases.alias("aliases"),
-        F.when(matches_any(text, study_terms, low), outcomes).otherwise(none).alias("outcomes"),
-        labels_where([(r.phase, matches_any(text, r.patterns, low)) for r in registry.phases(d)]).alias("phases"),
-        measured(shared.concentration).alias("concentrations"),
-        measured(shared.temperature).alias("temperatures"),
-        measured(shared.duration).alias("durations"),
-        measured(shared.rate).alias("rates"),
-    )
+    def facts(hit: bool) -> Column:
+        """Of a sentence that may match something, or of one that cannot."""
+
+        def labels(col: Column) -> Column:
+            return col if hit else none
+
+        return F.struct(
+            text.alias("text"),
+            (found(shared.process_context) if hit else F.lit(False)).alias("process"),
+            (found(shared.stepwise) if hit else F.lit(False)).alias("stepwise"),
+            labels(labels_where([(s.label, found(s.pattern)) for s in d.specimens])).alias("specimens"),
+            labels(labels_where([(label, found(pattern)) for label, pattern in shared.species])).alias("species"),
+            (found_aliases if hit else F.array().cast("array<struct<name:string,alias:string>>")).alias("aliases"),
+            labels(F.when(any_found(study_terms), outcomes).otherwise(none)).alias("outcomes"),
+            labels(labels_where([(r.phase, any_found(r.patterns)) for r in registry.phases(d)])).alias("phases"),
+            measured(shared.concentration).alias("concentrations"),
+            measured(shared.temperature).alias("temperatures"),
+            measured(shared.duration).alias("durations"),
+            measured(shared.rate).alias("rates"),
+        )
+
+    return F.when(touched, facts(True)).otherwise(facts(False)) if untouched else facts(True)
 
 
 def sentence_facts(papers: DataFrame, registry: Registry) -> DataFrame:
-    """Adds ``facts``: one struct per sentence of ``source_text``."""
+    """Adds ``facts``: one struct per sentence of ``source_text``.
+
+    One pass over a sentence finds the literals of all dictionaries; a pattern runs only where one of its literals stands.
+    """
     if "source_text" not in papers.columns:
         papers = augment_source_text(papers, registry)
+    own = {d.id: _sentence_patterns(d, registry) for d in registry.domains}
+    patterns = PatternSet(p for some in own.values() for p in some)
     prepared = F.transform(
         sentences(F.col("source_text")),
-        lambda s: F.struct(s.alias("text"), F.lower(s).alias("low"), has_digit(s).alias("digit")),
-    )
-    facts = registry.by_domain(
-        F.col("domain"), lambda d: F.transform("_sentences", lambda s: _sentence_facts(d, registry, s))
+        lambda s: F.struct(s.alias("text"), patterns.hits(F.lower(s)).alias("hits"), has_digit(s).alias("digit")),
     )
+
+    def facts(d: DomainProfile) -> Column:
+        words = sorted(patterns.masks(F.array(), own[d.id]))
+
+        def marked(s: Column) -> Column:
+            masks = patterns.masks(s.hits, own[d.id])
+            return F.struct(s.text.alias("text"), s.digit.alias("digit"), *[masks[w].alias(f"m{w}") for w in words])
+
+        return F.transform(F.transform("_sentences", marked), lambda s: _sentence_facts(d, registry, s, patterns, words))
+
     # a generator, so that no later filter is pushed below it as a second copy
     # of every pattern
-    return papers.withColumn("_sentences", prepared).select("*", F.explode(F.array(facts)).alias("facts"))
+    return papers.withColumn("_sentences", prepared).select("*", F.explode(F.array(registry.by_domain(F.col("domain"), facts))).alias("facts"))
 
 
 def _weigh(weight: float):

@@ -20,12 +20,13 @@ from ..config.model import Pick
 from ..functions.arrays import first_per, labels_where, or_empty, string_array
 from ..functions.numbers import clamp, fixed
 from ..functions.text import matches, slug
-from ..session import cut
 from .match import in_group, meaningful_phases
 
 FACET_LIMIT, HOTSPOT_LIMIT, PAIR_LIMIT, TEMPLATE_LIMIT = 12, 12, 20, 5
-#: Signatures that meet all others at first, in the search for contradictions.
-FIRST_SIGNATURES = 64
+#: What signatures meet in, in the search for contradictions; how many of each domain and family
+#: meet first; and rows of a block beyond which it is dealt by salt.
+BLOCK = ("domain", "in_chem", "in_spec", "in_outcome")
+HEADS, HOT_BLOCK = 256, 2048
 
 
 def ranked(df: DataFrame, keys: Sequence[str], *order: Column | str, out: str = "rank") -> DataFrame:
@@ -137,7 +138,7 @@ def override_impact(baseline: DataFrame, resolved: DataFrame, overrides: DataFra
 # -- contradictions -----------------------------------------------------------
 
 
-def contradiction_pairs(evidence: DataFrame, registry: Registry, limit: int = PAIR_LIMIT, first: int = FIRST_SIGNATURES) -> DataFrame:
+def contradiction_pairs(evidence: DataFrame, registry: Registry, limit: int = PAIR_LIMIT, hot: int = HOT_BLOCK) -> DataFrame:
     """The ``limit`` strongest contradicting pairs per domain, exactly.
 
     Two experimental papers contradict when they share a chemical, a specimen and
@@ -145,12 +146,16 @@ def contradiction_pairs(evidence: DataFrame, registry: Registry, limit: int = PA
     report different known preservation families. Order: shared chemicals
     descending, then corpus order of the pair.
 
-    Papers with equal labels behave alike, so they collapse into one signature with the order of its
-    first paper. Pairs are looked for by number of shared chemicals, largest first, until every
-    domain has enough. On each level the signatures that come first in corpus order
-    (``first`` of them, then eight times as many) meet all others: a pair of two later
-    ones stands behind every pair found, so once there are enough the rest need not be looked
-    at. Only the winning signatures are joined with their papers.
+    Papers with equal labels behave alike, so they collapse into one signature with the order of its first paper.
+    Signatures meet in blocks, one for each (domain, chemical, specimen, outcome) they share; a pair counts only in the
+    smallest block it shares. Three rules keep blocks small without losing a pair of the result:
+
+    * The ``HEADS`` signatures of each family with most chemicals meet first. The number of chemicals that ``limit`` of
+      their pairs reach is a bound for the domain: pairs below it cannot be among the strongest.
+    * Under a bound of ``n`` chemicals, a signature needs no block for its last ``n - 1`` chemicals: two that share ``n`` still share one of the others.
+    * Of signatures that behave alike inside a block only the first ``limit`` can be in a winning pair.
+
+    The larger side of a block of over ``hot`` rows is dealt by salt. Only the winning signatures are joined with their papers.
     """
 
     def generic(d: DomainProfile) -> Column:
@@ -174,36 +179,32 @@ def contradiction_pairs(evidence: DataFrame, registry: Registry, limit: int = PA
         F.array_sort(F.array_distinct("outcomes")).alias("outcomes"),
     )
     signed = papers.withColumn("sig", F.sha2(F.to_json(F.struct(*signature)), 256))
-    signatures = cut(
-        signed.groupBy("sig").agg(*[F.first(c).alias(c) for c in signature], F.min("ord").alias("first")), "signatures"
-    )
-    sizes = signatures.groupBy("domain", F.size("chem").alias("n")).count().collect()  # a row per domain and dictionary size
-    found: dict[str, int] = {r["domain"]: 0 for r in sizes}
-    winners: DataFrame | None = None
-    for level in range(max((r["n"] for r in sizes), default=0), 0, -1):
-        held = {d: sum(r["count"] for r in sizes if r["domain"] == d and r["n"] >= level) for d in found}
-        want = [d for d in found if found[d] < limit and held[d] > 1]
-        met, heads = None, first
-        while want:
-            met = cut(_meets(signatures.where(F.col("domain").isin(want) & (F.size("chem") >= level)), level, heads, limit), "meets")
-            counts = {r["domain"]: r["count"] for r in met.groupBy("domain").count().collect()}
-            if heads >= max(held[d] for d in want) or all(found[d] + counts.get(d, 0) >= limit for d in want):
-                for d in want:
-                    found[d] += counts.get(d, 0)
-                break
-            heads *= 8
-        if met is not None:
-            winners = met if winners is None else winners.unionByName(met)
-    if winners is None:
-        winners = _meets(signatures.limit(0), 1, first, limit)
+    signatures = signed.groupBy("sig", *signature).agg(F.min("ord").alias("first"))
+
+    # the domain's bound, from pairs of the signatures with most chemicals
+    heads = top_per(signatures, ["domain", "family"], HEADS, F.desc(F.size("chem")), "first", "sig").drop("rank")
+    heads = heads.withColumn("least", F.lit(1))
+    met = _pairs(heads.alias("a").join(heads.alias("b"), (F.col("a.domain") == F.col("b.domain")) & _contradict()))
+    reached = top_per(met, ["domain"], limit, F.desc("shared")).groupBy("domain").agg(
+        F.when(F.count("*") >= limit, F.min("shared")).otherwise(1).alias("least")
+    )
+    bounded = signatures.join(reached, "domain", "left").withColumn("least", F.coalesce("least", F.lit(1)))
+    able = _blocks(bounded.where(F.size("chem") >= F.col("least")))
+    alike = [*BLOCK, "family", "chem", "specific", "species", "phases"]
+    able = able.withColumn("rows", F.count("*").over(W.partitionBy(*BLOCK)))
+    able = top_per(able, alike, limit, "first", "sig").drop("rank")
+    winners = top_per(_meets(able, hot), ["domain"], limit, F.desc("shared"), "first_a", "first_b").drop("rank")
+
     # no later paper of a signature than its first ``limit`` can enter the result
-    chosen = winners.select(F.explode(F.array("sig_a", "sig_b")).alias("sig")).distinct()
-    members = top_per(signed.join(chosen, "sig", "left_semi"), ["sig"], limit, "ord").select("sig", "ord", "title", "family", "outcomes")
     sides = ("ord", "title", "family", "outcomes")
-    pairs = winners
-    for s in "xy":
-        own = members.select(F.col("sig").alias(f"sig_{'a' if s == 'x' else 'b'}"), F.struct(*sides).alias(s))
-        pairs = pairs.join(own, f"sig_{'a' if s == 'x' else 'b'}")
+    members = top_per(signed.select("sig", *sides), ["sig"], limit, "ord").select("sig", F.struct(*sides).alias("paper"))
+    shown = ["domain", "sig_a", "sig_b", "shared_chemicals", "shared_specimens", "shared_species"]
+    both = winners.select(*shown, F.explode(F.array("sig_a", "sig_b")).alias("sig")).join(members, "sig").groupBy(*shown)
+    pairs = (
+        both.agg(*[F.collect_list(F.when(F.col("sig") == F.col(f"sig_{i}"), F.col("paper"))).alias(o) for i, o in zip("ab", "xy")])
+        .withColumn("x", F.explode("x"))
+        .withColumn("y", F.explode("y"))
+    )
     ordered = pairs.withColumn("_pair", F.array_sort(F.array("x", "y"))).select(
         "domain", "shared_chemicals", "shared_specimens",
         F.when((F.col("shared_species") > 0) & (F.size("shared_chemicals") >= 2), 0.85).otherwise(0.72).alias("confidence"),
@@ -212,12 +213,22 @@ def contradiction_pairs(evidence: DataFrame, registry: Registry, limit: int = PA
     return top_per(ordered, ["domain"], limit, F.desc(F.size("shared_chemicals")), "ord_a", "ord_b")
 
 
-def _meets(signatures: DataFrame, level: int, heads: int, limit: int) -> DataFrame:
-    """The first contradicting signature pairs with ``level`` shared chemicals, one side among the first ``heads`` of its domain."""
-    a, b = top_per(signatures, ["domain"], heads, "first", "sig").drop("rank").alias("a"), signatures.alias("b")
+def _blocks(signatures: DataFrame) -> DataFrame:
+    """A row for each block of a signature; two that share ``least`` chemicals meet in one of them."""
+    return (
+        signatures.withColumn("prefix", F.slice("chem", F.lit(1), F.size("chem") - F.col("least") + 1))
+        .withColumn("in_chem", F.explode("prefix"))
+        .withColumn("in_spec", F.explode("spec"))
+        .withColumn("in_outcome", F.explode("outcomes"))
+    )
+
 
-    def shared(label: str) -> Column:
-        return F.array_intersect(f"a.{label}", f"b.{label}")
+def _shared(label: str) -> Column:
+    return F.array_intersect(f"a.{label}", f"b.{label}")
+
+
+def _contradict() -> Column:
+    """Signature a stands before b, and the two contradict."""
 
     def compatible(label: str) -> Column:
         either_empty = (F.size(f"a.{label}") == 0) | (F.size(f"b.{label}") == 0)
@@ -226,19 +237,33 @@ def _meets(signatures: DataFrame, level: int, heads: int, limit: int) -> DataFra
     specific = (
         (F.size("a.specific") == 0) & (F.size("b.specific") == 0)
     ) | F.arrays_overlap("a.specific", "b.specific")
-    condition = (F.col("a.domain") == F.col("b.domain")) & (F.col("a.family") != F.col("b.family"))
-    # the side among the heads is the earlier one
-    condition &= F.struct("a.first", "a.sig") < F.struct("b.first", "b.sig")
+    condition = (F.col("a.family") != F.col("b.family")) & (F.struct("a.first", "a.sig") < F.struct("b.first", "b.sig"))
     condition &= F.arrays_overlap("a.spec", "b.spec") & F.arrays_overlap("a.outcomes", "b.outcomes")
-    for test in (compatible("species"), compatible("phases"), specific, F.size(shared("chem")) == level):
+    for test in (compatible("species"), compatible("phases"), specific, F.size(_shared("chem")) >= F.col("a.least")):
         condition &= test
-    pairs = a.join(b, condition).select(
+    return condition
+
+
+def _meets(rows: DataFrame, hot: int) -> DataFrame:
+    """Contradicting signature pairs of the blocks in ``rows``, each once, in the smallest block both are in."""
+    salted = rows.withColumn("salts", F.ceil(F.col("rows") / hot).cast("int"))
+    a = salted.withColumn("salt", F.pmod(F.xxhash64("sig"), F.col("salts")).cast("int")).alias("a")
+    b = salted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("b")
+    condition = _contradict()
+    for col in (*BLOCK, "salt"):
+        condition &= F.col(f"a.{col}") == F.col(f"b.{col}")
+    for col, held in (("in_chem", "prefix"), ("in_spec", "spec"), ("in_outcome", "outcomes")):
+        condition &= F.col(f"a.{col}") == F.array_min(_shared(held))
+    return _pairs(a.join(b, condition))
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.select(
         F.col("a.domain").alias("domain"), F.col("a.sig").alias("sig_a"), F.col("b.sig").alias("sig_b"),
         F.col("a.first").alias("first_a"), F.col("b.first").alias("first_b"),
-        shared("chem").alias("shared_chemicals"), shared("spec").alias("shared_specimens"),
-        F.size(shared("species")).alias("shared_species"),
+        _shared("chem").alias("shared_chemicals"), _shared("spec").alias("shared_specimens"),
+        F.size(_shared("species")).alias("shared_species"), F.size(_shared("chem")).alias("shared"),
     )
-    return top_per(pairs, ["domain"], limit, "first_a", "first_b").drop("rank", "first_a", "first_b")
 
 
 # -- hypotheses ---------------------------------------------------------------

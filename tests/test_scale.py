@@ -137,3 +137,50 @@ def test_contradictions_match_all_pairs(spark):
     for limit in (5, 20):
         got = research.contradiction_pairs(df, REGISTRY, limit=limit).orderBy("rank").collect()
         assert [(-len(r.shared_chemicals), r.ord_a, r.ord_b) for r in got] == sorted(pairs)[:limit]
+
+
+def _papers(spark, n, seed, families, labels):
+    """Papers with many different signatures."""
+    rng = random.Random(seed)
+
+    def some(values, low=0, high=3):
+        return rng.sample(values, min(len(values), rng.randint(low, high)))
+
+    rows = [
+        ("islets", i, f"t{i}", "experimental", families(i), some(labels["chemicals"], 1), some(["islets", "beta cells", "islet grafts"], 1),
+         labels["species"](i), some(["cooling", "warming", "loading", "storage"]), some(["viability", "function", "yield"], 1))
+        for i in range(n)
+    ]
+    schema = ("domain string, ord int, title string, paper_type string, family string, chemicals array<string>, "
+              "specimens array<string>, species array<string>, phases array<string>, outcomes array<string>")
+    return rows, spark.createDataFrame(rows, schema)
+
+
+def _brute(rows, limit):
+    names = ("domain", "ord", "title", "paper_type", "family", "chemicals", "specimens", "species", "phases", "outcomes")
+    papers = [dict(zip(names, r)) for r in rows]
+    generic = {"islets", "pancreatic islets"}
+    return sorted((-n, a["ord"], b["ord"]) for i, a in enumerate(papers) for b in papers[i + 1:] if (n := _conflict(a, b, generic)))[:limit]
+
+
+def test_contradictions_where_few_papers_contradict(spark):
+    """One paper of another family, or species that keep the families apart: nearly every signature has to be ruled out."""
+    chemicals = [f"c{i}" for i in range(12)]
+    lone = {"chemicals": chemicals, "species": lambda i: ["human"]}
+    apart = {"chemicals": chemicals, "species": lambda i: ["human"] if i % 2 else ["rat"]}
+    for families, labels in (
+        (lambda i: "vitrification" if i == 300 else "slow-freezing", lone),
+        (lambda i: "vitrification" if i % 2 else "slow-freezing", apart),
+    ):
+        rows, df = _papers(spark, 400, 5, families, labels)
+        for hot in (7, research.HOT_BLOCK):
+            got = research.contradiction_pairs(df, REGISTRY, hot=hot).orderBy("rank").collect()
+            assert [(-len(r.shared_chemicals), r.ord_a, r.ord_b) for r in got] == _brute(rows, 20)
+
+
+def test_contradictions_plan_starts_no_job(spark):
+    _, df = _papers(spark, 30, 1, lambda i: ("vitrification", "slow-freezing")[i % 2], {"chemicals": ["a", "b"], "species": lambda i: []})
+    tracker = spark.sparkContext.statusTracker()
+    before = set(tracker.getJobIdsForGroup(None))
+    plan = research.contradiction_pairs(df, REGISTRY)
+    assert plan.columns and set(tracker.getJobIdsForGroup(None)) == before
