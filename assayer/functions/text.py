@@ -155,11 +155,32 @@ def trie_pattern(literals: Iterable[str]) -> str:
     return f"(?=({tail(root)}))"
 
 
+def _opens_words(pattern: str, literals: Iterable[str]) -> bool:
+    """Every match holds one of its literals right behind ``\\b``: the pattern is that boundary and a literal, or alternatives of them."""
+    body = pattern.removeprefix("(?i)")
+    if body.startswith(r"\b(?:") and body.find(")") in (len(body) - 1, len(body) - 3):
+        inner = body[len(r"\b(?:") : body.find(")")]
+        branches = inner.split("|") if "(" not in inner else []
+    else:
+        branches = [x.removeprefix(r"\b") for x in body.split("|") if x.startswith(r"\b")] if not re.search(r"[(\[]", body) else []
+        if len(branches) != len(body.split("|")):
+            return False
+    plain = [re.sub(r"\\(?![bBdDsSwW])", "", x).lower() for x in branches]
+    return bool(plain) and all(any(x.startswith(literal) for literal in literals) for x in plain) and all(x[0].isalpha() for x in literals)
+
+
+def quoted(value: str) -> str:
+    """A string as a literal of Spark's SQL."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 class PatternSet:
     """Many patterns looked for together.
 
     ``hits`` finds, in one pass over a text, which literals of any pattern occur; ``masks`` turns
-    them into bits, one for each pattern that may match; ``matches`` runs a pattern only where its bit is set.
+    them into bits, one for each pattern that may match; ``found`` runs a pattern only where its bit is set.
+    Literals that only count at the start of a word are looked for there alone. Expressions are SQL text: one
+    expression of many patterns is then parsed once, where building it call by call would take seconds.
     """
 
     WORD = 62
@@ -167,15 +188,23 @@ class PatternSet:
     def __init__(self, patterns: Iterable[str]) -> None:
         self.patterns = list(dict.fromkeys(patterns))
         self.index = {p: i for i, p in enumerate(self.patterns)}
-        self.literals = sorted({x for p in self.patterns for x in required_literals(p)})
-
-    def hits(self, lowered: Column) -> Column:
-        if not self.literals:
-            return F.array().cast("array<string>")
-        return F.regexp_extract_all(lowered, F.lit(trie_pattern(self.literals)), F.lit(1))
-
-    def masks(self, hits: Column, used: Iterable[str]) -> dict[int, Column]:
-        """Bits of the ``used`` patterns, by word; a hit stands for every literal it begins with."""
+        own = {p: required_literals(p) for p in self.patterns}
+        opening = {p for p, literals in own.items() if literals and _opens_words(p, literals)}
+        self.free = sorted({x for p, literals in own.items() if p not in opening for x in literals})
+        self.opening = sorted({x for p in opening for x in own[p]})
+        self.literals = sorted({*self.free, *self.opening})
+
+    def hits(self, lowered: str) -> str:
+        """SQL: the literals that occur, the longest at each place."""
+        parts = []
+        if self.opening:
+            parts.append(f"regexp_extract_all({lowered}, {quoted('(?<![a-z])' + trie_pattern(self.opening))}, 1)")
+        if self.free:
+            parts.append(f"regexp_extract_all({lowered}, {quoted(trie_pattern(self.free))}, 1)")
+        return f"concat({', '.join(parts)})" if parts else "cast(array() as array<string>)"
+
+    def masks(self, hits: str, used: Iterable[str]) -> dict[int, str]:
+        """SQL: bits of the ``used`` patterns, by word; a hit stands for every literal it begins with."""
         used = set(used)
         bits: dict[int, dict[str, int]] = {}
         for p in self.patterns:
@@ -185,22 +214,20 @@ class PatternSet:
                 if own and hit.startswith(own):
                     held = bits.setdefault(word, {})
                     held[hit] = held.get(hit, 0) | 1 << bit
-        out = {}
-        for word, held in bits.items():
-            known = F.create_map(*[F.lit(x) for hit, mask in held.items() for x in (hit, mask)]).cast("map<string,bigint>")
-            out[word] = F.aggregate(hits, F.lit(0).cast("long"), _adding(known))
-        return out
-
-    def matches(self, text: Column, mask: dict[int, Column], pattern: str) -> Column:
-        found = text.rlike(compile_pattern(pattern))
+        return {
+            word: f"aggregate({hits}, 0L, (bits, hit) -> bits | coalesce(try_element_at(map("
+            + ", ".join(f"{quoted(hit)}, {mask}L" for hit, mask in held.items())
+            + "), hit), 0L))"
+            for word, held in sorted(bits.items())
+        }
+
+    def found(self, text: str, mask: str, pattern: str) -> str:
+        """SQL: the pattern matches; ``mask`` names the words of bits when a number is put behind it."""
+        found = f"rlike({text}, {quoted(compile_pattern(pattern))})"
         if not required_literals(pattern):
             return found
         word, bit = divmod(self.index[pattern], self.WORD)
-        return (mask[word].bitwiseAND(F.lit(1 << bit)) != 0) & found
-
-
-def _adding(known: Column):
-    return lambda acc, hit: acc.bitwiseOR(F.coalesce(F.try_element_at(known, hit), F.lit(0).cast("long")))
+        return f"(({mask}{word} & {1 << bit}L) != 0 AND {found})"
 
 
 def any_of(patterns: Iterable[str]) -> str:

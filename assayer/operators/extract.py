@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ..config import DomainProfile, Registry
 from ..config.defaults import AUTHORITY_TIERS, SPARSE_IGNORED_PHASES
-from ..functions.arrays import distinct_ordered, labels_where, or_empty, string_array
-from ..functions.text import PatternSet, alias_pattern, find_all, has_digit, matches, matches_any, required_literals, sentences
+from ..functions.arrays import distinct_ordered, or_empty, string_array
+from ..functions.text import PatternSet, alias_pattern, compile_pattern, matches, matches_any, quoted, required_literals, sentences
 
 EXCERPT = "struct<label:string,text:string,source:string,confidence:double,reviewed:boolean>"
 
@@ -72,11 +72,6 @@ def augment_source_text(papers: DataFrame, registry: Registry) -> DataFrame:
     return papers.withColumn("_excerpts", usable).withColumn("source_text", F.concat(prefix, F.lit(". "), body))
 
 
-def _holds(field: str, label: str):
-    """Predicate: the sentence fact carries the label."""
-    return lambda f: F.array_contains(f[field], label)
-
-
 def explode_sentences(df: DataFrame, text: str) -> DataFrame:
     """(…, pos, sentence) in reading order."""
     return df.select("*", F.posexplode(sentences(F.col(text))).alias("pos", "sentence"))
@@ -151,65 +146,55 @@ def _sentence_patterns(d: DomainProfile, registry: Registry) -> list[str]:
     ]
 
 
-def _sentence_facts(d: DomainProfile, registry: Registry, sentence: Column, patterns: PatternSet, words: list[int]) -> Column:
-    """Everything the detectors need to know about one sentence.
+def _sentence_facts(d: DomainProfile, registry: Registry, patterns: PatternSet, words: list[int]) -> str:
+    """SQL: everything the detectors need to know about one sentence ``s``.
 
-    ``sentence`` carries text, whether it has a digit, and which patterns may match (``words`` of bits).
+    It carries text, whether it has a digit, and which patterns may match (``words`` of bits).
     """
     shared = registry.shared
-    text, mask = sentence.text, {w: sentence[f"m{w}"] for w in words}
-
-    def found(pattern: str) -> Column:
-        return patterns.matches(text, mask, pattern)
-
-    def any_found(some) -> Column:
-        out = F.lit(False)
-        for pattern in some:
-            out = out | found(pattern)
-        return out
-
-    found_aliases = F.array_compact(
-        F.array(
-            *[
-                F.when(found(alias_pattern(alias)), F.struct(F.lit(chemical.name).alias("name"), F.lit(alias).alias("alias")))
-                for chemical in registry.chemicals(d)
-                for alias in chemical.aliases
-            ]
-        )
+
+    def found(pattern: str) -> str:
+        return patterns.found("s.text", "s.m", pattern)
+
+    def any_found(some) -> str:
+        return "(" + (" OR ".join(map(found, some)) or "false") + ")"
+
+    def labels(pairs: list[tuple[str, str]]) -> str:
+        return f"array_compact(array({', '.join(f'CASE WHEN {test} THEN {quoted(label)} END' for label, test in pairs)}))" if pairs else none
+
+    none = "cast(array() as array<string>)"
+    alias = "struct<name:string,alias:string>"
+    aliases = ", ".join(
+        f"CASE WHEN {found(alias_pattern(a))} THEN named_struct('name', {quoted(c.name)}, 'alias', {quoted(a)}) END"
+        for c in registry.chemicals(d) for a in c.aliases
     )
     study_terms = [p for p in (shared.study_terms, d.outcome_terms, shared.preserving_terms) if p]
-    outcomes = labels_where([(str(i), any_found(rule.patterns)) for i, rule in enumerate(d.outcomes)])
-    none = F.array().cast("array<string>")
-    touched = F.lit(False)
-    for w in words:
-        touched = touched | (mask[w] != 0)
-    untouched = not any(not required_literals(p) for p in _sentence_patterns(d, registry))
-
-    def measured(pattern: str) -> Column:
-        return F.when(sentence.digit, find_all(text, pattern)).otherwise(none)
-
-    def facts(hit: bool) -> Column:
-        """Of a sentence that may match something, or of one that cannot."""
-
-        def labels(col: Column) -> Column:
-            return col if hit else none
-
-        return F.struct(
-            text.alias("text"),
-            (found(shared.process_context) if hit else F.lit(False)).alias("process"),
-            (found(shared.stepwise) if hit else F.lit(False)).alias("stepwise"),
-            labels(labels_where([(s.label, found(s.pattern)) for s in d.specimens])).alias("specimens"),
-            labels(labels_where([(label, found(pattern)) for label, pattern in shared.species])).alias("species"),
-            (found_aliases if hit else F.array().cast("array<struct<name:string,alias:string>>")).alias("aliases"),
-            labels(F.when(any_found(study_terms), outcomes).otherwise(none)).alias("outcomes"),
-            labels(labels_where([(r.phase, any_found(r.patterns)) for r in registry.phases(d)])).alias("phases"),
-            measured(shared.concentration).alias("concentrations"),
-            measured(shared.temperature).alias("temperatures"),
-            measured(shared.duration).alias("durations"),
-            measured(shared.rate).alias("rates"),
+    # the outcomes come first: few sentences have one, and the study terms are the longest patterns
+    outcomes = labels([(str(i), any_found(rule.patterns)) for i, rule in enumerate(d.outcomes)])
+    when_touched = {
+        "process": found(shared.process_context),
+        "stepwise": found(shared.stepwise),
+        "specimens": labels([(x.label, found(x.pattern)) for x in d.specimens]),
+        "species": labels([(label, found(pattern)) for label, pattern in shared.species]),
+        "aliases": f"array_compact(cast(array({aliases}) as array<{alias}>))",
+        "outcomes": f"get(transform(array({outcomes}), o -> CASE WHEN size(o) > 0 AND {any_found(study_terms)} THEN o ELSE {none} END), 0)",
+        "phases": labels([(r.phase, any_found(r.patterns)) for r in registry.phases(d)]),
+    }
+    otherwise = dict.fromkeys(when_touched, none) | {"process": "false", "stepwise": "false", "aliases": f"cast(array() as array<{alias}>)"}
+    measured = {
+        field: f"CASE WHEN s.digit THEN regexp_extract_all(s.text, {quoted(compile_pattern(pattern))}, 0) ELSE {none} END"
+        for field, pattern in (
+            ("concentrations", shared.concentration), ("temperatures", shared.temperature), ("durations", shared.duration), ("rates", shared.rate)
         )
+    }
 
-    return F.when(touched, facts(True)).otherwise(facts(False)) if untouched else facts(True)
+    def struct(dictionary: dict[str, str]) -> str:
+        return "named_struct('text', s.text, " + ", ".join(f"'{k}', {v}" for k, v in {**dictionary, **measured}.items()) + ")"
+
+    if not all(required_literals(p) for p in _sentence_patterns(d, registry)):
+        return struct(when_touched)
+    touched = " OR ".join(f"s.m{w} != 0" for w in words) or "false"
+    return f"CASE WHEN {touched} THEN {struct(when_touched)} ELSE {struct(otherwise)} END"
 
 
 def sentence_facts(papers: DataFrame, registry: Registry) -> DataFrame:
@@ -221,76 +206,90 @@ def sentence_facts(papers: DataFrame, registry: Registry) -> DataFrame:
         papers = augment_source_text(papers, registry)
     own = {d.id: _sentence_patterns(d, registry) for d in registry.domains}
     patterns = PatternSet(p for some in own.values() for p in some)
-    prepared = F.transform(
-        sentences(F.col("source_text")),
-        lambda s: F.struct(s.alias("text"), patterns.hits(F.lower(s)).alias("hits"), has_digit(s).alias("digit")),
-    )
+    split = papers.withColumn("_sentences", sentences(F.col("source_text")))
+    prepared = F.expr(f"transform(_sentences, s -> named_struct('text', s, 'hits', {patterns.hits('lower(s)')}, 'digit', rlike(s, '[0-9]')))")
 
     def facts(d: DomainProfile) -> Column:
-        words = sorted(patterns.masks(F.array(), own[d.id]))
-
-        def marked(s: Column) -> Column:
-            masks = patterns.masks(s.hits, own[d.id])
-            return F.struct(s.text.alias("text"), s.digit.alias("digit"), *[masks[w].alias(f"m{w}") for w in words])
-
-        return F.transform(F.transform("_sentences", marked), lambda s: _sentence_facts(d, registry, s, patterns, words))
+        masks = patterns.masks("s.hits", own[d.id])
+        marked = ", ".join(["'text', s.text", "'digit', s.digit", *(f"'m{w}', {sql}" for w, sql in masks.items())])
+        return F.expr(f"transform(transform(_sentences, s -> named_struct({marked})), s -> {_sentence_facts(d, registry, patterns, list(masks))})")
 
     # a generator, so that no later filter is pushed below it as a second copy
     # of every pattern
-    return papers.withColumn("_sentences", prepared).select("*", F.explode(F.array(registry.by_domain(F.col("domain"), facts))).alias("facts"))
+    return split.withColumn("_sentences", prepared).select("*", F.explode(F.array(registry.by_domain(F.col("domain"), facts))).alias("facts"))
 
 
-def _weigh(weight: float):
-    """Adds a sentence's weight, one more inside process context."""
-    return lambda acc, f: acc + F.lit(weight) + F.when(f.process, 1.0).otherwise(0.0)
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
-def rank_specimens(d: DomainProfile, title: Column, facts: Column) -> Column:
-    """Specimen labels ranked by weighted hits; weak ones only when nothing is strong."""
+def _specimen_rules(d: DomainProfile, title: Column) -> Column:
+    """array<struct<label, weight, titled>> in dictionary order."""
     lowered = F.lower(title)
-    scored = F.array(
+    return F.array(
         *[
-            F.struct(
-                (
-                    F.when(matches(lowered, s.pattern, lowered), s.weight + 2.0).otherwise(0.0)
-                    + F.aggregate(F.filter(facts, _holds("specimens", s.label)), F.lit(0.0), _weigh(s.weight))
-                ).alias("score"),
-                F.lit(s.label).alias("label"),
-            )
+            F.struct(F.lit(s.label).alias("label"), F.lit(float(s.weight)).alias("weight"), matches(lowered, s.pattern, lowered).alias("titled"))
             for s in d.specimens
         ]
     )
-    hits = F.filter(scored, lambda x: x.score > 0)
-    ranked = F.array_sort(F.transform(hits, lambda x: F.struct((-x.score).alias("score"), x.label.alias("label"))))
-    strong = F.filter(ranked, lambda x: x.score <= -SPECIMEN_KEEP)
-    chosen = F.when(F.size(strong) > 0, strong).otherwise(F.slice(ranked, 1, SPECIMEN_FALLBACK))
-    return F.transform(chosen, lambda x: x.label)
-
-
-def detect_species(registry: Registry, title: Column, facts: Column) -> Column:
-    return labels_where(
-        [
-            (label, matches(title, pattern, F.lower(title)) | F.exists(facts, _holds("species", label)))
-            for label, pattern in registry.shared.species
-        ]
+
+
+def rank_specimens(rules: Column, facts: Column) -> Column:
+    """Specimen labels ranked by weighted hits, one more inside process context; weak ones only when nothing is strong."""
+
+    def ranked(held: Column) -> Column:
+        def scored(r: Column) -> Column:
+            inside = F.filter(held, lambda f: F.array_contains(f.specimens, r.label))
+            hits = F.aggregate(inside, F.lit(0.0), lambda acc, f: acc + r.weight + F.when(f.process, 1.0).otherwise(0.0))
+            return F.struct((-(F.when(r.titled, r.weight + 2.0).otherwise(0.0) + hits)).alias("score"), r.label.alias("label"))
+
+        return F.array_sort(F.filter(F.transform(rules, scored), lambda x: x.score < 0))
+
+    def chosen(all_: Column) -> Column:
+        def strongest(strong: Column) -> Column:
+            return F.when(F.size(strong) > 0, strong).otherwise(F.slice(all_, 1, SPECIMEN_FALLBACK))
+
+        return F.transform(_once(F.filter(all_, lambda x: x.score <= -SPECIMEN_KEEP), strongest), lambda x: x.label)
+
+    return _once(_once(F.filter(facts, lambda f: F.size(f.specimens) > 0), ranked), chosen)
+
+
+def _species_rules(registry: Registry, title: Column) -> Column:
+    """array<struct<label, titled>> in dictionary order."""
+    lowered = F.lower(title)
+    return F.array(
+        *[F.struct(F.lit(label).alias("label"), matches(title, pattern, lowered).alias("titled")) for label, pattern in registry.shared.species]
     )
 
 
-def extract_chemicals(d: DomainProfile, registry: Registry, facts: Column) -> Column:
+def detect_species(rules: Column, facts: Column) -> Column:
+    def found(said: Column) -> Column:
+        return F.transform(F.filter(rules, lambda r: r.titled | F.array_contains(said, r.label)), lambda r: r.label)
+
+    return _once(F.array_distinct(F.flatten(F.transform(facts, lambda f: f.species))), found)
+
+
+def extract_chemicals(names: Column, facts: Column) -> Column:
     """array<struct<name, aliases, concentrations, sentences>> in dictionary order."""
-    names = string_array([c.name for c in registry.chemicals(d)])
-
-    def mention(name: Column) -> Column:
-        hit = F.filter(facts, lambda f: F.exists(f.aliases, lambda a: a["name"] == name))
-        own = F.flatten(F.transform(hit, lambda f: F.filter(f.aliases, lambda a: a["name"] == name)))
-        return F.struct(
-            name.alias("name"),
-            F.array_distinct(F.transform(own, lambda a: a["alias"])).alias("aliases"),
-            distinct_ordered(F.flatten(F.transform(hit, lambda f: f.concentrations))).alias("concentrations"),
-            F.transform(hit, lambda f: f.text).alias("sentences"),
-        )
 
-    return F.filter(F.transform(names, mention), lambda c: F.size(c.sentences) > 0)
+    def mentions(held: Column) -> Column:
+        def mention(name: Column) -> Column:
+            def of(hit: Column) -> Column:
+                own = F.flatten(F.transform(hit, lambda f: F.filter(f.aliases, lambda a: a["name"] == name)))
+                return F.struct(
+                    name.alias("name"),
+                    F.array_distinct(F.transform(own, lambda a: a["alias"])).alias("aliases"),
+                    distinct_ordered(F.flatten(F.transform(hit, lambda f: f.concentrations))).alias("concentrations"),
+                    F.transform(hit, lambda f: f.text).alias("sentences"),
+                )
+
+            return _once(F.filter(held, lambda f: F.exists(f.aliases, lambda a: a["name"] == name)), of)
+
+        said = F.array_distinct(F.flatten(F.transform(held, lambda f: F.transform(f.aliases, lambda a: a["name"]))))
+        return F.transform(_once(said, lambda s: F.filter(names, lambda n: F.array_contains(s, n))), mention)
+
+    return _once(F.filter(facts, lambda f: F.size(f.aliases) > 0), mentions)
 
 
 def extract_mentions(facts: Column, field: str) -> Column:
@@ -298,9 +297,8 @@ def extract_mentions(facts: Column, field: str) -> Column:
     return distinct_ordered(F.flatten(F.transform(facts, lambda f: f[field])))
 
 
-def extract_outcomes(d: DomainProfile, facts: Column) -> Column:
-    """array<struct<outcome_class, strength, summary, sentences>> in rule order."""
-    rules = F.array(
+def _outcome_rules(d: DomainProfile) -> Column:
+    return F.array(
         *[
             F.struct(
                 F.lit(str(i)).alias("rule"),
@@ -311,17 +309,26 @@ def extract_outcomes(d: DomainProfile, facts: Column) -> Column:
         ]
     )
 
-    def mention(rule: Column) -> Column:
-        hit = F.filter(facts, lambda f: F.array_contains(f.outcomes, rule.rule))
-        found = F.array_distinct(F.transform(hit, lambda f: f.text))
-        return F.struct(
-            rule.outcome_class.alias("outcome_class"),
-            rule.strength.alias("strength"),
-            F.get(found, 0).alias("summary"),
-            found.alias("sentences"),
-        )
 
-    return F.filter(F.transform(rules, mention), lambda o: F.size(o.sentences) > 0)
+def extract_outcomes(rules: Column, facts: Column) -> Column:
+    """array<struct<outcome_class, strength, summary, sentences>> in rule order."""
+
+    def mentions(held: Column) -> Column:
+        def mention(rule: Column) -> Column:
+            def of(found: Column) -> Column:
+                return F.struct(
+                    rule.outcome_class.alias("outcome_class"),
+                    rule.strength.alias("strength"),
+                    F.get(found, 0).alias("summary"),
+                    found.alias("sentences"),
+                )
+
+            hit = F.filter(held, lambda f: F.array_contains(f.outcomes, rule.rule))
+            return _once(F.array_distinct(F.transform(hit, lambda f: f.text)), of)
+
+        return F.filter(F.transform(rules, mention), lambda o: F.size(o.sentences) > 0)
+
+    return _once(F.filter(facts, lambda f: F.size(f.outcomes) > 0), mentions)
 
 
 def extract_steps(facts: Column) -> Column:
@@ -362,21 +369,14 @@ def extract_steps(facts: Column) -> Column:
     )
 
 
-def _snippets(kind: str, *found: tuple[Column, float]) -> Column:
-    """Distinct snippets of one kind, from (texts, confidence) in detector order.
+def _snippets(kind: str, levels: tuple[float, ...], marked: Column) -> Column:
+    """Distinct snippets of one kind, in detector order, from texts behind the place of their confidence in ``levels``.
 
-    Repeats are dropped on plain strings (text behind a confidence digit), which
-    Spark hashes; arrays of structs would be compared pair by pair.
+    Repeats are dropped on plain strings, which Spark hashes; arrays of structs would be compared pair by pair.
     """
-    levels = sorted({c for _, c in found})
-    keys = F.array_distinct(
-        F.concat(
-            *[F.transform(texts, _marked(str(levels.index(c)))) for texts, c in found]
-        )
-    )
     confidence = F.array(*[F.lit(c) for c in levels])
     return F.transform(
-        keys,
+        F.array_distinct(marked),
         lambda k: F.struct(
             F.lit(kind).alias("kind"),
             F.substring(k, 2, 2147483646).alias("text"),
@@ -389,8 +389,8 @@ def _snippets(kind: str, *found: tuple[Column, float]) -> Column:
     )
 
 
-def _marked(digit: str):
-    return lambda t: F.concat(F.lit(digit), F.trim(t))
+def _marked(texts: Column, level: int = 0) -> Column:
+    return F.transform(texts, lambda t: F.concat(F.lit(str(level)), F.trim(t)))
 
 
 def enrichment_evidence(excerpts: Column, reviewer_notes: Column) -> Column:
@@ -419,37 +419,42 @@ def enrichment_evidence(excerpts: Column, reviewer_notes: Column) -> Column:
     )
 
 
-def collect_evidence(d: DomainProfile, registry: Registry) -> Column:
-    """All evidence of a record in detector order, exact repeats dropped."""
+def collect_evidence(specimens: Column, species: Column) -> Column:
+    """All evidence of a record in detector order, exact repeats dropped; the rules are those of its domain."""
     facts, title = F.col("facts"), F.col("title")
-    lowered = F.lower(title)
     none = F.array().cast("array<string>")
-    only_title = F.array(title)
-    specimen: list[tuple[Column, float]] = []
-    for s in d.specimens:
-        in_title = F.when(matches(lowered, s.pattern, lowered), only_title).otherwise(none)
-        in_text = F.transform(F.filter(facts, _holds("specimens", s.label)), lambda f: f.text)
-        specimen += [(in_title, TITLE_CONFIDENCE), (in_text, SENTENCE_CONFIDENCE)]
-    for label, pattern in registry.shared.species:
-        first = F.slice(F.transform(F.filter(facts, _holds("species", label)), lambda f: f.text), 1, 1)
-        from_title = matches(title, pattern, lowered)
-        specimen += [
-            (F.when(from_title, only_title).otherwise(none), TITLE_CONFIDENCE),
-            (F.when(from_title, none).otherwise(first), SENTENCE_CONFIDENCE),
-        ]
+    levels = (SENTENCE_CONFIDENCE, TITLE_CONFIDENCE)
+
+    def specimen(held: Column) -> Column:
+        def of(r: Column) -> Column:
+            in_text = F.transform(F.filter(held, lambda f: F.array_contains(f.specimens, r.label)), lambda f: f.text)
+            return F.concat(F.when(r.titled, _marked(F.array(title), 1)).otherwise(none), _marked(in_text))
+
+        return F.flatten(F.transform(specimens, of))
+
+    def kind_of_animal(held: Column) -> Column:
+        def of(r: Column) -> Column:
+            first = F.slice(F.filter(held, lambda f: F.array_contains(f.species, r.label)), 1, 1)
+            return F.when(r.titled, _marked(F.array(title), 1)).otherwise(_marked(F.transform(first, lambda f: f.text)))
+
+        return F.flatten(F.transform(species, of))
 
     def texts_with(field: str) -> Column:
         return F.transform(F.filter(facts, lambda f: F.size(f[field]) > 0), lambda f: f.text)
 
+    bodies = F.concat(
+        _once(F.filter(facts, lambda f: F.size(f.specimens) > 0), specimen),
+        _once(F.filter(facts, lambda f: F.size(f.species) > 0), kind_of_animal),
+    )
     chemical = F.flatten(F.transform("chemical_mentions", lambda c: c.sentences))
     outcome = F.flatten(F.transform("outcome_mentions", lambda o: o.sentences))
     return F.concat(
-        _snippets("protocol-family", (F.col("_family.evidence"), FAMILY_CONFIDENCE)),
-        _snippets("specimen", *specimen),
-        _snippets("chemical", (chemical, CHEMICAL_CONFIDENCE)),
-        _snippets("temperature", (texts_with("temperatures"), MENTION_CONFIDENCE)),
-        _snippets("duration", (texts_with("durations"), MENTION_CONFIDENCE)),
-        _snippets("outcome", (outcome, OUTCOME_CONFIDENCE)),
+        _snippets("protocol-family", (FAMILY_CONFIDENCE,), _marked(F.col("_family.evidence"))),
+        _snippets("specimen", levels, bodies),
+        _snippets("chemical", (CHEMICAL_CONFIDENCE,), _marked(chemical)),
+        _snippets("temperature", (MENTION_CONFIDENCE,), _marked(texts_with("temperatures"))),
+        _snippets("duration", (MENTION_CONFIDENCE,), _marked(texts_with("durations"))),
+        _snippets("outcome", (OUTCOME_CONFIDENCE,), _marked(outcome)),
         F.array_distinct(enrichment_evidence(F.col("_excerpts"), F.col("reviewer_notes"))),
     )
 
@@ -528,26 +533,30 @@ def assemble_extraction(papers: DataFrame, registry: Registry, evidence: bool =
         {
             "_family": protocol_family(title, abstract, registry),
             "paper_type": paper_type(title, abstract, registry, domain),
-            "species": detect_species(registry, title, facts),
-            "specimens": registry.by_domain(domain, lambda d: rank_specimens(d, title, facts)),
-            "chemical_mentions": registry.by_domain(domain, lambda d: extract_chemicals(d, registry, facts)),
-            "outcome_mentions": registry.by_domain(domain, lambda d: extract_outcomes(d, facts)),
+            "_species": _species_rules(registry, title),
+            "_specimens": registry.by_domain(domain, lambda d: _specimen_rules(d, title)),
+            "chemical_mentions": extract_chemicals(
+                registry.by_domain(domain, lambda d: string_array([c.name for c in registry.chemicals(d)])), facts
+            ),
+            "outcome_mentions": extract_outcomes(registry.by_domain(domain, _outcome_rules), facts),
             "steps": extract_steps(facts),
             "temperatures": extract_mentions(facts, "temperatures"),
             "durations": extract_mentions(facts, "durations"),
         }
     )
     later = {
+        "species": detect_species(F.col("_species"), facts),
+        "specimens": rank_specimens(F.col("_specimens"), facts),
         "family": F.col("_family.family"),
         "chemicals": F.transform("chemical_mentions", lambda c: c["name"]),
         "outcomes": F.array_distinct(F.transform("outcome_mentions", lambda o: o.outcome_class)),
         "phases": F.transform("steps", lambda s: s.phase),
     }
     if evidence:
-        later["evidence"] = registry.by_domain(domain, lambda d: collect_evidence(d, registry))
+        later["evidence"] = collect_evidence(F.col("_specimens"), F.col("_species"))
     out = out.withColumns(later)
     last = {"confidence": extraction_confidence()}
     if evidence:
         last["authority"] = authority_summary(F.col("evidence"))
     out = out.withColumns(last)
-    return out.drop("_family", "_sentences", "_excerpts", "facts")
+    return out.drop("_family", "_species", "_specimens", "_sentences", "_excerpts", "facts")

@@ -60,9 +60,10 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
     digest = F.md5(F.col("text").cast("binary"))
     source = F.col("source")
     shifted = subject_text("text")
+    # a file may be one row group, which no task can split; the pattern work behind it must reach every core
+    dealt = table(spark, sf, "documents").repartition(spark.sparkContext.defaultParallelism, "doc_id")
     return (
-        table(spark, sf, "documents")
-        .withColumn("_t", shifted)
+        dealt.withColumn("_t", shifted)
         .select(
             by_lang({k: F.lit(v) for k, v in DOMAIN_OF_LANG.items()}).alias("domain"),
             F.col("doc_id").alias("ord"),
