@@ -14,10 +14,12 @@ from ..functions.keys import dedupe_key, fingerprint, identity_hints
 from ..functions.numbers import fixed
 from ..functions.text import title_key
 from .match import candidate_gate
-from .skew import first_by_key, last_by_key
+from .skew import first_by_key, last_by_key, placed
 
 #: Text fields where the longest value across providers is kept.
 LONGEST_FIELDS = ("title", "abstract", "doi", "pmid", "pmcid", "journal", "authors_flat")
+#: The one of them that is long: it is fetched after the merge.
+LATE_FIELD = "abstract"
 STALE = "evidence or recommendation changed since the previous review state"
 
 
@@ -38,26 +40,38 @@ def source_union(*frames: DataFrame) -> DataFrame:
 
 
 def dedupe_merge_records(
-    records: DataFrame, order: Sequence[str] = ("ord",), baseline: Sequence[str] = DIVERSITY_SOURCES
+    records: DataFrame, order: Sequence[str] = ("ord",), baseline: Sequence[str] = DIVERSITY_SOURCES, late: bool = False
 ) -> DataFrame:
     """Merge records of the same paper into one candidate row.
 
     The key is the strongest identity a record has; it is deliberately not
     transitive. Inside a key, the first record per provider counts, so a merged
     row never holds more records than there are providers, however many copies
-    were delivered. Both steps are aggregates with map-side combine.
+    were delivered. ``late`` is for records that lie in a table and whose ``order`` is one number that tells
+    them apart: abstracts then stay out of every sort and aggregate; only their lengths and places compete, and the
+    winners' are fetched at the end.
     """
     for field in LONGEST_FIELDS:
         if field not in records.columns:
             records = records.withColumn(field, F.lit(None).cast("string"))
+    if late and len(order) != 1:
+        raise ValueError("late texts are found again by one number")
     keyed = records.withColumn("dedupe_key", record_key()).withColumn("_ord", F.struct(*order))
-    firsts = first_by_key(keyed, ["domain", "dedupe_key", "source"], "_ord")
+    keyed = keyed.withColumn(LATE_FIELD, F.nullif(F.trim(F.col(LATE_FIELD)), F.lit("")))
+    narrow = keyed.withColumn("_length", F.length(LATE_FIELD))
+    if late:
+        narrow = narrow.drop(LATE_FIELD)
+        firsts = placed(narrow, ["domain", "dedupe_key", "source"], order[0])
+    else:
+        firsts = first_by_key(narrow, ["domain", "dedupe_key", "source"], "_ord")
     # longest first, earliest among equals; a null ordering keeps blanks out
     longest = []
     for field in LONGEST_FIELDS:
-        value = F.nullif(F.trim(F.col(field)), F.lit(""))
-        order = F.when(value.isNotNull(), F.struct(-F.length(value), F.col("_ord")))
-        longest.append(F.min_by(value, order).alias(field))
+        if field != LATE_FIELD:
+            value = F.nullif(F.trim(F.col(field)), F.lit(""))
+            longest.append(F.min_by(value, F.when(value.isNotNull(), F.struct(-F.length(value), F.col("_ord")))).alias(field))
+    place = F.when(F.col("_length").isNotNull(), F.struct(-F.col("_length"), F.col("_ord")))
+    longest.append(F.min_by(order[0], place).alias("_at") if late else F.min_by(LATE_FIELD, place).alias(LATE_FIELD))
     merged = firsts.groupBy("domain", "dedupe_key").agg(
         *longest,
         F.max("published_year").alias("published_year"),
@@ -74,6 +88,13 @@ def dedupe_merge_records(
             F.collect_list(F.struct("_ord", "source", "source_id", "full_text_availability"))
         ).alias("_sources"),
     )
+    if late:
+        # the abstracts of the winners, fetched once: they stream past the merged rows
+        texts = keyed.where(F.col(LATE_FIELD).isNotNull()).select(
+            F.col("domain").alias("_domain"), F.col("dedupe_key").alias("_key"), F.col(order[0]).alias("_place"), LATE_FIELD
+        )
+        own = F.col("domain").eqNullSafe(F.col("_domain")) & F.col("dedupe_key").eqNullSafe(F.col("_key")) & (F.col("_at") == F.col("_place"))
+        merged = merged.hint("shuffle_hash").join(texts, own, "left").drop("_domain", "_key", "_place", "_at")
     availability = (
         F.when(F.col("_open"), "open-access-full-text")
         .when(F.col("_link"), "full-text-link")

@@ -145,7 +145,7 @@ def gated(spark: SparkSession, sf: str) -> DataFrame:
 @per_session
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Merged candidates, as a stored stage."""
-    merged = merge.dedupe_merge_records(gated(spark, sf), baseline=DIVERSITY_SOURCES)
+    merged = merge.dedupe_merge_records(gated(spark, sf), baseline=DIVERSITY_SOURCES, late=True)
     return cut(merged.withColumn("ord", F.col("first_seen.ord")).drop("first_seen"), "candidates")
 
 

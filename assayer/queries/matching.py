@@ -76,7 +76,7 @@ def candidate_gate(spark, sf):
       {joined('matched_keywords')} as matched_keywords, full_text_availability from cand"""),
 )
 def dedupe_merge_records(spark, sf):
-    out = merge.dedupe_merge_records(corpus.gated(spark, sf), baseline=DIVERSITY_SOURCES)
+    out = merge.dedupe_merge_records(corpus.gated(spark, sf), baseline=DIVERSITY_SOURCES, late=True)
     return out.select(
         "domain", "dedupe_key", "title", F.md5(F.coalesce("abstract", F.lit("")).cast("binary")).alias("abstract_md5"),
         "doi", "pmid", "pmcid", "journal", "published_year", "record_count", "source_count", pipe("source_types"),
@@ -100,9 +100,8 @@ _RANK = "ranking_score desc, source_count desc, coalesce(published_year, 0) desc
     with_(*CAND, f"select domain, dedupe_key, title, ranking_score, source_count, published_year from cand order by {_RANK}"),
 )
 def top_candidates(spark, sf):
-    """The flagship: gate, merge, score and rank in one plan."""
-    gated = match.candidate_gate(corpus.records(spark, sf), REGISTRY)
-    ranked = merge.top_candidates(merge.dedupe_merge_records(gated, baseline=DIVERSITY_SOURCES))
+    """The flagship: merge, score and rank what passed the gate, which is a stored stage."""
+    ranked = merge.top_candidates(merge.dedupe_merge_records(corpus.gated(spark, sf), baseline=DIVERSITY_SOURCES, late=True))
     return ranked.select("domain", "dedupe_key", "title", "ranking_score", "source_count", "published_year")
 
 

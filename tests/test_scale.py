@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from assayer.config import default_registry
 from assayer.config.policy import DEFAULT_POLICY, FEATURES
-from assayer.operators import policy, research, sequence, skew
+from assayer.operators import corpus, policy, research, sequence, skew
 
 REGISTRY = default_registry()
 
@@ -19,6 +19,31 @@ def test_first_and_last_by_key(spark):
     assert sorted(map(tuple, skew.last_by_key(df, ["k"], "o").collect())) == [("a", 3, "y"), ("b", 5, "z")]
 
 
+def test_rows_found_by_their_place(spark):
+    df = spark.createDataFrame([("a", 2, "x"), ("a", 1, None), (None, 5, "z"), ("a", 3, "y"), (None, 7, "w")], "k string, o int, v string")
+    assert sorted(map(tuple, skew.placed(df, ["k"], "o").collect()), key=repr) == [("a", 1, None), (None, 5, "z")]
+    assert sorted(map(tuple, skew.placed(df, ["k"], "o", last=True).collect()), key=repr) == [("a", 3, "y"), (None, 7, "w")]
+
+
+def test_late_texts_change_no_candidate(spark):
+    rng = random.Random(4)
+    texts = [None, "", " ", "short", "equally long a", "equally long b", "the longest of all of them"]
+    rows = [
+        (rng.choice(["islets", None]), rng.choice(["10.1/a", "10.1/b", "10.1/c"]), rng.choice(["pubmed", "crossref", "web"]), str(i), f"t{i % 5}",
+         rng.choice(texts), i, ["k"], 1.0 * i, 2000 + i % 7, i, "abstract-only")
+        for i in range(60)
+    ]
+    df = spark.createDataFrame(rows, "domain string, doi string, source string, source_id string, title string, abstract string, ord int, "
+                               "matched_keywords array<string>, relevance_score double, published_year int, citation_count int, full_text_availability string")
+    df = df.withColumn("pmid", F.lit(None).cast("string")).withColumn("pmcid", F.lit(None).cast("string"))
+    plain = corpus.dedupe_merge_records(df)
+    late = corpus.dedupe_merge_records(df, late=True)
+    assert sorted(late.columns) == sorted(plain.columns)
+    assert sorted(map(repr, late.select(*plain.columns).collect())) == sorted(map(repr, plain.collect()))
+    plan = late._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "SortMergeJoin" not in plan
+
+
 RANKS = {"p": 1, "q": 2, "r": 2, "s": 3}
 
 
