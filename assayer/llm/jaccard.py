@@ -120,8 +120,16 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray
     return out
 
 
-def identities(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes of each set; 0 for an empty one."""
+#: Names that different sets were found to share, round by round.
+Clashes = tuple[tuple[int, ...], ...]
+
+
+def identities(sets: list[np.ndarray], clashes: Clashes = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of each set; 0 for an empty one.
+
+    The first names the set. Where different sets were found to share a name, in one round after the
+    other, the second hash is mixed in: together they tell sets apart by 128 bits.
+    """
     sizes = np.array([len(e) for e in sets])
     out = np.zeros((2, len(sets)), dtype=np.int64)
     full = np.flatnonzero(sizes)
@@ -130,6 +138,9 @@ def identities(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         at = (np.cumsum(sizes) - sizes)[full]
         for k in (0, 1):
             out[k, full] = np.add.reduceat(_mixed(all_, 11 + k), at).view(np.int64)
+    for turn, names in enumerate(clashes):
+        hit = np.isin(out[0], names)
+        out[0, hit] = _mixed(out[0, hit].view(np.uint64) ^ _mixed(out[1, hit].view(np.uint64), 31 + turn), 47 + turn).view(np.int64)
     return out[0], out[1]
 
 
@@ -206,7 +217,7 @@ def sketch(elements: np.ndarray, space: int, percent: int = PERCENT) -> bytes:
     return np.packbits((np.bincount(cell, minlength=64 * words) & 1).astype(np.uint8)).tobytes()
 
 
-def members(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+def members(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, clashes: Clashes = ()) -> DataFrame:
     """(doc_id, text_hash, n_shingles, node, proof): a node for each distinct set; null for texts without words."""
     small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
@@ -215,7 +226,7 @@ def members(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
         for batch in batches:
             sets = shingle_sets(batch.column(2).to_pylist(), words)
             sizes = np.array([len(e) for e in sets], dtype=np.int64)
-            node, proof = identities(sets)
+            node, proof = identities(sets, clashes)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:2], pa.array(sizes), pa.array(node, mask=sizes == 0), pa.array(proof, mask=sizes == 0)],
                 names=["doc_id", "text_hash", "n_shingles", "node", "proof"],
@@ -225,7 +236,7 @@ def members(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     return map_partitions(rows, run, f"doc_id {kind}, text_hash long, n_shingles long, node long, proof long")
 
 
-def _signed(df: DataFrame, text_col: str, parts: int, words: int, percent: int) -> DataFrame:
+def _signed(df: DataFrame, text_col: str, parts: int, words: int, percent: int, clashes: Clashes = ()) -> DataFrame:
     """(part, held): signatures with their nodes, packed by partition; a node signs once in a batch.
 
     ``held``: the number of runs; for each run its node, its space and its number of signatures; the signatures.
@@ -235,7 +246,7 @@ def _signed(df: DataFrame, text_col: str, parts: int, words: int, percent: int)
         for batch in batches:
             sets = shingle_sets(batch.column(0).to_pylist(), words)
             signs, nodes, spaces = [np.zeros(0, dtype=np.uint64)], [], []
-            for node, e in {n: e for n, e in zip(identities(sets)[0].tolist(), sets) if len(e)}.items():
+            for node, e in {n: e for n, e in zip(identities(sets, clashes)[0].tolist(), sets) if len(e)}.items():
                 for space, s in signatures(e, percent):
                     signs.append(s)
                     nodes.append(node)
@@ -304,14 +315,14 @@ def _buckets(signed: DataFrame) -> DataFrame:
     return map_partitions(signed, run, "bucket long, space int, node long")
 
 
-def _sketched(df: DataFrame, text_col: str, words: int, percent: int) -> DataFrame:
+def _sketched(df: DataFrame, text_col: str, words: int, percent: int, clashes: Clashes = ()) -> DataFrame:
     """(node, space, size, bits): the sketch of each node in each space where it signs; once in a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets(batch.column(0).to_pylist(), words)
             rows = []
-            for node, e in {n: e for n, e in zip(identities(sets)[0].tolist(), sets) if len(e)}.items():
+            for node, e in {n: e for n, e in zip(identities(sets, clashes)[0].tolist(), sets) if len(e)}.items():
                 rows += [(node, space, len(e), sketch(e, space, percent)) for space, *_ in plan(len(e), percent)]
             if rows:
                 kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
@@ -329,7 +340,7 @@ def _tiled(rows: DataFrame, group: str) -> DataFrame:
     own = F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_blocks"), F.lit(1)) - 1))
     met = rows.join(large, group, "left").withColumn("_own", F.coalesce(own, F.lit(0))).withColumn("_other", other)
-    tile = F.least("_own", "_other") * (1 << 15) + F.greatest("_own", "_other")
+    tile = F.least("_own", "_other").cast("long") * (1 << 31) + F.greatest("_own", "_other")
     return met.withColumns({"tile": tile, "half": (F.col("_own") > F.col("_other")).cast("int")}).drop("_own", "_other", "_blocks")
 
 
@@ -435,7 +446,7 @@ def _exact(rows: DataFrame, words: int, percent: int) -> DataFrame:
             (_, tile), members_ = groups.popitem()
             members_.sort(key=lambda m: (m[0], m[1]))
             half = 0
-            if tile >> 15 != tile & 0x7FFF:  # two blocks; the pairs inside each have their own tile
+            if tile >> 31 != tile & 0x7FFFFFFF:  # two blocks; the pairs inside each have their own tile
                 half = sum(m[0] == 0 for m in members_)
                 if half in (0, len(members_)):
                     continue
@@ -489,23 +500,29 @@ def similar(df: DataFrame, percent: int = PERCENT, words: int = WORDS, id_col: s
     if not 50 <= percent < 100:
         raise ValueError("the similarity of a link lies between 50 and 99 hundredths")
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    member = stored(members(docs, "doc_id", "text", words), "members")
-    nodes = member.where(F.col("node").isNotNull())
-    known = nodes.groupBy("node").agg(
-        F.min("proof").alias("p"), F.max("proof").alias("q"), F.min("text_hash").alias("text_hash"), F.min("doc_id").alias("low"),
-        F.count("*").alias("copies"),
-    )
-    known = stored(known, "nodes")
-    if not known.where("p <> q").isEmpty():
-        raise RuntimeError("two sets share a 64-bit hash")
+    clashes: Clashes = ()
+    while True:
+        member = stored(members(docs, "doc_id", "text", words, clashes), "members")
+        nodes = member.where(F.col("node").isNotNull())
+        known = nodes.groupBy("node").agg(
+            F.min("proof").alias("p"), F.max("proof").alias("q"), F.min("text_hash").alias("text_hash"), F.min("doc_id").alias("low"),
+            F.count("*").alias("copies"),
+        )
+        known = stored(known, "nodes")
+        # n sets share n * n / 2^65 names: ten or so of 2 * 10^10
+        shared = tuple(r["node"] for r in known.where("p <> q").select("node").collect())
+        if not shared:
+            break
+        discard(df.sparkSession, member, known)
+        clashes = (*clashes, shared)
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     parts = max(tasks_for(df), -(-total // PARTITION))
-    buckets = _buckets(_signed(docs, "text", parts, words, percent).repartition(parts, "part"))
+    buckets = _buckets(_signed(docs, "text", parts, words, percent, clashes).repartition(parts, "part"))
     buckets = stored(buckets.dropDuplicates(["bucket", "node"]), "buckets")
     discard(df.sparkSession)
     labels = known.limit(0).select("node", F.lit(0).cast("long").alias("label"), F.lit(0).cast("long").alias("met"))
     if not buckets.isEmpty():
-        labels = _linked(docs, nodes, buckets, words, percent, parts)
+        labels = _linked(docs, nodes, buckets, words, percent, parts, clashes)
     discard(df.sparkSession, buckets)
     grouped = known.select("node", "low").join(labels, "node").groupBy("label").agg(F.min("low").alias("_lowest"))
     linked = labels.join(grouped, "label").select("node", "label", "_lowest", "met")
@@ -536,10 +553,12 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         return stored(rows.dropDuplicates(["node"]), "texts")
 
 
-def _linked(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, words: int, percent: int, parts: int) -> DataFrame:
+def _linked(
+    docs: DataFrame, nodes: DataFrame, buckets: DataFrame, words: int, percent: int, parts: int, clashes: Clashes = ()
+) -> DataFrame:
     """(node, label, met): components of the nodes that link with another, and the rows of all nodes each links with."""
     spark = docs.sparkSession
-    rows = _tiled(buckets.join(_sketched(docs, "text", words, percent), ["node", "space"]), "bucket")
+    rows = _tiled(buckets.join(_sketched(docs, "text", words, percent, clashes), ["node", "space"]), "bucket")
     forest = stored(_likely(rows.repartition(parts, "bucket", "tile"), percent).distinct(), "forest")
     discard(spark)
     likely = components(forest)

@@ -26,8 +26,6 @@ from .common import bisect, map_batches, map_partitions, small_batches, stored
 #: Buckets that n-grams are hashed into, and the pseudo-count of each.
 BUCKETS = 10_000
 SMOOTHING = 1.0
-#: Labelled rows that the target model is fitted on, at most.
-TARGET_ROWS = 20_000
 #: Share of the rows that the sample takes.
 KEEP = 0.8
 SEED = 20_250
@@ -128,27 +126,29 @@ def weigh(df: DataFrame, ratios: np.ndarray, seed: int = SEED, id_col: str = "do
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [buckets(t, size) for t in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array([float(ratios[f].sum()) for f in found], pa.float64())],
-            names=[id_col, "n_features", "log_weight"],
+            [batch.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array([float(ratios[f].sum()) for f in found], pa.float64()), batch.column(2)],
+            names=["id", "n_features", "log_weight", "own"],
         )
 
     kind = df.schema[id_col].dataType.simpleString()
-    out = map_batches(df.select(id_col, text_col), run, f"`{id_col}` {kind}, n_features long, log_weight double")
-    return out.withColumn("key", F.col("log_weight") + gumbel(id_col, seed))
+    # what the noise is drawn for: the id, or the text where there is none
+    own = F.when(F.col(id_col).isNull(), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.lit("nameless"))).alias("own")
+    out = map_batches(df.select(id_col, text_col, own), run, f"id {kind}, n_features long, log_weight double, own long")
+    noise = F.when(F.col("id").isNull(), gumbel("own", seed)).otherwise(gumbel("id", seed))
+    return out.select(F.col("id").alias(id_col), "n_features", "log_weight", (F.col("log_weight") + noise).alias("key"))
 
 
-def target_of(docs: DataFrame, labels: DataFrame, rows: int = TARGET_ROWS) -> DataFrame:
-    """Texts labelled good: ``rows`` at most, picked by a hash of the id."""
+def target_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """All texts labelled good."""
     good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    picked = good.orderBy(F.xxhash64("doc_id", F.lit("target")), "doc_id").limit(rows)
-    return docs.join(F.broadcast(picked), "doc_id", "left_semi").select("text")  # bounded by ``rows``
+    return docs.join(good, "doc_id", "left_semi").select("text")
 
 
 def resample(docs: DataFrame, target: DataFrame, keep: float = KEEP, seed: int = SEED) -> DataFrame:
     """(doc_id, n_features, log_weight, key) of the sampled documents, ``round(keep * rows)`` of them.
 
     A row with a null or empty text has no n-grams, weight 0 in logs, and takes
-    part like any other; a null id has noise of its own. Rows that tie on the
+    part like any other; a row without an id draws its noise for its text. Rows that tie on the
     key at the threshold (repeated rows) are all in, so that no copy is dropped by
     chance. Without a target text no ratio can be told and noise alone decides.
     An empty table gives an empty table; columns beside id and text are not read.

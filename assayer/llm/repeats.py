@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, map_partitions, small_batches, stored, tasks_for
@@ -234,16 +234,28 @@ def _covered(strings: list[bytes], many: list[bool], length: int) -> list[list[t
     return out
 
 
+def _row_hash(turn: int) -> Column:
+    return F.xxhash64(F.lit(turn), "doc_id", "text")
+
+
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text, key): key tells rows apart; equal rows share one. Null texts count as empty."""
+    """(doc_id, text, key): key tells rows apart; equal rows share one. Null texts count as empty.
+
+    Rows are told apart by two hashes. Where different rows share the first, those rows alone get
+    another one until none do: a handful among 10^10 rows in the first turn, none in the second.
+    """
     rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    for seed in range(8):
-        keyed = rows.withColumn("key", F.xxhash64(F.lit(seed), "doc_id", "text"))
-        other = keyed.select("key", F.xxhash64("text", "doc_id", F.lit(-1 - seed)).alias("other"))
-        clash = other.groupBy("key").agg(F.min("other").alias("a"), F.max("other").alias("b")).where("a <> b")
-        if clash.isEmpty():
+    keyed, turn = rows.withColumn("key", _row_hash(0)), 0
+    while True:
+        other = keyed.select("key", F.xxhash64("text", "doc_id", F.lit(-1)).alias("other"))
+        shared = other.groupBy("key").agg(F.min("other").alias("a"), F.max("other").alias("b")).where("a <> b")
+        if shared.isEmpty():
             return keyed
-    raise RuntimeError("no seed tells all rows apart")
+        turn += 1
+        again = stored(shared.select(F.col("key").alias("_shared")), "shared-keys")
+        keyed = keyed.join(again, F.col("key") == F.col("_shared"), "left").select(
+            "doc_id", "text", F.when(F.col("_shared").isNull(), F.col("key")).otherwise(_row_hash(turn)).alias("key")
+        )
 
 
 _SEGMENTS = pa.schema(

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from assayer.llm import jaccard, queries
 
@@ -176,3 +178,27 @@ def test_links_are_counted(spark, monkeypatch, tile):
     got = sorted((r.doc_id, r.n_links) for r in jaccard.similar(table(spark, rows)).collect())
     assert got == links(rows)
     assert sum(n for _, n in got) // 2 > len(rows)
+
+
+def test_sets_that_share_a_name_are_told_apart(spark, monkeypatch):
+    rnd = random.Random(8)
+    base = [[f"w{rnd.randrange(400)}" for _ in range(40)] for _ in range(12)]
+    rows = [(i, " ".join(noisy(rnd, base[i % 12], rnd.randrange(2)))) for i in range(60)]
+    plain, tried = jaccard.members, []
+
+    def few_names(*args):
+        tried.append(args[-1])
+        made = plain(*args)
+        return made if args[-1] else made.withColumn("node", F.pmod("node", F.lit(5)))
+
+    monkeypatch.setattr(jaccard, "members", few_names)
+    checked(jaccard.similar(table(spark, rows)), rows)
+    assert len(tried) == 2 and set(tried[1][0]) <= set(range(5))
+
+
+def test_a_shared_name_is_mixed_with_the_second_hash():
+    own = [np.array([i, i + 1], dtype=np.uint64) for i in range(4)]
+    names, proofs = jaccard.identities(own)
+    again, same = jaccard.identities(own, ((int(names[1]),), (7,)))
+    assert (same == proofs).all() and (again == names).tolist() == [True, False, True, True]
+    assert jaccard.identities([own[1], own[1]], ((int(names[1]),),))[0].tolist().count(int(again[1])) == 2

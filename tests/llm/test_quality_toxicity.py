@@ -139,3 +139,15 @@ def test_op9_held_out_accuracy(spark):
     pos, neg = m[m.toxic == 1].score.to_numpy(), m[m.toxic == 0].score.to_numpy()
     auc = np.mean([(p > neg).mean() + 0.5 * (p == neg).mean() for p in pos])
     assert auc > 0.9, auc
+
+
+def test_rows_without_an_id_draw_for_themselves(spark):
+    rows = [(None, f"text number {i}") for i in range(1000)]
+    none = table(spark, []).select("text")
+    assert quality.resample(table(spark, rows), none, keep=0.5).count() == 500
+
+
+def test_all_good_texts_are_the_target(spark):
+    docs = table(spark, [(i, f"t{i}") for i in range(50)])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(50)] + [(None, 1, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")
+    assert sorted(r.text for r in quality.target_of(docs, labels).collect()) == sorted(f"t{i}" for i in range(1, 50, 2))

@@ -7,6 +7,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from assayer.llm import queries, repeats
 
@@ -111,3 +112,18 @@ def test_op10_whole_table(spark):
         for i, t, (kept, spans) in zip(docs.doc_id, texts, windows_counted(texts, 200))
     }
     assert got == want
+
+
+def test_rows_that_share_a_key_get_another(spark, monkeypatch):
+    rnd = random.Random(6)
+    shared = " ".join(rnd.choice(["ab", "cde", "f"]) for _ in range(60))
+    rows = [(i % 20, "".join(rnd.choice("abc ") for _ in range(60)) + (shared if i % 3 else "")) for i in range(40)] * 2
+    plain, turns = repeats._row_hash, []
+
+    def few_keys(turn):
+        turns.append(turn)
+        return plain(turn) if turn else F.pmod(plain(0), F.lit(7))
+
+    monkeypatch.setattr(repeats, "_row_hash", few_keys)
+    checked(repeats.remove_repeats(table(spark, rows), 64), rows, 64)
+    assert turns == [0, 1]
