@@ -15,6 +15,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.reject(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with as many marks behind it as it takes to differ from every column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies one document stays: that with the smallest id.
 
@@ -25,13 +33,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     found = jaccard.similar(docs).where("component is not null")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")).alias("first")
-    kept = found.groupBy("component").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
+    own, hashed = unused(docs, "_id"), unused(docs, "_hash")
+    kept = found.groupBy("component").agg(first).select(F.col("first.doc_id").alias(own), F.col("first.text_hash").alias(hashed))
     one = (
         docs.where(~wordless)
-        .withColumn("_hash", F.xxhash64("text"))
-        .join(kept, "_hash")
-        .where(F.col("doc_id").eqNullSafe(F.col("_id")))
-        .dropDuplicates(["_hash", "doc_id"])
+        .withColumn(hashed, F.xxhash64("text"))
+        .join(kept, hashed)
+        .where(F.col("doc_id").eqNullSafe(F.col(own)))
+        .dropDuplicates([hashed, "doc_id"])
     )
     return one.select(*docs.columns).unionByName(docs.where(wordless))
 
