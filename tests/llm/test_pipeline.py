@@ -122,3 +122,12 @@ def test_same_id_in_one_group_and_in_two(spark):
     rows = [(5, base), (5, base), (5, base + " end"), (5, "something else entirely in other words"), (9, base)]
     kept = sorted(r.text for r in corpus_pipeline.drop_near_copies(spark, table(spark, rows), "").collect())
     assert len(kept) == 2 and kept[0] == "something else entirely in other words" and kept[1] in (base, base + " end")
+
+
+def test_columns_named_like_the_stages_own_keep_their_values(spark):
+    text = " ".join(f"word{i}" for i in range(30))
+    rows = [(1, text, 111, "a"), (2, text, 222, "b"), (3, "something else altogether in here", 333, "c"), (4, None, 444, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _hash long, _ID string")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(tuple(r) for r in kept.collect()) == [rows[0], rows[2], rows[3]]
