@@ -12,8 +12,12 @@ others are dealt by hash into ``shards * GRAIN`` cells, and a cell is placed lik
 group. So the list that is packed on the driver has a fixed bound, whatever the
 table holds, and its small members fill the last gaps.
 
-A group over half a shard could not be balanced in one piece; it is split by
-document id into pieces of a quarter of a shard.
+A group over half a shard could not be balanced in one piece; it is split into
+pieces of a quarter of a shard. What splits it is the place of a row in the stored
+table of sizes, not its id, so rows that are equal in everything spread too.
+
+Slots are counted in windows no larger than a cell: a large group is numbered in
+as many parts as it fills cells, and each part starts where the one before it ends.
 """
 
 from __future__ import annotations
@@ -73,9 +77,11 @@ def pack(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "te
     The law is ``bytes``: the sizes of the shards come out nearly equal (tokens
     and rows are balanced with them); ``grown_shard`` is null. ``slot`` counts from
     0 without gaps in each shard. Copies share a shard unless their group is over
-    half a shard. Two texts with the same 64-bit hash would share one too, which
-    does no harm. Rows with a null or repeated id are rows like any other; an
-    empty table gives an empty table; further columns are not read.
+    half a shard; which copies of such a group go together depends on how the table
+    lies in files. Two texts with the same 64-bit hash would share one too, which
+    does no harm. Rows with a null or repeated id are rows like any other, also where
+    equal rows are most of the table; an empty table gives an empty table; further
+    columns are not read.
 
     Texts are read once; the narrow table of sizes is stored and everything else
     reads that. The shuffles carry counts by group and narrow rows by cell; no
@@ -83,48 +89,52 @@ def pack(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "te
     """
     if shards < 1:
         raise ValueError("at least one shard")
-    rows = stored(sized(df, id_col, text_col), "sizes")
+    # the number becomes data when the table is written; later stages and their retries read it back
+    rows = stored(sized(df, id_col, text_col).withColumn("at", F.monotonically_increasing_id()), "sizes")
     cells = shards * GRAIN
     groups = rows.groupBy("text_hash").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("n"))
     total = rows.agg(F.sum("size"), F.sum("tokens"), F.count("*")).first()
     whole = [max(1, x or 0) for x in total]
     share = F.greatest(*[F.col(c) / w for c, w in zip("btn", whole)])
+    pieces = F.when(share > WHOLE / shards, F.ceil(share * shards / SPLIT)).otherwise(1).cast("int")
     large = (
         groups.where(share >= 1 / cells)
-        .select("text_hash", F.when(share > WHOLE / shards, F.ceil(share * shards / SPLIT)).otherwise(1).cast("int").alias("pieces"))
+        .withColumn("pieces", pieces)
+        .select("text_hash", "pieces", (F.col("pieces") * F.ceil(share * cells / F.col("pieces"))).cast("int").alias("parts"))
     )
     # at most 3 * cells groups hold 1 / cells of a total, so the broadcast is bounded
-    cell = F.struct(
-        F.col("text_hash").alias("key"),
-        F.pmod(F.xxhash64("doc_id", F.lit("piece")), F.col("pieces")).cast("int").alias("piece"),
-    )
+    part = F.pmod(F.xxhash64("at"), F.col("parts")).cast("int")
     dealt = (
         rows.join(F.broadcast(large), "text_hash", "left")
-        .withColumn(
-            "cell",
-            F.when(F.col("pieces").isNotNull(), cell).otherwise(
-                F.struct(F.pmod(F.xxhash64("text_hash"), F.lit(cells)).alias("key"), F.lit(-1).alias("piece"))
-            ),
-        )
-        .drop("text_hash", "pieces")
+        .withColumn("part", F.coalesce(part, F.lit(-1)))
+        .withColumn("piece", F.coalesce(F.pmod("part", "pieces"), F.lit(-1)))
+        .withColumn("key", F.when(F.col("pieces").isNotNull(), F.col("text_hash")).otherwise(F.pmod(F.xxhash64("text_hash"), F.lit(cells))))
+        .drop("text_hash", "pieces", "parts")
     )
-    items = (
-        dealt.groupBy("cell").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("n")).orderBy("cell").collect()
+    # bounded too: the parts of a large group are as many as the cells it fills, and less than one for each piece more
+    parts = (
+        dealt.groupBy("key", "piece", "part")
+        .agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("n"))
+        .orderBy("key", "piece", "part")
+        .collect()
     )
+    items: dict[tuple[int, int], np.ndarray] = {}
+    for x in parts:
+        name = (x["key"], x["piece"])
+        items[name] = items.get(name, 0) + np.array([x["b"], x["t"], x["n"]], dtype=float)
     spark = df.sparkSession
-    demands = np.array([[x["b"], x["t"], x["n"]] for x in items], dtype=float).reshape(len(items), 3) / whole
-    chosen = place(demands, shards)
+    demands = np.array(list(items.values()), dtype=float).reshape(len(items), 3) / whole
+    chosen = dict(zip(items, place(demands, shards).tolist()))
     first = [0] * shards
     plan = []
-    for item, shard in zip(items, chosen.tolist()):
-        plan.append((item["cell"]["key"], item["cell"]["piece"], shard, first[shard]))
-        first[shard] += item["n"]
-    placed = spark.createDataFrame(plan, "key long, piece int, shard int, first long").select(
-        F.struct("key", "piece").alias("cell"), "shard", "first"
-    )
-    rank = F.row_number().over(Window.partitionBy("cell").orderBy("doc_id", "text_crc32", "size"))
-    # bounded: a row for each cell and each piece of a large group
-    return dealt.withColumn("rank", rank).join(F.broadcast(placed), "cell").select(
+    for x in parts:
+        shard = chosen[x["key"], x["piece"]]
+        plan.append((x["key"], x["piece"], x["part"], shard, first[shard]))
+        first[shard] += x["n"]
+    placed = spark.createDataFrame(plan, "key long, piece int, part int, shard int, first long")
+    rank = F.row_number().over(Window.partitionBy("key", "piece", "part").orderBy("doc_id", "text_crc32", "size", "at"))
+    # bounded: a row for each cell and each part of a large group
+    return dealt.withColumn("rank", rank).join(F.broadcast(placed), ["key", "piece", "part"]).select(
         "doc_id",
         "size",
         "text_crc32",

@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pytest
 
 from assayer.llm import pack, queries
 
@@ -42,6 +43,17 @@ def test_balance_with_a_hot_group(spark):
     assert size.max() / size.mean() < 1.005 and size.min() / size.mean() > 0.995 and count.max() / count.mean() < 1.05
 
 
+@pytest.mark.parametrize("name", [7, None])
+def test_balance_with_equal_rows_of_one_id(spark, name):
+    rows = [(name, "the same row again " * 40)] * 2000 + [(i, f"short {i}") for i in range(2000)]
+    got = pack.pack(table(spark, rows), 10).collect()
+    checked(got, rows, 10)
+    size = np.zeros(10)
+    for r in got:
+        size[r.shard] += r["size"]
+    assert size.max() / size.mean() < 1.02 and size.min() / size.mean() > 0.98
+
+
 def test_groups_stay_whole(spark):
     rows = [(i, f"text number {i % 700} " * (1 + i % 7)) for i in range(2100)]
     shard = {}
