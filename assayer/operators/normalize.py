@@ -7,6 +7,8 @@ that do not fit one row; it lives in ``sequence``.
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,27 +93,44 @@ def normalized_steps(steps: Column, strict: bool = True) -> Column:
     return F.transform(steps, one)
 
 
-def rank_of(phase: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for pair in PHASE_RANK.items() for x in pair])
-    return F.coalesce(F.element_at(table, phase), F.lit(99))
-
-
 def next_phases(steps: Column) -> Column:
     """Per step, the phase it leads to: the first later structural step of another
-    phase whose rank is not lower; null for non-structural steps."""
-
-    def one(s: Column, i: Column) -> Column:
-        later = F.filter(
-            steps,
-            lambda t, j: (j > i)
-            & t.structural
-            & (t.phase != s.phase)
-            & (rank_of(t.phase) < 99)
-            & (rank_of(t.phase) >= rank_of(s.phase)),
-        )
-        return F.when(s.structural & (rank_of(s.phase) < 99), F.get(later, 0).phase)
+    phase whose rank is not lower; null for non-structural steps.
 
-    return F.transform(steps, one)
+    The structural phases of a row are written as one string of letters. Cut behind
+    each letter that may follow a phase, the string tells for every place what
+    comes next, so a row costs one pass for each ranked phase, however many steps it has.
+    """
+    ranked = {p: r for p, r in PHASE_RANK.items() if r < 99}
+    letter = dict(zip(ranked, string.ascii_lowercase, strict=False))
+
+    def code(s: Column) -> Column:
+        named = F.element_at(F.create_map(*[F.lit(x) for pair in letter.items() for x in pair]), s.phase)
+        return F.coalesce(F.when(s.structural, named), F.lit("."))
+
+    letters = F.array_join(F.transform(steps, code), "")
+    phase_of = F.create_map(*[F.lit(x) for p, c in letter.items() for x in (c, p)])
+
+    def following(phase: str) -> Column:
+        """At each place, the next phase that ``phase`` may lead to; right wherever a step of ``phase`` stands."""
+        goals = "".join(letter[p] for p, r in ranked.items() if p != phase and r >= ranked[phase])
+        if not goals:
+            return F.transform(steps, lambda s: F.lit(None).cast("string"))
+        runs = F.split(letters, f"(?<=[{goals}])")
+
+        def spread(run: Column) -> Column:
+            last = F.right(run, F.lit(1))
+            return F.array_repeat(F.when(last.rlike(f"[{goals}]"), F.element_at(phase_of, last)), F.length(run))
+
+        return F.flatten(F.transform(runs, spread))
+
+    columns = {phase: f"after_{i}" for i, phase in enumerate(ranked)}
+
+    def one(z: Column) -> Column:
+        chosen = F.coalesce(*[F.when(z["s"].phase == phase, z[name]) for phase, name in columns.items()])
+        return F.when(z["s"].structural, chosen)
+
+    return F.transform(F.arrays_zip(steps.alias("s"), *[following(p).alias(n) for p, n in columns.items()]), one)
 
 
 def _quoted(value: Column) -> Column:

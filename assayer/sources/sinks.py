@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
-def content_fingerprint(df: DataFrame, ignore: Sequence[str] = ()) -> DataFrame:
-    """Order-free fingerprint of a table: row count, hash sum and hash xor."""
-    cols = sorted(c for c in df.columns if c not in ignore)
+def fingerprint_metrics(columns: Sequence[str], ignore: Sequence[str] = ()) -> list[Column]:
+    """Order-free fingerprint of a table as aggregates: row count, hash sum and hash xor."""
+    kept = sorted(c for c in columns if c not in ignore)
     # JSON keeps nulls apart from empty values and covers nested columns and maps
-    row = F.xxhash64(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}))
-    return df.select(row.alias("h")).agg(
+    row = F.xxhash64(F.to_json(F.struct(*kept), {"ignoreNullFields": "false"}))
+    return [
         F.count("*").alias("rows"),
-        F.coalesce(F.sum(F.col("h").cast("decimal(38,0)")), F.lit(0)).cast("string").alias("hash_sum"),
-        F.coalesce(F.bit_xor("h"), F.lit(0)).alias("hash_xor"),
-    )
+        F.coalesce(F.sum(row.cast("decimal(38,0)")), F.lit(0)).cast("string").alias("hash_sum"),
+        F.coalesce(F.bit_xor(row), F.lit(0)).alias("hash_xor"),
+    ]
+
+
+def content_fingerprint(df: DataFrame, ignore: Sequence[str] = ()) -> DataFrame:
+    """``fingerprint_metrics`` as a one-row table, for a table that is stored already."""
+    return df.agg(*fingerprint_metrics(df.columns, ignore))
 
 
 class VersionedTable:
@@ -29,6 +35,8 @@ class VersionedTable:
     """
 
     MARKER = "_COMPLETE"
+    #: What a version's content amounts to, beside the version; readers of the table skip names that start like this.
+    CONTENT = "_CONTENT"
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
@@ -68,6 +76,22 @@ class VersionedTable:
     def publish(self, version: int) -> None:
         self._fs.create(self._new_path(f"{self.path}/v{version}/{self.MARKER}")).close()
 
+    def note(self, version: int, text: str) -> None:
+        """Keep a short text beside a version."""
+        out = self._fs.create(self._new_path(f"{self.path}/v{version}/{self.CONTENT}"))
+        out.write(bytearray(text, "utf-8"))
+        out.close()
+
+    def noted(self, version: int) -> str | None:
+        place = self._new_path(f"{self.path}/v{version}/{self.CONTENT}")
+        if not self._fs.exists(place):
+            return None
+        stream = self._fs.open(place)
+        try:
+            return bytes(stream.readAllBytes()).decode("utf-8")
+        finally:
+            stream.close()
+
     def drop(self, version: int) -> None:
         self._fs.delete(self._new_path(f"{self.path}/v{version}"), True)
 
@@ -80,17 +104,22 @@ class VersionedTable:
 def write_if_changed(df: DataFrame, target: str, ignore: Sequence[str] = ("generated_at",)) -> bool:
     """Write a new version only if the content differs, apart from run timestamps.
 
-    ``df`` is computed once: the new version is written, compared as written, and then published
-    or dropped. A column whose type changed is a difference.
+    ``df`` is computed once, and neither version is read back: Spark observes count, sum and
+    xor of the row hashes while the new version is written, and they are kept beside it for the next
+    comparison. Equal content drops the new version again. A column whose type changed is a
+    difference, and so is another list of ignored columns.
     """
     table = VersionedTable(df.sparkSession, target)
-    current = table.read()
-    version = table.stage(df)
-    new = table.staged(version)
-    if current is not None and sorted(current.dtypes) == sorted(new.dtypes):
-        if content_fingerprint(current, ignore).collect() == content_fingerprint(new, ignore).collect():
-            table.drop(version)
-            return False
+    known = table.versions()
+    seen = Observation()
+    version = table.stage(df.observe(seen, *fingerprint_metrics(df.columns, ignore)))
+    # a plan that is known to hold no row may be planned away together with its observation
+    metrics = seen.get or content_fingerprint(table.staged(version), ignore).first().asDict()
+    content = json.dumps({"columns": sorted(df.dtypes), "ignored": sorted(ignore), **metrics}, sort_keys=True)
+    if known and table.noted(known[-1]) == content:
+        table.drop(version)
+        return False
+    table.note(version, content)
     table.publish(version)
     return True
 

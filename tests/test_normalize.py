@@ -1,10 +1,14 @@
 from __future__ import annotations
 
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
+from assayer.config.defaults import PHASE_RANK
 from assayer.functions.measures import parse_concentration, parse_duration, parse_rate, parse_temperature
-from assayer.operators.normalize import normalize_extraction
+from assayer.operators.normalize import next_phases, normalize_extraction
 
 MENTION = "struct<name:string,aliases:array<string>,concentrations:array<string>,sentences:array<string>>"
 STEP = (
@@ -115,3 +119,31 @@ def test_rates(spark):
     assert [(m.kind, m.text) if m else None for m in got] == [
         ("cooling-rate", "-0.3 C/min"), ("warming-rate", "5 C/hour"), None,
     ]
+
+
+def test_transitions_of_long_workflows_match_brute_force(spark):
+    rng = random.Random(8)
+    names = [*PHASE_RANK, "something else", None]
+    rows = [[(rng.choice(names), rng.random() < 0.7) for _ in range(n)] for n in (0, 1, 2, 7, 60, 60, 400)] + [None, [("storage", None), ("culture", True)]]
+    df = spark.createDataFrame(list(enumerate(rows)), "id int, steps array<struct<phase:string,structural:boolean>>")
+    got = {r.id: r.next for r in df.select("id", next_phases(F.col("steps")).alias("next")).collect()}
+
+    def leads_to(steps, i):
+        phase, structural = steps[i]
+        rank = PHASE_RANK.get(phase, 99)
+        later = (p for p, s in steps[i + 1 :] if s and p != phase and rank <= PHASE_RANK.get(p, 99) < 99)
+        return next(later, None) if structural and rank < 99 else None
+
+    assert got == {i: None if steps is None else [leads_to(steps, j) for j in range(len(steps))] for i, steps in enumerate(rows)}
+
+
+def test_transitions_cost_as_much_as_there_are_steps(spark):
+    def seconds(n):
+        step = F.struct(F.lit("storage").alias("phase"), F.lit(True).alias("structural"))
+        df = spark.range(1).select(F.array_repeat(step, n).alias("steps"))
+        start = time.perf_counter()
+        assert df.select(F.array_size(F.array_compact(next_phases(F.col("steps")))).alias("n")).first().n == 0
+        return time.perf_counter() - start
+
+    seconds(10)
+    assert seconds(200_000) < 60

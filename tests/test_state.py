@@ -142,6 +142,36 @@ def test_write_if_changed_ignores_run_time_and_order(spark):
     assert sinks.VersionedTable(spark, target).versions() == [0, 1]
 
 
+def test_write_if_changed_sees_empty_tables_types_and_repeated_rows(spark):
+    target = folder(spark, "t")
+    df = spark.createDataFrame([(1, "x"), (1, "x"), (None, None)], "id int, v string")
+    empty = spark.createDataFrame([], "id int, v string")
+    steps = [empty, empty.where("id > 1"), df, df.repartition(3), df.distinct(), df.withColumn("id", F.col("id").cast("long")), df.limit(0), empty]
+    written = [sinks.write_if_changed(step, target) for step in steps]
+    assert written == [True, False, True, False, True, True, True, False]
+    assert sinks.VersionedTable(spark, target).read().count() == 0
+
+
+def test_write_if_changed_reads_its_input_once_and_no_version(spark):
+    target = folder(spark, "t")
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(1000).mapInArrow(counted, "id long")
+    assert sinks.write_if_changed(df, target)
+    assert read.value == 1000
+    # with its files gone, the stored version could not be read; its fingerprint can
+    table = sinks.VersionedTable(spark, target)
+    for part in [x.getPath() for x in table._fs.listStatus(table._new_path(f"{target}/v0")) if x.getPath().getName().startswith("part-")]:
+        table._fs.delete(part, False)
+    assert not sinks.write_if_changed(df, target)
+    assert read.value == 2000
+
+
 def write_import(spark, path, domain, records):
     body = json.dumps({"domain": domain, "source": "pubmed", "generated_at": "2024-01-01T00:00:00Z", "records": records})
     spark.createDataFrame([(body,)], "value string").coalesce(1).write.mode("append").text(path)
