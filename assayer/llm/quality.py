@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bisect, map_batches, map_partitions, small_batches, stored
+from .common import bisect, bloom_joins, map_batches, map_partitions, small_batches, stored
 
 #: Buckets that n-grams are hashed into, and the pseudo-count of each.
 BUCKETS = 10_000
@@ -72,11 +72,19 @@ def counted(df: DataFrame, size: int = BUCKETS) -> DataFrame:
 
 
 def log_ratios(target: DataFrame, raw: DataFrame, size: int = BUCKETS, smoothing: float = SMOOTHING) -> np.ndarray:
-    """Log of the ratio of the smoothed probabilities, by bucket. ``size`` rows reach the driver for each model."""
+    """Log of the ratio of the smoothed probabilities, by bucket; all 0 if the target holds no n-gram.
+
+    Each model is computed once, and ``size`` rows of it reach the driver. A target that is found by a join sends only
+    texts that pass a Bloom filter of the wanted ids through the shuffle.
+    """
+    with bloom_joins(target.sparkSession):
+        wanted = target.collect()
+    if not wanted:
+        return np.zeros(size)
     logs = []
-    for counts in (target, raw):
+    for counts in (wanted, raw.collect()):
         n = np.full(size, smoothing)
-        for r in counts.collect():
+        for r in counts:
             n[r["bucket"]] += r["n"]
         logs.append(np.log(n / n.sum()))
     return logs[0] - logs[1]
@@ -140,7 +148,7 @@ def weigh(df: DataFrame, ratios: np.ndarray, seed: int = SEED, id_col: str = "do
 
 def target_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """All texts labelled good."""
-    good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id")
     return docs.join(good, "doc_id", "left_semi").select("text")
 
 
@@ -153,11 +161,7 @@ def resample(docs: DataFrame, target: DataFrame, keep: float = KEEP, seed: int =
     chance. Without a target text no ratio can be told and noise alone decides.
     An empty table gives an empty table; columns beside id and text are not read.
     """
-    ratios = np.zeros(BUCKETS)
-    model = counted(target)
-    if not model.isEmpty():
-        ratios = log_ratios(model, counted(docs))
-    rows = stored(weigh(docs, ratios, seed), "weights")
+    rows = stored(weigh(docs, log_ratios(counted(target), counted(docs)), seed), "weights")
     k = math.floor(keep * rows.count() + 0.5)
     if k <= 0:
         return rows.limit(0)
