@@ -13,7 +13,6 @@ from ..config.policy import FEATURES, MIN_PROMOTE_PRECISION, MIN_PROMOTE_RECALL,
 from ..functions.arrays import labels_where
 from ..functions.numbers import clamp, fixed, ratio, unit_share, year_scale
 from ..functions.text import contains_count
-from ..session import cut
 from .sequence import running_total
 
 # Feature levels worth a reason.
@@ -91,9 +90,11 @@ def missing_reviewed(gold: DataFrame, papers: DataFrame) -> DataFrame:
 
 def require_coverage(gold: DataFrame, papers: DataFrame) -> None:
     """Raise, naming examples, unless every reviewed gold row has a paper."""
-    missing = missing_reviewed(gold, papers).limit(20).collect()
-    if missing:
-        listed = ", ".join(f"{r.domain}:{r.paper_id}" for r in missing)
+    missing = missing_reviewed(gold, papers)
+    named = missing.limit(20).collect()
+    if named:
+        more = missing.count() - len(named)
+        listed = ", ".join(f"{r.domain}:{r.paper_id}" for r in named) + (f" and {more} more" if more else "")
         raise ValueError(f"reviewed gold rows missing from the corpus: {listed}")
 
 
@@ -150,44 +151,21 @@ def score_candidates(candidates: DataFrame, policy: Policy) -> DataFrame:
     return recommend(linear_score(feature_vector(candidates, policy), policy), policy)
 
 
-def ranking_accuracy(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Share of (positive, negative) pairs ranked right, ties half.
+def _by_score(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per key and distinct score: outcome counts, and the negatives below the score.
 
-    Counted per distinct score with a running number of negatives below it, never
-    as pairs. ``n`` weights a row; the running number is built in two levels so no
-    task sees all scores of a key.
+    ``n`` weights a row; a row without a score ranks lowest. The running number is built in two levels, so
+    no task sees all scores of a key.
     """
-    keys = list(keys)
     n = F.col("n") if "n" in scored.columns else F.lit(1)
-    by_score = scored.groupBy(*keys, "score").agg(
-        F.sum(F.when(F.col("label") == "promote", n).otherwise(0)).alias("_p"),
-        F.sum(F.when(F.col("label") == "defer", n).otherwise(0)).alias("_n"),
-    )
-    ranked = running_total(by_score, keys, F.floor(F.col("score") * 20), "score", "_n", "_below")
-    pairs = F.sum("_p").cast("double") * F.sum("_n").cast("double")
-    wins2 = F.sum(F.col("_p") * (2 * F.col("_below") + F.col("_n"))).cast("double")
-    return ranked.groupBy(*keys).agg(ratio(wins2, pairs * 2, 4).alias("ranking_accuracy"))
-
-
-def policy_metrics(scored: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Metrics per domain and for all domains together (``domain`` = 'all').
-
-    Ratios of the whole come from summed counts. ``keys`` adds e.g. a policy id.
-    """
-    keys = list(keys)
-    n = F.col("n") if "n" in scored.columns else F.lit(1)
-    # counts per distinct outcome, stored: everything below re-reads these few rows
-    # instead of scoring the corpus again
-    small = cut(scored.groupBy(*keys, "domain", "label", "recommendation", "score").agg(F.sum(n).alias("n")), "scores")
-    both = small.withColumn("domain", F.explode(F.array(F.col("domain"), F.lit("all"))))
+    label, rec = F.col("label"), F.col("recommendation") if "recommendation" in scored.columns else F.lit(None)
 
     def count(cond: Column) -> Column:
-        return F.sum(F.when(cond, F.col("n")).otherwise(0))
+        return F.sum(F.when(cond, n).otherwise(0))
 
-    label, rec = F.col("label"), F.col("recommendation")
     positive, negative = label == "promote", label == "defer"
-    counts = both.groupBy(*keys, "domain").agg(
-        F.sum("n").alias("candidates"),
+    by_score = scored.groupBy(*keys, "score").agg(
+        F.sum(n).alias("candidates"),
         count(positive).alias("positives"),
         count(negative).alias("negatives"),
         count(rec == "promote").alias("promoted"),
@@ -198,8 +176,35 @@ def policy_metrics(scored: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         count(negative & (rec == "promote")).alias("_np"),
         count(negative & (rec == "defer")).alias("_nd"),
     )
-    ranks = ranking_accuracy(both, [*keys, "domain"])
-    metrics = counts.join(ranks, [*keys, "domain"]).withColumns(
+    level = F.coalesce(F.floor(F.col("score") * 20), F.lit(-(1 << 62)))
+    return running_total(by_score, keys, level, "score", "negatives", "_below")
+
+
+def _ranked() -> Column:
+    pairs = F.sum("positives").cast("double") * F.sum("negatives").cast("double")
+    wins2 = F.sum(F.col("positives") * (2 * F.col("_below") + F.col("negatives"))).cast("double")
+    return ratio(wins2, pairs * 2, 4).alias("ranking_accuracy")
+
+
+def ranking_accuracy(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Share of (positive, negative) pairs ranked right, ties half; counted per distinct score, never as pairs."""
+    keys = list(keys)
+    return _by_score(scored, keys).groupBy(*keys).agg(_ranked())
+
+
+def policy_metrics(scored: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Metrics per domain and for all domains together (``domain`` = 'all').
+
+    Ratios of the whole come from summed counts. ``keys`` adds e.g. a policy id. Planning starts no job:
+    outcomes are counted per distinct score first, and that shuffle feeds both levels of the running count.
+    """
+    keys = [*keys, "domain"]
+    n = F.col("n") if "n" in scored.columns else F.lit(1)
+    # rows are counted before each is doubled for the whole
+    small = scored.groupBy(*keys, "label", "recommendation", "score").agg(F.sum(n).alias("n"))
+    both = small.withColumn("domain", F.explode(F.array(F.col("domain"), F.lit("all"))))
+    summed = ("candidates", "positives", "negatives", "promoted", "reviewed", "deferred", "_pp", "_prp", "_np", "_nd")
+    metrics = _by_score(both, keys).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in summed], _ranked()).withColumns(
         {
             "promote_precision": ratio(F.col("_pp"), F.col("promoted"), 4),
             "promote_recall": ratio(F.col("_pp"), F.col("positives"), 4),
@@ -232,7 +237,7 @@ def policy_sweep(
     then scored on those few rows, so a sweep costs one scan whatever its width.
     """
     policies = [base, *(base.variants() if variants is None else variants)]
-    vectors = cut(labelled.groupBy("domain", "label", "features").agg(F.count("*").alias("n")), "vectors")
+    vectors = labelled.groupBy("domain", "label", "features").agg(F.count("*").alias("n"))
     table = F.array(
         *[
             F.struct(
@@ -269,9 +274,10 @@ def policy_sweep(
             recommendation(F.col("score"), F.col("_p.promote"), F.col("_p.review")).alias("recommendation"),
         )
     )
-    metrics = policy_metrics(scored, ["policy_id"]).where("domain = 'all'").drop("domain")
-    reference = metrics.where(F.col("policy_id") == base.policy_id).select(F.col("objective"))
-    delta = fixed(F.col("objective") - reference.scalar(), 4)
+    metrics = policy_metrics(scored, ["policy_id"]).where("domain = 'all'")
+    # one row per policy
+    reference = F.max(F.when(F.col("policy_id") == base.policy_id, F.col("objective"))).over(W.partitionBy("domain"))
+    delta = fixed(F.col("objective") - reference, 4)
     has_positives = F.col("positives") > 0
     precise = ~has_positives | ((F.col("promoted") > 0) & (F.col("promote_precision") >= min_precision))
     recalled = ~has_positives | (F.col("promote_recall") >= min_recall)
@@ -281,7 +287,7 @@ def policy_sweep(
         .when(~precise, "precision")
         .otherwise("recall")
     )
-    return metrics.withColumn("score_delta", delta).withColumn("verdict", verdict)
+    return metrics.withColumn("score_delta", delta).withColumn("verdict", verdict).drop("domain")
 
 
 def policy_error_lists(scored: DataFrame, limit: int = 10) -> DataFrame:

@@ -97,6 +97,30 @@ def test_golden_policy_metrics(spark):
     assert (m.review_or_promote_recall, m.defer_precision, m.objective) == (1.0, 1.0, 0.6333)
 
 
+def test_planning_policy_metrics_starts_no_job(spark):
+    names = ", ".join(f"{f}: double" for f in FEATURES)
+    rows = [("islets", "promote" if i % 3 else "defer", tuple((i * j % 7) / 7 for j in range(1, len(FEATURES) + 1))) for i in range(40)]
+    df = spark.createDataFrame(rows, f"domain string, label string, features struct<{names}>")
+    spark.sparkContext.setJobGroup("planning", "planning")
+    try:
+        swept = policy.policy_sweep(df, DEFAULT_POLICY)
+        assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("planning")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    rows = swept.collect()
+    # vectors are counted once: what the other uses need is the same shuffle
+    assert "ReusedExchange" in swept._jdf.queryExecution().executedPlan().toString()
+    assert len(rows) == 1 + len(DEFAULT_POLICY.variants())
+    assert [r.score_delta for r in rows if r.policy_id == DEFAULT_POLICY.policy_id] == [0.0]
+
+
+def test_a_row_without_a_score_is_counted_and_ranks_lowest(spark):
+    rows = [("d", "promote", "promote", 0.9), ("d", "defer", "defer", None), ("d", None, "review", 0.5)]
+    df = spark.createDataFrame(rows, "domain string, label string, recommendation string, score double")
+    m = policy.policy_metrics(df).where("domain = 'all'").first()
+    assert (m.candidates, m.positives, m.negatives, m.reviewed, m.ranking_accuracy) == (3, 1, 1, 1, 1.0)
+
+
 def test_sweep_scores_like_single_policies(spark):
     rng = random.Random(3)
     rows = [("islets", rng.choice(["promote", "defer"]), tuple(round(rng.random(), 1) for _ in FEATURES)) for _ in range(80)]
