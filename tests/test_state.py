@@ -12,7 +12,7 @@ from assayer.config import DEFAULT_POLICY, default_registry
 from assayer.operators import corpus, policy, quality, review
 from assayer.session import shared_dir
 from assayer.sources import landing, sinks, validated
-from assayer.streaming import incremental
+from assayer.streaming import decisions, incremental
 
 REGISTRY = default_registry()
 RECORD = (
@@ -384,3 +384,90 @@ def test_recommendation_and_reasons(spark):
     assert a.recommendation == "promote" and "multi-source" in a.reasons and "strong-authority" in a.reasons
     assert b.recommendation == "defer" and b.reasons == ["score-defer", "single-source-low-authority"]
     assert abs(sum(a.contributions.values()) - a.score) < 1e-5
+
+
+def judged(rows):
+    return rows.withColumn("recommendation", F.when(F.col("record_count") > 1, "promote").otherwise("review"))
+
+
+def test_stream_decisions_touch_only_their_identities(spark):
+    path, state, checkpoint = folder(spark, "in"), folder(spark, "state"), folder(spark, "cp")
+
+    def run(records, **kw):
+        write_import(spark, path, "islets", records)
+        decisions.incremental_decisions(spark, path, state, checkpoint, REGISTRY, judged, **kw).awaitTermination()
+        return {r.dedupe_key: r for r in decisions.current_decisions(spark, state).collect()}
+
+    def opened():
+        """Buckets of decisions and records that were written so far."""
+        store = decisions.DecisionState(spark, state)
+        return store, store.spark.read.parquet(f"{state}/decided")
+
+    other = {**KEPT, "doi": None, "pmid": "77", "title": "Slow freezing and thawing of islets in cryobags"}
+    first = run([{**KEPT, "doi": None, "pmid": "5"}, other], buckets=1009)
+    assert set(first) == {"pmid:5", "pmid:77"}
+    assert {(r.decision, r.stale_evidence) for r in first.values()} == {("pending", False)}
+    done = [(d, k, "promote", f"note {k}", None) for d, k in (("islets", "pmid:5"), ("islets", "pmid:77"), ("islets", "pmid:none"))]
+    decisions.record_reviews(spark, state, spark.createDataFrame(
+        done, "domain string, dedupe_key string, decision string, reviewer_notes string, decided_at timestamp"))
+    # one bucket in a thousand each, so that a look into the other's would show: its decisions are made unreadable
+    store, log = opened()
+    touched = {r.bucket for r in log.where("dedupe_key = 'pmid:5'").select("bucket").distinct().collect()}
+    spoiled = [r.bucket for r in log.where("dedupe_key = 'pmid:77'").select("bucket").distinct().collect()]
+    assert touched.isdisjoint(spoiled)
+    files = [f for f in log.inputFiles() if any(f"bucket={b}/" in f for b in spoiled)]
+    kept = {}
+    for f in files:
+        name = f.removeprefix("file://").removeprefix("file:")
+        with open(name, "rb") as fh:
+            kept[name] = fh.read()
+        with open(name, "wb") as fh:
+            fh.write(b"spoiled")
+    # delivered again under a DOI, by another provider, with another title: a new key and other evidence
+    write_import(spark, path, "islets", [{**KEPT, "pmid": "5", "source": "crossref", "source_id": "9"}])
+    decisions.incremental_decisions(spark, path, state, checkpoint, REGISTRY, judged).awaitTermination()
+    for name, body in kept.items():
+        with open(name, "wb") as fh:
+            fh.write(body)
+    again = {r.dedupe_key: r for r in decisions.current_decisions(spark, state).collect()}
+    assert set(again) == {"pmid:5", "pmid:77", "doi:10.1/z"}
+    assert (again["pmid:77"].decision, again["pmid:77"].reviewer_notes) == ("promote", "note pmid:77")
+    assert (again["pmid:5"].decision, again["pmid:5"].stale_evidence) == ("promote", False)
+    new = again["doi:10.1/z"]
+    assert (new.decision, new.stale_evidence, new.reviewer_notes) == ("pending", True, "note pmid:5")
+    with pytest.raises(ValueError, match="1009 buckets"):
+        decisions.DecisionState(spark, state, 8)
+
+
+def test_a_decision_batch_run_again_changes_nothing(spark):
+    state = folder(spark, "state")
+    store = decisions.DecisionState(spark, state, 8)
+    columns = "domain string, file string, pos int, source string, source_id string, title string, abstract string, doi string, pmid string, " \
+              "pmcid string, journal string, published_year int, authors_flat string, citation_count bigint, full_text_availability string"
+
+    def batch(*rows):
+        base = {"domain": "islets", "file": "f", "pos": 0, "source": "pubmed", "source_id": "1", "title": KEPT["title"], "abstract": KEPT["abstract"],
+                "doi": "10.1/z", "pmid": None, "pmcid": None, "journal": None, "published_year": 2020, "authors_flat": None,
+                "citation_count": 3, "full_text_availability": "abstract-only"}
+        return spark.createDataFrame([tuple({**base, **r}.values()) for r in rows], columns)
+
+    def now():
+        return sorted((r.dedupe_key, r.decision, r.record_count, r.stale_evidence) for r in decisions.current_decisions(spark, state).collect())
+
+    def decide(number, *rows):
+        decisions.decide_batch(store, batch(*rows), "run=000000-x", number, REGISTRY, judged)
+
+    assert decisions.current_decisions(spark, state) is None
+    decide(0, {"title": "unrelated", "abstract": None})  # nothing passes the gate
+    assert decisions.current_decisions(spark, state) is None
+    decide(1, {}, {"source": "web", "pos": 1, "source_id": "7"}, {"pos": 2})
+    before = now()
+    assert before == [("doi:10.1/z", "pending", 2, False)]
+    # a longer title replaces the old one, which is no identity of the candidate any more
+    longer = KEPT["title"] + ", revisited at length"
+    decide(2, {"source": "crossref", "title": longer})
+    after = now()
+    assert after == [("doi:10.1/z", "pending", 3, True)]
+    decide(3, {"doi": "10.1/else", "source_id": "8"})  # has the old title
+    decide(2, {"source": "crossref", "title": longer})
+    assert now() == [("doi:10.1/else", "pending", 1, False), *after]
