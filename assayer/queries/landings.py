@@ -5,6 +5,8 @@ Every file goes under a fresh folder of the shared directory.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..config import Registry
@@ -14,12 +16,12 @@ from ..functions import text as words
 from ..operators import match
 from ..session import fresh_path
 from ..sources import landing, providers, sinks, validated
-from ..streaming import incremental
+from ..streaming import decisions, incremental
 from . import corpus, sql
 from .corpus import REGISTRY
-from .matching import CAND, pipe
+from .matching import CAND, HINTS, pipe
 from .registry import query
-from .sql import GATE, REC, candidates_sql, joined, q, with_
+from .sql import GATE, REC, SAME, candidates_sql, joined, q, with_
 
 PAGE = 50
 
@@ -366,6 +368,69 @@ def incremental_import(spark, sf):
     return out.select("domain", "dedupe_key", "record_count", pipe("source_types"), "relevance_score")
 
 
+_PROMOTE, _REVIEW = 1.0, 0.5
+_TWICE = "doi is not null and pmid is not null"
+
+
+def _renamed(text: str, n: int) -> str:
+    """The candidate tables of one wave under names of their own."""
+    return re.sub(r"\b(keyed|firsts|merged|scored_cand|cand)\b", rf"\g<1>{n}", text)
+
+
+#: Two waves of deliveries; what has a DOI and a PMID comes first without its DOI, then again with it.
+_WAVES = f"""half as (select max(ord // {PAGE}) // 2 as middle from rec),
+waves as materialized (select * replace (row_number() over (order by wave, source_id) as ord) from (
+  select 1 as wave, * replace (case when {_TWICE} then null else doi end as doi) from gated where ord // {PAGE} <= (select middle from half)
+  union all select 2, * from gated where ord // {PAGE} > (select middle from half) or ({_TWICE}))),
+wave1 as (select * from waves where wave = 1)"""
+_JUDGED = f"case when ranking_score >= {_PROMOTE}e0 then 'promote' when ranking_score >= {_REVIEW}e0 then 'review' else 'defer' end as recommendation"
+_STATE_SQL = f"""prior as materialized (select *, case recommendation when 'promote' then 'promote' when 'defer' then 'reject' else 'pending' end as decision,
+  case when recommendation <> 'review' then 'wave 1' end as reviewer_notes from (select *, {_JUDGED} from cand1)),
+touched as (select distinct domain, dedupe_key from keyed2 where wave = 2),
+judged2 as materialized (select *, {_JUDGED} from cand2 semi join touched using (domain, dedupe_key)),
+p_hint as (select domain, ord, unnest({HINTS}) as hint from prior),
+c_hint as (select domain, dedupe_key, unnest({HINTS}) as hint from judged2),
+found as (select c.domain, c.dedupe_key, min(p.ord) as p_ord from c_hint c join p_hint p using (domain, hint) group by 1, 2),
+again as (select c.domain, c.dedupe_key, c.recommendation, c.record_count, p.ord is not null and not ({SAME}) as stale_evidence,
+    p.decision as before, p.reviewer_notes
+  from judged2 c left join found f using (domain, dedupe_key) left join prior p on p.ord = f.p_ord and p.domain = f.domain)"""
+
+
+@query(
+    "incremental_decisions",
+    with_(REC, GATE, _WAVES, _renamed(candidates_sql("wave1", DIVERSITY_SOURCES), 1), _renamed(candidates_sql("waves", DIVERSITY_SOURCES), 2), _STATE_SQL,
+          """select domain, dedupe_key, recommendation, record_count, stale_evidence, reviewer_notes,
+      case when stale_evidence and before <> 'pending' then 'pending' else coalesce(before, 'pending') end as decision from again
+    union all select domain, dedupe_key, recommendation, record_count, false, reviewer_notes, decision from prior anti join touched using (domain, dedupe_key)"""),
+)
+def incremental_decisions(spark, sf):
+    """Candidates of a first wave are reviewed; a second one brings new records, and others again under a stronger key."""
+    landing_dir, state, checkpoint = (fresh_path(spark, n) for n in ("decide-in", "decide-state", "decide-checkpoint"))
+    rows = corpus.records(spark, sf).withColumn("block", F.floor(F.col("ord") / PAGE))
+    middle = rows.agg(F.max("block")).first()[0] // 2
+    twice = F.col("doi").isNotNull() & F.col("pmid").isNotNull()
+    first = rows.where(F.col("block") <= middle).withColumn("doi", F.when(~twice, F.col("doi")))
+
+    def judge(candidates):
+        score = F.col("ranking_score")
+        return candidates.withColumn("recommendation", F.when(score >= _PROMOTE, "promote").when(score >= _REVIEW, "review").otherwise("defer"))
+
+    def deliver(records):
+        lines = records.groupBy("domain", "source", "block").agg(F.collect_list(F.struct(*_RECORD)).alias("records"))  # PAGE records at most
+        lines.drop("block").write.mode("append").json(landing_dir)
+        decisions.incremental_decisions(
+            spark, landing_dir, state, checkpoint, REGISTRY, judge, within=("source_id",), baseline=DIVERSITY_SOURCES).awaitTermination()
+
+    deliver(first)
+    made = decisions.current_decisions(spark, state).where("recommendation <> 'review'")
+    decisions.record_reviews(spark, state, made.select(
+        "domain", "dedupe_key", F.when(F.col("recommendation") == "promote", "promote").otherwise("reject").alias("decision"),
+        F.lit("wave 1").alias("reviewer_notes"), F.lit(None).cast("timestamp").alias("decided_at")))
+    deliver(rows.where((F.col("block") > middle) | twice))
+    return decisions.current_decisions(spark, state).select(
+        "domain", "dedupe_key", "recommendation", "record_count", "stale_evidence", "reviewer_notes", "decision")
+
+
 # -- registry and expressions -------------------------------------------------
 
 

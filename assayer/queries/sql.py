@@ -190,6 +190,14 @@ cand as materialized (select *, {fx("relevance_score + authority_score + source_
   from scored_cand)"""
 
 
+#: Evidence of a candidate ``c`` and of an earlier row ``p`` is the same.
+SAME = " and ".join(
+    [f"{fx('c.' + s, 3)} = {fx('p.' + s, 3)}" for s in ("ranking_score", "relevance_score", "authority_score", "source_diversity_score")]
+    + ["c.recommendation = p.recommendation", "list_sort(c.source_types) = list_sort(p.source_types)",
+       "c.record_count = p.record_count", "c.source_count = p.source_count",
+       "c.full_text_availability = p.full_text_availability"])
+
+
 # -- extraction ---------------------------------------------------------------
 
 SENT_SPLIT = (

@@ -16,7 +16,7 @@ from .corpus import DIVERSITY_SOURCES
 from .matching import HINTS, NOVEL, TRACKED, pipe, tracked
 from .policies import FEAT, P, RECO
 from .registry import query
-from .sql import GATE, REC, fx, joined, with_
+from .sql import GATE, REC, SAME, joined, with_
 
 #: Earlier decisions: one per labelled document, scored a little differently.
 PRIOR = """prior as materialized (
@@ -60,19 +60,14 @@ def prior(spark, sf):
 
 
 _P_HINTS = HINTS.replace("list_filter([", "list_filter([dedupe_key, title_key, ", 1)
-_SAME = " and ".join(
-    [f"{fx('c.' + s, 3)} = {fx('p.' + s, 3)}" for s in ("ranking_score", "relevance_score", "authority_score", "source_diversity_score")]
-    + ["c.recommendation = p.recommendation", "list_sort(c.source_types) = list_sort(p.source_types)",
-       "c.record_count = p.record_count", "c.source_count = p.source_count",
-       "c.full_text_availability = p.full_text_availability"])
 CARRIED = f"""p_hint as (select domain, ord, unnest({_P_HINTS}) as hint from prior),
 c_hint as (select domain, dedupe_key, unnest({HINTS}) as hint from judged),
 found as (select c.domain, c.dedupe_key, min(p.ord) as p_ord from c_hint c join p_hint p
   on p.domain = c.domain and p.hint = c.hint group by 1, 2),
 carried as materialized (
   select c.domain, c.dedupe_key, c.title, c.doi, c.pmid, c.pmcid, c.recommendation, c.ranking_score,
-    p.ord is not null and not ({_SAME}) as stale_evidence,
-    case when p.ord is not null and not ({_SAME}) and p.decision <> 'pending' then 'pending'
+    p.ord is not null and not ({SAME}) as stale_evidence,
+    case when p.ord is not null and not ({SAME}) and p.decision <> 'pending' then 'pending'
       else coalesce(p.decision, 'pending') end as decision, p.reviewer_notes,
     'title:' || trim(regexp_replace(lower(c.title), '[^a-z0-9]+', ' ', 'g')) as title_key
   from judged c left join found f on f.domain = c.domain and f.dedupe_key = c.dedupe_key
@@ -97,7 +92,7 @@ def carry_forward_decisions(spark, sf):
 
 @query(
     "evidence_fingerprint",
-    with_(*DECIDED, f"""select c.domain, c.dedupe_key, {_SAME} as unchanged from judged c join found f
+    with_(*DECIDED, f"""select c.domain, c.dedupe_key, {SAME} as unchanged from judged c join found f
       on f.domain = c.domain and f.dedupe_key = c.dedupe_key join prior p on p.ord = f.p_ord and p.domain = f.domain"""),
 )
 def evidence_fingerprint(spark, sf):
