@@ -149,14 +149,19 @@ def top_candidates(candidates: DataFrame, limit: int | None = None) -> DataFrame
     return ordered if limit is None else ordered.limit(limit)
 
 
-def provider_stats(records: DataFrame, fetch_log: DataFrame | None = None) -> DataFrame:
+def provider_stats(records: DataFrame, fetch_log: DataFrame | None = None, passed: DataFrame | None = None) -> DataFrame:
     """Fetched and accepted per provider; failures and totals come from the fetch log.
 
-    ``records`` carries domain, kind, source and the gate's ``keep`` flag.
+    ``records`` carries domain, kind, source and the gate's ``keep`` flag, or no flag if ``passed`` holds
+    those of them that the gate let through.
     """
-    counts = records.groupBy("domain", "kind", "source").agg(
-        F.count("*").alias("fetched"), F.count_if("keep").alias("accepted")
-    )
+    keys = ["domain", "kind", "source"]
+    if passed is None:
+        counts = records.groupBy(*keys).agg(F.count("*").alias("fetched"), F.count_if("keep").alias("accepted"))
+    else:
+        accepted = passed.groupBy(*keys).agg(F.count("*").alias("accepted"))
+        counts = records.groupBy(*keys).agg(F.count("*").alias("fetched")).join(accepted, keys, "left")
+        counts = counts.withColumn("accepted", F.coalesce("accepted", F.lit(0)))
     if fetch_log is None:
         return counts.withColumn("failed", F.lit(False)).withColumn("truncated", F.lit(False))
     return (

@@ -57,17 +57,21 @@ def refresh(
     """
     merged = corpus.import_dedupe(imports).drop("identity")
     kept = cut(merged.withColumn("reason", F.lit(None).cast("string")) if prior_imports is None else retain_prior_on_empty(merged, prior_imports), "imports")
-    parts = [live.withColumn("kind", F.lit("live-provider")), kept.drop("reason").withColumn("kind", F.lit("import"))]
+    outside = corpus.source_union(
+        live.withColumn("kind", F.lit("live-provider")), kept.drop("reason").withColumn("kind", F.lit("import")))
+    # bodies are searched only where the title passes, and only what passes both is stored
+    passed = match.candidate_gate(outside, registry)
     if own_corpus:
-        parts.append(corpus_as_source(papers, registry).withColumn("kind", F.lit("corpus")))
-    records = cut(match.coverage_relevance(corpus.source_union(*parts), registry).drop("m"), "records")
-    providers = corpus.provider_stats(records, fetch_log)
+        passed = corpus.source_union(passed, corpus_as_source(papers, registry).withColumn("kind", F.lit("corpus")))
+    accepted = cut(passed, "records")
+    origin = ("domain", "kind", "source")
+    fetched = outside.select(*origin).unionByName(accepted.where("kind = 'corpus'").select(*origin))
+    providers = corpus.provider_stats(fetched, fetch_log, accepted)
     reasons = kept.where("reason is not null").select("domain", "reason").distinct()
     import_state = reasons.groupBy("domain").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
     degradation = cut(corpus.degradation_state(providers, import_state), "degradation")
 
-    gated = records.where("keep").drop("keep", "kind")
-    candidates = cut(corpus.dedupe_merge_records(gated, baseline=baseline), "candidates")
+    candidates = cut(corpus.dedupe_merge_records(accepted.drop("kind"), baseline=baseline), "candidates")
     queue = cut(review_queue(candidates, papers, prior, scoring_policy), "queue")
     ordered = candidates.withColumn("ord", F.col("first_seen.ord"))
     packet = cut(corpus.packet_join(queue.withColumn("title_key", title_key(F.col("title"))), ordered), "packet")

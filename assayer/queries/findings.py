@@ -15,7 +15,7 @@ from . import corpus, sql
 from .corpus import REGISTRY, per_session
 from .matching import pipe
 from .registry import query
-from .scoring import pairs
+from .scoring import GATE_SUMMARY, METRICS, SUBSET_METRICS, pairs
 from .sql import CURATED, clamp, fx, in_list, joined, metrics_sql, pairs_sql, q, strings, with_
 
 # -- facets -------------------------------------------------------------------
@@ -348,6 +348,17 @@ def evidence_batch(spark, sf):
     return batch(spark, sf).findings.hypotheses.select("domain", "claim_id", "hypothesis_id", *_H, pipe("blockers"))
 
 
+@query("evidence_batch_gates", with_(*METRICS, GATE_SUMMARY))
+def evidence_batch_gates(spark, sf):
+    """The batch held against the labels."""
+    return batch(spark, sf).gates
+
+
+@query("evidence_batch_metrics", with_(*METRICS, f"select domain, subset, {', '.join(SUBSET_METRICS)} from met"))
+def evidence_batch_metrics(spark, sf):
+    return batch(spark, sf).metrics.select("domain", "subset", *SUBSET_METRICS)
+
+
 @query("top_hypotheses", with_(*HYPS, "select domain, hypothesis_id, priority_score from hyp order by priority_score desc, domain, claim_id"))
 def top_hypotheses(spark, sf):
     """The agenda over all domains."""

@@ -5,8 +5,6 @@ Every file goes under a fresh folder of the shared directory.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import functions as F
 
 from ..config import Registry
@@ -21,7 +19,7 @@ from . import corpus, sql
 from .corpus import REGISTRY
 from .matching import CAND, HINTS, pipe
 from .registry import query
-from .sql import GATE, REC, SAME, candidates_sql, joined, q, with_
+from .sql import GATE, REC, SAME, candidates_sql, joined, q, renamed, with_
 
 PAGE = 50
 
@@ -368,15 +366,11 @@ def incremental_import(spark, sf):
     return out.select("domain", "dedupe_key", "record_count", pipe("source_types"), "relevance_score")
 
 
-_PROMOTE, _REVIEW = 1.0, 0.5
+#: Ranking scores of recommendations, about the upper and the lower quarter.
+_PROMOTE, _REVIEW = 11.0, 9.0
 _TWICE = "doi is not null and pmid is not null"
 
 
-def _renamed(text: str, n: int) -> str:
-    """The candidate tables of one wave under names of their own."""
-    return re.sub(r"\b(keyed|firsts|merged|scored_cand|cand)\b", rf"\g<1>{n}", text)
-
-
 #: Two waves of deliveries; what has a DOI and a PMID comes first without its DOI, then again with it.
 _WAVES = f"""half as (select max(ord // {PAGE}) // 2 as middle from rec),
 waves as materialized (select * replace (row_number() over (order by wave, source_id) as ord) from (
@@ -398,7 +392,7 @@ again as (select c.domain, c.dedupe_key, c.recommendation, c.record_count, p.ord
 
 @query(
     "incremental_decisions",
-    with_(REC, GATE, _WAVES, _renamed(candidates_sql("wave1", DIVERSITY_SOURCES), 1), _renamed(candidates_sql("waves", DIVERSITY_SOURCES), 2), _STATE_SQL,
+    with_(REC, GATE, _WAVES, renamed(candidates_sql("wave1", DIVERSITY_SOURCES), 1), renamed(candidates_sql("waves", DIVERSITY_SOURCES), 2), _STATE_SQL,
           """select domain, dedupe_key, recommendation, record_count, stale_evidence, reviewer_notes,
       case when stale_evidence and before <> 'pending' then 'pending' else coalesce(before, 'pending') end as decision from again
     union all select domain, dedupe_key, recommendation, record_count, false, reviewer_notes, decision from prior anti join touched using (domain, dedupe_key)"""),

@@ -103,13 +103,13 @@ def confidence_means(spark, sf):
     return quality.confidence_means(pairs(spark, sf))
 
 
-_WIDE = ["entries", "tp", "fp", "fn", "inclusion_f1", "family_accuracy", "paper_type_accuracy", "species_f1",
+SUBSET_METRICS = ["entries", "tp", "fp", "fn", "inclusion_f1", "family_accuracy", "paper_type_accuracy", "species_f1",
          "specimens_f1", "outcomes_f1", "phases_f1", "outcomes_coverage", "phases_coverage"]
 
 
-@query("metrics_by_subset", with_(*METRICS, f"select domain, subset, {', '.join(_WIDE)} from met"))
+@query("metrics_by_subset", with_(*METRICS, f"select domain, subset, {', '.join(SUBSET_METRICS)} from met"))
 def metrics_by_subset(spark, sf):
-    return quality.subset_metrics(pairs(spark, sf)).select("domain", "subset", *_WIDE)
+    return quality.subset_metrics(pairs(spark, sf)).select("domain", "subset", *SUBSET_METRICS)
 
 
 _GATES = " union all ".join(
@@ -123,16 +123,14 @@ def quality_gates(spark, sf):
     return quality.quality_gates(quality.subset_metrics(pairs(spark, sf)))
 
 
-
-
-@query(
-    "gate_summary",
-    with_(*METRICS, f"""select r.domain, {PASSED.replace('(', '(r.', )} as gates_passed, {PASSED.replace('(', '(r.')} = 6
+GATE_SUMMARY = f"""select r.domain, {PASSED.replace('(', '(r.', )} as gates_passed, {PASSED.replace('(', '(r.')} = 6
       as passes_all_gates, {sql.fx('r.inclusion_f1 - a.inclusion_f1', 3)} as inclusion_f1_delta_vs_all,
       r.outcomes_coverage as outcome_coverage, r.phases_coverage as phase_coverage,
       r.outcomes_coverage >= 0.4e0 and r.phases_coverage >= 0.4e0 as depth_ready
-      from met r join met a on a.domain = r.domain and a.subset = 'all' where r.subset = 'reviewed'"""),
-)
+      from met r join met a on a.domain = r.domain and a.subset = 'all' where r.subset = 'reviewed'"""
+
+
+@query("gate_summary", with_(*METRICS, GATE_SUMMARY))
 def gate_summary(spark, sf):
     return quality.gate_summary(quality.subset_metrics(pairs(spark, sf)))
 

@@ -6,6 +6,7 @@ shared. Blocks are CTE texts, chained by ``with_``.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from ..config import Concept, DomainProfile
@@ -71,6 +72,11 @@ def with_(*parts: str) -> str:
     return "with " + ",\n".join(ctes) + "\n" + body
 
 
+def renamed(text: str, suffix: object) -> str:
+    """The candidate tables of ``text`` under names of their own, for a second set beside the first."""
+    return re.sub(r"\b(keyed|firsts|merged|scored_cand|cand|feat|judged)\b", rf"\g<1>{suffix}", text)
+
+
 def joined(col: str) -> str:
     return f"array_to_string({col}, '|')"
 

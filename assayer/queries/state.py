@@ -14,9 +14,9 @@ from . import corpus
 from .corpus import REGISTRY, per_session
 from .corpus import DIVERSITY_SOURCES
 from .matching import HINTS, NOVEL, TRACKED, pipe, tracked
-from .policies import FEAT, P, RECO
+from .policies import FEAT, P, RECO, features_sql
 from .registry import query
-from .sql import GATE, REC, SAME, joined, with_
+from .sql import GATE, REC, SAME, candidates_sql, joined, renamed, with_
 
 #: Earlier decisions: one per labelled document, scored a little differently.
 PRIOR = """prior as materialized (
@@ -327,3 +327,68 @@ def refresh_queue(spark, sf):
 )
 def refresh_degradation(spark, sf):
     return refreshed(spark, sf)["degradation"].select("domain", pipe("reasons"), "is_degraded")
+
+
+@per_session
+def delivered(spark, sf):
+    """A refresh with delivered imports, the tracked papers as one more source and a log of what providers hold."""
+    rows = corpus.records(spark, sf).withColumn("kind", _kind())
+    live = rows.where(F.col("kind") != "import").drop("kind", "paper_id")
+    imports = rows.where(F.col("kind") == "import").drop("kind", "paper_id")
+    log = live.groupBy("domain", F.lit("live-provider").alias("kind"), "source").agg(
+        F.lit(False).alias("failed"), F.max(F.when(F.col("published_year") > 2020, 30).otherwise(5)).alias("total_hits"))
+    papers = tracked(spark, sf).withColumn("paper_url", F.concat(F.lit("https://papers.example/"), "pmcid"))
+    return plan.refresh(
+        live, imports, papers, prior(spark, sf), REGISTRY, "2024-01-01 00:00:00", fetch_log=log, baseline=DIVERSITY_SOURCES, scoring_policy=P)
+
+
+#: The records of that refresh: the last import of an identity, everything else, and the tracked papers.
+_ARRIVED = f"""last_import as (select ord from (select *, {_IDENTITY} as identity from rec where {_KIND} = 'import')
+  qualify row_number() over (partition by domain, source, identity order by ord desc) = 1),
+fetched as materialized (select *, case when {_KIND} = 'import' then 'import' else 'live-provider' end as kind from scored
+  where {_KIND} <> 'import' or ord in (select ord from last_import)),
+corpus_rows as materialized (select * replace ('cryodb' as source, paper_id as source_id, cast(null as varchar) as pmid, cast(null as varchar) as pmcid,
+    cast(null as bigint) as citation_count, case when pmcid is not null then 'full-text-link' else 'abstract-only' end as full_text_availability)
+  from gated where ord in (select doc_id from labels)),
+arrived as materialized (select * exclude (kind) from fetched where keep union all by name select * from corpus_rows)"""
+_REFRESH = (
+    *FEAT, RECO, PRIOR, _ARRIVED, renamed(candidates_sql("arrived", DIVERSITY_SOURCES), "_r"), renamed(features_sql("cand"), "_r"), renamed(RECO, "_r"),
+    renamed(CARRIED, "_r"), TRACKED, renamed(NOVEL, "_r"),
+    """queue_r as materialized (select c.* from carried c
+      join (select domain, dedupe_key, bool_or(tracked) as t from flagged group by 1, 2) f using (domain, dedupe_key) where not f.t)""")
+_PROVIDERS_R = """prov_r as materialized (select domain, kind, source, count(*) as fetched, count(*) filter (where keep) as accepted, false as failed,
+    bool_and(kind = 'live-provider') and count(*) < max(case when published_year > 2020 then 30 else 5 end) as truncated
+  from fetched group by all union all select domain, 'corpus', source, count(*), count(*), false, false from corpus_rows group by all)"""
+
+
+@query("refresh_delivered", with_(*_REFRESH, "select domain, dedupe_key, decision, recommendation, stale_evidence, ranking_score from queue_r"))
+def refresh_delivered(spark, sf):
+    return delivered(spark, sf)["queue"].select("domain", "dedupe_key", "decision", "recommendation", "stale_evidence", "ranking_score")
+
+
+@query(
+    "refresh_packet",
+    with_(*_REFRESH, f"""select q.domain, q.dedupe_key, c.dedupe_key as candidate_key, q.recommendation, c.record_count,
+        {joined('c.source_types')} as source_types from queue_r q join cand_r c on c.domain = q.domain and c.dedupe_key = q.dedupe_key
+      where q.recommendation <> 'defer'"""),
+)
+def refresh_packet(spark, sf):
+    return delivered(spark, sf)["packet"].select(
+        "domain", "dedupe_key", "candidate_key", "recommendation", F.col("candidate.record_count").alias("record_count"),
+        F.array_join("candidate.source_types", "|").alias("source_types"))
+
+
+@query("refresh_providers", with_(REC, GATE, _ARRIVED, _PROVIDERS_R, "select * from prov_r"))
+def refresh_providers(spark, sf):
+    return delivered(spark, sf)["providers"].select("domain", "kind", "source", "fetched", "accepted", "failed", "truncated")
+
+
+@query(
+    "refresh_checks",
+    with_(*_REFRESH, _PROVIDERS_R, """select domain, 'warning' as severity, 'snapshot-degraded' as "check",
+        'live-provider-truncation:' || string_agg(source, ',' order by source) as detail
+      from prov_r where truncated and domain in (select domain from queue_r) group by domain"""),
+)
+def refresh_checks(spark, sf):
+    """The tables of one refresh agree, so only what its providers cut short is left to report."""
+    return delivered(spark, sf)["checks"].select("domain", "severity", "check", "detail")
