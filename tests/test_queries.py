@@ -18,7 +18,8 @@ SF = "/root/testdata/sf0.001"
 SAMPLE = (
     "top_candidates", "assemble_extraction", "representative_conditions", "phase_transitions", "metrics_by_subset",
     "repair_proposals", "policy_metrics", "carry_forward_decisions", "facet_counts", "contradiction_pairs", "scan_pubmed_xml",
-    "top_domain_papers", "refresh_queue", "regression_scenarios",
+    "top_domain_papers", "refresh_queue", "refresh_delivered", "refresh_checks", "evidence_batch_gates", "incremental_decisions",
+    "regression_scenarios",
 )
 
 
