@@ -411,6 +411,16 @@ def template_titles(evidence: DataFrame, registry: Registry, limit: int = TEMPLA
     return limited.unionByName(whole).select("domain", "template", F.col("value").alias("title"), "rank", "seen")
 
 
+def slim(evidence: DataFrame) -> DataFrame:
+    """What findings read of a paper: identity, labels and counts.
+
+    Its texts, steps and snippets are most of a row's bytes; they stay in the stored evidence, where ``paper_id`` finds them.
+    """
+    texts = ("abstract", "excerpts", "reviewer_notes", "source_text", "chemical_mentions", "steps", "temperatures", "durations", "evidence")
+    strengths = F.transform("outcome_mentions", lambda o: F.struct(o.outcome_class.alias("outcome_class"), o.strength.alias("strength")))
+    return evidence.drop(*texts).withColumn("outcome_mentions", strengths)
+
+
 def support_with_fallback(evidence: DataFrame, claims: DataFrame, titles: DataFrame) -> DataFrame:
     """(claim_id, paper) pairs: papers named by title, or by context if none is named.
 
@@ -419,30 +429,31 @@ def support_with_fallback(evidence: DataFrame, claims: DataFrame, titles: DataFr
     the few claims of its domain in place; no pair table is built first.
     """
     named = titles.groupBy("domain", "title").agg(F.collect_set("claim_id").alias("_named"))
-    per_domain = claims.groupBy("domain").agg(
-        F.collect_list(F.struct("claim_id", "chemicals", "specimens", "families")).alias("_claims")
-    )
-    rows = evidence.join(named, ["domain", "title"], "left").join(per_domain, "domain")
+    # claims are few: which of them any paper is named by is known before a paper's row is touched, so no row travels by claim
+    present = evidence.select("domain", "title").distinct()
+    stated = titles.join(present, ["domain", "title"], "left_semi").select("domain", "claim_id").distinct()
+    per_domain = (
+        claims.join(stated.withColumn("_any", F.lit(True)), ["domain", "claim_id"], "left")
+        .groupBy("domain")
+        .agg(F.collect_list(F.struct(
+            "claim_id", "chemicals", "specimens", "families", F.coalesce("_any", F.lit(False)).alias("stated"))).alias("_claims"))
+    )
+    rows = evidence.join(named, ["domain", "title"], "left").join(F.broadcast(per_domain), "domain")
     tested = F.transform(
         "_claims",
         lambda c: F.struct(
             c.claim_id.alias("claim_id"),
             F.array_contains(or_empty(F.col("_named")), c.claim_id).alias("exact"),
             (
-                F.arrays_overlap("specimens", c.specimens)
+                ~c.stated
+                & F.arrays_overlap("specimens", c.specimens)
                 & (F.arrays_overlap("chemicals", c.chemicals) | F.array_contains(c.families, F.col("family")))
             ).alias("overlap"),
         ),
     )
-    hits = rows.withColumn("_t", F.explode(F.filter(tested, lambda t: t.exact | t.overlap))).select(
+    return rows.withColumn("_t", F.explode(F.filter(tested, lambda t: t.exact | t.overlap))).select(
         *evidence.columns, F.col("_t.claim_id").alias("claim_id"), F.col("_t.exact").alias("exact")
     )
-    stated = hits.where("exact").groupBy("domain", "claim_id").agg(F.lit(True).alias("_any"))
-    return (
-        hits.join(stated, ["domain", "claim_id"], "left")
-        .where(F.col("exact") | F.col("_any").isNull())
-        .drop("_any")
-    )
 
 
 def any_exact_fallback(df: DataFrame, keys: Sequence[str], exact: str) -> DataFrame:
@@ -760,7 +771,7 @@ def matrix_rows(profiled: DataFrame, wedges: DataFrame) -> DataFrame:
         "domain", F.col("category").alias("_cat"), F.col("families").alias("_fam"),
         F.col("dominant_chemicals").alias("_chem"), F.col("specimens").alias("_spec"),
     )
-    rows = profiled.join(w, "domain")
+    rows = profiled.join(F.broadcast(w), "domain")  # one row per domain
     flags = confound_flags(F.col("_cat"), F.col("_fam"))
     base = F.array_intersect(F.array_distinct("chemicals"), string_array(BASE_CHEMICALS))
     rows = rows.withColumns(

@@ -45,7 +45,7 @@ def find(evidence: DataFrame, registry: Registry) -> Findings:
     contradictions = cut(research.contradiction_pairs(evidence, registry), "contradictions")
     claims = cut(research.hypothesis_templates(evidence, registry).withColumnRenamed("template", "claim_id"), "claims")
     titles = cut(research.template_titles(evidence, registry).withColumnRenamed("template", "claim_id"), "titles")
-    support = cut(research.support_with_fallback(evidence, claims, titles), "support")
+    support = cut(research.support_with_fallback(research.slim(evidence), claims, titles), "support")
     hypotheses = cut(research.hypothesis_evidence(claims, support, contradictions, registry), "hypotheses")
     return Findings(
         contradictions, claims, titles, support, hypotheses, research.select_wedge(hypotheses, registry)

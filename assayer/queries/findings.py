@@ -407,7 +407,7 @@ PROFILE = f"""prof as materialized (select r.*, e.title is not null as reviewed,
 def profiled(spark, sf):
     """Resolved papers with their authority profile, as a stored stage."""
     reviewed = corpus.enrichment(spark, sf).where("status = 'reviewed'").select("domain", "title")
-    return cut(research.authority_profile(corpus.resolved(spark, sf), reviewed), "profiled")
+    return cut(research.authority_profile(research.slim(corpus.resolved(spark, sf)), reviewed), "profiled")
 
 
 @query(

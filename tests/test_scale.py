@@ -233,3 +233,35 @@ def test_contradictions_plan_starts_no_job(spark):
     before = set(tracker.getJobIdsForGroup(None))
     plan = research.contradiction_pairs(df, REGISTRY)
     assert plan.columns and set(tracker.getJobIdsForGroup(None)) == before
+
+
+def _supporting(spark):
+    row = {"abstract": "long", "outcome_mentions": [("viability", "strong", ["long"])], "chemicals": ["DMSO"], "family": "vitrification"}
+    kinds = ("domain string, ord int, title string, specimens array<string>, chemicals array<string>, family string, abstract string, "
+             "outcome_mentions array<struct<outcome_class:string,strength:string,sentences:array<string>>>")
+    rows = [("islets", 1, "a", ["islet"]), ("islets", 2, "b", ["islet"]), ("islets", 3, "c", []), ("ovary", 4, "a", ["islet"])]
+    evidence = spark.createDataFrame(
+        [(*r, row["chemicals"], row["family"], row["abstract"], row["outcome_mentions"]) for r in rows], kinds)
+    claims = spark.createDataFrame(
+        [("islets", 0, ["DMSO"], ["islet"], []), ("islets", 1, [], ["islet"], ["vitrification"]), ("ovary", 0, ["DMSO"], ["islet"], [])],
+        "domain string, claim_id int, chemicals array<string>, specimens array<string>, families array<string>")
+    titles = spark.createDataFrame([("islets", 0, "c"), ("ovary", 0, "not there")], "domain string, claim_id int, title string")
+    return evidence, claims, titles
+
+
+def test_support_moves_no_paper_by_claim(spark):
+    evidence, claims, titles = _supporting(spark)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        out = research.support_with_fallback(research.slim(evidence), claims, titles)
+        got = sorted((r.domain, r.ord, r.claim_id, r.exact) for r in out.collect())
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    # claim 0 of islets is named by paper 3; claim 1 by none; claim 0 of ovary names a paper that is not there
+    assert got == [("islets", 1, 1, False), ("islets", 2, 1, False), ("islets", 3, 0, True), ("ovary", 4, 0, False)]
+    assert "Exchange" not in plan.split("Generate explode(")[0].replace("BroadcastExchange", "")
+    assert "abstract" not in out.columns and out.select("outcome_mentions").first()[0][0].asDict() == {"outcome_class": "viability", "strength": "strong"}
