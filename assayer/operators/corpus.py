@@ -422,12 +422,15 @@ def cross_artifact_checks(artifacts: DataFrame, decisions: DataFrame, items: Dat
     lined_up = counted.select("domain", F.explode(labels_where(rules)).alias("check")).select(
         "domain", F.lit("failure").alias("severity"), "check", F.lit("").alias("detail")
     )
-    queue = decisions.select("domain", "dedupe_key", F.col("recommendation").alias("_q"))
+    # records that share an identity can leave several decisions under one key; an item is held against its own one
+    queue = decisions.groupBy("domain", "dedupe_key").agg(F.collect_set("recommendation").alias("_q"))
     checked = items.select("domain", "dedupe_key", "recommendation").join(queue, ["domain", "dedupe_key"], "left")
+    missing = F.coalesce(F.size("_q"), F.lit(0)) == 0
+    same = F.array_contains("_q", F.col("recommendation"))
     rules = [
-        ("item-without-decision", F.col("_q").isNull()),
-        ("deferred-item", F.col("_q") == "defer"),
-        ("recommendation-mismatch", F.col("_q").isNotNull() & (F.col("_q") != F.col("recommendation"))),
+        ("item-without-decision", missing),
+        ("deferred-item", F.when(same, F.col("recommendation") == "defer").otherwise(F.array_contains("_q", "defer"))),
+        ("recommendation-mismatch", ~missing & ~same),
     ]
     per_item = checked.select("domain", "dedupe_key", F.explode(labels_where(rules)).alias("check")).select(
         "domain", F.lit("failure").alias("severity"), "check", F.col("dedupe_key").alias("detail")

@@ -129,6 +129,20 @@ def test_cross_artifact_checks(spark):
     assert ("failure", "recommendation-mismatch") in check(artifacts(spark), deferred)
 
 
+def test_an_item_is_checked_against_its_own_decision(spark):
+    kind = "domain string, dedupe_key string, recommendation string"
+    queue = spark.createDataFrame([("islets", "k", "promote"), ("islets", "k", "review"), ("islets", "d", "defer"), ("islets", "d", "review")], kind)
+    none = artifacts(spark).limit(0)
+
+    def check(items):
+        return sorted((r["check"], r.detail) for r in corpus.cross_artifact_checks(none, queue, spark.createDataFrame(items, kind)).collect())
+
+    assert check([("islets", "k", "promote"), ("islets", "k", "review"), ("islets", "d", "review")]) == []
+    assert check([("islets", "d", "defer")]) == [("deferred-item", "d")]
+    assert check([("islets", "k", "defer"), ("islets", "x", "review")]) == [("item-without-decision", "x"), ("recommendation-mismatch", "k")]
+    assert check([("islets", "d", "promote")]) == [("deferred-item", "d"), ("recommendation-mismatch", "d")]
+
+
 def folder(spark, name):
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
