@@ -352,12 +352,13 @@ _STREAM = (REC, GATE, candidates_sql("gated", DIVERSITY_SOURCES))
 
 @query("incremental_import", with_(*_STREAM, f"select domain, dedupe_key, record_count, {joined('source_types')} as source_types, relevance_score from cand"))
 def incremental_import(spark, sf):
-    """Files land in two waves; each run picks up only what is new."""
+    """Files land in two waves; each run picks up only what is new. Pages are generated in their order."""
     landing_dir, state, checkpoint = (fresh_path(spark, n) for n in ("stream-in", "stream-state", "stream-checkpoint"))
     record = F.struct(*_RECORD)
     blocks = corpus.records(spark, sf).groupBy("domain", "source", F.floor(F.col("ord") / PAGE).alias("block")).agg(
         F.array_sort(F.collect_list(F.struct("ord", record.alias("r")))).alias("rs"))
-    lines = blocks.select("domain", "source", "block", F.transform("rs", lambda x: x.r).alias("records"))
+    lines = blocks.select("domain", "source", "block", F.timestamp_seconds("block").alias("generated_at"),
+                          F.transform("rs", lambda x: x.r).alias("records"))
     middle = lines.agg(F.max("block")).first()[0] // 2
     for wave in (lines.where(F.col("block") <= middle), lines.where(F.col("block") > middle)):
         wave.drop("block").write.mode("append").json(landing_dir)

@@ -131,7 +131,7 @@ def decide_batch(
     batch_id: int,
     registry: Registry,
     judge: Callable[[DataFrame], DataFrame] = scored_by_policy,
-    within: Sequence[str] = ("file", "pos"),
+    within: Sequence[str] = ("file", "pos", "source_id"),
     baseline: Sequence[str] = DIVERSITY_SOURCES,
 ) -> None:
     """Store a batch's records and the decisions of the candidates they belong to."""
@@ -182,7 +182,7 @@ def incremental_decisions(
     judge: Callable[[DataFrame], DataFrame] = scored_by_policy,
     max_files: int | None = None,
     buckets: int | None = None,
-    within: Sequence[str] = ("file", "pos"),
+    within: Sequence[str] = ("file", "pos", "source_id"),
     baseline: Sequence[str] = DIVERSITY_SOURCES,
 ) -> StreamingQuery:
     """Decide on the candidates of every file that has landed since the last run, then stop.
@@ -193,7 +193,7 @@ def incremental_decisions(
 
     def step(batch: DataFrame, batch_id: int) -> None:
         run = _run_folder(batch.sparkSession, store.path, checkpoint)
-        decide_batch(store, batch, run, batch_id, registry, judge, within, baseline)
+        decide_batch(store, batch.drop("generated_at"), run, batch_id, registry, judge, within, baseline)
 
     return (
         import_stream(spark, landing, max_files)

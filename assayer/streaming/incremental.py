@@ -25,24 +25,27 @@ from ..operators.skew import first_by_key
 from ..sources.landing import IMPORT_SCHEMA
 from ..sources.sinks import VersionedTable
 
+#: The order of a batch. A file may hold many import documents, so a place in a file and a list names no single record;
+#: documents come in the order in which they were generated.
+WITHIN = ("generated_at", "file", "pos", "source_id")
 #: The order in which records arrived: earlier ones win ties.
-ARRIVAL = ("run", "batch", "file", "pos")
+ARRIVAL = ("run", "batch", *WITHIN)
 
 
 def import_stream(spark: SparkSession, landing: str, max_files: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(IMPORT_SCHEMA)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    files = reader.json(landing).select("domain", "records", F.col("_metadata.file_path").alias("file"))
-    return files.select("domain", "file", F.posexplode("records").alias("pos", "r")).select(
-        "domain", "file", "pos", "r.*"
+    files = reader.json(landing).select("domain", "generated_at", "records", F.col("_metadata.file_path").alias("file"))
+    return files.select("domain", "generated_at", "file", F.posexplode("records").alias("pos", "r")).select(
+        "domain", "generated_at", "file", "pos", "r.*"
     )
 
 
 def reduce_batch(batch: DataFrame, registry: Registry) -> DataFrame:
     """First gated record per (domain, identity, provider) of a batch."""
     gated = candidate_gate(batch, registry).withColumn("dedupe_key", record_key())
-    return first_by_key(gated, ["domain", "dedupe_key", "source"], "file", "pos").drop("dedupe_key")
+    return first_by_key(gated, ["domain", "dedupe_key", "source"], *WITHIN).drop("dedupe_key")
 
 
 def _run_folder(spark: SparkSession, state: str, checkpoint: str) -> str:
@@ -74,7 +77,9 @@ def incremental_import(
 
 
 def _batches(spark: SparkSession, state: str) -> DataFrame:
-    return spark.read.parquet(f"{state}/records").withColumn("run", F.col("run").cast("string"))
+    # batches of earlier versions lack the time
+    rows = spark.read.option("mergeSchema", "true").parquet(f"{state}/records").withColumn("run", F.col("run").cast("string"))
+    return rows if "generated_at" in rows.columns else rows.withColumn("generated_at", F.lit(None).cast("timestamp"))
 
 
 def stored_records(spark: SparkSession, state: str) -> DataFrame:
@@ -85,7 +90,7 @@ def stored_records(spark: SparkSession, state: str) -> DataFrame:
     if not versions:
         return rows
     late = rows.join(covered.staged(versions[-1]), ["run", "batch"], "left_anti")
-    return base.staged(versions[-1]).unionByName(late)
+    return base.staged(versions[-1]).unionByName(late, allowMissingColumns=True)
 
 
 def compact(spark: SparkSession, state: str) -> None:

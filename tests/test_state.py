@@ -220,6 +220,29 @@ def test_incremental_import_reads_each_file_once(spark):
     assert [(r.dedupe_key, r.record_count) for r in run()] == [("doi:10.1/z", 3)]
 
 
+def test_of_many_documents_in_a_file_the_earlier_one_wins(spark):
+    path, state = folder(spark, "in"), folder(spark, "state")
+    keyless = {**KEPT, "doi": None}
+
+    def line(day, abstract):
+        return (json.dumps({"domain": "islets", "source": "pubmed", "generated_at": f"2024-01-0{day}T00:00:00Z",
+                            "records": [{**keyless, "source_id": str(9 - day), "abstract": abstract}]}),)
+
+    lines = [line(3, "Vitrification of islets, later."), line(1, "Vitrification of islets."), line(2, "Vitrification of islets, in between.")]
+    spark.createDataFrame(lines, "value string").coalesce(1).write.text(path)
+    incremental.incremental_import(spark, path, state, folder(spark, "cp"), REGISTRY).awaitTermination()
+    assert [r.abstract for r in incremental.current_candidates(spark, state).collect()] == ["Vitrification of islets."]
+
+
+def test_batches_stored_without_a_time_are_still_read(spark):
+    path, state, checkpoint = folder(spark, "in"), folder(spark, "state"), folder(spark, "cp")
+    write_import(spark, path, "islets", [KEPT])
+    incremental.incremental_import(spark, path, state, checkpoint, REGISTRY).awaitTermination()
+    old = folder(spark, "state")
+    spark.read.parquet(f"{state}/records").drop("generated_at").write.partitionBy("run", "batch").parquet(f"{old}/records")
+    assert [r.dedupe_key for r in incremental.current_candidates(spark, old).collect()] == ["doi:10.1/z"]
+
+
 def decided(spark, state):
     """Current candidates with a fixed recommendation, and the decisions carried onto them."""
     rows = incremental.current_candidates(spark, state).withColumn(
