@@ -8,6 +8,7 @@ built once per session and table folder; nothing is cached but the plan.
 from __future__ import annotations
 
 from functools import lru_cache, wraps
+from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,10 +16,12 @@ from pyspark.sql import functions as F
 from ..config import default_registry
 from ..operators import corpus as merge
 from ..operators import extract, match, normalize, review
-from ..session import cut
+from ..session import cut, stored_bytes
 from .vocabulary import DIVERSITY_SOURCES, DOI_SOURCES, DOMAIN_OF_LANG, LINK_SOURCES, OPEN_SOURCES, PMCID_SOURCES, PMID_SOURCES, TERMS
 
 REGISTRY = default_registry()
+#: Stored bytes of documents that one task is dealt at most, on average.
+SHARE = 32 << 20
 
 
 def per_session(build):
@@ -60,8 +63,11 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
     digest = F.md5(F.col("text").cast("binary"))
     source = F.col("source")
     shifted = subject_text("text")
-    # a file may be one row group, which no task can split; the pattern work behind it must reach every core
-    dealt = table(spark, sf, "documents").repartition(spark.sparkContext.defaultParallelism, "doc_id")
+    # a file may be one row group, which no task can split; the pattern work behind it must reach every core, in whole
+    # rounds, with no more for a task than its share: larger tables make more tasks, not larger ones
+    cores = spark.sparkContext.defaultParallelism
+    rounds = max(1, ceil(stored_bytes(spark, f"{sf}/documents.parquet") / (cores * SHARE)))
+    dealt = table(spark, sf, "documents").repartition(cores * rounds, "doc_id")
     return (
         dealt.withColumn("_t", shifted)
         .select(

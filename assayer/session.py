@@ -64,6 +64,12 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{root}/{label}-{uuid.uuid4().hex}"
 
 
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of the files of a stored table."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
+
+
 def cut(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write a stage to the shared folder and read it back.
 

@@ -265,3 +265,20 @@ def test_support_moves_no_paper_by_claim(spark):
     assert got == [("islets", 1, 1, False), ("islets", 2, 1, False), ("islets", 3, 0, True), ("ovary", 4, 0, False)]
     assert "Exchange" not in plan.split("Generate explode(")[0].replace("BroadcastExchange", "")
     assert "abstract" not in out.columns and out.select("outcome_mentions").first()[0][0].asDict() == {"outcome_class": "viability", "strength": "strong"}
+
+
+def test_documents_are_dealt_by_their_size(spark, tmp_path, monkeypatch):
+    from assayer.queries import corpus as tables
+
+    monkeypatch.setattr(tables, "SHARE", 32 << 10, raising=False)
+    most = {}
+    for times in (1, 4):
+        sf = str(tmp_path / f"x{times}")
+        text = F.concat_ws("\n", *[F.sha2(F.concat(F.col("id"), F.lit(f"-{i}")), 256) for i in range(16)])
+        rows = spark.range(400 * times, numPartitions=1).select(
+            F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("web").alias("source"), F.lit(1).alias("n_chars"))
+        rows.write.parquet(f"{sf}/documents.parquet")
+        dealt = tables.records(spark, sf).groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()
+        assert sum(r.n for r in dealt) == 400 * times
+        most[times] = max(r.n for r in dealt)
+    assert most[4] < 2 * most[1]  # four times the rows, more tasks and not larger ones
